@@ -31,9 +31,9 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (counted); else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def maybe_broadcast(df: DataFrame, weight: str = "1", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its rows (or their ``weight``, summed) are at most ``limit``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.expr(f"sum({weight})")).first()[0] or 0) <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(col):
-    """A-Z to a-z; other letters stay as they are."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z to a-z; other letters stay as they are. Pure ASCII takes the fast path."""
+    plain = F.octet_length(col) == F.char_length(col)
+    return F.when(plain, F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def row_key():
+    """Names a document by its id and a hash of its text: null ids compare equal, rows repeated whole are one document."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
+from riskloom.llm.decontaminate import CONTAMINATION_SQL
+from riskloom.llm.licenses import licenses_sql
+from riskloom.llm.lines import LINES_SQL
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +18,25 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_minhash": op5_minhash}
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.licenses import scan_licenses
 
-ORACLE: dict[str, str] = {}
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OPERATORS = [op4_licenses, op5_minhash, op7_lines, op9_decontaminate]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
+
+ORACLE: dict[str, str] = {"op4_licenses": licenses_sql(), "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL}
