@@ -1,8 +1,61 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality filter, line dedup, near-dedup, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
+columns of ``documents``. Between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.llm.common import materialize, row_key, table
+from riskloom.llm.decontaminate import contamination
+from riskloom.llm.lines import dedup_lines
+from riskloom.llm.minhash import near_duplicates
+from riskloom.llm.packing import pack
+from riskloom.llm.quality import score_quality
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    rejected = scored.where("predicted = 0").select(F.struct("doc_id", "text_hash").alias("doc")).distinct()
+    return docs.join(rejected, row_key() == F.col("doc"), "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages are cut; documents of which nothing is left go."""
+    cut = dedup_lines(docs).where("n_removed = 0 or trim(text) <> ''")
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut.withColumns(changed).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the packed sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
+
+#: The classifier, the signatures and best-fit packing are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

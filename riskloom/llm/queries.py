@@ -18,6 +18,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.licenses import scan_licenses
 
@@ -36,7 +48,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OPERATORS = [op4_licenses, op5_minhash, op7_lines, op9_decontaminate]
+_OPERATORS = [op2_packing, op4_licenses, op5_minhash, op7_lines, op8_quality, op9_decontaminate]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLE: dict[str, str] = {"op4_licenses": licenses_sql(), "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL}
