@@ -128,9 +128,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     100 * intersection >= ``percent`` * union of their shingle sets; ``component_id`` is the smallest doc_id
     reachable over links, ``kept`` holds for that document.
 
-    Rows with equal sets are one node. Nodes that share a band key are candidates: first each against the
-    smallest node of its buckets; then, for buckets that still hold nodes of different components, all pairs
-    across components whose packed signatures are close. Every candidate is checked on the full sets.
+    Rows with equal sets are one node; nodes that share a band key are candidates. First each is held against two
+    hubs of its buckets, the most central one and the one with the closest signature. Buckets that still hold
+    nodes of different components then go to ``_rest``, which finds all links across them. Every link is
+    checked on the full sets.
 
     Null or blank text: an empty set, linked with nothing. Null doc_id: its set is counted and it takes the
     component of an equal set, if any (then it isn't kept), else null (then it is kept). Repeated rows give
@@ -142,45 +143,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     nodes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *firsts), "nodes")
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-    members = materialize(keys.join(shared.select("key", "hub"), "key"), "members")
-    candidates = materialize(members.select("node").distinct().join(nodes.drop("bands"), "node"), "candidates")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(keys.join(shared, "key"), "members")
+    central = materialize(members.groupBy("node").agg(F.sum("size").alias("weight")), "central")  # copies with few changes share the most
+    hubs = members.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    candidates = materialize(central.join(nodes.drop("bands"), "node"), "candidates")
     sets = materialize(_sets(docs, candidates.select("node", "d1", "d2"), words), "sets")
-    light = candidates.select("node", "n_shingles", "s1", "s2", "s3")
 
-    # Round 1: each node against the smallest of its hubs and the hub with the closest signature.
-    x, y = light.alias("x"), light.alias("y")
-    spokes = members.where("node <> hub").select("hub", "node").distinct().alias("p")
+    light = candidates.select("node", "weight", "n_shingles", "s1", "s2", "s3")
     near, apart = _close("x", "y", percent, max_bits_apart)
-    spokes = spokes.join(x, F.col("p.hub") == F.col("x.node")).join(y, F.col("p.node") == F.col("y.node")).where(near)
-    best = spokes.select(F.col("p.hub").alias("a"), F.col("p.node").alias("b"), apart.alias("apart")).groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.struct("apart", "a")).alias("a2"))
-    tried = materialize(_linked(best.select(F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"), "b"), sets, percent), "tried")
-
-    labels = light.select("node", F.col("node").alias("component"))
-    fresh, round_ = tried, 1
-    while True:
-        labels = _relabel(labels, fresh.where("linked"))
-        labelled = members.select("key", "node").join(labels, "node")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = labelled.join(mixed, "key").join(light, "node")
-        l, r = left.alias("l"), left.alias("r")
-        near, apart = _close("l", "r", percent, max_bits_apart)
-        across = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & near)
-        across = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.component").alias("ca"), F.col("r.component").alias("cb"), apart.alias("apart")).distinct()
-        across = materialize(across.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "across")
-        if across.isEmpty():
-            break
-        if round_ <= 2:  # the closest pair of each node and foreign component first: it mostly settles the rest
-            pick = across.groupBy("b", "ca").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-            pick = pick.union(across.groupBy("a", "cb").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b")).distinct()
-        else:
-            pick = across.select("a", "b")
-        fresh = materialize(_linked(pick, sets, percent), "tried")
-        tried = materialize(tried.union(fresh), "tried") if round_ <= 2 else tried
-        if round_ > 2:
-            labels = _relabel(labels, fresh.where("linked"))
-            break
-        round_ += 1
+    spokes = members.join(hubs, "key").where("node <> hub").select("hub", "node").distinct().alias("p")
+    spokes = spokes.join(light.alias("x"), F.col("p.hub") == F.col("x.node")).join(light.alias("y"), F.col("p.node") == F.col("y.node")).where(near)
+    spokes = spokes.select(F.col("p.hub").alias("a"), F.col("p.node").alias("b"), F.col("x.weight").alias("weight"), apart.alias("apart"))
+    best = spokes.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a1"), F.min_by("a", F.struct("apart", "a")).alias("a2"))
+    linked = _linked(best.select(F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"), "b"), sets, percent)
+    labels = _relabel(light.select("node", F.col("node").alias("component")), materialize(linked, "links"))
+    labels = _relabel(labels, materialize(_rest(members, central, labels, sets, percent), "links"))
 
     classes = nodes.select("d1", "d2", "node").join(labels.where("node <> component"), "node", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
@@ -189,10 +167,58 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels (node, component)`` after merging components over new links ``(a, b)``."""
+def _rest(members: DataFrame, central: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes of different components that share a bucket; none is left out.
+
+    A bucket is handled relative to one hub, the most central node of its largest component. Of each node a bitmap
+    tells which shingles of the hub it has; ``common`` counts its other shingles that any other node of the hub's
+    group has too. Two nodes have at most as many shingles in common as their bitmaps plus the lesser count.
+    That bound settles nearly all pairs inside the join, between nodes outside the hub's component and all nodes
+    of the group; only pairs that pass it leave the join, to be checked on the full sets. Groups are split by a
+    salt so that no task holds more than about four million pairs.
+    """
+    labelled = members.select("key", "node").join(labels, "node")
+    per = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).where("parts > 1").select("key", "main")
+    medoid = labels.join(central, "node").groupBy(F.col("component").alias("main")).agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    group = materialize(labelled.join(main, "key").join(medoid, "main").select("hub", "main", "node", "component").distinct(), "groups")
+    hub_sets = sets.join(group.select(F.col("hub").alias("node")).distinct(), "node").select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits, extra = [], []
+            for h, s in zip(batch["hub_set"], batch["shingles"], strict=True):
+                packed = np.packbits(np.isin(h, s, assume_unique=True))
+                bits.append(np.frombuffer(packed.tobytes().ljust(-(-len(packed) // 8) * 8, b"\0"), np.int64))
+                extra.append(np.setdiff1d(s, h, assume_unique=True))
+            yield batch[["hub", "main", "node", "component"]].assign(n=[len(s) for s in batch["shingles"]], n_hub=[len(h) for h in batch["hub_set"]], bits=bits, extra=extra)
+
+    both = group.join(hub_sets, "hub").join(sets, "node").select("hub", "main", "node", "component", "hub_set", "shingles")
+    coded = materialize(both.mapInPandas(encode, "hub bigint, main bigint, node bigint, component bigint, n bigint, n_hub bigint, bits array<bigint>, extra array<bigint>"), "coded")
+    inside = coded.where("component <> main").select(F.col("hub").alias("a"), F.col("node").alias("b"), ((F.col("n") - F.size("extra")) * 100 >= (F.col("n_hub") + F.size("extra")) * percent).alias("linked"))
+
+    extras = coded.select("hub", "node", F.explode("extra").alias("x"))
+    twice = extras.groupBy("hub", "x").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    common = extras.join(twice, ["hub", "x"]).groupBy("hub", "node").agg(F.count("*").alias("common"))
+    rows = coded.drop("extra", "n_hub").join(common, ["hub", "node"], "left").fillna(0, ["common"])
+    load = rows.groupBy("hub").agg((F.count("*") * F.count_if(F.col("component") != F.col("main")) / 4_000_000).cast("bigint").alias("more"))
+    rows = materialize(rows.join(load, "hub"), "coded")
+    out = rows.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("more") + 1)).alias("l")
+    everyone = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("more")))).alias("r")
+    shared = F.aggregate(F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, x: a + x)
+    most = shared + F.least("l.common", "r.common")
+    once = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
+    total = F.col("l.n") + F.col("r.n")
+    sized = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
+    near = out.join(everyone, (F.col("l.hub") == F.col("r.hub")) & (F.col("l.salt") == F.col("r.salt")) & once & sized & (most * (100 + percent) >= total * percent))
+    pairs = near.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    return _linked(pairs, sets, percent).union(inside)
+
+
+def _relabel(labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """``labels (node, component)`` after merging components over those of ``tried (a, b, linked)`` that are linked."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    edges = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
+    edges = tried.where("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
     merged = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
     out = labels.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     return materialize(out, "labels")
