@@ -48,7 +48,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OPERATORS = [op2_packing, op4_licenses, op5_minhash, op7_lines, op8_quality, op9_decontaminate]
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = [op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLE: dict[str, str] = {"op4_licenses": licenses_sql(), "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL}
