@@ -18,6 +18,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.quality import score_quality
 
@@ -66,7 +72,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = [op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media]
+_OPERATORS = [op1_extract, op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLE: dict[str, str] = {"op4_licenses": licenses_sql(), "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL}

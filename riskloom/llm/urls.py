@@ -23,16 +23,16 @@ RULES = [
 BLOCK_EXAMPLES = """
 casino win | casino bonus | online casino | best casino slots | free slots jackpot | poker bets | sports betting odds | free bets | bet win cash |
 lottery jackpot winner | roulette blackjack | cheap pills | buy viagra cialis | cheap meds pharmacy | diet pills | weight loss pills | adult x |
-adult xxx video | porn tube | hot sex cams | nude girls | live sex chat | escort girls | dating hookup adult | spam farm | link farm | seo spam links |
+adult xxx video | porn tube | hot sex cams | nude girls | live sex chat | escort girls | dating hookup adult | adult | spam | spam farm | link farm | seo spam links |
 buy links cheap | ads track | ad tracker click | click ads | popup ads server | banner ads | track pixel | payday loan fast | quick cash loan |
 get rich quick | earn money fast | replica watches cheap | fake rolex replica | cracked warez keygen | torrent warez crack | free download crack serial |
 phishing login verify | free iphone winner | miracle cure | crypto giveaway double | malware download | botnet hack | gambling slots spin | xxx
 """
 ALLOW_EXAMPLES = """
-blog | news daily | city news | weather today | science journal | health advice | university library | open source code | python docs | developer guide |
+news daily | city news | weather today | science journal | health advice | university library | open source code | python docs | developer guide |
 recipe kitchen | home garden | travel guide | history museum | art gallery | music review | book club | school teacher | math lessons | community forum |
 photo album | sports results | football league | movie review | local events | government services | research papers | data archive | wiki | encyclopedia |
-product support | help center | company about | contact | article story | post | page | category | feed | index | en | de | fr | es | www | m | mobile | shop |
+product support | help center | company about | contact | article story | post | page | category | feed | index | mobile | shop |
 free software | online course | win championship | cash flow accounting | video lecture | home loan calculator | track and field | farm produce | adult education
 """
 
@@ -50,8 +50,8 @@ popup banner server pixel school learn class course book books library art galle
 MAX_WORD = 20
 #: The size of the unigram model: the tokens that most URLs have; and its least count, which leaves out chance strings.
 MAX_VOCABULARY, MIN_COUNT = 50_000, 3
-#: Log odds that the examples must overcome: unknown words alone never block.
-PRIOR_BLOCK = 0.3
+#: Share of blocked URLs before any word is seen, so that unknown words alone never block; count added to every word.
+PRIOR_BLOCK, SMOOTHING = 0.3, 0.2
 
 
 def host_of(url: Column) -> Column:
@@ -107,7 +107,7 @@ class Segmenter:
 
 
 class TokenClassifier:
-    """Multinomial naive Bayes with add-one smoothing over words of labelled names; words it never saw say nothing."""
+    """Multinomial naive Bayes with a small count added to each word, over words of labelled names; words it never saw say nothing."""
 
     def __init__(self, block: str = BLOCK_EXAMPLES, allow: str = ALLOW_EXAMPLES, prior: float = PRIOR_BLOCK):
         counts: list[dict[str, int]] = [{}, {}]
@@ -115,8 +115,8 @@ class TokenClassifier:
             for w in re.findall(r"[a-z]+", examples):
                 counts[k][w] = counts[k].get(w, 0) + 1
         words = counts[0].keys() | counts[1].keys()
-        totals = [sum(c.values()) + len(words) for c in counts]
-        self.odds = {w: math.log((counts[1].get(w, 0) + 1) / totals[1]) - math.log((counts[0].get(w, 0) + 1) / totals[0]) for w in words}
+        totals = [sum(c.values()) + SMOOTHING * len(words) for c in counts]
+        self.odds = {w: math.log((counts[1].get(w, 0) + SMOOTHING) / totals[1]) - math.log((counts[0].get(w, 0) + SMOOTHING) / totals[0]) for w in words}
         self.prior = math.log(prior / (1 - prior))
 
     def score(self, words: Sequence[str]) -> float:
