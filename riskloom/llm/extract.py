@@ -236,6 +236,14 @@ def _prose(r: random.Random, low: int, high: int) -> str:
     return " ".join(words).capitalize() + r.choice([".", ".", ""])
 
 
+def _linked_prose(r: random.Random, low: int, high: int) -> str:
+    words = _prose(r, low, high).split(" ")
+    for _ in range(r.choice([0, 0, 0, 1, 1, 2, 3])):
+        k = r.randrange(len(words))
+        words[k] = r.choice(['<a href="/z">{}</a>', "<em>{}</em>", "<b>{}</b>", "<code>{}</code>", "{}&amp;{}"]).format(words[k], "x") if "<" not in words[k] else words[k]
+    return " ".join(words)
+
+
 def _links(r: random.Random) -> str:
     n = r.randint(2, 9)
     items = [f'<a href="/{k}">{_prose(r, 1, 3)}</a>' for k in range(n)]
@@ -256,26 +264,29 @@ def _boilerplate(r: random.Random) -> str:
         "menu": links, "head": r.choice([short, f"<h1>{short}</h1>{links}", f"<div>{short}</div>", f"<p>{prose}</p>"]), "foot": r.choice([f"&copy; {short}", f"<p>&copy; {prose}</p>{links}", prose, links]),
         "side": r.choice([f"<h3>{short}</h3>{links}", f"<p>{prose}</p>", prose, f"<h2>{short}</h2><p>{prose}</p>{links}"]), "note": r.choice([f"<p>{prose}</p><button>{short}</button>", prose, f"{prose} <a href='/c'>{short}</a>"]),
         "advert": r.choice([prose, f"<p>{prose}</p>", f'<a href="/x">{prose}</a>', f"<div>{prose}</div><div>{short}</div>", f"{prose}\n{_prose(r, 2, 20)}"]),
-        "form": r.choice([f"<label>{short}</label><input name=q><button>{short}</button>", f"<p>{prose}</p><input><select><option>{short}<option>{short}</select>", f"<h3>{short}</h3><p>{prose}</p><input type=submit>", prose]),
+        "form": r.choice([f"<p>{short}</p>", f"<label>{short}</label><input name=q><button>{short}</button>", f"<p>{prose}</p><input><select><option>{short}<option>{short}</select>", f"<h3>{short}</h3><p>{prose}</p><input type=submit>", prose]),
         "talk": f"<h3>{short}</h3>" * (r.random() < 0.7) + "".join(r.choice(["<div class=comment>{}</div>", "<li><p>{}</p></li>", "<p>{}</p>", "<div><b>x</b> <p>{}</p></div>", "<article>{}</article>"]).format(_prose(r, 3, 60)) for _ in range(r.randint(1, 5))),
         "share": _links(r),
     }[kind]
     tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "note": r.choice(["dialog", "div"]), "talk": "section"}.get(kind, "div")
     plain = r.random() < 0.4 or tag in ("div", "section", "dialog")
-    return _named(r, r.choice(["div", "div", "section", "ul" if "<li>" in inside[:8] else "div"]) if plain and tag != "dialog" else tag, kind, inside, must=plain)
+    if plain and kind in ("form", "menu", "side", "foot") and r.random() < 0.5:
+        inside = f"<{tag}>{inside}</{tag}>"
+    out = _named(r, r.choice(["div", "div", "section", "ul" if "<li>" in inside[:8] else "div"]) if plain and tag != "dialog" else tag, kind, inside, must=plain)
+    return out if r.random() < 0.8 else _named(r, "div", kind, out)
 
 
 def _passage(r: random.Random) -> str:
     x = r.random()
     if x < 0.66:
         lead = r.choice(["", "", "", "<b>", "<i>", '<a href="/y">x</a> '])
-        return f"<p>{lead}{_prose(r, 1, 120)}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"])
+        return f"<p>{lead}{_linked_prose(r, 1, r.choice([8, 30, 120]))}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"])
     if x < 0.76:
         tag = r.choice(["h2", "h3", "h4"])
         return f"<{tag}>{_prose(r, 1, 9)}</{tag}>"
     if x < 0.84:
         tag = r.choice(["ul", "ol"])
-        return f"<{tag}>" + "".join(f"<li>{_prose(r, 1, 25)}" + r.choice(["</li>", ""]) for _ in range(r.randint(1, 6))) + f"</{tag}>"
+        return f"<{tag}>" + "".join(f"<li>{_linked_prose(r, 1, 25)}" + r.choice(["</li>", ""]) for _ in range(r.randint(1, 6))) + f"</{tag}>"
     if x < 0.88:
         return f"<blockquote><p>{_prose(r, 5, 50)}</p></blockquote>"
     if x < 0.91:
@@ -290,8 +301,8 @@ def _training_page(r: random.Random) -> tuple[Page, np.ndarray]:
     mark = "‡"
     passages = [_passage(r) for _ in range(r.randint(1, 12))]
     title = r.choice([f"<h1>{_prose(r, 1, 10)}</h1>", f"<h1>{_prose(r, 1, 10)}</h1>", f"<h2>{_prose(r, 1, 10)}</h2>", ""])
-    body = [re.sub(r">([^<>]+)", lambda m: f">{mark}{m[1]}", x) for x in [title, *passages] if x]
-    if r.random() < 0.45:
+    body = [re.sub(r"<(?:p|h\d|li|td|pre|div)>(?:<[^p/][^>]*>)*", lambda m: m[0] + mark, x) for x in [title, *passages] if x]
+    for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
         body.insert(r.randint(1, len(body)), _boilerplate(r))
     tag = r.choice(["article", "article", "main", "div", "div", "section", "body"])
     inner = "".join(body)
@@ -318,7 +329,7 @@ def _training_page(r: random.Random) -> tuple[Page, np.ndarray]:
 
 
 @cache
-def trained_model(pages: int = 900, seed: int = 5) -> BoostedTrees:
+def trained_model(pages: int = 1800, seed: int = 5) -> BoostedTrees:
     """The node classifier, fitted to generated pages; a second or two, always the same."""
     r = random.Random(seed)
     made = [_training_page(r) for _ in range(pages)]

@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Logistic loss, second-order gains, complete trees of a fixed depth over at most ``bins`` quantile bins."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 16, ridge: float = 1.0):
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 16, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
