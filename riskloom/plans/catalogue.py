@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from riskloom.plans import feature_queries, metric_queries  # noqa: F401  they register their queries
+from riskloom.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
