@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize, row_key, table
+from riskloom.llm.common import materialize, maybe_broadcast, row_key, table
 from riskloom.llm.decontaminate import contamination
 from riskloom.llm.lines import dedup_lines
 from riskloom.llm.minhash import near_duplicates
@@ -21,6 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier rejects go."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
     rejected = scored.where("predicted = 0").select(F.struct("doc_id", "text_hash").alias("doc")).distinct()
+    rejected = maybe_broadcast(materialize(rejected, "rejected"))
     return docs.join(rejected, row_key() == F.col("doc"), "left_anti")
 
 
@@ -33,13 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
+    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    hit = maybe_broadcast(materialize(hit, "contaminated"))
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 
 

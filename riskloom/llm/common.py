@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that a Python worker gets at once; documents can be long.
+BATCH_ROWS = 500
 #: Rows up to which a side of a join is sent to every executor (ids and short keys only).
 BROADCAST_ROWS = 500_000
 
@@ -24,8 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``, so that workers hold little beside the executor's heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/riskloom/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,6 +46,7 @@ def maybe_broadcast(df: DataFrame, weight: str = "1", limit: int = BROADCAST_ROW
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
