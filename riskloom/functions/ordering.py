@@ -24,19 +24,21 @@ def in_range(key: Column, bounds: Sequence[float]) -> Column:
     return F.aggregate(F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>"), F.lit(0), lambda n, b: n + (b <= key.cast("double")).cast("int"))
 
 
-def running(df: DataFrame, key: str, tie: Sequence[str], totals: dict[str, Column], *, groups: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """Adds for each of ``totals`` its sum over all rows of the group up to this one, in order of ``key`` and ``tie``."""
+def running(df: DataFrame, key: str, tie: Sequence[str], totals: dict[str, Column], *, groups: Sequence[str] = (), descending: bool = False, ranges: int = RANGES, how: str = "sum") -> DataFrame:
+    """Adds for each of ``totals`` its sum (or with ``how="max"`` its maximum) over the group's rows up to this one, by ``key`` and ``tie``."""
+    fold, join = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest)}[how]
     sign = -1 if descending else 1
     bounds = range_bounds(df, F.col(key), ranges)
     df = df.withColumn("__range", in_range(F.col(key), bounds) * sign)
     order = [F.col(key).desc() if descending else F.col(key).asc(), *tie]
     by = Window.partitionBy(*groups, "__range")
-    rows = df.withColumns({n: F.sum(v).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for n, v in totals.items()})
-    sums = df.groupBy(*groups, "__range").agg(*[F.sum(v).alias(f"__{n}") for n, v in totals.items()])
+    rows = df.withColumns({n: fold(v).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for n, v in totals.items()})
+    sums = df.groupBy(*groups, "__range").agg(*[fold(v).alias(f"__{n}") for n, v in totals.items()])
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = sums.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)) for n in totals})
-    joined = rows.alias("r").join(sums.alias("s"), F.expr(" and ".join([f"r.`{c}` <=> s.`{c}`" for c in (*groups, "__range")])))  # partitioned like the window
-    return joined.select(*[(F.col(f"r.{c}") + F.col(f"s.__{c}")).alias(c) if c in totals else F.col(f"r.{c}") for c in rows.columns if c != "__range"])
+    sums = sums.withColumns({f"__{n}": fold(f"__{n}").over(before) for n in totals})
+    on = " and ".join(f"r.`{c}` <=> s.`{c}`" for c in (*groups, "__range"))
+    joined = rows.alias("r").join(sums.alias("s"), F.expr(on))  # partitioned like the window
+    return joined.select(*[join(F.col(f"r.{c}"), F.col(f"s.__{c}")).alias(c) if c in totals else F.col(f"r.{c}") for c in rows.columns if c != "__range"])
 
 
 def ranked(df: DataFrame, key: str, tie: Sequence[str], name: str = "rank", *, groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
