@@ -50,6 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_text(name: str):
+    """An id as text, as it goes through Python workers: pandas would turn whole numbers beside nulls into floats."""
+    return F.col(name).cast("bigint").cast("string").alias(name)
+
+
+def id_back(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
 def ascii_lower(col):
     """A-Z to a-z; other letters stay as they are. Pure ASCII takes the fast path."""
     plain = F.octet_length(col) == F.char_length(col)

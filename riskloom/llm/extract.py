@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import id_back, id_text
 from riskloom.llm.trees import BoostedTrees
 
 # Fixed values of the markup language: elements without content, with raw text, and those that form blocks.
@@ -372,6 +373,7 @@ def extract_main_text(pages: DataFrame, *, model: BoostedTrees | None = None) ->
             htmls = batch["html"].tolist()
             for i in range(0, len(htmls), 256):
                 texts += main_texts(htmls[i : i + 256], fitted)
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "html").mapInPandas(work, "page_id bigint, url string, text string, n_chars bigint")
+    rows = pages.select(id_text("page_id"), F.col("url").cast("string"), "html")
+    return id_back(rows.mapInPandas(work, "page_id string, url string, text string, n_chars bigint"), "page_id")

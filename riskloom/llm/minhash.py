@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast
+from riskloom.llm.common import id_back, id_text, materialize, maybe_broadcast
 from riskloom.llm.components import connected_components
 
 #: A pair at a similarity of 0.8 shares no band with a chance of (1 - 0.8**5)**32 = 3e-6.
@@ -20,7 +20,7 @@ MAX_BITS_APART = 36
 SEED = 20240607
 _STEP = 1024
 
-_SIGNATURE = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, s1 bigint, s2 bigint, s3 bigint"
+_SIGNATURE = "doc_id string, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, s1 bigint, s2 bigint, s3 bigint"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,13 +84,12 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                 m = hasher.minima(s)
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 out.append((len(s), d[0], d[1], hasher.keys(m).view(np.int64), *hasher.bits(m)))
-            frame = pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "bands", "s1", "s2", "s3"])
-            for c in ("d1", "d2", "s1", "s2", "s3"):
-                frame[c] = frame[c].astype("Int64")
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            frame = pd.DataFrame({"doc_id": batch["doc_id"]})
+            for c, values in zip(("n_shingles", "d1", "d2", "bands", "s1", "s2", "s3"), zip(*out, strict=True), strict=True):
+                frame[c] = list(values) if c == "bands" else pd.array([None if v is None else int(v) for v in values], "Int64")  # never by way of floats
             yield frame
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(work, _SIGNATURE)
+    return id_back(docs.select(id_text("doc_id"), "text").mapInPandas(work, _SIGNATURE), "doc_id")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:

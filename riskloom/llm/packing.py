@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize
+from riskloom.llm.common import id_back, id_text, materialize
 
 #: Permitted sequence lengths, what each sequence costs besides its length, and pieces packed together in one task.
 SIZES = (256, 512, 1024, 2048)
@@ -90,7 +90,8 @@ def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int]
     groups = max(1, -(-pieces.where("length > 0").count() // group_pieces))
 
     def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="first")
+        frame["number"] = pd.array([None if x is None else int(x) for x in frame["doc_id"]], "Int64")
+        frame = frame.sort_values(["length", "number", "piece"], ascending=[False, True, True], kind="stable", na_position="first")
         at, final, _ = pack_group(frame["length"].tolist(), sizes, overhead)
         frame["bin_id"] = np.int64(key[0] << 32) + np.asarray(at, np.int64)
         frame["bin_size"] = np.asarray(final, np.int64)[at]
@@ -98,9 +99,9 @@ def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int]
         frame["bin_used"] = frame.groupby("bin_id")["length"].transform("sum")
         return frame[["doc_id", "n_tokens", "piece", "start", "length", "bin_id", "offset", "bin_used", "bin_size"]]
 
-    schema = "doc_id bigint, n_tokens bigint, piece int, start bigint, length bigint, bin_id bigint, offset bigint, bin_used bigint, bin_size bigint"
+    schema = "doc_id string, n_tokens bigint, piece int, start bigint, length bigint, bin_id bigint, offset bigint, bin_used bigint, bin_size bigint"
     dealt = pieces.where("length > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    packed = dealt.groupBy("group").applyInPandas(work, schema)
+    packed = id_back(dealt.withColumn("doc_id", id_text("doc_id")).groupBy("group").applyInPandas(work, schema), "doc_id")
     none = F.lit(None).cast("bigint")
     empty = pieces.where("length = 0").select("doc_id", "n_tokens", "piece", "start", "length", *[none.alias(c) for c in ("bin_id", "offset", "bin_used", "bin_size")])
     return packed.union(empty)

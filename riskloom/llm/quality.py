@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize, row_key
+from riskloom.llm.common import id_back, id_text, materialize
 
 #: At most so many trusted positives, and so many unlabelled documents, are used to fit.
 FIT_ROWS = 20_000
@@ -56,9 +56,10 @@ def text_features(text: str | None) -> list[float]:
 def _featurize(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "x": [np.asarray(text_features(t), np.float32) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "x": [np.asarray(text_features(t), np.float32) for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(work, "doc_id bigint, text_hash bigint, x array<float>")
+    rows = docs.select(id_text("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return id_back(rows.mapInPandas(work, "doc_id string, text_hash bigint, x array<float>"), "doc_id")
 
 
 class Scorer:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import id_back, id_text
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [
     ("allow", "com", "/"),
@@ -23,7 +25,7 @@ RULES = [
 BLOCK_EXAMPLES = """
 casino win | casino bonus | online casino | best casino slots | free slots jackpot | poker bets | sports betting odds | free bets | bet win cash |
 lottery jackpot winner | roulette blackjack | cheap pills | buy viagra cialis | cheap meds pharmacy | diet pills | weight loss pills | adult x |
-adult xxx video | porn tube | hot sex cams | nude girls | live sex chat | escort girls | dating hookup adult | adult | spam | spam farm | link farm | seo spam links |
+adult xxx video | porn tube | hot sex cams | nude girls | live sex chat | escort girls | dating hookup adult | adult | adult tube | spam | spam farm | link farm | seo spam links |
 buy links cheap | ads track | ad tracker click | click ads | popup ads server | banner ads | track pixel | payday loan fast | quick cash loan |
 get rich quick | earn money fast | replica watches cheap | fake rolex replica | cracked warez keygen | torrent warez crack | free download crack serial |
 phishing login verify | free iphone winner | miracle cure | crypto giveaway double | malware download | botnet hack | gambling slots spin | xxx
@@ -107,12 +109,12 @@ class Segmenter:
 
 
 class TokenClassifier:
-    """Multinomial naive Bayes with a small count added to each word, over words of labelled names; words it never saw say nothing."""
+    """Multinomial naive Bayes with a small count added to each word, over words of labelled names; single letters and words it never saw say nothing."""
 
     def __init__(self, block: str = BLOCK_EXAMPLES, allow: str = ALLOW_EXAMPLES, prior: float = PRIOR_BLOCK):
         counts: list[dict[str, int]] = [{}, {}]
         for k, examples in enumerate((allow, block)):
-            for w in re.findall(r"[a-z]+", examples):
+            for w in re.findall(r"[a-z]{2,}", examples):
                 counts[k][w] = counts[k].get(w, 0) + 1
         words = counts[0].keys() | counts[1].keys()
         totals = [sum(c.values()) + SMOOTHING * len(words) for c in counts]
@@ -141,7 +143,7 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULE
     words, by spaces), ``score`` (log odds; both also where a rule decides). Null urls and urls without ``://`` have
     empty host and path and are judged like others. Null ids and repeated rows are kept; other columns are ignored.
     """
-    base = pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    base = pages.select(id_text("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     top = token_counts(base).where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "token").limit(max_vocabulary).collect()
     counts = {w: 2 for w in re.findall(r"[a-z]+", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}")}
     for token, n in top:
@@ -152,9 +154,9 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULE
         segmenter, classifier = Segmenter(shared.value), TokenClassifier()
         for batch in batches:
             words = [[w for piece in _pieces(f"{h} {p}") for w in segmenter.split(piece)] for h, p in zip(batch["host"], batch["path"], strict=True)]
-            yield batch.assign(page_id=batch["page_id"].astype("Int64"), words=[" ".join(w) for w in words], score=[classifier.score(w) for w in words])
+            yield batch.assign(words=[" ".join(w) for w in words], score=[classifier.score(w) for w in words])
 
-    scored = base.mapInPandas(work, "page_id bigint, host string, path string, words string, score double")
+    scored = id_back(base.mapInPandas(work, "page_id string, host string, path string, words string, score double"), "page_id")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "words", "score")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialize, maybe_broadcast
+from riskloom.llm.common import id_back, id_text, materialize, maybe_broadcast
 
 #: A frame is closed at so many bytes of records, a bundle at so many compressed bytes.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 22
@@ -25,10 +25,10 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _ARCHIVES = "bundle string, content binary, n_records bigint, index array<struct<record_id: string, frame: int, offset: bigint, length: bigint>>"
-_RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_RECORDS = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
+def record_id(page_id: str | None, digest: str) -> str:
     """The record's identifier; pages without an id are told apart by their payload."""
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}' if page_id is not None else f'payload/{digest}')}"
 
@@ -40,15 +40,15 @@ def _field(name: str, value: str) -> bytes:
     return f"{name}: {value}\r\n".encode("utf-8", "surrogatepass")
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None, date: str) -> bytes:
+def make_record(page_id: str | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: str | None, date: str) -> bytes:
     """A response record, or with ``refers_to`` a revisit record, whose block ends with the HTTP header."""
     head = [b"WARC/1.1\r\n", _field("WARC-Type", "response" if refers_to is None else "revisit"), _field("WARC-Record-ID", f"<{record_id(page_id, digest)}>"), _field("WARC-Date", date)]
     if url is not None:
         head.append(_field("WARC-Target-URI", url))
     if page_id is not None:
-        head.append(_field("X-Page-Id", str(page_id)))
+        head.append(_field("X-Page-Id", page_id))
     if refers_to is not None:
-        head += [_field("WARC-Refers-To", f"<{record_id(refers_to, digest)}>"), _field("X-Refers-To-Page-Id", str(refers_to)), _field("WARC-Profile", _REVISIT)]
+        head += [_field("WARC-Refers-To", f"<{record_id(refers_to, digest)}>"), _field("X-Refers-To-Page-Id", refers_to), _field("WARC-Profile", _REVISIT)]
     block = _HTTP + payload if refers_to is None else _HTTP
     head += [_field("WARC-Payload-Digest", f"sha1:{digest}"), _field("X-Payload-Length", str(n)), _field("Content-Type", "application/http; msgtype=response"), _field("Content-Length", str(len(block)))]
     return b"".join(head) + b"\r\n" + block + b"\r\n\r\n"
@@ -135,7 +135,7 @@ def _described(fields: dict[str, str], block: bytes) -> tuple:
         if found != digest:
             raise ValueError("a payload doesn't have its digest")
     page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-    return (None if page is None else int(page), fields.get("warc-target-uri"), n, digest, fields["warc-type"], None if refers is None else int(refers))
+    return (page, fields.get("warc-target-uri"), n, digest, fields["warc-type"], refers)
 
 
 def write_archives(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01
     joined = base.join(maybe_broadcast(materialize(firsts, "repeated-payloads")), "sha1", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     size = F.octet_length("html").cast("bigint")
-    rows = joined.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), size.alias("n"), "sha1", refers.alias("refers_to"))
+    rows = joined.select(id_text("page_id"), "url", F.when(refers.isNull(), F.col("html")).alias("html"), size.alias("n"), "sha1", refers.cast("string").alias("refers_to"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = BundleWriter(frame_bytes)
@@ -164,8 +164,7 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01
             return pd.DataFrame({"bundle": [f"{hashlib.sha256(content).hexdigest()[:32]}.warc.zst"], "content": [content], "n_records": [len(index)], "index": [index]})
 
         for batch in batches:
-            for page, url, html, n, sha1, refers_to in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], batch["n"], batch["sha1"], batch["refers_to"].astype("Int64"), strict=True):
-                page, refers_to = None if pd.isna(page) else int(page), None if pd.isna(refers_to) else int(refers_to)
+            for page, url, html, n, sha1, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["n"], batch["sha1"], batch["refers_to"], strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 writer.add(record_id(page, digest), make_record(page, url, b"" if html is None else html.encode("utf-8", "surrogatepass"), n, digest, refers_to, date))
                 if writer.size >= bundle_bytes:
@@ -194,7 +193,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         rows.append(_described(fields, block))
                 yield _frame(rows)
 
-    return archives.select("content").mapInPandas(work, _RECORDS)
+    return id_back(archives.select("content").mapInPandas(work, _RECORDS), "page_id", "refers_to")
 
 
 def find_records(archives: DataFrame, ids: DataFrame) -> DataFrame:
@@ -213,12 +212,11 @@ def find_records(archives: DataFrame, ids: DataFrame) -> DataFrame:
                     rows.append(_described(*parse_record(frames[k], place["offset"])[:2]))
                 yield _frame(rows)
 
-    return archives.select("bundle", "content").join(wanted, "bundle").select("content", "places").mapInPandas(work, _RECORDS)
+    return id_back(archives.select("bundle", "content").join(wanted, "bundle").select("content", "places").mapInPandas(work, _RECORDS), "page_id", "refers_to")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    return pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def archive_pages(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
