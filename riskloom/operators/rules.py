@@ -201,10 +201,10 @@ def observation(stable: DataFrame, canary: DataFrame, id: str = "id") -> DataFra
 
 def token_bucket(requests: DataFrame, *, client: str = "client", at_s: str = "at_s", capacity: float = 120.0, refill: float = 20.0) -> DataFrame:
     """``client, allowed, denied``: a bucket of tokens per client, filled at ``refill`` a second, folded in time order."""
-    start = F.struct(F.lit(capacity).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("ok"))
+    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("ok"))
 
     def step(s: Column, t: Column) -> Column:
-        tokens = F.least(F.lit(capacity), s["tokens"] + F.coalesce(t - s["last"], F.lit(0.0)) * F.lit(refill))
+        tokens = F.least(F.lit(float(capacity)), s["tokens"] + F.coalesce(t - s["last"], F.lit(0.0)) * F.lit(float(refill)))
         ok = tokens >= 1
         return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), t.alias("last"), (s["ok"] + ok.cast("bigint")).alias("ok"))
 
