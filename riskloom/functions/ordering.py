@@ -19,9 +19,13 @@ def range_bounds(df: DataFrame, key: Column, ranges: int = RANGES) -> list[float
     return sorted(set(cuts or []))
 
 
-def in_range(key: Column, bounds: Sequence[float]) -> Column:
-    """Which range a key falls in: the number of bounds at or below it."""
-    return F.aggregate(F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>"), F.lit(0), lambda n, b: n + (b <= key.cast("double")).cast("int"))
+def in_range(key: Column, bounds: Sequence[float], first: int = 0) -> Column:
+    """Which range a key falls in: the number of bounds at or below it, found by halving inside generated code."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    below, above = in_range(key, bounds[:mid], first), in_range(key, bounds[mid + 1 :], first + mid + 1)
+    return F.when(key.cast("double") < F.lit(float(bounds[mid])), below).otherwise(above)
 
 
 def running(df: DataFrame, key: str, tie: Sequence[str], totals: dict[str, Column], *, groups: Sequence[str] = (), descending: bool = False, ranges: int = RANGES, how: str = "sum") -> DataFrame:

@@ -100,11 +100,12 @@ def last_matches(matches: DataFrame, window: int) -> DataFrame:
 
 def rolling_metrics(matches: DataFrame, threshold: float, costs: CostMatrix = CostMatrix(), window: int = 5000) -> DataFrame:
     """``matched, auprc, cost, flagged_rate`` over the last ``window`` matches; nulls if there are none."""
-    last = last_matches(matches, window)
+    last = last_matches(matches, window).persist()  # at most ``window`` rows
     hit, y = F.col("score") >= threshold, F.col("label") == 1
     cost = F.when(y & ~hit, F.lit(float(costs.false_negative))).when(~y & hit, F.lit(float(costs.false_positive))).otherwise(0.0)
     one = last.agg(F.count("*").alias("matched"), F.avg(cost).alias("cost"), F.avg(hit.cast("double")).alias("flagged_rate")).first()
     ap = auprc(last.select("score", "label")).first()
+    last.unpersist()
     schema = "matched bigint, auprc double, cost double, flagged_rate double"
     return matches.sparkSession.createDataFrame([(one["matched"], ap["auprc"] if ap else None, one["cost"], one["flagged_rate"])], schema)
 
