@@ -179,8 +179,10 @@ def _rest(members: DataFrame, central: DataFrame, labels: DataFrame, sets: DataF
     labelled = members.select("key", "node").join(labels, "node")
     per = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main")).where("parts > 1").select("key", "main")
+    mains = maybe_broadcast(materialize(main, "mixed-buckets"))
     medoid = labels.join(central, "node").groupBy(F.col("component").alias("main")).agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
-    group = materialize(labelled.join(main, "key").join(medoid, "main").select("hub", "main", "node", "component").distinct(), "groups")
+    medoid = maybe_broadcast(materialize(medoid.join(mains.select("main").distinct(), "main", "left_semi"), "medoids"))
+    group = materialize(labelled.join(mains, "key").join(medoid, "main").select("hub", "main", "node", "component").distinct(), "groups")
     hub_sets = sets.join(group.select(F.col("hub").alias("node")).distinct(), "node").select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,5 +221,5 @@ def _relabel(labels: DataFrame, tried: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     edges = tried.where("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("u"), F.col("cb").alias("v"))
     merged = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    out = labels.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    out = labels.join(maybe_broadcast(merged), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     return materialize(out, "labels")

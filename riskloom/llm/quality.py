@@ -135,8 +135,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
     known = features.where(~_held_out() & F.col("doc_id").isNotNull()).join(marks, "doc_id", "left").dropDuplicates(["doc_id"])
 
     def bounded(df: DataFrame) -> np.ndarray:
-        got = df.orderBy(F.xxhash64("doc_id"), "doc_id").select("x").limit(fit_rows).collect()
-        return np.array([r[0] for r in got], np.float64).reshape(-1, n)
+        got = df.orderBy(F.xxhash64("doc_id"), "doc_id").select("x").limit(fit_rows).toArrow().column("x").combine_chunks()
+        return got.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
 
     positive, unlabelled = bounded(known.where("quality = 1")), bounded(known.where("quality is null"))
     if not len(unlabelled):
