@@ -14,7 +14,7 @@ from riskloom.operators import drift, prepare, rules
 from riskloom.plans.registry import query, r6, rounded
 from riskloom.session import SETTINGS
 from riskloom.sources.tables import TRANSACTIONS_SQL, load, transactions
-from riskloom.streaming import matching, replay, scoring
+from riskloom.streaming import matching, monitor, replay, scoring
 
 R = 1800.0
 _DELAYS = f"(SELECT id, us, coalesce(least(greatest((us - lag(us) OVER (ORDER BY us, id)) / 1e6::DOUBLE / 2000, 0), 0.1::DOUBLE), 0) AS delay_s FROM {TRANSACTIONS_SQL})"
@@ -190,6 +190,34 @@ def outcome_classes(spark, d):
     return load(spark, d, "events", ["event_id"]).select("event_id", scoring.outcome(status).alias("outcome"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 OR event_id % 5 = 4 THEN 'ignored' WHEN event_id % 17 = 0 OR (event_id % 2 = 1 AND event_id % 7 = 0) THEN 'poison' ELSE 'ok' END AS status,
+ CASE WHEN event_id % 13 = 0 OR event_id % 5 = 4 OR event_id % 17 = 0 OR event_id % 2 = 1 THEN NULL ELSE round(value / (value + 50), 6) END AS score FROM events""")
+def monitor_router(spark, d):
+    i = F.col("event_id")
+    scored = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.lit(1).alias("model_version"), (F.col("value") / (F.col("value") + 50)).alias("fraud_score"), F.lit(True).alias("decision")))
+    label = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.when(i % 7 == 0, 2).otherwise(1).alias("is_fraud")))
+    topic = F.when(i % 5 == 4, "other").when(i % 2 == 0, "scored-features").otherwise("labels")
+    body = F.when(i % 13 == 0, F.lit(None)).when(i % 17 == 0, "{").when(i % 2 == 0, scored).otherwise(label)
+    out = monitor.route(load(spark, d, "events", ["event_id", "value"]).select(i, topic.alias("topic"), body.alias("value")).select("topic", "value", "event_id").withColumn("topic", F.col("topic")))
+    ids = load(spark, d, "events", ["event_id"])
+    routed = out.where("status <> 'ignored' and id is not null").select(F.col("id").cast("bigint").alias("event_id"), "status", "score")
+    lost = F.when((i % 13 == 0) | (i % 5 == 4), "ignored").otherwise("poison")
+    return ids.join(routed, "event_id", "left").select("event_id", F.coalesce("status", lost).alias("status"), r6("score"))
+
+
+@query(f"""SELECT cycle * 21600 AS ts_s, 'auprc' AS metric, auprc AS value FROM {_CYCLES} UNION ALL SELECT cycle * 21600, 'matched', matched::DOUBLE FROM {_CYCLES}
+UNION ALL SELECT cycle * 21600, 'max_psi', max_psi FROM {_CYCLES} WHERE max_psi IS NOT NULL""")
+def metric_rows(spark, d):
+    cycles = _cycles(spark, d).withColumn("at", F.col("cycle") * 21600)
+    return monitor.metric_rows(cycles, "at", ["auprc", "matched", "max_psi"]).select("ts_s", "metric", r6("value"))
+
+
+@query(f"SELECT category, us // 86400000000 AS day, count(*) AS n, round(count(*) / 86400.0::DOUBLE, 6) AS per_s, round(sum((label = 1)::INT) / count(*) / 0.001::DOUBLE, 4) AS burn FROM {TRANSACTIONS_SQL} GROUP BY 1, 2")
+def dashboard_rates(spark, d):
+    t = transactions(spark, d).groupBy("category", F.expr("us div 86400000000").alias("day")).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    return t.select("category", "day", "n", r6(F.col("n") / 86400.0, "per_s"), F.round(F.col("bad") / F.col("n") / 0.001, 4).alias("burn"))
+
+
 # -- Streams, run to their end over the same rows as a batch; the batch twin's SQL holds.
 
 
@@ -220,9 +248,9 @@ def stream_velocity_parity(spark, d):
     path = _as_files(load(spark, d, "events", ["event_id", "user_id", "ts", "value"]))
     stream = scoring.file_stream(spark, path, "event_id bigint, user_id bigint, ts timestamp, value double").withWatermark("ts", "1 day")
     agg = stream.groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    name = f"velocity_{abs(hash(path))}"
-    agg.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", r6("total"))
+    write = lambda b, _: b.write.mode("overwrite").parquet(f"{path}-out")
+    agg.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}-out").select("user_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", r6("total"))
 
 
 @query(f"SELECT id::VARCHAR AS id, round(score, 3) AS score, label::BIGINT AS label FROM {TRANSACTIONS_SQL} WHERE id % 4 <> 0 AND id % 10 = 1")
