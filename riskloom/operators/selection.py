@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.contract import SelectionParams
@@ -22,21 +22,24 @@ def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rates.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rate")) for c in columns])).alias("x")).select("x.*")
 
 
+def _mean_rank(v: str, *by: str) -> Column:
+    """The mean of the first and the last position of a value's run of ties; one sort gives both."""
+    part = Window.partitionBy(*by)
+    w = part.orderBy(v)
+    return (F.rank().over(w) + F.round(F.cume_dist().over(w) * F.count("*").over(part))) / 2.0
+
+
 def spearman(df: DataFrame, columns: Sequence[str], id: str, min_periods: int = 1000) -> DataFrame:
     """``a, b, rho`` for every pair a < b of columns: rank correlation over rows where both are there.
 
     Ranks are recomputed within each pair's rows, ties share their mean rank. Pairs of fewer than ``min_periods``
     rows, or with a constant side, have null. Meant for a bounded sample of rows: work grows with rows times pairs.
     """
-    names = sorted(columns)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]])
-    long = df.select(id, F.explode(pairs).alias("p")).select(id, "p.*").where("x is not null and y is not null")
-
-    def mean_rank(v: str):
-        by = Window.partitionBy("a", "b")
-        return F.rank().over(by.orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2.0
-
-    ranks = long.select("a", "b", mean_rank("x").alias("rx"), mean_rank("y").alias("ry"))
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])
+    tall = df.select(F.col(id).alias("id"), F.explode(cells).alias("p")).select("id", "p.*").where("x is not null")
+    right = tall.select("id", F.col("c").alias("b"), F.col("x").alias("y"))
+    long = tall.withColumnRenamed("c", "a").join(right, "id").where("a < b")  # pairs of columns within a row
+    ranks = long.select("a", "b", _mean_rank("x", "a", "b").alias("rx"), _mean_rank("y", "a", "b").alias("ry"))
     stats = ranks.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
     return stats.select("a", "b", F.when((F.col("n") >= min_periods) & ~F.isnan("rho"), F.col("rho")).alias("rho"))
 
@@ -45,8 +48,7 @@ def label_association(df: DataFrame, columns: Sequence[str], label: str, id: str
     """``column, strength``: absolute rank correlation with the label; 0 where it is undefined."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.col(label).cast("double").alias("y"), F.explode(pairs).alias("p")).select("y", "p.*").where("x is not null and y is not null")
-    rank = lambda v: F.rank().over(Window.partitionBy("column").orderBy(v)) + (F.count("*").over(Window.partitionBy("column", v)) - 1) / 2.0
-    stats = long.select("column", rank("x").alias("rx"), rank("y").alias("ry")).groupBy("column").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    stats = long.select("column", _mean_rank("x", "column").alias("rx"), _mean_rank("y", "column").alias("ry")).groupBy("column").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
     found = stats.select("column", F.when((F.col("n") >= min_periods) & ~F.isnan("rho"), F.abs("rho")).alias("s"))
     every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return every.join(found, "column", "left").select("column", F.coalesce("s", F.lit(0.0)).alias("strength"))

@@ -233,12 +233,12 @@ def target_encode(spark, d):
     return rounded(encode.fit_encoder(_categorical(spark, d), _CATS, "y")[0])
 
 
-@query(f"""WITH t AS (SELECT id, category, label FROM {TRANSACTIONS_SQL}), f AS (SELECT category, count(*) AS n, sum(label) AS s FROM t WHERE id % 2 = 0 AND category <> 'purchase' GROUP BY category),
+@query(f"""WITH t AS (SELECT id, category, label FROM {TRANSACTIONS_SQL}), f AS (SELECT category, count(*) AS n, sum(label) AS s FROM t WHERE category <> 'purchase' GROUP BY category),
 a AS (SELECT sum(n)::DOUBLE AS n, sum(s)::DOUBLE AS s FROM f)
 SELECT id, round(coalesce(f.n / a.n, 0), 5) AS category_freq, round(coalesce((f.s + 20 * a.s / a.n) / (f.n + 20), a.s / a.n), 5) AS category_target FROM t LEFT JOIN f USING (category), a""")
 def encode_transform(spark, d):
     t = transactions(spark, d).select("id", "category", "label")
-    table, prior = encode.fit_encoder(t.where("id % 2 = 0 and category <> 'purchase'"), ["category"], "label")
+    table, prior = encode.fit_encoder(t.where("category <> 'purchase'"), ["category"], "label")
     out = encode.transform_encoder(t, table, prior, ["category"], "id")
     return out.select("id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("category_freq", "category_target")])
 

@@ -108,13 +108,13 @@ def threshold(spark, d):
     return rounded(metrics.best_threshold(_scored(spark, d), recall_floor=0.02, alert_budget=0.5))
 
 
-_V = [f"V{i}" for i in range(1, 9)]
-_UNPIVOT = "(" + " UNION ALL ".join(f"SELECT id, label, '{c}' AS c, {c} AS x FROM {wide_block_sql(8)}" for c in _V) + ")"
+_V = [f"V{i}" for i in range(1, 65)]
+_UNPIVOT = "(" + " UNION ALL ".join(f"SELECT id, label, '{c}' AS c, {c} AS x FROM {wide_block_sql()}" for c in _V) + ")"
 
 
 @query(f'SELECT c AS "column", round(avg((x IS NULL)::INT), 6) AS rate FROM {_UNPIVOT} GROUP BY c')
 def missing_rate(spark, d):
-    return rounded(selection.missing_rates(wide_block(spark, d, 8), _V))
+    return rounded(selection.missing_rates(wide_block(spark, d), _V))
 
 
 def _mean_rank(v: str, by: str) -> str:
@@ -124,17 +124,17 @@ def _mean_rank(v: str, by: str) -> str:
 @query(f"""SELECT a, b, round(corr(rx, ry), 6) AS rho FROM (SELECT a, b, {_mean_rank('x', 'a, b')} AS rx, {_mean_rank('y', 'a, b')} AS ry
  FROM (SELECT l.c AS a, r.c AS b, l.x AS x, r.x AS y FROM {_UNPIVOT} l JOIN {_UNPIVOT} r ON l.id = r.id AND l.c < r.c WHERE l.x IS NOT NULL AND r.x IS NOT NULL)) GROUP BY a, b""")
 def spearman_matrix(spark, d):
-    return rounded(selection.spearman(wide_block(spark, d, 8), _V, "id", min_periods=50))
+    return rounded(selection.spearman(wide_block(spark, d), _V, "id", min_periods=50))
 
 
 @query(f'SELECT c AS "column", round(abs(corr(rx, ry)), 6) AS strength FROM (SELECT c, {_mean_rank("x", "c")} AS rx, {_mean_rank("label", "c")} AS ry FROM {_UNPIVOT} WHERE x IS NOT NULL) GROUP BY c')
 def label_association(spark, d):
-    return rounded(selection.label_association(wide_block(spark, d, 8), _V, "label", "id", min_periods=50))
+    return rounded(selection.label_association(wide_block(spark, d), _V, "label", "id", min_periods=50))
 
 
 @query()
 def select_v(spark, d):
-    kept = selection.select_block(wide_block(spark, d, 16), "label", "id", SelectionParams(max_correlation=0.15, max_features=8, min_periods=50))
+    kept = selection.select_block(wide_block(spark, d), "label", "id", SelectionParams(max_correlation=0.15, max_features=8, min_periods=50))
     return spark.createDataFrame([(c,) for c in kept], "column string")
 
 

@@ -32,8 +32,8 @@ def label_schedule(spark, d):
 
 
 def _arrivals(spark, d):
-    """Scores and labels of one day's events: labels come early, late, twice or never."""
-    t = transactions(spark, d).where("us % 30 < 12").withColumn("h", hash_u32(3, F.col("id")))
+    """Scores and labels of all events: labels come early, late, twice or never."""
+    t = transactions(spark, d).withColumn("h", hash_u32(3, F.col("id")))
     at = F.col("us") / F.lit(1e6)
     score = t.select(F.col("id").cast("string").alias("id"), at.alias("arrival"), at.alias("t"), F.round("score", 3).alias("score"), F.lit(None).cast("int").alias("label"))
     late = at + F.pmod("h", F.lit(3000)) - 500
@@ -42,7 +42,7 @@ def _arrivals(spark, d):
     return ranked(score.union(label).union(again), "arrival", ["id", "score", "t"], "seq").select("seq", "id", "t", "score", "label")
 
 
-_ARRIVALS = f"""t AS (SELECT *, {hash_u32_sql(3, 'id')} AS h, us / 1e6::DOUBLE AS ev FROM {TRANSACTIONS_SQL} WHERE us % 30 < 12),
+_ARRIVALS = f"""t AS (SELECT *, {hash_u32_sql(3, 'id')} AS h, us / 1e6::DOUBLE AS ev FROM {TRANSACTIONS_SQL}),
 l AS (SELECT id::VARCHAR AS id, ev + h % 3000 - 500 AS arrival, ev + h % 3000 - 500 - CASE WHEN h % 7 = 0 THEN 4000.0::DOUBLE ELSE 0.0::DOUBLE END AS t, NULL::DOUBLE AS score, label FROM t WHERE h % 10 < 7),
 a AS (SELECT id::VARCHAR AS id, ev AS arrival, ev AS t, round(score, 3) AS score, NULL::INT AS label FROM t UNION ALL SELECT * FROM l
  UNION ALL SELECT id, arrival + 100, t + 100, score, label FROM l WHERE id::BIGINT % 5 = 0),
@@ -177,11 +177,12 @@ def latency_quantile(spark, d):
     return rounded(rules.histogram_quantile(b, ["card"], 0.95))
 
 
-@query(f"""WITH a AS (SELECT card AS service, CASE WHEN category = 'error' THEN 'fast' WHEN category = 'purchase' THEN 'slow' ELSE 'other' END AS alertname, id FROM {TRANSACTIONS_SQL} WHERE id % 97 = 0)
-SELECT service, alertname, count(*) AS alerts FROM a WHERE NOT (alertname = 'slow' AND service IN (SELECT service FROM a WHERE alertname = 'fast')) GROUP BY 1, 2""")
+@query(f"""WITH a AS (SELECT card AS service, us // 86400000000 AS day, CASE WHEN category = 'error' THEN 'fast' WHEN category = 'purchase' THEN 'slow' ELSE 'other' END AS alertname FROM {TRANSACTIONS_SQL})
+SELECT service, alertname, count(*) AS alerts FROM a WHERE NOT (alertname = 'slow' AND (service, day) IN (SELECT (service, day) FROM a WHERE alertname = 'fast')) GROUP BY 1, 2""")
 def inhibition(spark, d):
-    a = transactions(spark, d).where("id % 97 = 0").select(F.col("card").alias("service"), F.when(F.col("category") == "error", "fast").when(F.col("category") == "purchase", "slow").otherwise("other").alias("alertname"), "id")
-    return rules.grouped_alerts(rules.inhibit(a, "fast", "slow", ["service"]))
+    name = F.when(F.col("category") == "error", "fast").when(F.col("category") == "purchase", "slow").otherwise("other")
+    a = transactions(spark, d).select(F.col("card").alias("service"), F.expr("us div 86400000000").alias("day"), name.alias("alertname"))
+    return rules.grouped_alerts(rules.inhibit(a, "fast", "slow", ["service", "day"]))
 
 
 @query("SELECT event_id, CASE WHEN s IS NULL OR s >= 500 OR s IN (401, 403) THEN 'unavailable' WHEN s = 429 THEN 'throttled' WHEN s BETWEEN 200 AND 299 THEN 'ok' ELSE 'rejected' END AS outcome FROM (SELECT event_id, [200, 204, 302, 400, 401, 403, 404, 429, 500, 503, NULL][1 + event_id % 11] AS s FROM events)")
@@ -253,11 +254,11 @@ def stream_velocity_parity(spark, d):
     return spark.read.parquet(f"{path}-out").select("user_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", r6("total"))
 
 
-@query(f"SELECT id::VARCHAR AS id, round(score, 3) AS score, label::BIGINT AS label FROM {TRANSACTIONS_SQL} WHERE id % 4 <> 0 AND id % 10 = 1")
+@query(f"SELECT id::VARCHAR AS id, round(score, 3) AS score, label::BIGINT AS label FROM {TRANSACTIONS_SQL} WHERE category <> 'view'")
 def stream_score_label_join(spark, d):
-    t = transactions(spark, d).where("id % 10 = 1")
+    t = transactions(spark, d)
     score = t.select((F.col("id") * 2).alias("seq"), F.col("id").cast("string").alias("id"), F.col("ts").alias("t"), F.round("score", 3).alias("score"), F.lit(None).cast("int").alias("label"))
-    label = t.where("id % 4 <> 0").select((F.col("id") * 2 + 1).alias("seq"), F.col("id").cast("string").alias("id"), (F.col("ts") + F.expr("interval 60 seconds")).alias("t"), F.lit(None).cast("double").alias("score"), "label")
+    label = t.where("category <> 'view'").select((F.col("id") * 2 + 1).alias("seq"), F.col("id").cast("string").alias("id"), (F.col("ts") + F.expr("interval 60 seconds")).alias("t"), F.lit(None).cast("double").alias("score"), "label")
     path = _as_files(score.union(label))
     stream = scoring.file_stream(spark, path, "seq bigint, id string, t timestamp, score double, label int")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
