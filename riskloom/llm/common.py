@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that a Python worker gets at once; documents can be long.
+#: Rows of a batch that a Python worker gets or a Parquet scan decodes at once; documents can be long.
 BATCH_ROWS = 500
+_BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 #: Rows up to which a side of a join is sent to every executor (ids and short keys only).
 BROADCAST_ROWS = 500_000
 
@@ -27,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS``, so that workers hold little beside the executor's heap."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Lower the session's batches to ``BATCH_ROWS``: thousands of whole texts in one array strain an executor's heap."""
+    for name in _BATCH_SETTINGS:
+        if int(spark.conf.get(name)) > BATCH_ROWS:
+            spark.conf.set(name, BATCH_ROWS)
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
