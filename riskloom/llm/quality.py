@@ -117,7 +117,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
     """Quality of every whole text of ``docs (doc_id, text, ...)``, as ``labels (doc_id, quality)`` marks it.
 
     Returns one row per input row: ``doc_id, held_out, score, predicted`` (score >= ``cut``), and ``text_hash``.
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels and texts are never learnt from.
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out: the fit uses neither their labels nor their texts.
     Of the others, those labelled 1 are the trusted positives and those without a label the unlabelled text
     (all others where every row has a label); at most ``fit_rows`` of each, those with the smallest hash of the id,
     go to the driver as rows of 28 numbers. The class prior is the share of 1 among all learnable labels

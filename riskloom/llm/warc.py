@@ -222,3 +222,16 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def archive_pages(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """Write every page to archives in the shared folder and read the records back (see ``write_archives``)."""
     return read_archives(materialize(write_archives(pages, min_bytes=min_bytes), "archives"))
+
+
+_DIGIT = "strpos('0123456789abcdef', c) - 1"
+_BITS = f"array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', ({_DIGIT}) * 4 + 1, 4) for c in string_split(sha1(h), '')], '')"
+_FIVE = " + ".join(f"{16 >> k} * substr(bits, 5 * i + {k + 1}, 1)::INT" for k in range(5))
+
+#: The query's rows; the digest's base32 is spelt out from its bits.
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT page_id, first, strlen(h) AS payload_bytes, {_BITS} AS bits FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1) for i in generate_series(0, 31)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
