@@ -262,12 +262,12 @@ def _boilerplate(r: random.Random) -> str:
     prose, links = _prose(r, 1, 40), _links(r)
     short = _prose(r, 1, 9)
     inside = {
-        "menu": links, "head": r.choice([short, f"<h1>{short}</h1>{links}", f"<div>{short}</div>", f"<p>{prose}</p>"]), "foot": r.choice([f"&copy; {short}", f"<p>&copy; {prose}</p>{links}", prose, links]),
+        "menu": r.choice([links, links, links, f'<a href="/">{short}</a> &gt; {_prose(r, 1, 4)}', short, f"<p>{prose}</p>"]), "head": r.choice([short, f"<h1>{short}</h1>{links}", f"<div>{short}</div>", f"<p>{prose}</p>"]), "foot": r.choice([f"&copy; {short}", f"<p>&copy; {prose}</p>{links}", prose, links]),
         "side": r.choice([f"<h3>{short}</h3>{links}", f"<p>{prose}</p>", prose, f"<h2>{short}</h2><p>{prose}</p>{links}"]), "note": r.choice([f"<p>{prose}</p><button>{short}</button>", prose, f"{prose} <a href='/c'>{short}</a>"]),
         "advert": r.choice([prose, f"<p>{prose}</p>", f'<a href="/x">{prose}</a>', f"<div>{prose}</div><div>{short}</div>", f"{prose}\n{_prose(r, 2, 20)}"]),
         "form": r.choice([f"<p>{short}</p>", f"<label>{short}</label><input name=q><button>{short}</button>", f"<p>{prose}</p><input><select><option>{short}<option>{short}</select>", f"<h3>{short}</h3><p>{prose}</p><input type=submit>", prose]),
         "talk": f"<h3>{short}</h3>" * (r.random() < 0.7) + "".join(r.choice(["<div class=comment>{}</div>", "<li><p>{}</p></li>", "<p>{}</p>", "<div><b>x</b> <p>{}</p></div>", "<article>{}</article>"]).format(_prose(r, 3, 60)) for _ in range(r.randint(1, 5))),
-        "share": _links(r),
+        "share": r.choice([links, links, short, f"<p>{prose}</p>"]),
     }[kind]
     tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "note": r.choice(["dialog", "div"]), "talk": "section"}.get(kind, "div")
     plain = r.random() < 0.4 or tag in ("div", "section", "dialog")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialize, maybe_broadcast, row_key
@@ -65,12 +65,17 @@ RULES = [
 SENTENCE_END = r"[.?!:;]*\s*\n\s*|[.?!:;]+\s+"
 
 
+def _fixed_table(spark: SparkSession, rows: list[dict[str, Column]]) -> DataFrame:
+    """A small table of literals."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[v.alias(k) for k, v in row.items()]) for row in rows])))
+
+
 def _sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in sentences.items()], "sid string, sentence string")
+    return _fixed_table(spark, [{"sid": F.lit(k), "sentence": F.lit(v)} for k, v in sentences.items()])
 
 
 def _rule_table(spark: SparkSession, rules: list[tuple[str, list[str]]]) -> DataFrame:
-    return spark.createDataFrame([(n, licence, ids) for n, (licence, ids) in enumerate(rules)], "rule int, licence string, ids array<string>")
+    return _fixed_table(spark, [{"rule": F.lit(n), "licence": F.lit(name), "ids": F.array(*map(F.lit, ids))} for n, (name, ids) in enumerate(rules)])
 
 
 def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -87,7 +92,7 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
     spark = docs.sparkSession
     known, rule_table = _sentence_table(spark, sentences), _rule_table(spark, rules)  # fixed tables: safe to broadcast
     end = "\0end"  # stands after the last sentence: one row for each document, which carries the count
-    known = known.union(spark.createDataFrame([(None, end)], "sid string, sentence string"))
+    known = known.union(_fixed_table(spark, [{"sid": F.lit(None).cast("string"), "sentence": F.lit(end)}]))
     parts = F.array_remove(F.split(F.trim(F.coalesce("text", F.lit(""))), SENTENCE_END), "")
     each = docs.select(row_key().alias("doc"), F.posexplode_outer(F.concat(parts, F.array(F.lit(None).cast("string")))).alias("pos", "part"))
     sentence = F.coalesce(F.trim(F.regexp_replace(F.lower("part"), "[^a-z0-9]+", " ")), F.lit(end))
