@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.contract import VELOCITY_FILLS
+from riskloom.contract import TRANSACTION_EVENT, VELOCITY_FILLS
 from riskloom.functions import scalars as S
 from riskloom.operators import encode, prepare, velocity
 from riskloom.plans.registry import big, query, r6, rounded
@@ -260,3 +260,22 @@ def schema_columns(spark, d):
 def contract_projection(spark, d):
     out = prepare.select_contract(wide_block(spark, d, 4), ["id", "V1", "V3"], "label")
     return rounded(out)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0.0::DOUBLE ELSE round(value::FLOAT::DOUBLE, 3) END AS card_amt_sum_24h, CASE WHEN event_id % 3 = 0 THEN -1.0::DOUBLE ELSE round((value / 2)::FLOAT::DOUBLE, 3) END AS seconds_since_prev_txn FROM events")
+def fill_missing_velocity(spark, d):
+    v, i = F.col("value"), F.col("event_id")
+    df = load(spark, d, "events", ["event_id", "value"]).select(i, F.when(i % 5 == 0, F.lit(None)).when(i % 7 == 0, float("nan")).otherwise(v).alias("card_amt_sum_24h"), F.when(i % 3 == 0, float("inf")).otherwise(v / 2).alias("seconds_since_prev_txn"))
+    return S.fill_missing_velocity(df).select("event_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("card_amt_sum_24h", "seconds_since_prev_txn")])
+
+
+@query("""SELECT event_id, event_id::VARCHAR AS transaction_id, round(value, 6) AS amount, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS event_timestamp,
+ CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value, 6) END AS v1, event_type AS product FROM events""")
+def event_json_roundtrip(spark, d):
+    """Encode transactions with their nested attributes as JSON and decode them again."""
+    e = load(spark, d, "events").withColumns({"V1": F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value")), "ProductCD": F.col("event_type")})
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    stamp = F.regexp_replace(stamp, "Z$", "+00:00")
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), F.col("value").alias("amount"), stamp.alias("event_timestamp"), prepare.raw_attributes(e, ["V1"], ["ProductCD"]).alias("raw")))
+    back = e.select("event_id", F.from_json(body, TRANSACTION_EVENT).alias("t"))
+    return back.select("event_id", "t.transaction_id", r6("t.amount", "amount"), "t.event_timestamp", r6(F.col("t.raw.v")["V1"], "v1"), F.col("t.raw.categorical")["ProductCD"].alias("product"))

@@ -219,6 +219,24 @@ def dashboard_rates(spark, d):
     return t.select("category", "day", "n", r6(F.col("n") / 86400.0, "per_s"), F.round(F.col("bad") / F.col("n") / 0.001, 4).alias("burn"))
 
 
+@query("""WITH o AS (SELECT event_id, user_id, s = 503 AS bad FROM (SELECT *, [200, 503, 503, 503, 429, 503, 200][1 + (event_id // 3) % 7] AS s FROM events) WHERE s <> 429),
+i AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS isl FROM o)
+SELECT event_id, bad AND sum(bad::INT) OVER (PARTITION BY user_id, isl ORDER BY event_id) = 3 AS fires FROM i
+UNION ALL SELECT event_id, false FROM (SELECT *, [200, 503, 503, 503, 429, 503, 200][1 + (event_id // 3) % 7] AS s FROM events) WHERE s = 429""")
+def breaker_streaks(spark, d):
+    status = F.array(*map(F.lit, (200, 503, 503, 503, 429, 503, 200)))[F.expr("cast(event_id div 3 % 7 as int)")]
+    o = load(spark, d, "events", ["event_id", "user_id"]).withColumn("outcome", scoring.outcome(status))
+    return scoring.breaker_trips(o, "event_id", by=["user_id"]).select("event_id", "fires")
+
+
+@query(f"""SELECT round(quantile_cont(amount, 0.99) / 1000, 6) AS p99_s, round(avg((category = 'error')::INT), 6) AS error_rate, count(*) AS samples,
+ round(avg(((score > 0.5) = (score > 0.45))::INT), 6) AS agreement FROM {TRANSACTIONS_SQL}""")
+def canary_observation(spark, d):
+    t = transactions(spark, d)
+    canary = t.select("id", (F.col("amount") / 1000).alias("latency_s"), (F.col("category") == "error").alias("failed"), (F.col("score") > 0.5).alias("decision"))
+    return rounded(rules.observation(t.select("id", (F.col("score") > 0.45).alias("decision")), canary))
+
+
 # -- Streams, run to their end over the same rows as a batch; the batch twin's SQL holds.
 
 

@@ -17,7 +17,9 @@ from riskloom.contract import require_columns
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] = ()) -> DataFrame:
-    """A driver table, only the given columns; zone-less timestamps become UTC timestamps."""
+    """A driver table, only the given columns; zone-less timestamps become UTC timestamps (and the session's zone UTC)."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +80,9 @@ def outcome(status: Column) -> Column:
     )
 
 
-def breaker_trips(outcomes: DataFrame, order: str, required: int = 3) -> DataFrame:
+def breaker_trips(outcomes: DataFrame, order: str, required: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``fires`` where ``required`` unavailable outcomes in a row are complete; throttling neither counts nor resets."""
-    return breach_latch(outcomes, order=order, breached=F.when(F.col("outcome") == "throttled", None).otherwise(F.col("outcome") == "unavailable"), required=required)
+    return breach_latch(outcomes, order=order, breached=F.when(F.col("outcome") == "throttled", None).otherwise(F.col("outcome") == "unavailable"), required=required, by=by)
 
 
 class CircuitBreaker:
