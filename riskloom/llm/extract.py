@@ -70,6 +70,7 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("#root", 0)]
         block, text, link, skip, seen = 0, [], 0, 0, 0
+        opened: dict[str, int] = {}  # names on the stack, so that stray end tags needn't search it
 
         def flush() -> None:
             nonlocal text
@@ -84,6 +85,7 @@ class Page:
         def close(k: int) -> None:
             nonlocal block, link, skip
             for name, _ in stack[k:]:
+                opened[name] -= 1
                 if name in _BLOCK:
                     flush()
                 elif name == "a":
@@ -112,6 +114,8 @@ class Page:
                 if name == "br":
                     text.append(" ")
                     continue
+                if not opened.get(name):
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         close(k)
@@ -169,6 +173,7 @@ class Page:
             elif name == "a":
                 link += 1
             stack.append((name, block))
+            opened[name] = opened.get(name, 0) + 1
         if at < len(html) and not skip:
             text.append(html[at:])
         close(1)

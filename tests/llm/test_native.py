@@ -85,7 +85,7 @@ MIT = ". ".join(SENTENCES[k].capitalize() for k in ("mit_grant", "mit_notice", "
 LICENSED = [
     (1, f"Some words. {MIT}\nMore."), (2, "Hello\nLicensed under the Apache License, Version 2.0."), (3, "Released under the MIT  License. And more\nAll rights reserved!\n"), (4, None), (5, ""), (6, "  \n "), (7, "no licence here"),
     (8, f"{SENTENCES['mit_grant']}. unknown words. {SENTENCES['mit_notice']}. {SENTENCES['mit_warranty']}."), (9, f"{SENTENCES['mit_notice']}. {SENTENCES['mit_grant']}."),
-    (10, ". ".join(SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")) + "."), (11, ". ".join(SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary"))), (12, prose(2, 20_000) + "\nLicensed under CC BY-NC 4.0."),
+    (10, ". ".join(SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")) + "."), (11, ". ".join(SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary"))), (12, prose(2, 20_000) + "\nLicensed under CC BY-NC 4.0."), (13, "." * 100_000 + " " * 100_000 + "\n\t\nEnd.. \nx"),
 ]
 
 

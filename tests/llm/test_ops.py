@@ -44,6 +44,7 @@ def test_article_alone(model):
 def test_broken_markup(model):
     for html, text in [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<p title='x>y'>a</p>", "a"), ("<p class=it's>a</p>", "a"), ("a < b &lt;c&gt;", "a < b <c>"), ("<p>a<!-- b", "a"), ("<p>a<script>b", "a"), ("</div></p>a", "a")]:
         assert extract.main_text(html, model) == text, html
+    assert extract.main_text("<b>" * 30_000 + "</i>" * 30_000 + "a", model) == "a"
     long = "<div>" * 3000 + "deep" + "<p>x</p>" * 5000
     assert extract.main_text(long, model).count("x") in (0, 5000)
 
