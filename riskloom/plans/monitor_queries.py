@@ -237,6 +237,13 @@ def canary_observation(spark, d):
     return rounded(rules.observation(t.select("id", (F.col("score") > 0.45).alias("decision")), canary))
 
 
+@query()
+def token_bucket(spark, d):
+    """Requests let through per client; a sequential fold, tested on a small case."""
+    r = transactions(spark, d).select(F.col("card").alias("client"), (F.col("us") / F.lit(1e6 * 50_000)).alias("at_s"))
+    return rules.token_bucket(r, capacity=5, refill=0.5)
+
+
 # -- Streams, run to their end over the same rows as a batch; the batch twin's SQL holds.
 
 
