@@ -17,12 +17,16 @@ from riskloom.llm.packing import pack
 from riskloom.llm.quality import score_quality
 
 
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by ``doc_id`` and ``text_hash``."""
+    keys = materialize(gone.select(F.struct("doc_id", "text_hash").alias("__gone__")).distinct(), name)
+    return docs.join(maybe_broadcast(keys), row_key() == F.col("__gone__"), "left_anti")
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select(F.struct("doc_id", "text_hash").alias("doc")).distinct()
-    rejected = maybe_broadcast(materialize(rejected, "rejected"))
-    return docs.join(rejected, row_key() == F.col("doc"), "left_anti")
+    return _without(docs, scored.where("predicted = 0"), "rejected")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +38,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
-    gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
+    groups = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))  # an id that repeats stays with any of its texts
+    gone = materialize(groups.where("not kept").select("doc_id"), "near-copies")
     return docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    hit = maybe_broadcast(materialize(hit, "contaminated"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "contaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

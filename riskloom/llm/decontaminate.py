@@ -42,7 +42,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
     Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII. Returns one row per row of
     ``docs (doc_id, text, ...)``: ``doc_id, n_words, n_hit`` (words inside any occurrence), ``n_items`` (items with
-    an occurring window), ``items_sha256`` (of their ids, sorted as strings, joined by commas), ``contaminated``.
+    an occurring window), ``items_sha256`` (of their ids, sorted as strings, joined by commas), ``contaminated, text_hash``.
 
     One pass over the texts keeps the positions of three-word shingles that the benchmark has at all; the same
     pass counts words. Shingles are then ordered by how often the whole corpus has them: containment of a
@@ -88,7 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     zero = F.lit(0).cast("bigint")
     return ends.select(
         "doc.doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "doc.text_hash",
     )
 
 
