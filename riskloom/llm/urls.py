@@ -49,6 +49,8 @@ hotel flight sport sports ball team bet bets betting casino slots slot poker rou
 escort viagra cialis replica watch watches fake crack cracked keygen serial warez torrent download hack spam farm link links seo ads ad track tracker click
 popup banner server pixel school learn class course book books library art gallery museum history science research journal green energy solar water earth
 """
+#: The fixed words, which alone decide whether a name is spelled out of several words.
+FIXED_WORDS = frozenset(re.findall(r"[a-z]{2,}", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}"))
 MAX_WORD = 20
 #: The size of the unigram model: the tokens that most URLs have; and its least count, which leaves out chance strings.
 MAX_VOCABULARY, MIN_COUNT = 50_000, 3
@@ -78,6 +80,25 @@ def _pieces(text: str) -> list[str]:
     return [x for x in re.split(r"[^a-z]+", text.lower()) if x]
 
 
+def spelled(name: str) -> list[str] | None:
+    """The fewest fixed words that make up the whole of ``name`` (the last as long as can be); None if there are none.
+
+    Nothing here depends on the table: how often a run-together name occurs doesn't make it a word.
+    """
+    fewest, back = [0] + [None] * len(name), [0] * (len(name) + 1)
+    for i in range(1, len(name) + 1):
+        for j in range(max(0, i - MAX_WORD), i):
+            if fewest[j] is not None and name[j:i] in FIXED_WORDS and (fewest[i] is None or fewest[j] + 1 < fewest[i]):
+                fewest[i], back[i] = fewest[j] + 1, j
+    if not fewest[-1]:
+        return None
+    out, i = [], len(name)
+    while i:
+        out.append(name[back[i] : i])
+        i = back[i]
+    return out[::-1]
+
+
 class Segmenter:
     """Splits run-together names into the likeliest sequence of words under a unigram model."""
 
@@ -127,24 +148,43 @@ class TokenClassifier:
 
 def token_counts(urls: DataFrame) -> DataFrame:
     """``(token, n)`` over all rows of ``urls (host, path)``: letters between other characters, host and path."""
-    tokens = F.split(F.concat_ws(" ", "host", F.lower("path")), "[^a-z]+")
-    each = urls.select(F.explode(tokens).alias("token")).where((F.length("token") > 0) & (F.length("token") <= MAX_WORD))
+    tokens = F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z]+")
+    each = urls.select(F.explode(tokens).alias("token")).where(F.length("token") > 0)
     return each.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def spelled_tokens(counted: DataFrame) -> DataFrame:
+    """``(token, n)`` with ``spelled``, the fixed words that make up the token (by spaces), or null."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [spelled(t) for t in batch["token"]]
+            yield batch.assign(spelled=[" ".join(w) if w else None for w in found])
+
+    return counted.mapInPandas(work, "token string, n bigint, spelled string")
+
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """``(token, n)``, the words of the unigram model: the fixed words in tokens they spell, other tokens as they are."""
+    parts = tokens.where("spelled is not null").select(F.explode(F.split("spelled", " ")).alias("token"), "n")
+    own = tokens.where(F.col("spelled").isNull() & (F.length("token") <= MAX_WORD) & (F.col("n") >= MIN_COUNT)).select("token", "n")
+    return parts.union(own).groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
     """Allow or block every url of ``pages (page_id, url, ...)``.
 
     The longest rule that fits decides. Else host and path tokens, split by a unigram model, are scored by naive
-    Bayes; log odds above 0 block. The unigram counts come from all urls: the model holds the ``max_vocabulary``
-    most frequent tokens (ties by name) of at least 3 occurrences, besides a fixed word list.
+    Bayes; log odds above 0 block. A token that fixed words spell out is split into them, however often it occurs,
+    and counts as them. The unigram counts come from all urls: the model holds the ``max_vocabulary`` most frequent
+    words (ties by name), of other tokens those of at least 3 occurrences, besides the fixed word list.
 
     Returns one row per input row: ``page_id, host, path, rule`` (null if none), ``verdict, words`` (the split
     words, by spaces), ``score`` (log odds; both also where a rule decides). Null urls and urls without ``://`` have
     empty host and path and are judged like others. Null ids and repeated rows are kept; other columns are ignored.
     """
     base = pages.select(id_text("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    top = token_counts(base).where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "token").limit(max_vocabulary).collect()
+    top = word_counts(spelled_tokens(token_counts(base))).orderBy(F.desc("n"), "token").limit(max_vocabulary).collect()
     counts = {w: 2 for w in re.findall(r"[a-z]+", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}")}
     for token, n in top:
         counts[token] = counts.get(token, 0) + n
@@ -153,7 +193,7 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULE
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter, classifier = Segmenter(shared.value), TokenClassifier()
         for batch in batches:
-            words = [[w for piece in _pieces(f"{h} {p}") for w in segmenter.split(piece)] for h, p in zip(batch["host"], batch["path"], strict=True)]
+            words = [[w for piece in _pieces(f"{h} {p}") for w in spelled(piece) or segmenter.split(piece)] for h, p in zip(batch["host"], batch["path"], strict=True)]
             yield batch.assign(words=[" ".join(w) for w in words], score=[classifier.score(w) for w in words])
 
     scored = id_back(base.mapInPandas(work, "page_id string, host string, path string, words string, score double"), "page_id")

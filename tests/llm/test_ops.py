@@ -217,6 +217,15 @@ def test_url_rules_and_method(spark):
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_run_together_hosts_however_often(spark):
+    """A name of known words is split and judged alike on one page and on hundreds; other names count as words."""
+    def judge(n):
+        rows = [(i, f"http://bestcasinobonus.example.org/p{i}", "") for i in range(n)] + [(-1, "http://zyxwvut.example.org/", "")] * 3
+        return {(x["host"], x["words"].split(" example ")[0], x["verdict"]) for x in urls.judge_urls(pages(spark, rows)).collect()}
+
+    assert judge(1) == judge(300) == {("bestcasinobonus.example.org", "best casino bonus", "block"), ("zyxwvut.example.org", "zyxwvut", "allow")}
+
+
 # -- Quality
 
 
