@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import id_back, id_text
+from riskloom.llm.common import materialize, maybe_broadcast
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [
@@ -51,9 +51,10 @@ popup banner server pixel school learn class course book books library art galle
 """
 #: The fixed words, which alone decide whether a name is spelled out of several words.
 FIXED_WORDS = frozenset(re.findall(r"[a-z]{2,}", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}"))
+ALL_FIXED = frozenset(re.findall(r"[a-z]+", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}"))
 MAX_WORD = 20
-#: The size of the unigram model: the tokens that most URLs have; and its least count, which leaves out chance strings.
-MAX_VOCABULARY, MIN_COUNT = 50_000, 3
+#: The least count of a token in the unigram model, which leaves out chance strings.
+MIN_COUNT = 3
 #: Share of blocked URLs before any word is seen, so that unknown words alone never block; count added to every word.
 PRIOR_BLOCK, SMOOTHING = 0.3, 0.2
 
@@ -76,10 +77,6 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return name, verdict
 
 
-def _pieces(text: str) -> list[str]:
-    return [x for x in re.split(r"[^a-z]+", text.lower()) if x]
-
-
 def spelled(name: str) -> list[str] | None:
     """The fewest fixed words that make up the whole of ``name`` (the last as long as can be); None if there are none.
 
@@ -102,8 +99,9 @@ def spelled(name: str) -> list[str] | None:
 class Segmenter:
     """Splits run-together names into the likeliest sequence of words under a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` is the whole model's, where ``counts`` holds only its words within the names to split."""
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items() if len(w) <= MAX_WORD}
         self.seen: dict[str, list[str]] = {}
 
@@ -165,38 +163,63 @@ def spelled_tokens(counted: DataFrame) -> DataFrame:
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
-    """``(token, n)``, the words of the unigram model: the fixed words in tokens they spell, other tokens as they are."""
+    """``(token, n)``, the words of the unigram model: the fixed words, also as parts of tokens they spell, and other tokens as they are."""
+    fixed = tokens.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(ALL_FIXED)))).alias("token"), F.lit(2).cast("bigint").alias("n"))
     parts = tokens.where("spelled is not null").select(F.explode(F.split("spelled", " ")).alias("token"), "n")
     own = tokens.where(F.col("spelled").isNull() & (F.length("token") <= MAX_WORD) & (F.col("n") >= MIN_COUNT)).select("token", "n")
-    return parts.union(own).groupBy("token").agg(F.sum("n").alias("n"))
+    return fixed.union(parts).union(own).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def split_tokens(tokens: DataFrame) -> DataFrame:
+    """``(token, words)`` for tokens of ``tokens (token, n, spelled)`` that split into several words; all others stay whole.
+
+    The unigram model has no cap: each name meets the model's words among its own substrings in a join, so no
+    process holds the whole model.
+    """
+    vocabulary = materialize(word_counts(tokens), "url-vocabulary")
+    total = vocabulary.agg(F.sum("n")).first()[0]
+    names = tokens.where("spelled is null and length(token) > 1").select("token", F.md5("token").alias("name"))
+    starts = names.select("name", "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
+    ends = F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("token") - F.col("i") + 1))
+    within = starts.select("name", F.explode(F.transform(ends, lambda k: F.substring("token", F.col("i"), k))).alias("word"))
+    known = within.join(maybe_broadcast(vocabulary.withColumnRenamed("token", "word")), "word")
+    known = known.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known")).select("name", F.col("known.word").alias("known"), F.col("known.n").alias("n"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [Segmenter(dict(zip(k, n, strict=True)), total).split(t) for t, k, n in zip(batch["token"], batch["known"], batch["n"], strict=True)]
+            yield pd.DataFrame({"token": batch["token"], "words": [" ".join(w) for w in found]})
+
+    split = names.join(known, "name").select("token", "known", "n").mapInPandas(work, "token string, words string")
+    return split.union(tokens.select("token", F.col("spelled").alias("words"))).where("words <> token")
 
 
-def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, max_vocabulary: int = MAX_VOCABULARY) -> DataFrame:
+def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Allow or block every url of ``pages (page_id, url, ...)``.
 
     The longest rule that fits decides. Else host and path tokens, split by a unigram model, are scored by naive
     Bayes; log odds above 0 block. A token that fixed words spell out is split into them, however often it occurs,
-    and counts as them. The unigram counts come from all urls: the model holds the ``max_vocabulary`` most frequent
-    words (ties by name), of other tokens those of at least 3 occurrences, besides the fixed word list.
+    and counts as them. The unigram counts come from all urls: the model holds every other token of at least 3
+    occurrences, besides the fixed word list.
 
     Returns one row per input row: ``page_id, host, path, rule`` (null if none), ``verdict, words`` (the split
     words, by spaces), ``score`` (log odds; both also where a rule decides). Null urls and urls without ``://`` have
     empty host and path and are judged like others. Null ids and repeated rows are kept; other columns are ignored.
     """
-    base = pages.select(id_text("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    top = word_counts(spelled_tokens(token_counts(base))).orderBy(F.desc("n"), "token").limit(max_vocabulary).collect()
-    counts = {w: 2 for w in re.findall(r"[a-z]+", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}")}
-    for token, n in top:
-        counts[token] = counts.get(token, 0) + n
-    shared = pages.sparkSession.sparkContext.broadcast(counts)
+    base = materialize(pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
+    splits = materialize(split_tokens(materialize(spelled_tokens(token_counts(base)), "url-tokens")), "url-splits")
+    urls = base.select("host", "path").distinct()
+    pieces = F.filter(F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z]+"), lambda x: x != "")
+    each = urls.select("host", "path", F.posexplode_outer(pieces).alias("pos", "token")).join(maybe_broadcast(splits), "token", "left")
+    placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("words", "token").alias("words"))))
+    worded = each.groupBy("host", "path").agg(placed.alias("placed")).select("host", "path", F.concat_ws(" ", F.col("placed.words")).alias("words"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter, classifier = Segmenter(shared.value), TokenClassifier()
+        classifier = TokenClassifier()
         for batch in batches:
-            words = [[w for piece in _pieces(f"{h} {p}") for w in spelled(piece) or segmenter.split(piece)] for h, p in zip(batch["host"], batch["path"], strict=True)]
-            yield batch.assign(words=[" ".join(w) for w in words], score=[classifier.score(w) for w in words])
+            yield batch.assign(score=[classifier.score(w.split()) for w in batch["words"]])
 
-    scored = id_back(base.mapInPandas(work, "page_id string, host string, path string, words string, score double"), "page_id")
+    scored = base.join(worded.mapInPandas(work, "host string, path string, words string, score double"), ["host", "path"])
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "words", "score")

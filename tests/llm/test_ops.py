@@ -225,6 +225,16 @@ def test_run_together_hosts_however_often(spark):
 
     assert judge(1) == judge(300) == {("bestcasinobonus.example.org", "best casino bonus", "block"), ("zyxwvut.example.org", "zyxwvut", "allow")}
 
+def test_url_words_are_not_capped(spark):
+    """A word that few URLs have is known also where 60,000 others occur more often."""
+    letters = [chr(97 + i) for i in range(26)]
+    many = ["q" + "".join(x) for x in itertools.islice(itertools.product(letters, repeat=4), 60_000)]
+    rows = [(i, "http://h/" + "/".join(many[i : i + 2000] * 4), "") for i in range(0, 60_000, 2000)]
+    rows += [(-1, "http://zebrafinch/", ""), *[(-2, "http://zebra/finch", "")] * 3]
+    got = {x["page_id"]: x["words"] for x in urls.judge_urls(pages(spark, rows)).where("page_id < 0").collect()}
+    assert got == {-1: "zebra finch", -2: "zebra finch"}
+
+
 
 # -- Quality
 
