@@ -66,6 +66,12 @@ def pack_group(lengths: Sequence[int], sizes: Sequence[int], overhead: int) -> t
     return best
 
 
+def _numbered(rows: DataFrame, step: int = 1_000) -> DataFrame:
+    """A row for each of the ``copies``, numbered from 0 by ``copy``: exploded twice, so that no long array is made."""
+    blocks = rows.withColumn("copy", F.explode(F.expr(f"sequence(0L, copies - 1, {step}L)")))
+    return blocks.withColumn("copy", F.explode(F.expr(f"sequence(copy, least(copy + {step - 1}L, copies - 1))"))).drop("copies")
+
+
 def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pack every document of ``docs (doc_id, text, ...)`` into sequences of permitted ``sizes``.
 
@@ -75,15 +81,18 @@ def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int]
 
     Returns a row for each piece: ``doc_id, n_tokens, piece, start, length, bin_id, offset, bin_used, bin_size``;
     ``bin_id`` is unique over all groups. Null, empty and blank texts have one piece of length 0 and no bin (nulls).
-    Null ids and repeated rows are packed like others; other columns are ignored. The result depends on
-    ids and lengths only, not on how the table is laid out.
+    Null ids and repeated rows are packed like others: pieces of one id are told apart by their texts, those of rows
+    repeated whole by a number, so that no id fills a group. Other columns are ignored. The result depends on
+    ids, texts and lengths only, not on how the table is laid out.
     """
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 1 or overhead < 0:
         raise ValueError("sizes must be positive and the overhead not negative")
     top = sizes[-1]
     n = F.greatest(F.coalesce(length if length is not None else word_count(F.col("text")), F.lit(0)), F.lit(0)).cast("bigint")
-    counted = docs.select(F.col("doc_id").cast("bigint"), n.alias("n_tokens"))
+    text = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), n.alias("n_tokens"), text.alias("hash"))
+    counted = _numbered(rows.groupBy("doc_id", "n_tokens", "hash").agg(F.count("*").alias("copies")))
     pieces = counted.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / top) - 1, F.lit(0)).cast("int"))).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece").cast("bigint") * top)
     pieces = materialize(pieces.withColumn("length", F.least(F.lit(top), F.col("n_tokens") - F.col("start"))), "pieces")
@@ -91,7 +100,7 @@ def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int]
 
     def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame["number"] = pd.array([None if x is None else int(x) for x in frame["doc_id"]], "Int64")
-        frame = frame.sort_values(["length", "number", "piece"], ascending=[False, True, True], kind="stable", na_position="first")
+        frame = frame.sort_values(["length", "number", "piece", "n_tokens"], ascending=[False, True, True, True], kind="stable", na_position="first")
         at, final, _ = pack_group(frame["length"].tolist(), sizes, overhead)
         frame["bin_id"] = np.int64(key[0] << 32) + np.asarray(at, np.int64)
         frame["bin_size"] = np.asarray(final, np.int64)[at]
@@ -100,7 +109,7 @@ def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int]
         return frame[["doc_id", "n_tokens", "piece", "start", "length", "bin_id", "offset", "bin_used", "bin_size"]]
 
     schema = "doc_id string, n_tokens bigint, piece int, start bigint, length bigint, bin_id bigint, offset bigint, bin_used bigint, bin_size bigint"
-    dealt = pieces.where("length > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.where("length > 0").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "hash", "copy"), F.lit(groups))).drop("hash", "copy")
     packed = id_back(dealt.withColumn("doc_id", id_text("doc_id")).groupBy("group").applyInPandas(work, schema), "doc_id")
     none = F.lit(None).cast("bigint")
     empty = pieces.where("length = 0").select("doc_id", "n_tokens", "piece", "start", "length", *[none.alias(c) for c in ("bin_id", "offset", "bin_used", "bin_size")])

@@ -139,6 +139,17 @@ def test_pack(spark):
         packing.pack(docs(spark, rows), sizes=())
 
 
+def test_pack_deals_rows_of_one_id(spark):
+    """Rows without an id, with one id or repeated whole are dealt to all groups, alike for every layout of the table."""
+    rows = [(None, prose(i, 3)) for i in range(300)] + [(None, "a b c")] * 300 + [(7, prose(i, 3)) for i in range(300)]
+    df = docs(spark, rows)
+    key = lambda x: repr(sorted(x.asDict().items()))
+    got, again = (sorted(packing.pack(d, sizes=(16, 32), group_pieces=90).collect(), key=key) for d in (df, df.orderBy(F.desc("text")).repartition(3)))
+    assert got == again and sum(x["length"] for x in got) == 2700
+    sizes = [sum(1 for x in got if x["bin_id"] >> 32 == g) for g in {x["bin_id"] >> 32 for x in got}]
+    assert len(sizes) == 10 and max(sizes) < 150
+
+
 # -- WARC
 
 
