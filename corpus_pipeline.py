@@ -37,10 +37,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest id."""
-    groups = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))  # an id that repeats stays with any of its texts
-    gone = materialize(groups.where("not kept").select("doc_id"), "near-copies")
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: the one with the smallest id.
+
+    Rows are told apart by a number, so rows without an id and rows repeated whole are copies like others; ids come
+    before none. An id that stays with some text keeps each of its other texts once.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    near = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    found = materialize(numbered.select("__row", "doc_id", F.xxhash64("text").alias("__text")).join(near, "__row"), "near-groups")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    groups = materialize(groups.where("n > 1").drop("n"), "near-firsts")
+    rest = materialize(found.join(maybe_broadcast(groups), "component_id").where("__row <> first").select("__row", "doc_id", "__text"), "near-copies")
+
+    kept = found.join(maybe_broadcast(rest.select("__row")), "__row", "left_anti").join(maybe_broadcast(rest.select("doc_id").distinct()), "doc_id", "left_semi")
+    kept = materialize(kept.select("doc_id", "__text").distinct(), "kept-ids")
+    named = rest.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").join(kept, ["doc_id", "__text"], "left_anti")
+    gone = materialize(rest.join(named.groupBy("doc_id", "__text").agg(F.min("__row").alias("__row")), "__row", "left_anti").select("__row"), "gone-copies")
+    return numbered.join(maybe_broadcast(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

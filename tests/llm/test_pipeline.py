@@ -59,6 +59,15 @@ def test_repeated_ids(spark, folder):
     assert [x["text"] for x in cp.decontaminate(spark, df, folder).collect()] == [b]
 
 
+def test_near_copies_without_id(spark, folder):
+    """Copies without an id and rows repeated whole go like others; rows without any words have no copies."""
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    df = docs(spark, [(None, a), (5, a), (None, a), (None, b), (None, b), (None, b + " "), (4, c), (4, c), (9, c), (None, None), (8, "")])
+    got = cp.near_dedup(spark, df, folder)
+    assert got.columns == df.columns
+    assert sorted(((x["doc_id"], (x["text"] or "").strip()) for x in got.collect()), key=repr) == sorted([(5, a), (None, b), (4, c), (None, ""), (8, "")], key=repr)
+
+
 def test_empty(spark, folder):
     df = spark.createDataFrame([], DOCS)
     for _, stage in cp.STAGES:
