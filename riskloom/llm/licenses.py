@@ -2,110 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialize, maybe_broadcast, row_key
-
-#: Licence sentences, lower-cased, every run of other characters than a-z and 0-9 as one space.
-SENTENCES = {
-    "apache_tag": "licensed under the apache license version 2 0",
-    "apache_grant": "licensed under the apache license version 2 0 the license",
-    "apache_comply": "you may not use this file except in compliance with the license",
-    "apache_copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "apache_basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache_see": "see the license for the specific language governing permissions and limitations under the license",
-    "mit_tag": "released under the mit license",
-    "mit_licensed": "licensed under the mit license",
-    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit_warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd_names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl3_tag": "this work is licensed under the gnu general public license version 3",
-    "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl_details": "see the gnu general public license for more details",
-    "mpl_terms": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc_by": "licensed under cc by 4 0",
-    "cc_by_sa": "licensed under cc by sa 4 0",
-    "cc_by_nc": "licensed under cc by nc 4 0",
-    "cc0": "this work is dedicated to the public domain under cc0 1 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "reserved": "all rights reserved",
-}
-
-#: Licence, then the sentences of the rule in order. Other sentences that are known break a match.
-RULES = [
-    ("Apache-2.0", ["apache_tag"]),
-    ("Apache-2.0", ["apache_grant", "apache_comply", "apache_copy", "apache_basis", "apache_see"]),
-    ("MIT", ["mit_tag"]),
-    ("MIT", ["mit_licensed"]),
-    ("MIT", ["mit_grant", "mit_notice", "mit_warranty"]),
-    ("ISC", ["isc_grant"]),
-    ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
-    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
-    ("GPL-3.0", ["gpl3_tag"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_details"]),
-    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_details"]),
-    ("MPL-2.0", ["mpl_terms"]),
-    ("CC-BY-4.0", ["cc_by"]),
-    ("CC-BY-SA-4.0", ["cc_by_sa"]),
-    ("CC-BY-NC-4.0", ["cc_by_nc"]),
-    ("CC0-1.0", ["cc0"]),
-    ("Unlicense", ["unlicense"]),
-    ("Proprietary", ["reserved"]),
-]
-
-#: Sentences end at a line break, or at full stops, question or exclamation marks, colons or semicolons before white space.
-#: The first form tries each run of marks once, so that long runs cost no more; the second is for engines without that.
-SENTENCE_END, PLAIN_SENTENCE_END = r"(?<![.?!:;])[.?!:;]++\s++|\n", r"[.?!:;]+\s+|\n"
-
+from riskloom.llm.licence_texts import KEY_WORDS, RULES, SENTENCE_END, SENTENCES, SPDX, SPDX_SENTENCE
 
 def _fixed_table(spark: SparkSession, rows: list[dict[str, Column]]) -> DataFrame:
     """A small table of literals."""
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[v.alias(k) for k, v in row.items()]) for row in rows])))
 
 
+def _pattern(sentence: str) -> tuple[str, str | None]:
+    """What a sentence starts with, and what it ends with if any words may stand between."""
+    head, star, tail = sentence.partition("*")
+    return head, tail if star else None
+
+
 def _sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
-    return _fixed_table(spark, [{"sid": F.lit(k), "sentence": F.lit(v)} for k, v in sentences.items()])
+    rows = [(sid, " ".join(s.split()[:KEY_WORDS]), *_pattern(s)) for sid, s in sentences.items()]
+    return _fixed_table(spark, [{"sid": F.lit(sid), "key": F.lit(key), "head": F.lit(head), "tail": F.lit(tail).cast("string")} for sid, key, head, tail in rows])
 
 
 def _rule_table(spark: SparkSession, rules: list[tuple[str, list[str]]]) -> DataFrame:
     return _fixed_table(spark, [{"rule": F.lit(n), "licence": F.lit(name), "ids": F.array(*map(F.lit, ids))} for n, (name, ids) in enumerate(rules)])
 
 
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Licences whose rules match the known licence sentences of each document of ``docs (doc_id, text, ...)``.
 
-    Texts are cut into sentences, normalised and looked up; the identifiers found, in text order, are the
-    document's sequence. A rule matches where its identifiers stand next to each other in that sequence: unknown
-    sentences may lie between. A match inside a longer one (same first sentence) doesn't count besides it.
+    Texts are cut into sentences, which may run over single line breaks and comment leaders (see
+    ``SENTENCE_END``), normalised, and looked up by their first words; a star in a known sentence stands for any
+    words. Where a sentence of several lines isn't known as a whole, each of its lines is tried by itself, so that a
+    one-line tag needs no full stop. The identifiers found, in text order, are the document's sequence. A rule
+    matches where its identifiers stand next to each other in that sequence: unknown sentences may lie between.
+    Of matches that start together the longest counts, and none that lies inside another.
 
     Returns one row per input row: ``doc_id, n_sentences`` (not blank), ``n_known, licenses`` (names, sorted,
-    each once, joined by commas; empty if none), ``n_matches``. Null and blank texts have no sentences. Rows that
-    repeat an id and text whole give equal rows; a null doc_id is an id like others; other columns are ignored.
+    each once, joined by commas; empty if none), ``n_matches``. Null and blank texts have no sentences; an empty table
+    gives an empty result; texts of any length are read whole. Rows that repeat an id and text whole give equal rows; a
+    null doc_id is an id like others; other columns are ignored. A sentence that fits two patterns counts as the one without a star,
+    then as the one with the smaller identifier; of equally long rules the first is taken.
     """
     spark = docs.sparkSession
     known, rule_table = _sentence_table(spark, sentences), _rule_table(spark, rules)  # fixed tables: safe to broadcast
     end = "\0end"  # stands after the last sentence: one row for each document, which carries the count
-    known = known.union(_fixed_table(spark, [{"sid": F.lit(None).cast("string"), "sentence": F.lit(end)}]))
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), lambda x: x.rlike(r"\S"))
+    known = known.union(_fixed_table(spark, [{"sid": F.lit(None).cast("string"), "key": F.lit(end), "head": F.lit(end), "tail": F.lit(None).cast("string")}]))
+    whole = F.replace(F.coalesce("text", F.lit("")), F.lit(SPDX), F.lit(SPDX_SENTENCE))
+    parts = F.filter(F.split(whole, SENTENCE_END), lambda x: x.rlike(r"\S"))
     each = docs.select(row_key().alias("doc"), F.posexplode_outer(F.concat(parts, F.array(F.lit(None).cast("string")))).alias("pos", "part"))
-    sentence = F.coalesce(F.trim(F.regexp_replace(F.lower("part"), "[^a-z0-9]+", " ")), F.lit(end))
-    hits = materialize(each.select("doc", "pos", sentence.alias("sentence")).join(F.broadcast(known), "sentence").select("doc", "pos", "sid"), "licence-sentences")
-
-    found = hits.where("sid is not null").groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "sid"))).alias("known"))
+    tried = F.when(F.contains("part", F.lit("\n")), F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
+    each = each.select("doc", "pos", F.posexplode(tried).alias("line", "part")).select("doc", "pos", "line", F.coalesce(_normal(F.col("part")), F.lit(end)).alias("sentence"))
+    fits = F.when(F.col("tail").isNull(), F.col("sentence") == F.col("head")).otherwise(F.startswith("sentence", "head") & F.endswith("sentence", "tail"))
+    hits = each.withColumn("key", F.substring_index("sentence", " ", KEY_WORDS)).join(F.broadcast(known), "key").where(fits)
+    hits = materialize(hits.select("doc", "pos", "line", "sid", F.col("tail").isNotNull().alias("open")), "licence-sentences")
+
+    once = hits.where("sid is not null").groupBy("doc", "pos", "line").agg(F.min(F.struct("open", "sid"))["sid"].alias("sid"))
+    whole_known = F.min("line").over(Window.partitionBy("doc", "pos")) == 0
+    found = once.withColumn("whole", whole_known).where("line = 0 or not whole")
+    found = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "sid"))).alias("known"))
     found = materialize(found.select("doc", F.transform("known", lambda x: x["sid"]).alias("seq")), "licence-sequences")
     starts = found.select("doc", "seq", F.posexplode("seq").alias("i", "first"))
     tried = starts.join(F.broadcast(rule_table.withColumn("first", F.get("ids", F.lit(0)))), "first")
     matched = tried.where(F.slice("seq", F.col("i") + 1, F.size("ids")) == F.col("ids"))
-    longest = matched.groupBy("doc", "i").agg(F.max_by("licence", F.struct(F.size("ids"), -F.col("rule"))).alias("licence"))
-    licenses = longest.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licenses"), F.count("*").alias("n_matches"))
+    longest = matched.groupBy("doc", "i").agg(F.max_by(F.struct("licence", F.size("ids").alias("n")), F.struct(F.size("ids"), -F.col("rule"))).alias("m"))
+    longest = longest.select("doc", "i", "m.licence", (F.col("i") + F.col("m.n")).alias("end"))
+    reached = F.max("end").over(Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    outer = longest.withColumn("reached", reached).where("reached is null or end > reached")
+    licenses = outer.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licenses"), F.count("*").alias("n_matches"))
 
     per_doc = found.select("doc", F.size("seq").cast("bigint").alias("n_known")).join(licenses, "doc", "left")
     out = hits.where("sid is null").select("doc", F.col("pos").cast("bigint").alias("n_sentences")).join(maybe_broadcast(per_doc), "doc", "left")
@@ -113,18 +81,30 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
     return out.select("doc.doc_id", "n_sentences", F.coalesce("n_known", zero).alias("n_known"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_matches", zero).alias("n_matches"))
 
 
+#: The cuts for engines without look-behind and possessive forms.
+_PLAIN_CUT = (
+    r"""([^ \t\n\r\f\x0B.?!:;])[.?!:;]+["')\]]*[ \t\n\r\f\x0B]+(?:\(?(?:[0-9]{1,2}|[A-Za-z])[.)][ \t]+)?|\n[ \t\r\f\x0B!-/:-@\[-`{-~]*\n|[*=#_~-]{3,}[ \t\r]*\n|\n[ \t#*/;%>|!-]*\(?(?:[0-9]{1,2}|[A-Za-z])[.)][ \t]+"""
+)
+
+
 def licenses_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in sentences.items())
+    known = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (sid, *_pattern(s))) + ")" for sid, s in sentences.items())
     ruled = ", ".join(f"({n}, '{licence}', {ids!r})" for n, (licence, ids) in enumerate(rules))
+    cut = _PLAIN_CUT.replace("'", "''")
     return f"""
-WITH known(sid, sentence) AS (VALUES {known}),
+WITH known(sid, head, tail) AS (VALUES {known}),
 rules(rule, licence, ids) AS (VALUES {ruled}),
-d AS (SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '{PLAIN_SENTENCE_END}') if regexp_matches(x, '\\S')] AS p FROM documents),
-s AS (SELECT doc_id, i, trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g'), ' ') AS sentence FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM d)),
-h AS (SELECT doc_id, list(sid ORDER BY i) AS seq FROM s JOIN known USING (sentence) GROUP BY doc_id),
+d AS (SELECT doc_id, [x for x in string_split(regexp_replace(replace(coalesce(text, ''), '{SPDX}', chr(10) || chr(10) || 'spdx '), '{cut}', '\\1' || chr(1), 'g'), chr(1)) if regexp_matches(x, '[^ \t\n\r\f\x0B]')] AS p FROM documents),
+e AS (SELECT doc_id, i, p[i] AS whole FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM d)),
+c AS (SELECT doc_id, i, 0 AS line, whole AS part FROM e
+      UNION ALL SELECT doc_id, i, k, string_split(whole, chr(10))[k] FROM (SELECT *, unnest(generate_series(1, len(string_split(whole, chr(10))))) AS k FROM e WHERE contains(whole, chr(10)))),
+s AS (SELECT doc_id, i, line, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'), ' ') AS sentence FROM c),
+x AS (SELECT doc_id, i, line, arg_min(sid, (tail IS NOT NULL, sid)) AS sid FROM s JOIN known ON sentence = head OR (tail IS NOT NULL AND starts_with(sentence, head) AND suffix(sentence, tail)) GROUP BY ALL),
+h AS (SELECT doc_id, list(sid ORDER BY i, line) AS seq FROM (SELECT *, min(line) OVER (PARTITION BY doc_id, i) AS least FROM x) WHERE line = 0 OR least > 0 GROUP BY doc_id),
 t AS (SELECT doc_id, seq, unnest(generate_series(1, len(seq))) AS i FROM h),
-m AS (SELECT doc_id, i, arg_max(licence, len(ids)) AS licence FROM t, rules WHERE seq[i:i + len(ids) - 1] = ids GROUP BY doc_id, i),
-l AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licenses, count(*) AS n_matches FROM m GROUP BY doc_id)
+m AS (SELECT doc_id, i, arg_max(licence, (len(ids), -rule)) AS licence, i + max(len(ids)) AS past FROM t, rules WHERE seq[i:i + len(ids) - 1] = ids GROUP BY doc_id, i),
+o AS (SELECT *, max(past) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM m),
+l AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS licenses, count(*) AS n_matches FROM o WHERE reached IS NULL OR past > reached GROUP BY doc_id)
 SELECT d.doc_id, len(p)::BIGINT AS n_sentences, coalesce(len(seq), 0)::BIGINT AS n_known, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0)::BIGINT AS n_matches
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
 """

@@ -1,11 +1,10 @@
-"""Licence scan, line dedup and decontamination: SQL twins and edge cases; no Python in their plans."""
+"""Line dedup and decontamination: SQL twins and edge cases; no Python in their plans."""
 
 import duckdb
 import pandas as pd
 import pytest
 
 from riskloom.llm.decontaminate import CONTAMINATION_SQL, contamination
-from riskloom.llm.licenses import SENTENCES, licenses_sql, scan_licenses
 from riskloom.llm.lines import LINES_SQL, dedup_lines
 
 from .helpers import DOCS, docs, prose
@@ -27,7 +26,7 @@ def spark_rows(df):
 
 def no_python(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    assert not any(x in plan for x in ("EvalPython", "PythonUDF", "InArrow", "InPandas"))
 
 
 BENCH = [(1, prose(1, 30)), (2, "Only four Words here"), (3, "uno"), (4, "two words"), (5, ""), (6, None), (10, prose(1, 12)), (11, "…!"), (12, "a a a a a a a a a a a a")]
@@ -79,26 +78,3 @@ def test_lines_repeats_and_columns(spark):
     assert got == [{"doc_id": 1, "text": "", "n_removed": 3}, {"doc_id": 1, "text": "", "n_removed": 3}, {"doc_id": None, "text": "a\nb\nc\nd", "n_removed": 0}]
     assert spark_rows(dedup_lines(docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc")])).select("n_removed")) == [{"n_removed": 0}, {"n_removed": 0}]
     assert dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
-
-
-MIT = ". ".join(SENTENCES[k].capitalize() for k in ("mit_grant", "mit_notice", "mit_warranty")) + "."
-LICENSED = [
-    (1, f"Some words. {MIT}\nMore."), (2, "Hello\nLicensed under the Apache License, Version 2.0."), (3, "Released under the MIT  License. And more\nAll rights reserved!\n"), (4, None), (5, ""), (6, "  \n "), (7, "no licence here"),
-    (8, f"{SENTENCES['mit_grant']}. unknown words. {SENTENCES['mit_notice']}. {SENTENCES['mit_warranty']}."), (9, f"{SENTENCES['mit_notice']}. {SENTENCES['mit_grant']}."),
-    (10, ". ".join(SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")) + "."), (11, ". ".join(SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary"))), (12, prose(2, 20_000) + "\nLicensed under CC BY-NC 4.0."), (13, "." * 100_000 + " " * 100_000 + "\n\t\nEnd.. \nx"),
-]
-
-
-def test_licenses(spark):
-    out = scan_licenses(docs(spark, LICENSED))
-    no_python(out)
-    got = {x["doc_id"]: x for x in spark_rows(out)}
-    assert sorted(got.values(), key=lambda x: x["doc_id"]) == sorted(sql_rows(licenses_sql(), documents=LICENSED), key=lambda x: x["doc_id"])
-    named = {i: x["licenses"] for i, x in got.items() if x["licenses"]}
-    assert named == {1: "MIT", 2: "Apache-2.0", 3: "MIT,Proprietary", 8: "MIT", 10: "BSD-3-Clause", 11: "BSD-2-Clause", 12: "CC-BY-NC-4.0"}
-
-
-def test_licenses_repeats(spark):
-    rows = [(None, "All rights reserved."), (5, "All rights reserved."), (5, "All rights reserved.")]
-    assert [x["licenses"] for x in spark_rows(scan_licenses(docs(spark, rows)))] == ["Proprietary"] * 3
-    assert scan_licenses(spark.createDataFrame([], DOCS)).collect() == []
