@@ -40,7 +40,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,16 @@
-"""URL filters: host and path rules, then segmented host words under multinomial naive Bayes."""
+"""URL filters: host and path rules, then segmented host and path words under multinomial naive Bayes."""
 
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import materialize, maybe_broadcast
+from riskloom.llm.decontaminate import words as text_words
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [
@@ -21,44 +21,52 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: Words of hosts and paths that are to be blocked, and of others, to fit the classifier with.
-BLOCK_EXAMPLES = """
-casino win | casino bonus | online casino | best casino slots | free slots jackpot | poker bets | sports betting odds | free bets | bet win cash |
-lottery jackpot winner | roulette blackjack | cheap pills | buy viagra cialis | cheap meds pharmacy | diet pills | weight loss pills | adult x |
-adult xxx video | porn tube | hot sex cams | nude girls | live sex chat | escort girls | dating hookup adult | adult | adult tube | spam | spam farm | link farm | seo spam links |
-buy links cheap | ads track | ad tracker click | click ads | popup ads server | banner ads | track pixel | payday loan fast | quick cash loan |
-get rich quick | earn money fast | replica watches cheap | fake rolex replica | cracked warez keygen | torrent warez crack | free download crack serial |
-phishing login verify | free iphone winner | miracle cure | crypto giveaway double | malware download | botnet hack | gambling slots spin | xxx
-"""
-ALLOW_EXAMPLES = """
-news daily | city news | weather today | science journal | health advice | university library | open source code | python docs | developer guide |
-recipe kitchen | home garden | travel guide | history museum | art gallery | music review | book club | school teacher | math lessons | community forum |
-photo album | sports results | football league | movie review | local events | government services | research papers | data archive | wiki | encyclopedia |
-product support | help center | company about | contact | article story | post | page | category | feed | index | mobile | shop |
-free software | online course | win championship | cash flow accounting | video lecture | home loan calculator | track and field | farm produce | adult education
-"""
-
-#: Words the segmenter knows besides those the URLs themselves spell out, all with the same small count.
+#: Names by topic to fit the classifier with, those to be blocked and others.
+BLOCK_EXAMPLES = {
+    "gambling": "online casino | casino bonus codes | casino slots | best casino | mobile casino games | live casino roulette | slots jackpot | free slots | poker slots | video poker | texas holdem poker | online poker room | sports betting odds | betting tips | football bets | live bets | bets bonus | online betting | casino roulette wheel | blackjack casino | bingo jackpot | bingo lottery | online lottery | lottery jackpot winner | gambling slots | online gambling",
+    "drugs": "viagra online | buy viagra | generic viagra | cheap viagra | buy cialis | generic cialis | diet pills | sleeping pills | weight loss pills | buy pills online | cheap meds | generic meds | online pharmacy | cheap pharmacy | buy xanax | cheap tramadol | buy tramadol online | buy xanax online | miracle pills | miracle diet cure",
+    "adult": "xxx videos | free xxx | xxx porn | porn tube | free porn videos | porn videos | adult webcams | adult sex chat | adult videos | adult toys | free adult dating | live sex | sex chat | sex videos | nude girls | hot nude girls | nude cams | sexy escorts | sexy girls | hot escorts | sex cams | girls cams | escorts dating | adult tube",
+    "spam": "spam blast | bulk spam | spam mailer | seo spam | bulk mailer | link farm | seo links | seo backlinks | link exchange | buy links | buy backlinks | cheap backlinks | bulk links | seo link wheel | traffic exchange | buy traffic | cheap traffic | bulk seo traffic | spam links",
+    "advertising": "popup ads | banner ads | popup banner | ad server | ads server | ads exchange | ad exchange | ad click tracker | click tracker | pixel tracker | tracker pixel | click ads | popup ad | pixel ads | ad pixel | ads click | banner tracker | ad banner | track clicks | track users | click track pixel",
+    "scams": "payday loan | payday cash | quick cash loan | quick payday loan | fast cash | get rich quick | get rich | earn money fast | fast money | quick money | free iphone winner | free prize winner | prize winner claim | claim prize | crypto giveaway | bitcoin giveaway | double bitcoin | double crypto | replica watches | fake watches | replica rolex | fake rolex | replica bags",
+    "malware": "cracked software | cracked games | warez keygen | warez download | keygen crack | serial crack | crack keygen serial | torrent warez | torrent crack | phishing login | phishing verify | verify login | malware download | malware dropper | botnet malware | hack keygen | trojan malware | trojan dropper | botnet trojan",
+    "plain": "casino blog | betting blog | sex blog | adult blog | spam blog | casino page | porn page | porn category page | betting home page | casino home page | spam feed | pills shop | viagra shop | shop replica | casino mobile | betting mobile | mobile porn | porn index | escorts contact | porn archive | casino forum | casino review",
+}
+ALLOW_EXAMPLES = {
+    "news": "daily news | city news | city news today | world news | world press | daily press | evening news | evening times | city times | weather report | weather today | sports news | sports report | football news | football league | league results | sports results | election report | election results | business journal | business news | city events | local events | local news | local weather",
+    "learning": "university library | city library | university press | science journal | science news | science museum | history museum | history journal | math lessons | language lessons | music lessons | online lessons | online course | math course | language course | language school | music school | school library | school teacher | math teacher | research papers | research journal | university research | adult education | education research | online education | wiki history | science wiki",
+    "software": "open source | open source code | source code | python code | python docs | code docs | developer docs | developer guide | python developer | data archive | open data | data science | software docs | software developer | free software | open software | software download | help center | data center | support center | support forum | developer forum | web server docs | web developer | web server setup | click handler docs | track changes guide",
+    "home": "recipe kitchen | home kitchen | kitchen garden | home garden | garden guide | travel guide | city travel | family travel | family health | health guide | health center | pet care | child care | health care | craft guide | home craft | family recipe | farm market | farm produce | track and field | cash flow | home loan | loan calculator | bank account | family dating history",
+    "culture": "photo album | photo gallery | art gallery | art museum | book club | book review | movie review | movie guide | music album | music review | music video | video lecture | music festival | art festival | film festival | film review | championship win | win championship | poetry book | game design | game review | comic book | photo archive | music archive | film archive",
+    "plain": "index | index page | home | home page | about | about page | contact | contact page | article | article page | article archive | post | blog post | blog | blog archive | news blog | page | category | category page | category index | feed | blog feed | news feed | mobile | mobile page | shop | shop page | product | product page | product category | company | about company | company news | community | community forum | community blog | account settings | account page | free samples | product samples",
+}
+
+#: Common English words, each as likely as the others, besides those that texts give.
 COMMON_WORDS = """
 the and for you are not all new more home page this about how out time get use one up over net web site online best top big hot live now day world life
-free win buy cheap shop store sale deal offer price money cash bank card loan fast quick easy get rich job work earn club zone hub spot land city house
-car auto game games play player toy kids baby girl girls boy man men woman women love heart dating date chat cam cams video videos photo pics image music
-movie film tv radio news daily post times press blog forum wiki guide tips help support info data code soft software app apps mobile phone tech digital
-health med meds pill pills pharmacy drug drugs diet weight loss fit doctor care beauty hair skin food recipe recipes cook kitchen garden travel trip tour
-hotel flight sport sports ball team bet bets betting casino slots slot poker roulette bingo lottery jackpot bonus spin adult sex sexy porn xxx nude tube
-escort viagra cialis replica watch watches fake crack cracked keygen serial warez torrent download hack spam farm link links seo ads ad track tracker click
-popup banner server pixel school learn class course book books library art gallery museum history science research journal green energy solar water earth
+free win buy cheap shop store sale deal offer price money cash bank card loan fast quick easy rich job work earn club zone hub spot land city house
+car auto game games play player toy kids baby girl boy man men woman women love heart dating date chat cam video photo pics image music great super
+movie film tv radio news daily post times press blog forum wiki guide tips help support info data code soft app apps mobile phone tech digital my your
+health med meds pill drug drugs diet weight loss fit doctor care beauty hair skin food cook kitchen garden travel trip tour hotel flight sport ball team
+bet bets slot fake crack watch hack spam farm link links ads ad track pixel school learn class book art history science green energy solar water earth
 """
-#: The fixed words, which alone decide whether a name is spelled out of several words.
-FIXED_WORDS = frozenset(re.findall(r"[a-z]{2,}", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}"))
-ALL_FIXED = frozenset(re.findall(r"[a-z]+", f"{COMMON_WORDS} {BLOCK_EXAMPLES} {ALLOW_EXAMPLES}"))
-MAX_WORD = 20
-#: The least count of a token in the unigram model, which leaves out chance strings.
-MIN_COUNT = 3
+#: Half of a word's share comes from the fixed words, half from the texts.
+FIXED_SHARE = 0.5
+#: What a run of letters that no word accounts for costs: once, and for each letter (natural logarithms).
+UNKNOWN, UNKNOWN_LETTER = 14.0, 3.3
+#: Words are looked up by so many first letters.
+KEY_LETTERS = 20
 #: Share of blocked URLs before any word is seen, so that unknown words alone never block; count added to every word.
 PRIOR_BLOCK, SMOOTHING = 0.3, 0.2
 
 
+def _words_of(names: Mapping[str, str]) -> list[str]:
+    return [w for topic in names.values() for w in topic.replace("|", " ").split()]
+
+
+FIXED_WORDS = frozenset([*COMMON_WORDS.split(), *_words_of(BLOCK_EXAMPLES), *_words_of(ALLOW_EXAMPLES)])
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,149 +85,138 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return name, verdict
 
 
-def spelled(name: str) -> list[str] | None:
-    """The fewest fixed words that make up the whole of ``name`` (the last as long as can be); None if there are none.
-
-    Nothing here depends on the table: how often a run-together name occurs doesn't make it a word.
-    """
-    fewest, back = [0] + [None] * len(name), [0] * (len(name) + 1)
-    for i in range(1, len(name) + 1):
-        for j in range(max(0, i - MAX_WORD), i):
-            if fewest[j] is not None and name[j:i] in FIXED_WORDS and (fewest[i] is None or fewest[j] + 1 < fewest[i]):
-                fewest[i], back[i] = fewest[j] + 1, j
-    if not fewest[-1]:
-        return None
-    out, i = [], len(name)
-    while i:
-        out.append(name[back[i] : i])
-        i = back[i]
-    return out[::-1]
-
-
 class Segmenter:
-    """Splits run-together names into the likeliest sequence of words under a unigram model."""
+    """Splits run-together names into the likeliest sequence of words under a unigram model.
 
-    def __init__(self, counts: dict[str, int], total: int | None = None):
-        """``total`` is the whole model's, where ``counts`` holds only its words within the names to split."""
-        self.total = (sum(counts.values()) if total is None else total) + 1
-        self.cost = {w: -math.log(n / self.total) for w, n in counts.items() if len(w) <= MAX_WORD}
-        self.seen: dict[str, list[str]] = {}
+    ``shares`` holds the model's words within the names to split and their shares. A run of letters that no word
+    accounts for costs ``UNKNOWN`` and ``UNKNOWN_LETTER`` a letter. Of equally likely splits the one with the longer last word is taken,
+    a word before an unknown run. Every word length counts; the time is the name's length times the number of known words' lengths.
+    """
 
-    def _unknown(self, n: int) -> float:
-        return math.log(self.total) + 2.5 * n  # a string of n letters that no word accounts for
+    def __init__(self, shares: Mapping[str, float]):
+        self.cost = {w: -math.log(p) for w, p in shares.items() if p > 0}
+        self.lengths = sorted({len(w) for w in self.cost}, reverse=True)
 
     def split(self, name: str) -> list[str]:
-        if name in self.seen:
-            return self.seen[name]
-        best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+        best, back = [0.0], [0]  # cost of the first i letters, where the last piece starts
+        run, run_start = math.inf, 0  # cost with an unknown run at the end, where that starts
         for i in range(1, len(name) + 1):
-            for j in range(max(0, i - MAX_WORD), i):
-                word = name[j:i]
-                c = best[j] + (self.cost[word] if word in self.cost else self._unknown(i - j))
-                if c < best[i]:
-                    best[i], back[i] = c, j
+            opened = best[i - 1] + UNKNOWN + UNKNOWN_LETTER
+            run, run_start = (run + UNKNOWN_LETTER, run_start) if run + UNKNOWN_LETTER <= opened else (opened, i - 1)
+            least, start = math.inf, 0
+            for n in self.lengths:
+                if n <= i and (c := self.cost.get(name[i - n : i])) is not None and best[i - n] + c < least:
+                    least, start = best[i - n] + c, i - n
+            if run < least:
+                least, start = run, run_start
+            best.append(least)
+            back.append(start)
         out, i = [], len(name)
         while i:
             out.append(name[back[i] : i])
             i = back[i]
-        if len(self.seen) < 100_000:
-            self.seen[name] = out[::-1]
         return out[::-1]
 
 
 class TokenClassifier:
-    """Multinomial naive Bayes with a small count added to each word, over words of labelled names; single letters and words it never saw say nothing."""
+    """Multinomial naive Bayes over the words of labelled names, with a small count added to each word.
 
-    def __init__(self, block: str = BLOCK_EXAMPLES, allow: str = ALLOW_EXAMPLES, prior: float = PRIOR_BLOCK):
+    Single letters and words that no name has say nothing.
+    """
+
+    def __init__(self, examples: Sequence[tuple[str, bool]] | None = None, prior: float = PRIOR_BLOCK):
         counts: list[dict[str, int]] = [{}, {}]
-        for k, examples in enumerate((allow, block)):
-            for w in re.findall(r"[a-z]{2,}", examples):
-                counts[k][w] = counts[k].get(w, 0) + 1
+        for name, blocked in EXAMPLES if examples is None else examples:
+            for w in name.split():
+                if len(w) > 1:
+                    counts[blocked][w] = counts[blocked].get(w, 0) + 1
         words = counts[0].keys() | counts[1].keys()
         totals = [sum(c.values()) + SMOOTHING * len(words) for c in counts]
         self.odds = {w: math.log((counts[1].get(w, 0) + SMOOTHING) / totals[1]) - math.log((counts[0].get(w, 0) + SMOOTHING) / totals[0]) for w in words}
         self.prior = math.log(prior / (1 - prior))
 
-    def score(self, words: Sequence[str]) -> float:
-        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
-
-
-def token_counts(urls: DataFrame) -> DataFrame:
-    """``(token, n)`` over all rows of ``urls (host, path)``: letters between other characters, host and path."""
-    tokens = F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z]+")
-    each = urls.select(F.explode(tokens).alias("token")).where(F.length("token") > 0)
-    return each.groupBy("token").agg(F.count("*").alias("n"))
-
-
-def spelled_tokens(counted: DataFrame) -> DataFrame:
-    """``(token, n)`` with ``spelled``, the fixed words that make up the token (by spaces), or null."""
+    def weight(self, words: Sequence[str]) -> float:
+        return math.fsum(self.odds.get(w, 0.0) for w in words)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [spelled(t) for t in batch["token"]]
-            yield batch.assign(spelled=[" ".join(w) if w else None for w in found])
-
-    return counted.mapInPandas(work, "token string, n bigint, spelled string")
+    def score(self, words: Sequence[str]) -> float:
+        return self.prior + self.weight(words)
 
 
-def word_counts(tokens: DataFrame) -> DataFrame:
-    """``(token, n)``, the words of the unigram model: the fixed words, also as parts of tokens they spell, and other tokens as they are."""
-    fixed = tokens.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(ALL_FIXED)))).alias("token"), F.lit(2).cast("bigint").alias("n"))
-    parts = tokens.where("spelled is not null").select(F.explode(F.split("spelled", " ")).alias("token"), "n")
-    own = tokens.where(F.col("spelled").isNull() & (F.length("token") <= MAX_WORD) & (F.col("n") >= MIN_COUNT)).select("token", "n")
-    return fixed.union(parts).union(own).groupBy("token").agg(F.sum("n").alias("n"))
+#: The fixed names with their label.
+EXAMPLES = [(name.strip(), blocked) for blocked, topics in ((True, BLOCK_EXAMPLES), (False, ALLOW_EXAMPLES)) for names in topics.values() for name in names.split("|")]
 
 
-def split_tokens(tokens: DataFrame) -> DataFrame:
-    """``(token, words)`` for tokens of ``tokens (token, n, spelled)`` that split into several words; all others stay whole.
+def word_shares(texts: DataFrame | None, like: DataFrame) -> DataFrame:
+    """``(key, word, share)``, the unigram model: fixed words, and every word of ``texts (text)`` that is letters a-z alone, as often as they have it.
 
-    The unigram model has no cap: each name meets the model's words among its own substrings in a join, so no
-    process holds the whole model.
+    Words are those of running text, which white space and marks part; names in URLs are no evidence for themselves.
     """
-    vocabulary = materialize(word_counts(tokens), "url-vocabulary")
-    total = vocabulary.agg(F.sum("n")).first()[0]
-    names = tokens.where("spelled is null and length(token) > 1").select("token", F.md5("token").alias("name"))
-    starts = names.select("name", "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
-    ends = F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("token") - F.col("i") + 1))
-    within = starts.select("name", F.explode(F.transform(ends, lambda k: F.substring("token", F.col("i"), k))).alias("word"))
-    known = within.join(maybe_broadcast(vocabulary.withColumnRenamed("token", "word")), "word")
-    known = known.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known")).select("name", F.col("known.word").alias("known"), F.col("known.n").alias("n"))
+    fixed = like.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(FIXED_WORDS)))).alias("word"))
+    if texts is None:
+        return fixed.select(F.substring("word", 1, KEY_LETTERS).alias("key"), "word", F.lit(1 / len(FIXED_WORDS)).alias("share"))
+    counted = texts.select(F.explode(text_words(F.col("text"))).alias("word")).where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "word-counts")
+    total = counted.agg(F.sum("n")).first()[0]
+    of_fixed, of_texts = (FIXED_SHARE, 1 - FIXED_SHARE) if total else (1.0, 0.0)
+    share = F.coalesce(F.col("fixed"), F.lit(0.0)) + F.coalesce("n", F.lit(0)) * F.lit(of_texts / (total or 1))
+    both = counted.join(F.broadcast(fixed.withColumn("fixed", F.lit(of_fixed / len(FIXED_WORDS)))), "word", "full")  # a fixed list
+    return both.select(F.substring("word", 1, KEY_LETTERS).alias("key"), "word", share.alias("share"))
+
+
+def split_tokens(tokens: DataFrame, shares: DataFrame, classifier: TokenClassifier) -> DataFrame:
+    """``(token, words, weight)`` of distinct ``tokens (token)``: the split by spaces and its part of the log odds.
+
+    The unigram model has no cap: each name meets the model's words among its own substrings in a join, so no process
+    holds the whole model. Words are met by their first ``KEY_LETTERS`` letters and then compared whole.
+    """
+    starts = tokens.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
+    ends = F.sequence(F.lit(1), F.least(F.lit(KEY_LETTERS), F.length("token") - F.col("i") + 1))
+    within = starts.select("token", "i", F.explode(ends).alias("k")).select(F.md5("token").alias("name"), F.substring("token", F.col("i"), F.col("k")).alias("key"), F.when(F.col("k") == KEY_LETTERS, F.substring("token", F.col("i"), F.length("token"))).alias("rest"))
+    known = within.join(maybe_broadcast(shares), "key").where("rest is null or startswith(rest, word)")
+    known = known.groupBy("name").agg(F.collect_set(F.struct("word", "share")).alias("known")).select("name", F.col("known.word").alias("known"), F.col("known.share").alias("shares"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [Segmenter(dict(zip(k, n, strict=True)), total).split(t) for t, k, n in zip(batch["token"], batch["known"], batch["n"], strict=True)]
-            yield pd.DataFrame({"token": batch["token"], "words": [" ".join(w) for w in found]})
+            found = [[t] if k is None else Segmenter(dict(zip(k, p, strict=True))).split(t) for t, k, p in zip(batch["token"], batch["known"], batch["shares"], strict=True)]
+            yield pd.DataFrame({"token": batch["token"], "words": [" ".join(w) for w in found], "weight": [classifier.weight(w) for w in found]})
 
-    split = names.join(known, "name").select("token", "known", "n").mapInPandas(work, "token string, words string")
-    return split.union(tokens.select("token", F.col("spelled").alias("words"))).where("words <> token")
+    return tokens.withColumn("name", F.md5("token")).join(known, "name", "left").select("token", "known", "shares").mapInPandas(work, "token string, words string, weight double")
 
 
-def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, texts: DataFrame | None = None, *, rules: Sequence[tuple[str, str, str]] = RULES, examples: Sequence[tuple[str, bool]] | None = None) -> DataFrame:
     """Allow or block every url of ``pages (page_id, url, ...)``.
 
-    The longest rule that fits decides. Else host and path tokens, split by a unigram model, are scored by naive
-    Bayes; log odds above 0 block. A token that fixed words spell out is split into them, however often it occurs,
-    and counts as them. The unigram counts come from all urls: the model holds every other token of at least 3
-    occurrences, besides the fixed word list.
+    The longest rule that fits decides. Else host and path tokens (runs of letters a-z, lower-cased), split into words
+    by a unigram model of fixed words and of all words of ``texts (text, ...)``, are scored by naive Bayes, fitted to
+    labelled names ``examples`` (name, blocked); log odds above 0 block. How often a name occurs among the urls
+    changes nothing.
 
     Returns one row per input row: ``page_id, host, path, rule`` (null if none), ``verdict, words`` (the split
     words, by spaces), ``score`` (log odds; both also where a rule decides). Null urls and urls without ``://`` have
-    empty host and path and are judged like others. Null ids and repeated rows are kept; other columns are ignored.
+    empty host and path and are judged like others. Null ids and repeated rows are kept; other columns are ignored; an
+    empty table gives an empty result. Urls and names of any length are taken whole. Null texts have no words; without
+    texts the fixed words alone are the model. Ties between splits: see ``Segmenter``.
     """
+    classifier = TokenClassifier(examples)
     base = materialize(pages.select(F.col("page_id").cast("bigint"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "urls")
-    splits = materialize(split_tokens(materialize(spelled_tokens(token_counts(base)), "url-tokens")), "url-splits")
     urls = base.select("host", "path").distinct()
     pieces = F.filter(F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z]+"), lambda x: x != "")
-    each = urls.select("host", "path", F.posexplode_outer(pieces).alias("pos", "token")).join(maybe_broadcast(splits), "token", "left")
-    placed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("words", "token").alias("words"))))
-    worded = each.groupBy("host", "path").agg(placed.alias("placed")).select("host", "path", F.concat_ws(" ", F.col("placed.words")).alias("words"))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classifier = TokenClassifier()
-        for batch in batches:
-            yield batch.assign(score=[classifier.score(w.split()) for w in batch["words"]])
-
-    scored = base.join(worded.mapInPandas(work, "host string, path string, words string, score double"), ["host", "path"])
+    placed = materialize(urls.select("host", "path", F.posexplode_outer(pieces).alias("pos", "token")), "url-tokens")
+    tokens = placed.select("token").where("token is not null").distinct()
+    splits = materialize(split_tokens(tokens, materialize(word_shares(texts, pages), "word-shares"), classifier), "url-splits")
+    each = placed.join(maybe_broadcast(splits), "token", "left")
+    per_url = each.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "words", "weight"))).alias("placed"))
+    score = F.aggregate("placed", F.lit(classifier.prior), lambda a, x: a + F.coalesce(x["weight"], F.lit(0.0)))
+    scored = base.join(per_url.select("host", "path", F.concat_ws(" ", F.col("placed.words")).alias("words"), score.alias("score")), ["host", "path"])
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "words", "score")
+
+
+#: Host, path and the rule of every page, and the rule's verdict; the method's verdict is beyond SQL.
+RULES_SQL = """
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(verdict, h, p) AS (VALUES {rules})
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+FROM u LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+""".format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import extract, media, packing, quality, urls, warc
+from riskloom.llm import extract, media, packing, quality, warc
 from riskloom.llm.common import materialize
 from riskloom.llm.trees import BoostedTrees
 
@@ -193,60 +193,6 @@ def test_seekable_bundle_and_lookup(spark):
     assert [(x["page_id"], x["payload_digest"]) for x in warc.find_records(archives, wanted).collect()] == [(77, digest)]
 
 
-# -- URLs
-
-
-def test_segmenter_against_all_splits():
-    s = urls.Segmenter({"ca": 3, "sino": 5, "casino": 40, "win": 30, "in": 9, "cas": 2, "w": 1})
-
-    def cost(parts):
-        return sum(s.cost.get(p, s._unknown(len(p))) for p in parts)
-
-    for name in ("casinowin", "wincasino", "xcasinoz", "a", "inwincas"):
-        splits = []
-        for cuts in itertools.product([0, 1], repeat=len(name) - 1):
-            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
-            splits.append([name[a:b] for a, b in itertools.pairwise(at)])
-        assert cost(s.split(name)) == pytest.approx(min(map(cost, splits)))
-    assert s.split("casinowin") == ["casino", "win"]
-
-
-def test_url_rules_and_method(spark):
-    cases = {
-        "http://WWW.Example.com/en/x?y#z": ("www.example.com", "/en/x", "www.example.com/en/", "allow"), "https://blog.example.com/en/1": ("blog.example.com", "/en/1", "example.com/en/", "block"),
-        "http://a.net/es/": ("a.net", "/es/", "net/es/", "block"), "http://a.net/es": ("a.net", "/es", None, "allow"), "http://xcom/": ("xcom", "/", None, "allow"), "http://com": ("com", "", None, "allow"), "http://x.com?a/en/": ("x.com", "", None, "allow"),
-        "http://bestcasinobonus.example.org/en/": ("bestcasinobonus.example.org", "/en/", None, "block"), "http://citynews.example.org/": ("citynews.example.org", "/", None, "allow"), "no url": ("", "", None, "allow"), None: ("", "", None, "allow"),
-        "http://EXÄMPLE.net/fr/ü": ("exÄmple.net", "/fr/ü", "net/fr/", "block"), "://h://p#": ("h:", "//p", None, "allow"), "http://spam-farm.example.org": ("spam-farm.example.org", "", None, "block"),
-    }
-    rows = [(i, u, "") for i, u in enumerate(cases)] + [(None, "http://a.net/es/", None)] * 2
-    got = urls.judge_urls(pages(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for x in got:
-        if x["page_id"] is not None:
-            u = rows[x["page_id"]][1]
-            assert (x["host"], x["path"], x["rule"], x["verdict"]) == cases[u], u
-    assert urls.judge_urls(spark.createDataFrame([], PAGES)).collect() == []
-
-
-def test_run_together_hosts_however_often(spark):
-    """A name of known words is split and judged alike on one page and on hundreds; other names count as words."""
-    def judge(n):
-        rows = [(i, f"http://bestcasinobonus.example.org/p{i}", "") for i in range(n)] + [(-1, "http://zyxwvut.example.org/", "")] * 3
-        return {(x["host"], x["words"].split(" example ")[0], x["verdict"]) for x in urls.judge_urls(pages(spark, rows)).collect()}
-
-    assert judge(1) == judge(300) == {("bestcasinobonus.example.org", "best casino bonus", "block"), ("zyxwvut.example.org", "zyxwvut", "allow")}
-
-def test_url_words_are_not_capped(spark):
-    """A word that few URLs have is known also where 60,000 others occur more often."""
-    letters = [chr(97 + i) for i in range(26)]
-    many = ["q" + "".join(x) for x in itertools.islice(itertools.product(letters, repeat=4), 60_000)]
-    rows = [(i, "http://h/" + "/".join(many[i : i + 2000] * 4), "") for i in range(0, 60_000, 2000)]
-    rows += [(-1, "http://zebrafinch/", ""), *[(-2, "http://zebra/finch", "")] * 3]
-    got = {x["page_id"]: x["words"] for x in urls.judge_urls(pages(spark, rows)).where("page_id < 0").collect()}
-    assert got == {-1: "zebra finch", -2: "zebra finch"}
-
-
-
 # -- Quality
 
 
