@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,14 +22,14 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("bigint")
 
 
-def best_fit(lengths: Sequence[int], sizes: Sequence[int], opened: int) -> list[int]:
+def best_fit(lengths: Sequence[int], open_size: Callable[[int, int], int]) -> list[int]:
     """The bin of each piece, in the order given: the open bin it fills best; if none has room, a new one.
 
-    A new bin has size ``opened`` or, if the piece needs more, the least larger size that holds it. Of bins with
-    equal room the one opened first is taken.
+    ``open_size(i, n)`` gives the size, at least n, of the bin that is opened for piece i. Of bins with equal room the
+    one opened first is taken.
     """
     bins, room, free, out = 0, {}, [], []  # room -> bins that have it; free: rooms in order
-    for n in lengths:
+    for i, n in enumerate(lengths):
         at = bisect_left(free, n)
         if at < len(free):
             left = free[at]
@@ -37,7 +37,7 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], opened: int) -> list[
             if not room[left]:
                 del room[left], free[at]
         else:
-            left, chosen, bins = next(s for s in sizes if s >= max(n, opened)), bins, bins + 1
+            left, chosen, bins = open_size(i, n), bins, bins + 1
         left -= n
         if left:
             if left in room:
@@ -49,15 +49,55 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], opened: int) -> list[
     return out
 
 
+class LeastCost:
+    """Chooses the size of each bin as it is opened: the least expected cost for each token it will hold.
+
+    What a bin will hold is expected from the pieces still to come, in decreasing order: the largest that fits, again and
+    again. It is then downsized. Of equal costs the larger size wins.
+    """
+
+    def __init__(self, lengths: Sequence[int], sizes: Sequence[int], overhead: int):
+        self.sizes, self.overhead = sizes, overhead
+        values, firsts = np.unique(-np.asarray(lengths, np.int64), return_index=True)
+        self.values, self.ends = values.tolist(), [*firsts[1:].tolist(), len(lengths)]  # negated, so ascending; where each value's pieces end
+        self.starts = firsts.tolist()
+
+    def expected(self, i: int, n: int, size: int) -> int:
+        """Tokens in a bin of ``size`` opened for piece i of length n."""
+        room, k = size - n, bisect_left(self.values, -n)
+        while room:
+            k = bisect_left(self.values, -room, k)
+            if k == len(self.values):
+                break
+            left = self.ends[k] - max(self.starts[k], i + 1)
+            room += self.values[k] * min(left, room // -self.values[k])
+            k += 1
+        return size - room
+
+    def __call__(self, i: int, n: int) -> int:
+        best = None
+        for size in reversed(self.sizes):
+            if size < n:
+                break
+            used = self.expected(i, n, size)
+            cost = self.sizes[bisect_left(self.sizes, used)] + self.overhead
+            if best is None or cost * best[1] < best[0] * used:
+                best = (cost, used, size)
+        return best[2]
+
+
 def pack_group(lengths: Sequence[int], sizes: Sequence[int], overhead: int) -> tuple[list[int], list[int], int]:
-    """Bins of the pieces and the final size of each bin, at the least total cost over all opening sizes.
+    """Bins of the pieces (in decreasing order) and the final size of each bin.
 
-    Every permitted size is tried as the one to open; each bin is then downsized to its contents. A sequence
-    costs its size plus ``overhead``. Of equal costs the larger opening size wins.
+    Each bin is opened at the size of least expected cost (``LeastCost``) and at the end downsized to its contents. A sequence
+    costs its size plus ``overhead``. Opening all bins at one size, for each permitted one, is tried besides; the cheapest
+    whole is taken, of equal ones the first.
     """
+    ways = [LeastCost(lengths, sizes, overhead)] if len(lengths) else []
+    ways += [lambda i, n, opened=opened: sizes[bisect_left(sizes, max(n, opened))] for opened in reversed(sizes)]
     best = None
-    for opened in sorted(sizes, reverse=True):
-        at = best_fit(lengths, sizes, opened)
+    for way in ways:
+        at = best_fit(lengths, way)
         used = np.bincount(at, weights=lengths).astype(np.int64) if len(at) else np.zeros(0, np.int64)
         final = np.asarray(sizes)[np.searchsorted(sizes, used)]
         cost = int(final.sum() + overhead * len(final))
@@ -82,8 +122,9 @@ def pack(docs: DataFrame, *, length: Column | None = None, sizes: Sequence[int]
     Returns a row for each piece: ``doc_id, n_tokens, piece, start, length, bin_id, offset, bin_used, bin_size``;
     ``bin_id`` is unique over all groups. Null, empty and blank texts have one piece of length 0 and no bin (nulls).
     Null ids and repeated rows are packed like others: pieces of one id are told apart by their texts, those of rows
-    repeated whole by a number, so that no id fills a group. Other columns are ignored. The result depends on
-    ids, texts and lengths only, not on how the table is laid out.
+    repeated whole by a number, so that no id fills a group. Texts of any length are taken whole; an empty table gives an
+    empty result; other columns are ignored. The result depends on ids, texts and lengths only, not on how the table is
+    laid out; rows repeated whole share their places in some order.
     """
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 1 or overhead < 0:
