@@ -7,7 +7,7 @@ import hashlib
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
@@ -144,8 +144,9 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01
     The payload is the html in UTF-8 (null: empty). Of records whose equal payloads have at least ``min_bytes``
     bytes, the one with the smallest page_id is a response, the others revisit it. ``index`` maps record
     identifiers to frame, offset in the frame and length. Rows that repeat the smallest page_id are all responses;
-    pages without an id revisit an equal payload that has one, else are responses. Each task bundles its own rows;
-    only digests and ids of payloads that occur twice are shuffled or sent out.
+    pages without an id revisit an equal payload that has one, else are responses. Null urls have no target; urls and pages
+    of any length are taken whole; an empty table gives no bundles; other columns are ignored. Each task bundles its own
+    rows; only digests and ids of payloads that occur twice are shuffled or sent out.
     """
     payload = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1"))
@@ -176,43 +177,53 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01
     return rows.mapInPandas(work, _ARCHIVES)
 
 
+def _fetch(bundle: bytes, places: Iterable[dict]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records at ``places (record_id, frame, offset, length)``; each frame is found by the seek table and unpacked once."""
+    table, at, data = seek_table(bundle), -1, b""
+    for place in sorted(places, key=lambda x: (x["frame"], x["offset"])):
+        if place["frame"] != at:
+            at = place["frame"]
+            data = read_frame(bundle, table[at])
+        fields, block, end = parse_record(data, place["offset"])
+        if fields["warc-record-id"] != f"<{place['record_id']}>" or end - place["offset"] != place["length"]:
+            raise ValueError("the index names another record")
+        yield fields, block
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the bundles: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``.
+    """Every record of the bundles ``(bundle, content, n_records, index)``, each reached through its entry of the index.
 
-    Frames are found by the seek table; frame checksums and response digests are verified.
+    Returns ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``. Frame checksums, identifiers and
+    response digests are verified, and that the entries cover every frame without gap or overlap, so that each record is
+    read exactly once. No bundles give no rows; other columns are ignored.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for bundle in batch["content"]:
-                rows = []
-                for frame in seek_table(bundle):
-                    data, at = read_frame(bundle, frame), 0
-                    while at < len(data):
-                        fields, block, at = parse_record(data, at)
-                        rows.append(_described(fields, block))
-                yield _frame(rows)
+            for bundle, index in zip(batch["content"], batch["index"], strict=True):
+                covered: dict[int, int] = {}
+                for x in sorted(index, key=lambda x: (x["frame"], x["offset"])):
+                    if covered.get(x["frame"], 0) != x["offset"]:
+                        raise ValueError("the index has a gap")
+                    covered[x["frame"]] = x["offset"] + x["length"]
+                if covered != {k: raw for k, (_, _, raw, _) in enumerate(seek_table(bundle))}:
+                    raise ValueError("the index doesn't cover the bundle")
+                yield _frame([_described(*record) for record in _fetch(bundle, index)])
 
-    return id_back(archives.select("content").mapInPandas(work, _RECORDS), "page_id", "refers_to")
+    return id_back(archives.select("content", "index").mapInPandas(work, _RECORDS), "page_id", "refers_to")
 
 
 def find_records(archives: DataFrame, ids: DataFrame) -> DataFrame:
-    """The records named in ``ids (record_id)``: only the frames that hold them are unpacked."""
+    """The records named in ``ids (record_id)``: only the frames that hold them are unpacked. Unknown and null identifiers give no rows."""
     places = archives.select("bundle", F.explode("index").alias("i")).select("bundle", "i.*").join(maybe_broadcast(ids.select("record_id").distinct()), "record_id")
-    wanted = places.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))  # at most a bundle's records
+    wanted = places.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("places"))  # at most a bundle's records
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for bundle, at in zip(batch["content"], batch["places"], strict=True):
-                table, frames, rows = seek_table(bundle), {}, []
-                for place in at:
-                    k = place["frame"]
-                    if k not in frames:
-                        frames[k] = read_frame(bundle, table[k])
-                    rows.append(_described(*parse_record(frames[k], place["offset"])[:2]))
-                yield _frame(rows)
+                yield _frame([_described(*record) for record in _fetch(bundle, at)])
 
-    return id_back(archives.select("bundle", "content").join(wanted, "bundle").select("content", "places").mapInPandas(work, _RECORDS), "page_id", "refers_to")
+    return id_back(archives.select("bundle", "content").join(maybe_broadcast(wanted, "size(places)"), "bundle").select("content", "places").mapInPandas(work, _RECORDS), "page_id", "refers_to")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -220,7 +231,10 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def archive_pages(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """Write every page to archives in the shared folder and read the records back (see ``write_archives``)."""
+    """Write every page to archives in the shared folder and read the records back through their index.
+
+    Rows, nulls, repeats, empty tables and other columns: see ``write_archives`` and ``read_archives``.
+    """
     return read_archives(materialize(write_archives(pages, min_bytes=min_bytes), "archives"))
 
 
