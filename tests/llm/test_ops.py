@@ -236,6 +236,10 @@ def test_seekable_bundle_and_lookup(spark):
     digest = base64.b32encode(hashlib.sha1(prose(77, 90).encode()).digest()).decode()
     wanted = spark.createDataFrame([(warc.record_id("77", digest),), ("urn:uuid:none",)], "record_id string")
     assert [(x["page_id"], x["payload_digest"]) for x in warc.find_records(archives, wanted).collect()] == [(77, digest)]
+    assert sorted(x["page_id"] for x in warc.read_archives(archives).collect()) == list(range(120))
+    for broken in ("slice(index, 2, size(index))", "transform(index, x -> named_struct('record_id', 'r', 'frame', x.frame, 'offset', x.offset, 'length', x.length))", "concat(index, slice(index, 1, 1))"):
+        with pytest.raises(Exception, match="index"):
+            warc.read_archives(archives.withColumn("index", F.expr(broken))).collect()
 
 
 # -- Quality
@@ -287,26 +291,64 @@ def test_risk_never_negative_branch():
 # -- Media
 
 
-@pytest.mark.parametrize("kind", range(5))
+def plain_unfilter(rows, kinds):
+    """Sample by sample, as the format defines it."""
+    out = [[0] * rows.shape[1] for _ in rows]
+    for y, (row, kind) in enumerate(zip(rows.tolist(), kinds, strict=True)):
+        for x, v in enumerate(row):
+            a, b = out[y][x - 1] if x else 0, out[y - 1][x] if y else 0
+            c = out[y - 1][x - 1] if x and y else 0
+            p = a + b - c
+            nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out[y][x] = (v + (0, a, b, (a + b) // 2, nearest)[kind]) & 255
+    return np.array(out, np.uint8)
+
+
+@pytest.mark.parametrize("kind", [*range(5), None])
 def test_png_filters(kind):
-    draw = np.random.default_rng(kind)
-    for rows in (1, 2, 9):
-        payload = draw.integers(0, 256, rows * media.WIDTH, np.uint8).tobytes()
-        assert media.decode_png(media.encode_png(payload, kind)).tobytes() == payload
-    mixed = draw.integers(0, 5, 20)
-    x = draw.integers(0, 256, (20, 17), np.uint8)
-    assert (media.unfilter_rows(media.filter_rows(x, mixed), mixed) == x).all()
+    draw = np.random.default_rng(kind or 9)
+    payloads = [(draw.integers(0, 256, n * media.WIDTH, np.uint8) if n % 2 else np.repeat(draw.integers(97, 123, n, np.uint8), media.WIDTH)).tobytes() for n in (1, 2, 9, 300)]
+    images = media.encode_images(payloads, kind)
+    assert [x.tobytes() for x in media.decode_images(images)] == payloads
+    used = {int(k) for m in images for k in media.read_png(m)[:, 0]}
+    assert used == {kind} if kind is not None else len(used) > 1
+
+
+def test_unfiltering_against_the_definition():
+    draw = np.random.default_rng(4)
+    for heights in ([1], [20], [3, 1, 1, 40, 7]):
+        n = sum(heights)
+        first, kinds = media._firsts(heights), draw.integers(0, 5, n)
+        rows = draw.integers(0, 256, (n, 17), np.uint8)
+        expected = np.vstack([plain_unfilter(r, k) for r, k in zip(np.split(rows, np.cumsum(heights)[:-1]), np.split(kinds, np.cumsum(heights)[:-1]), strict=True)])
+        assert (media.unfilter_rows(rows, first, kinds) == expected).all()
+        assert (media.filter_rows(expected, first, kinds)[1] == rows).all()
 
 
 def test_png_damage():
-    good = media.encode_png(bytes(640))
+    (good,) = media.encode_images([bytes(640)])
     for at in (0, 20, 45, len(good) - 3):
         bad = bytearray(good)
         bad[at] ^= 255
         with pytest.raises(ValueError):
-            media.decode_png(bytes(bad))
+            media.decode_images([bytes(bad)])
     with pytest.raises(ValueError):
-        media.decode_png(good[:-12])
+        media.decode_images([good[:-12]])
+
+
+def test_cosine_hash_against_the_direct_transform():
+    draw = np.random.default_rng(6)
+    for height in (1, 5, 32, 64, 100):
+        image = draw.integers(0, 256, (height, 64), np.uint8)
+        small = np.zeros((32, 32))
+        for y in range(32):  # means over the exact area of each cell
+            lo, hi = y * height / 32, (y + 1) * height / 32
+            weights = np.array([max(0.0, min(hi, r + 1) - max(lo, r)) for r in range(height)])
+            small[y] = (weights @ image / weights.sum()).reshape(32, 2).mean(axis=1)
+        direct = [[sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+        c = np.array(direct).ravel().round(6)  # noise about zero is no coefficient
+        over = [v > np.median(c[1:]) for v in c]
+        assert media.cosine_hash(image) == f"{int(''.join(str(int(b)) for b in over), 2):016x}"
 
 
 def test_media_rows(spark):
