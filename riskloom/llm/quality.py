@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from riskloom.llm.common import id_back, id_text, materialize
 #: At most so many trusted positives, and so many unlabelled documents, are used to fit.
 FIT_ROWS = 20_000
 CUT = 0.3
+#: An estimated class prior stays within these.
+PRIOR_BOUNDS = (0.02, 0.98)
 FOLDS = 5
 _HIDDEN, _STEPS, _BATCH, _RATE, _DECAY = 12, 700, 1024, 0.02, 1e-3
 
@@ -80,11 +83,12 @@ class Scorer:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._forward(self._scaled(x))[1], -30, 30)))
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Scorer:
         """Minimise prior * E_P[loss+] + max(0, E_U[loss-] - prior * E_P[loss-]) with the logistic loss.
 
         When the second term falls below zero, its gradient is followed the other way (and the first left out),
-        so that fitting noise cannot push it below what a risk may be.
+        so that fitting noise cannot push it below what a risk may be. Without a prior the two samples are told apart, with
+        equal weights.
         """
         p, u = self._scaled(positive), self._scaled(unlabelled)
         draw, m, v = np.random.default_rng(11), [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
@@ -93,11 +97,14 @@ class Scorer:
             z = np.vstack([zp, zu])
             h, g = self._forward(z)
             s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            loss_minus = np.logaddexp(0, np.clip(g, -30, 30))
-            negative = loss_minus[_BATCH:].mean() - prior * loss_minus[:_BATCH].mean()
-            d_negative = np.concatenate([-prior * s[:_BATCH], s[_BATCH:]]) / _BATCH
-            d_positive = np.concatenate([prior * (s[:_BATCH] - 1), np.zeros(_BATCH)]) / _BATCH
-            d = d_positive + d_negative if negative >= 0 else -d_negative
+            if prior is None:
+                d = np.concatenate([s[:_BATCH] - 1, s[_BATCH:]]) / _BATCH
+            else:
+                loss_minus = np.logaddexp(0, np.clip(g, -30, 30))
+                negative = loss_minus[_BATCH:].mean() - prior * loss_minus[:_BATCH].mean()
+                d_negative = np.concatenate([-prior * s[:_BATCH], s[_BATCH:]]) / _BATCH
+                d_positive = np.concatenate([prior * (s[:_BATCH] - 1), np.zeros(_BATCH)]) / _BATCH
+                d = d_positive + d_negative if negative >= 0 else -d_negative
             back = np.outer(d, self.w[2]) * (1 - h**2)
             grads = [z.T @ back, back.sum(0), h.T @ d, d.sum(keepdims=True), z.T @ d]
             rate = _RATE * (1 - step / (_STEPS + 1))
@@ -109,6 +116,35 @@ class Scorer:
         return self
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from scores that rank positives higher.
+
+    Above any score, positives alone would stand in the ratio of the two samples' shares, and others only add: so the least
+    ratio bounds the share from above. The score is chosen at which ratio and its sampling error together are least; a standard
+    error is added, as too small a share costs good text and too large a one lets some bad text pass.
+    """
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    above = [1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x) for x in (positive, unlabelled)]
+    error = 1.01 * sum(math.sqrt(math.log(40) / (2 * len(x))) for x in (positive, unlabelled))
+    some = above[0] > 0
+    p, u = above[0][some], above[1][some]
+    at = np.argmin((u + error) / p)
+    a, b = u[at], p[at]
+    deviation = math.sqrt(a * (1 - a) / len(unlabelled) + (a / b) ** 2 * b * (1 - b) / len(positive)) / b
+    return float(np.clip(a / b + deviation, *PRIOR_BOUNDS))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray, std: np.ndarray) -> float:
+    """The class prior of ``unlabelled`` from it and the positives alone: scores fitted on one half judge the other, both ways."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    found = []
+    for fit, judge in ((0, 1), (1, 0)):
+        scorer = Scorer(mean, std).fit(positive[fit::2], unlabelled[fit::2], None)
+        found.append(best_bin(scorer.scores(positive[judge::2]), scorer.scores(unlabelled[judge::2])))
+    return sum(found) / 2
+
+
 def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -120,19 +156,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out: the fit uses neither their labels nor their texts.
     Of the others, those labelled 1 are the trusted positives and those without a label the unlabelled text
     (all others where every row has a label); at most ``fit_rows`` of each, those with the smallest hash of the id,
-    go to the driver as rows of 28 numbers. The class prior is the share of 1 among all learnable labels
-    (with one more of each). Feature means and deviations are taken over all documents.
-
-    Null and empty texts get a score like others. Null ids are never held out or learnt from. Labels that
-    contradict each other count as none. Without positives or unlabelled rows all scores are the prior.
-    Repeated rows give repeated results; other columns, of either table, are ignored.
+    go to the driver as rows of 28 numbers. The class prior is estimated from these two samples (``estimate_prior``); labels of
+    0 are used nowhere, but that an id labelled both ways counts as not labelled. Means and deviations, which scale the
+    features, are taken over the texts of all documents.
+
+    Null and empty texts get a score like others, texts of any length are read whole. Null ids are never held out or
+    learnt from. Of an id that repeats with several texts the one with the smallest hash is learnt from. Without
+    positives or unlabelled rows all scores are 0.5. Repeated rows give repeated results; an empty table gives an empty
+    result; other columns, of either table, are ignored.
     """
     features = materialize(_featurize(docs), "text-features")
     n = len(FEATURES)
     marks = labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int")).where(~_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
-    ones, rows = marks.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
-    prior = (ones + 1) / (rows + 2)
-    known = features.where(~_held_out() & F.col("doc_id").isNotNull()).join(marks, "doc_id", "left").dropDuplicates(["doc_id"])
+    learnable = features.where(~_held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by("x", "text_hash").alias("x"))
+    known = learnable.join(marks, "doc_id", "left")
 
     def bounded(df: DataFrame) -> np.ndarray:
         got = df.orderBy(F.xxhash64("doc_id"), "doc_id").select("x").limit(fit_rows).toArrow().column("x").combine_chunks()
@@ -144,7 +181,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
     out = features.withColumn("held_out", _held_out())
     if len(positive) and len(unlabelled):
         moments = features.select(*[f(F.col("x")[i].cast("double")) for f in (F.avg, F.stddev_pop) for i in range(n)]).first()
-        scorer = Scorer(np.array(moments[:n]), np.array(moments[n:])).fit(positive, unlabelled, prior)
+        mean, std = np.array(moments[:n]), np.array(moments[n:])
+        scorer = Scorer(mean, std).fit(positive, unlabelled, estimate_prior(positive, unlabelled, mean, std))
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
@@ -152,5 +190,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROW
 
         out = out.withColumn("score", score("x"))
     else:
-        out = out.withColumn("score", F.lit(float(prior)))
+        out = out.withColumn("score", F.lit(0.5))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), "text_hash")
