@@ -69,6 +69,14 @@ def test_lines(spark):
     assert got[2]["text"] == "x\nz" and got[3]["text"] == "" and got[9]["text"] == "q" and got[11]["text"] == "m\nn\no" and got[14]["text"] == "k"
 
 
+def test_a_document_of_very_many_lines(spark):
+    """Half of its lines go: the work is that of a sort of positions."""
+    rows = [(1, "\n".join(f"l{i}" for i in range(200_000))), (2, "\n".join(f"l{i}" if i % 8 < 4 else f"m{i}" for i in range(300_000)))]
+    got = {x["doc_id"]: x for x in dedup_lines(docs(spark, rows)).select("doc_id", "n_removed", "text").collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 100_000
+    assert got[2]["text"].split("\n") == [f"l{i}" if i % 8 < 4 else f"m{i}" for i in range(300_000) if i % 8 >= 4 or i >= 200_000]
+
+
 def test_lines_repeats_and_columns(spark):
     df = docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc\nd")])
     out = dedup_lines(df)

@@ -273,6 +273,23 @@ def test_held_out_labels_are_not_learnt(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_is_estimated_without_negatives(share):
+    """Classes that overlap: the estimate is near the share and errs upwards, as what can't be told apart counts as positive."""
+    draw = np.random.default_rng(3)
+    p, n = draw.normal(0.9, 1, (6000, 28)), draw.normal(-0.6, 1, (6000, 28))
+    u = np.vstack([p[: int(3000 * share)], n[: 3000 - int(3000 * share)]])
+    assert quality.estimate_prior(p[3000:], draw.permutation(u), u.mean(0), u.std(0)) == pytest.approx(share, abs=0.04)
+
+
+def test_quality_of_ids_that_repeat(spark):
+    """Which text of an id is learnt from doesn't depend on the order of rows."""
+    rows = [(i, prose(i, 30)) for i in range(200)] + [(i, prose(i + 500, 9).upper()) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1, 0)], "doc_id bigint, quality int")
+    a, b = (sorted((x["doc_id"], x["text_hash"], x["score"]) for x in quality.score_quality(docs(spark, r), labels).collect()) for r in (rows, rows[::-1]))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in a] == pytest.approx([x[2] for x in b], abs=1e-6)
+
+
 def test_quality_without_data(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.score_quality(spark.createDataFrame([], DOCS), none).collect() == []

@@ -3,8 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline as cp
-from riskloom.llm.common import materialize
+from riskloom.llm import common
+from riskloom.llm import pipeline as cp
+from riskloom.llm.common import materialize, scratch, table
+from riskloom.llm.decontaminate import contamination
+from riskloom.llm.licenses import scan_licenses
+from riskloom.llm.lines import dedup_lines
+from riskloom.llm.minhash import near_duplicates
+from riskloom.llm.urls import judge_urls
+from riskloom.llm.warc import archive_pages
 
 from .helpers import DOCS, docs, prose
 
@@ -82,3 +89,40 @@ def test_run_equals_stages(spark, folder):
         df = materialize(stage(spark, df, folder), "test-stage")
     key = lambda x: (x["doc_id"], x["piece"])
     assert sorted(cp.run(spark, folder).collect(), key=key) == sorted(df.select(*[F.col(c) for c in df.columns]).collect(), key=key)
+
+
+def test_scratch_leaves_only_what_is_written_outside(spark):
+    with scratch(spark):
+        inner = materialize(spark.range(5), "inner")
+        outer = materialize(inner.where("id > 2"), "outer", outside=True)
+    assert outer.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(inner.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_settings_of_the_session_come_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 777)
+        materialize(spark.range(3), "settings")
+        assert spark.conf.get(name) == "777"
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("rows_", [0, 500_000])
+def test_joins_broadcast_or_not(spark, folder, monkeypatch, rows_):
+    """Sides beyond the limit are shuffled: the same rows either way."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_)
+    passage = "\n".join(prose(5000 + k, 20) for k in range(4))
+    copies = [(i, f"{prose(i, 30)}\n{passage}\nReleased under the MIT License.") for i in range(20)] + [(40 + i, prose(i // 2, 60)) for i in range(20)] + [(99, f"{prose(3, 20)} {prose(99_999, 14)}"), (None, "x y z"), (98, None)]
+    df = docs(spark, copies)
+    lines = dedup_lines(df).where("n_removed > 0").count()
+    near = {(x["doc_id"], x["component_id"]) for x in near_duplicates(df).where("not kept").collect()}
+    assert lines == 19 and near == {(41 + 2 * i, 40 + 2 * i) for i in range(10)}
+    assert [x["doc_id"] for x in contamination(df, table(spark, folder, "benchmark")).where("contaminated").collect()] == [99]
+    assert scan_licenses(df).where("licenses = 'MIT'").count() == 20
+    pages = spark.createDataFrame([(i, f"http://best{i % 3}casino.org/", "same" if i % 2 else str(i)) for i in range(30)], "page_id bigint, url string, html string")
+    assert judge_urls(pages, df).where("verdict = 'block'").count() == 30 and archive_pages(pages).where("record_type = 'revisit'").count() == 14
+    assert cp._without(df.withColumn("text_hash", F.lit(1)).drop("text_hash"), df.where("doc_id = 99").select("doc_id", F.xxhash64("text").alias("text_hash")), "gone").count() == len(copies) - 1
