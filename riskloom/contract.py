@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 # The columns of the model input, in order.
 VELOCITY_COLUMNS = ("card_txn_count_24h", "card_amt_sum_24h", "card_amt_mean_24h", "card_amt_max_24h", "seconds_since_prev_txn")
-AMOUNT_COLUMNS = ("TransactionAmt", "amt_log", "amt_to_mean_ratio")
+AMOUNT_COLUMNS = ("amt_to_card_mean_24h", "amt_log", "TransactionAmt")
 NUMERIC_COLUMNS = (*(f"C{i}" for i in range(1, 15)), *(f"D{i}" for i in range(1, 16)), "dist1", "dist2", "addr1", "addr2")
 CATEGORICAL_COLUMNS = (
     "ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain", *(f"M{i}" for i in range(1, 10)),
@@ -65,9 +65,15 @@ DRIFT_ALERT = T.StructType([
 ])
 
 
-def _between(name: str, value: float, low: float, high: float) -> None:
-    if not low <= value <= high:
-        raise ValueError(f"{name} must lie in [{low}, {high}], not {value}")
+def _within(value: float, interval: str) -> bool:
+    low, high = (float(x) for x in interval[1:-1].split(","))
+    return (low <= value if interval[0] == "[" else low < value) and (value <= high if interval[-1] == "]" else value < high)
+
+
+def _all_within(values: object, section: str, limits: dict[str, str]) -> None:
+    for name, interval in limits.items():
+        if not _within(getattr(values, name), interval):
+            raise ValueError(f"{section}.{name} must lie in {interval}, not {getattr(values, name)}")
 
 
 @dataclass(frozen=True)
@@ -86,6 +92,11 @@ class SplitParams:
     test: float = 0.15
     holdout: float = 0.15
 
+    def __post_init__(self) -> None:
+        _all_within(self, "split", {"val": "(0, 1)", "test": "(0, 1)", "holdout": "(0, 1)"})
+        if self.val + self.test + self.holdout >= 1:
+            raise ValueError("split leaves no training rows")
+
 
 @dataclass(frozen=True)
 class SelectionParams:
@@ -95,6 +106,9 @@ class SelectionParams:
     sample_rows: int = 100_000
     min_periods: int = 1000
 
+    def __post_init__(self) -> None:
+        _all_within(self, "selection", {"max_missing": "[0, 1)", "max_correlation": "[0, 1]", "max_features": "[1, inf)", "sample_rows": "[1, inf)", "min_periods": "[1, inf)"})
+
 
 @dataclass(frozen=True)
 class MonitorParams:
@@ -111,6 +125,10 @@ class MonitorParams:
     max_ids: int = 200_000
     cooldown_s: float = 3600.0
 
+    def __post_init__(self) -> None:
+        limits = {"psi": "(0, inf)", "auprc_floor": "[0, 1]", "cooldown_s": "[0, inf)"} | dict.fromkeys(("top_n", "debounce", "window", "min_matched", "min_current", "max_ids"), "[1, inf)")
+        _all_within(self, "monitor", limits | dict.fromkeys(("retention_s", "recompute_s", "clock_skew_s"), "(0, inf)"))
+
 
 @dataclass(frozen=True)
 class CanaryParams:
@@ -124,6 +142,7 @@ class CanaryParams:
 
     def __post_init__(self) -> None:
         """Steps must be non-empty, strictly increasing and in (0, 1]."""
+        _all_within(self, "canary", {"max_p99_s": "(0, inf)", "max_error_rate": "[0, 1]", "min_auprc_ratio": "(0, 1]", "min_agreement": "[0, 1]", "min_samples": "[1, inf)", "max_holds": "[0, inf)"})
         s = self.steps
         if not s or any(not 0 < x <= 1 for x in s) or any(a >= b for a, b in zip(s, s[1:], strict=False)):
             raise ValueError(f"bad canary steps {s}")
@@ -136,6 +155,9 @@ class ReplayParams:
     label_lag_days: float = 7.0
     jitter: float = 0.2
 
+    def __post_init__(self) -> None:
+        _all_within(self, "replay", {"warp": "(0, inf)", "max_wait_s": "[0, inf)", "label_lag_days": "[0, inf)", "jitter": "[0, 1)"})
+
 
 @dataclass(frozen=True)
 class Params:
@@ -147,6 +169,10 @@ class Params:
     recall_ks: tuple[float, ...] = (0.005, 0.01, 0.05)
     recall_floor: float = 0.1
     alert_budget: float = 0.1
+    trials: int = 50
+    timeout_s: float = 3600.0
+    auprc_tolerance: float = 0.0
+    cost_tolerance: float = 0.0
     split: SplitParams = field(default_factory=SplitParams)
     cost: CostMatrix = field(default_factory=CostMatrix)
     selection: SelectionParams = field(default_factory=SelectionParams)
@@ -155,14 +181,9 @@ class Params:
     replay: ReplayParams = field(default_factory=ReplayParams)
 
     def __post_init__(self) -> None:
-        _between("smoothing", self.smoothing, 0, 1e6)
-        _between("folds", self.folds, 2, 100)
-        for name in ("val", "test", "holdout"):
-            _between(f"split.{name}", getattr(self.split, name), 0, 1)
-        _between("recall_floor", self.recall_floor, 0, 1)
-        _between("alert_budget", self.alert_budget, 0, 1)
-        _between("replay.warp", self.replay.warp, 1e-9, 1e9)
-        _between("replay.jitter", self.replay.jitter, 0, 1)
+        _all_within(self, "params", {"smoothing": "(0, inf)", "folds": "[2, inf)", "recall_floor": "[0, 1]", "alert_budget": "[0, 1]", "trials": "[1, inf)", "timeout_s": "(0, inf)", "auprc_tolerance": "[0, inf)", "cost_tolerance": "[0, inf)"})
+        if not self.recall_ks or any(not 0 < k <= 1 for k in self.recall_ks):
+            raise ValueError("recall_ks must lie in (0, 1]")
 
     @classmethod
     def from_dict(cls, values: dict) -> Params:

@@ -48,3 +48,42 @@ def running(df: DataFrame, key: str, tie: Sequence[str], totals: dict[str, Colum
 def ranked(df: DataFrame, key: str, tie: Sequence[str], name: str = "rank", *, groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Adds the 1-based position of each row in its group, in order of ``key`` and ``tie``."""
     return running(df, key, tie, {name: F.lit(1).cast("bigint")}, groups=groups, descending=descending)
+
+
+def trailing(df: DataFrame, *, by: Sequence[str], at: str, window: int, inclusive: bool, count: dict[str, str] | None = None, total: dict[str, str] | None = None, largest: dict[str, str] | None = None) -> DataFrame:
+    """Adds counts, sums and maxima (new name -> column) over the group's rows of the last ``window`` units of the whole number ``at``.
+
+    The window is [at - window, at), or (at - window, at] if ``inclusive``; nulls are absent, an empty sum or maximum is null.
+    Time is cut into parts of a window: a row's value is that of the rows before it in its own part, of the whole parts
+    between (a table with a row for each part), and of the end of the part in which its window starts. Each is a running
+    aggregate, so the work grows with the rows, not with rows times rows in a window, and one group is many tasks.
+    """
+    parts = next(n for n in range(16, 0, -1) if window % n == 0)
+    step = window // parts
+    kinds = [(n, c, f) for f, wanted in ((F.count, count), (F.sum, total), (F.max, largest)) for n, c in (wanted or {}).items()]
+    columns, group = df.columns, [*by, "__part"]
+    part = F.floor(F.col(at) / F.lit(step)).cast("bigint")
+    cut = df.withColumn("__part", part)
+    earlier = Window.partitionBy(*group).orderBy(at).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    own = cut.withColumns({f"__own_{n}": f(c).over(earlier) for n, c, f in kinds})
+    per = cut.groupBy(*group).agg(*[f(c).alias(f"__mid_{n}") for n, c, f in kinds])
+    between = Window.partitionBy(*by).orderBy("__part").rangeBetween(-(parts - 1), -1) if parts > 1 else None
+    fold = {F.count: F.sum}
+    middle = per.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(group)], *[(fold.get(f, f)(f"__mid_{n}").over(between) if between is not None else F.lit(None).cast(per.schema[f"__mid_{n}"].dataType)).alias(f"__mid_{n}") for n, _, f in kinds])
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(group)]
+    joined = own.join(middle, on).drop(*[f"__k{i}" for i in range(len(group))])
+    asked = joined.withColumns({"__part": F.col("__part") - parts, "__from": F.col(at) - (window - 1 if inclusive else window), "__row": F.struct(*columns, *[f"__{w}_{n}" for n, *_ in kinds for w in ("own", "mid")])})
+    asked = asked.select(*by, "__part", "__from", "__row", *[F.lit(None).cast(df.schema[c].dataType).alias(f"__x_{n}") for n, c, *_ in kinds])
+    told = cut.select(*by, "__part", F.col(at).alias("__from"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), *[F.col(c).alias(f"__x_{n}") for n, c, *_ in kinds])
+    later = Window.partitionBy(*group).orderBy(F.col("__from").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    tails = asked.unionByName(told).withColumns({f"__end_{n}": f(f"__x_{n}").over(later) for n, _, f in kinds}).where("__row is not null")
+
+    def whole(n: str, f) -> Column:
+        three = [F.col(f"__row.__own_{n}"), F.col(f"__row.__mid_{n}"), F.col(f"__end_{n}")]
+        if f is F.max:
+            return F.greatest(*three)
+        zero = [F.coalesce(x, F.lit(0)) for x in three]
+        added = zero[0] + zero[1] + zero[2]
+        return added if f is F.count else F.when(F.coalesce(*three).isNotNull(), added)
+
+    return tails.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns], *[whole(n, f).alias(n) for n, _, f in kinds])

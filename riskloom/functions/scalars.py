@@ -102,6 +102,20 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def safe_float(text: Column) -> Column:
+    """A text as a number; null if it doesn't parse or isn't finite."""
+    return finite(text.try_cast("double"))
+
+
+def six_decimals(x: Column) -> Column:
+    """A value as a tag keeps it; a model is served with what its tag says."""
+    return F.format_string("%.6f", x)
+
+
+def backoff_column(attempt: Column, base: float = 0.5, cap: float = 30.0) -> Column:
+    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+
+
 def backoff_s(attempt: int, base: float = 0.5, cap: float = 30.0, jitter: float = 0.0) -> float:
     """Capped exponential delay before a retry, plus a share of jitter."""
     return min(cap, base * 2**attempt) * (1 + jitter)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import ranked, running
+from riskloom.operators.velocity import asof_join
+from riskloom.sources.tables import written
 
 FLOOR = 1e-4
 
@@ -67,6 +69,19 @@ def distribution_distances(baseline: DataFrame, current: DataFrame, column: str)
     return steps.join(nexts, "r", "left").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * (F.coalesce("next", "x") - F.col("x"))).alias("wasserstein"))
 
 
+def drift_report(baseline: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """``feature, psi, ks, wasserstein`` of every column; missing and infinite values count for the PSI only."""
+    both = _long(baseline, columns).withColumns({"b": F.lit(1).cast("bigint"), "c": F.lit(0).cast("bigint")}).union(_long(current, columns).withColumns({"b": F.lit(0).cast("bigint"), "c": F.lit(1).cast("bigint")}))
+    per = written(both.where("x is not null and abs(x) < double('infinity')").groupBy("feature", "x").agg(F.sum("b").alias("b"), F.sum("c").alias("c")), "distinct-values")
+    total = per.groupBy("feature").agg(F.sum("b").alias("tb"), F.sum("c").alias("tc"))
+    cum = running(per, "x", [], {"cb": F.col("b"), "cc": F.col("c")}, groups=["feature"])
+    gaps = cum.join(total, "feature").where("tb > 0 and tc > 0").select("feature", "x", F.abs(F.col("cb") / F.col("tb") - F.col("cc") / F.col("tc")).alias("gap"))
+    steps = written(ranked(gaps, "x", [], "r", groups=["feature"]), "distribution-gaps")
+    nexts = steps.select("feature", (F.col("r") - 1).alias("r"), F.col("x").alias("next"))  # the next value by a join on positions
+    distances = steps.join(nexts, ["feature", "r"], "left").groupBy("feature").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * (F.coalesce("next", "x") - F.col("x"))).alias("wasserstein"))
+    return psi(baseline, current, columns, bins).join(distances, "feature", "full")
+
+
 def breach_latch(cycles: DataFrame, *, order: str, breached: Column, required: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``fires``: true where a streak of breaches reaches ``required``; re-armed by a recovery.
 
@@ -80,9 +95,20 @@ def breach_latch(cycles: DataFrame, *, order: str, breached: Column, required: i
 
 
 def cooldown(events: DataFrame, *, by: str, at_s: str, seconds: float) -> DataFrame:
-    """``by, fired``: in time order, the times that fire when at least ``seconds`` have passed since the last that did."""
-    state = F.aggregate(
-        F.array_sort(F.collect_list(F.col(at_s).cast("double"))), F.array().cast("array<double>"),
-        lambda fired, t: F.when((F.size(fired) == 0) | (t - F.try_element_at(fired, F.lit(-1)) >= seconds), F.concat(fired, F.array(t))).otherwise(fired),
-    )
-    return events.groupBy(by).agg(state.alias("fired"))  # alerts of one kind: a bounded trickle
+    """``by, at_s``: in time order, the times that fire when at least ``seconds`` have passed since the last that did.
+
+    Each time points to the first one that may fire after it. Who is reached from a key's first time is found by doubling: in each
+    round the reached are joined with pointers of twice the length, so a key of any size takes as many rounds as its
+    number of firings has binary digits, and no key is gathered. Null times never fire; equal times are one.
+    """
+    times = written(events.select(F.struct(F.col(by).alias("k")).alias("k"), F.col(at_s).cast("double").alias("t")).where("t is not null").distinct(), "times")
+    # The first time at or after t + seconds is the last one at or before it when time runs backwards.
+    left, right = times.select("k", "t", (-(F.col("t") + seconds)).alias("at")), times.select("k", F.col("t").alias("next"), (-F.col("t")).alias("at"))
+    jumps = asof_join(left, right, by="k", us="at", right_tie="next", values=["next"], width_us=max(seconds, 1e-3) * 16)
+    jumps = written(jumps.select("k", "t", "next").where("next is not null"), "jumps")
+    reached = written(times.groupBy("k").agg(F.min("t").alias("t")), "reached")
+    while not jumps.isEmpty():
+        reached = written(reached.union(reached.join(jumps, ["k", "t"]).select("k", F.col("next").alias("t"))), "reached")
+        twice = jumps.alias("a").join(jumps.alias("b"), F.expr("a.k = b.k and a.next = b.t"))
+        jumps = written(twice.select("a.k", "a.t", "b.next"), "jumps")
+    return reached.select(F.col("k.k").alias(by), F.col("t").alias(at_s))

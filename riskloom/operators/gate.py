@@ -72,7 +72,7 @@ class Registry:
 
     def promote(self, version: int, auprc: float, cost: float, threshold: float) -> None:
         """Tags first, alias last: a reader never meets a champion without its metrics."""
-        self.write_tags(version, {"auprc": f"{auprc:.6f}", "cost": f"{cost:.6f}", "threshold": repr(threshold)})
+        self.write_tags(version, {"auprc": f"{auprc:.6f}", "cost": f"{cost:.6f}", "threshold": f"{threshold:.6f}"})
         self.set_alias("champion", version)
 
     def champion_metrics(self) -> tuple[float, float] | None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.contract import CostMatrix
 from riskloom.functions.ordering import ranked, running
 from riskloom.functions.scalars import safe_ratio
+from riskloom.sources.tables import written
 
 COSTS = CostMatrix()
 
@@ -77,14 +78,18 @@ def pr_curve(df: DataFrame) -> DataFrame:
     return score_curve(df).select("score", (F.col("cum_p") / F.col("cum_n")).alias("precision"), safe_ratio(F.col("cum_p"), F.lit(float(total))).alias("recall"))
 
 
+def recalls_at_k(df: DataFrame, ks: Sequence[float], *, id: str = "id") -> DataFrame:
+    """``k, recall`` when the max(1, ceil(n * k)) highest scores are flagged, ties by id, all from one ranking; null for k outside (0, 1] or no positives."""
+    r = written(ranked(df.select(id, "label", "score"), "score", [id], "r", descending=True).select("label", "r"), "ranked-scores")
+    cuts = [F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(k)))) for k in ks]
+    totals = r.agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    hits = r.join(totals).groupBy().agg(F.max("p").alias("p"), *[F.coalesce(F.sum(F.when(F.col("r") <= c, F.col("label"))), F.lit(0)).alias(f"h{i}") for i, c in enumerate(cuts)])  # with a row of totals
+    rows = [F.struct(F.lit(float(k)).alias("k"), (safe_ratio(F.col(f"h{i}"), F.col("p")) if 0 < k <= 1 else F.lit(None).cast("double")).alias("recall")) for i, k in enumerate(ks)]
+    return hits.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def recall_at_k(df: DataFrame, k: float, *, id: str = "id") -> DataFrame:
-    """Recall when the max(1, ceil(n * k)) highest scores are flagged, ties by id; null for k outside (0, 1] or no positives."""
-    if not 0 < k <= 1:
-        return df.agg(F.lit(None).cast("double").alias("recall"))
-    n, positives = df.agg(F.count("*"), F.sum("label")).first()
-    cut = F.greatest(F.lit(1), F.ceil(F.lit(float(n)) * F.lit(k)))
-    top = ranked(df.select(id, "label", "score"), "score", [id], "__rank", descending=True).where(F.col("__rank") <= cut)
-    return top.agg(safe_ratio(F.coalesce(F.sum("label"), F.lit(0)), F.lit(float(positives or 0))).alias("recall"))
+    return recalls_at_k(df, [k], id=id).select("recall")
 
 
 def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -124,7 +129,7 @@ def report(df: DataFrame, threshold: float, costs: CostMatrix = COSTS, ks: Seque
     """One row: size, positives, average precision, recalls at k, Brier, threshold metrics and cost."""
     head = df.agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"), *_confusion(threshold, "label", "score"))
     row = head.first().asDict() | auprc(df).first().asDict() | classification(df, threshold).first().asDict() | expected_cost(df, threshold, costs).first().asDict()
-    row |= {f"recall_at_{k:g}": recall_at_k(df, k).first()[0] for k in ks}
+    row |= {f"recall_at_{k:g}": r["recall"] for k, r in zip(ks, recalls_at_k(df, ks).collect(), strict=True)}
     return df.sparkSession.createDataFrame([row], ", ".join(f"`{k}` {'bigint' if isinstance(v, int) else 'double'}" for k, v in row.items()))
 
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import random
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -24,7 +26,7 @@ from riskloom.contract import CostMatrix, Params, same_features
 from riskloom.functions.ordering import ranked
 from riskloom.operators import metrics, prepare
 from riskloom.operators.gate import Registry, decide
-from riskloom.sources.tables import read_json, write_json
+from riskloom.sources.tables import content_hashes, read_json, write_json
 
 
 @dataclass(frozen=True)
@@ -85,18 +87,46 @@ class Bundle:
         self.model.write().overwrite().save(f"{path}/model")
         if self.calibrator is not None:
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        write_json({"family": self.family, "features": self.features, "fills": self.fills, "threshold": self.threshold, "version": self.version, "calibrated": self.calibrator is not None, "info": self.info}, f"{path}/manifest.json")
+        digests = _digests(path, self.calibrator is not None)
+        write_json({"digests": digests, "family": self.family, "features": self.features, "fills": self.fills, "threshold": self.threshold, "version": self.version, "calibrated": self.calibrator is not None, "info": self.info}, f"{path}/manifest.json")
 
     @classmethod
     def load(cls, path: str, contract: Sequence[str] | None = None) -> Bundle:
-        """ValueError if the model's features aren't the contract's."""
+        """ValueError if the model's features aren't the contract's, or a file isn't the one that was saved."""
         m = read_json(f"{path}/manifest.json")
+        found = _digests(path, m["calibrated"])
+        if found != m["digests"]:
+            raise ValueError(f"files differ from those saved: {sorted(k for k in found.keys() | m['digests'].keys() if found.get(k) != m['digests'].get(k))}")
         if contract is not None:
             same_features(m["features"], contract)
         calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if m["calibrated"] else None
         return cls(m["family"], m["features"], m["fills"], PipelineModel.load(f"{path}/model"), calibrator, m["threshold"], m["version"], m["info"])
 
 
+def _digests(path: str, calibrated: bool) -> dict[str, str]:
+    """SHA-256 of each file of a saved bundle but its manifest, by its path within."""
+    spark, out = SparkSession.getActiveSession(), {}
+    for part in ("model", "calibrator")[: 1 + calibrated]:
+        inside = f"/{os.path.basename(os.path.normpath(path))}/{part}/"
+        out |= {f"{part}/{r['path'].split(inside, 1)[1]}": r["sha256"] for r in content_hashes(spark, f"{path}/{part}").collect()}
+    return out
+
+
+def importances(bundle: Bundle) -> DataFrame:
+    """``feature, importance`` of a model: impurity gains of trees, magnitudes of coefficients; a feature and its mark of being missing count together."""
+    stages = bundle.model.stages
+    last = stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else [abs(x) for x in last.coefficients.toArray()]
+    rows = [(c, float(values[2 * i] + values[2 * i + 1])) for i, c in enumerate(bundle.features)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
+
+
+def pick_rows(candidates: DataFrame, value: str, order: str) -> DataFrame:
+    """The candidate with the highest value; undefined ones count as the lowest, of equal ones the first by ``order`` wins."""
+    x = F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.col(value))
+    return candidates.orderBy(F.coalesce(x, F.lit(float("-inf"))).desc(), order).limit(1)
+
+
 def sentinels(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     row = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in features]).first()
     return {c: (row[c] if row[c] is not None and math.isfinite(row[c]) else 0.0) - 1.0 for c in features}
@@ -122,11 +152,14 @@ def raw_scores(bundle: Bundle, df: DataFrame, label: str = "label", id: str = "i
     return bundle.score(df).select(F.col(id).alias("id"), F.col(label).alias("label"), F.col("raw_score").alias("score"))
 
 
-def tune(train: DataFrame, val: DataFrame, features: Sequence[str], family: str = "gbt", trials: int = 10, seed: int = 42) -> tuple[Hyper, float]:
-    """Seeded random search for the best average precision on val; a trial that fails is passed over. RuntimeError if all fail."""
+def tune(train: DataFrame, val: DataFrame, features: Sequence[str], family: str = "gbt", trials: int = 10, seed: int = 42, timeout_s: float = 3600.0, clock: Callable[[], float] = time.monotonic) -> tuple[Hyper, float]:
+    """Seeded random search for the best average precision on val; a trial that fails is passed over, none starts after ``timeout_s``. RuntimeError if all fail."""
     draw = random.Random(seed)
     best: tuple[Hyper, float] | None = None
+    end = clock() + timeout_s
     for _ in range(trials):
+        if clock() > end:
+            break
         h = replace(Hyper(seed=seed), rounds=draw.choice([20, 40, 80]), depth=draw.choice([3, 4, 5, 6]), rate=draw.choice([0.05, 0.1, 0.2]), subsample=draw.choice([0.6, 0.8, 1.0]), min_rows=draw.choice([5, 20, 50]))
         try:
             value = metrics.auprc(raw_scores(fit(train, val, features, family, h), val)).first()["auprc"]

@@ -21,8 +21,17 @@ def validation_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("failures")) for n in rules])).alias("x")).select("x.*")
 
 
-#: The pinned columns of raw transactions and identities: name, condition. Other columns may be there.
+#: Pinned columns of raw transactions: type, whether it may be missing. Other columns may be there.
+TRANSACTION_COLUMNS = {
+    "TransactionID": ("bigint", False), LABEL: ("bigint", False), "TransactionDT": ("bigint", False), "TransactionAmt": ("double", False), "ProductCD": ("string", False),
+    "card4": ("string", True), "card6": ("string", True), "C1": ("double", True), "C14": ("double", True), "D1": ("double", True), "D15": ("double", True),
+    "dist1": ("double", True), "dist2": ("double", True), "addr1": ("double", True), "addr2": ("double", True),
+}
+IDENTITY_COLUMNS = {"TransactionID": ("bigint", False)}
+
+
 def transaction_rules() -> dict[str, Column]:
+    """Conditions on values, of coerced columns."""
     c = F.col
     return {
         "id_not_negative": c("TransactionID") >= 0, "label_binary": c(LABEL).isin(0, 1), "time_positive": c("TransactionDT") > 0,
@@ -30,6 +39,35 @@ def transaction_rules() -> dict[str, Column]:
     }
 
 
+def identity_rules() -> dict[str, Column]:
+    return {"id_not_negative": F.col("TransactionID") >= 0}
+
+
+def coerced(df: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
+    """The pinned columns cast to their types; what doesn't parse is null, NaN too."""
+    out = {}
+    for c, (kind, _) in columns.items():
+        x = F.col(c).try_cast(kind)
+        out[c] = F.when(~F.isnan(x), x) if kind == "double" else x
+    return df.withColumns(out)
+
+
+def schema_report(df: DataFrame, columns: dict[str, tuple[str, bool]], rules: dict[str, Column], key: str) -> DataFrame:
+    """``rule, failures`` of every check, all collected: pinned columns that are absent, values that don't fit their type, missing
+    values where none may be, the ``rules`` on coerced values (a missing value fails its null check only), and repeated keys.
+    """
+    absent = [c for c in columns if c not in df.columns]
+    if absent:
+        return df.sparkSession.createDataFrame([(f"column:{c}", 1) for c in absent], "rule string, failures bigint")
+    raw = [F.col(c).alias(f"__raw_{c}") for c in columns]
+    both = coerced(df.select("*", *raw), columns)
+    checks = {f"type:{c}": F.col(f"__raw_{c}").isNull() | F.col(c).isNotNull() | (F.col(f"__raw_{c}").cast("string") == "NaN") for c in columns}
+    checks |= {f"null:{c}": F.col(c).isNotNull() for c, (_, nullable) in columns.items() if not nullable}
+    checks |= {name: F.coalesce(ok, F.lit(True)) for name, ok in rules.items()}
+    repeated = duplicate_keys(coerced(df, columns).where(F.col(key).isNotNull()), key).agg(F.lit(f"unique:{key}").alias("rule"), F.coalesce(F.sum("copies"), F.lit(0)).alias("failures"))
+    return validation_report(both, checks).union(repeated)
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """``key, copies`` of keys that occur more than once."""
     return df.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
@@ -73,6 +111,11 @@ def select_contract(df: DataFrame, columns: Sequence[str], label: str = LABEL) -
     return df.select(*columns, F.col(label).cast("tinyint"))
 
 
+def input_example(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in order of a key: what a model's input looks like."""
+    return df.orderBy(order).limit(n)
+
+
 def append_columns(df: DataFrame, key: str, other: DataFrame) -> DataFrame:
     """Join by key; ValueError if any other column is on both sides."""
     both = (set(df.columns) & set(other.columns)) - {key}

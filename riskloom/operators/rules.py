@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.contract import CanaryParams
+from riskloom.functions.ordering import trailing
 from riskloom.functions.scalars import safe_ratio
+from riskloom.operators.velocity import asof_join
 
 
 def steps(series: DataFrame, by: Sequence[str], ts: str = "ts_s", value: str = "value") -> DataFrame:
@@ -24,8 +26,7 @@ def steps(series: DataFrame, by: Sequence[str], ts: str = "ts_s", value: str = "
 
 def increase(series: DataFrame, by: Sequence[str], window_s: int, ts: str = "ts_s", value: str = "value", name: str = "increase") -> DataFrame:
     """Adds the growth over the last ``window_s`` seconds at each sample (whole seconds)."""
-    frame = Window.partitionBy(*by).orderBy(ts).rangeBetween(-window_s + 1, 0)
-    return steps(series, by, ts, value).withColumn(name, F.sum("step").over(frame)).drop("step")
+    return trailing(steps(series, by, ts, value), by=by, at=ts, window=window_s, inclusive=True, total={name: "step"}).drop("step")
 
 
 def rate(series: DataFrame, by: Sequence[str], window_s: int, **names: str) -> DataFrame:
@@ -45,15 +46,17 @@ def matching(series: DataFrame, metric: str, pattern: dict[str, str] | None = No
     return found
 
 
-def ratio_within(bad: Column, total: Column, *, order: str, by: Sequence[str], window_s: int) -> Column:
-    """Share of bad among all over (t - window, t]; null where there is nothing."""
-    frame = Window.partitionBy(*by).orderBy(order).rangeBetween(-window_s + 1, 0)
-    return safe_ratio(F.sum(bad).over(frame), F.sum(total).over(frame))
+def ratio_within(steps_: DataFrame, *, bad: str, total: str, order: str, by: Sequence[str], window_s: int, name: str) -> DataFrame:
+    """Adds the share of ``bad`` in ``total`` over (t - window, t]; null where there is nothing."""
+    sums = trailing(steps_, by=by, at=order, window=window_s, inclusive=True, total={"__bad": bad, "__total": total})
+    return sums.withColumn(name, safe_ratio(F.col("__bad"), F.col("__total"))).drop("__bad", "__total")
 
 
 def burn(steps_: DataFrame, *, bad: str, total: str, order: str, by: Sequence[str], limit: float, long_s: int, short_s: int) -> DataFrame:
     """Adds ``long_ratio``, ``short_ratio`` and ``burning``: both windows strictly above the limit."""
-    out = steps_.withColumns({n: ratio_within(F.col(bad), F.col(total), order=order, by=by, window_s=w) for n, w in (("long_ratio", long_s), ("short_ratio", short_s))})
+    out = steps_
+    for n, w in (("long_ratio", long_s), ("short_ratio", short_s)):
+        out = ratio_within(out, bad=bad, total=total, order=order, by=by, window_s=w, name=n)
     return out.withColumn("burning", F.coalesce((F.col("long_ratio") > limit) & (F.col("short_ratio") > limit), F.lit(False)))
 
 
@@ -88,6 +91,15 @@ def grouped_alerts(alerts: DataFrame, by: Sequence[str] = ("service", "alertname
     return alerts.groupBy(*by).agg(F.count("*").alias("alerts"))
 
 
+@dataclass(frozen=True)
+class Guard:
+    """A second condition: a metric's last value, or with a window its growth a second, must lie strictly above the limit."""
+
+    metric: str
+    limit: float
+    window_s: int = 0
+
+
 @dataclass(frozen=True)
 class Rule:
     """A rule as data: how its value comes about, what makes it true and for how long it must be."""
@@ -101,6 +113,8 @@ class Rule:
     labels: tuple[tuple[str, str], ...] = ()
     short_s: int = 0
     op: str = ">"
+    of: str = ""  # the metric that a ratio's total counts, where it is another
+    guard: Guard | None = None
 
 
 # Windows, limits and durations of the alert rules.
@@ -111,9 +125,9 @@ ALERT_RULES = (
     Rule("auth_rejections", "ratio", "requests", 300, 0.05, 300, (("status", "401|403"),)),
     Rule("load_shedding", "ratio", "requests", 300, 0.01, 600, (("status", "429"),)),
     Rule("feature_fetch_slow", "quantile", "feature_fetch", 300, 0.025, 300),
-    Rule("feature_fetch_errors", "increase", "feature_fetch_errors", 300, 30.0, 300),
+    Rule("feature_fetch_errors", "ratio", "feature_fetch_errors", 300, 0.01, 300, of="feature_fetch_count", guard=Guard("feature_fetch_count", 0.1, 300)),
     Rule("feature_drift", "gauge", "psi_max", 0, 0.2, 60),
-    Rule("performance_decay", "gauge", "auprc", 0, 0.30, 300, op="<"),
+    Rule("performance_decay", "gauge", "auprc", 0, 0.30, 300, op="<", guard=Guard("matched", 200)),
     Rule("reload_rejected", "increase", "reloads", 900, 0.0, 60, (("reason", "integrity|contract"),)),
     Rule("reload_stalled", "increase", "reloads", 3600, 5.0, 600, (("reason", "transient"),)),
     Rule("retries_exhausted", "increase", "retries_exhausted", 600, 0.0, 300),
@@ -122,7 +136,7 @@ ALERT_RULES = (
     Rule("dead_lettering", "increase", "dead_letters", 900, 10.0, 300),
     Rule("inference_log_dropping", "increase", "inference_log_dropped", 900, 0.0, 300),
     Rule("exporter_down", "gauge", "up", 0, 1.0, 300, op="<"),
-    Rule("join_clock_stalled", "gauge", "join_clock_lag", 0, 600.0, 300),
+    Rule("join_clock_stalled", "gauge", "join_clock_lag", 0, 600.0, 300, guard=Guard("scored", 0.0, 300)),
     Rule("recompute_stalled", "gauge", "recompute_age", 0, 60.0, 120),
     Rule("drift_compute_errors", "increase", "drift_errors", 900, 0.0, 60),
     Rule("poison_messages", "increase", "poison", 900, 0.0, 60),
@@ -131,36 +145,64 @@ ALERT_RULES = (
     Rule("future_timestamps", "increase", "future_timestamps", 900, 0.0, 300),
     Rule("retrain_dispatch_failing", "increase", "dispatch_failures", 900, 0.0, 60),
 )
+#: A guard's value counts for so many seconds after its sample.
+STALE_S = 300
+
+
+def _stepped(series: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``step`` of each whole series (all its labels): only then may series be added."""
+    key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
+    return steps(series.withColumn("__series", key), [*by, "metric", "__series"])
+
+
+def _summed(stepped: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    return stepped.groupBy(*by, "ts_s").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+
+
+def _guard_values(guard: Guard, series: DataFrame, service: str) -> DataFrame:
+    """``service, ts_s, guard`` at each sample of the guard's metric."""
+    found = matching(series, guard.metric)
+    if not guard.window_s:
+        return found.groupBy(service, "ts_s").agg(F.max("value").alias("guard"))
+    per = _summed(_stepped(found, [service]), [service], {"step": F.col("step")})
+    grown = trailing(per, by=[service], at="ts_s", window=guard.window_s, inclusive=True, total={"grown": "step"})
+    return grown.select(service, "ts_s", (F.col("grown") / F.lit(float(guard.window_s))).alias("guard"))
 
 
 def evaluate(rule: Rule, series: DataFrame, service: str = "service") -> DataFrame:
-    """``service, ts_s, value, active, firing`` at each sample of the rule's metric."""
+    """``service, ts_s, value, active, firing`` at each sample of the rule's metric (and of the total's).
+
+    Series of a service are told apart by all their labels until their growth is known; then they are added.
+    """
     by = [service]
-    if rule.kind in ("increase", "gauge"):
-        found = matching(series, rule.metric, dict(rule.labels))
-        if rule.kind == "increase":
-            each = increase(found.withColumn("__series", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))), [service, "__series"], rule.window_s)
-            out = each.groupBy(service, "ts_s").agg(F.sum("increase").alias("value"))
-        else:
-            out = found.groupBy(service, "ts_s").agg((F.max if rule.op == ">" else F.min)("value").alias("value"))
+    bad = F.lit(True)
+    for k, v in rule.labels:
+        bad = bad & F.coalesce(F.try_element_at("labels", F.lit(k)), F.lit("")).rlike(f"^(?:{v})$")
+    if rule.kind == "gauge":
+        out = matching(series, rule.metric, dict(rule.labels)).groupBy(service, "ts_s").agg((F.max if rule.op == ">" else F.min)("value").alias("value"))
+    elif rule.kind == "increase":
+        per = _summed(_stepped(matching(series, rule.metric, dict(rule.labels)), by), by, {"step": F.col("step")})
+        out = trailing(per, by=by, at="ts_s", window=rule.window_s, inclusive=True, total={"value": "step"}).select(service, "ts_s", "value")
     elif rule.kind in ("ratio", "burn"):
-        key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
-        each = steps(matching(series, rule.metric).withColumn("__series", key), [service, "__series"])
-        bad = F.lit(True)
-        for k, v in rule.labels:
-            bad = bad & F.coalesce(F.try_element_at("labels", F.lit(k)), F.lit("")).rlike(f"^(?:{v})$")
-        per = each.groupBy(service, "ts_s").agg(F.sum("step").alias("total"), F.sum(F.when(bad, F.col("step")).otherwise(0.0)).alias("bad"))
+        both = series.where(F.col("metric").isin(rule.metric, rule.of or rule.metric))
+        total = F.when(F.col("metric") == (rule.of or rule.metric), F.col("step")).otherwise(0.0)
+        per = _summed(_stepped(both, by), by, {"total": total, "bad": F.when((F.col("metric") == rule.metric) & bad, F.col("step")).otherwise(0.0)})
         if rule.kind == "burn":
             b = burn(per, bad="bad", total="total", order="ts_s", by=by, limit=rule.limit, long_s=rule.window_s, short_s=rule.short_s)
             out = b.select(service, "ts_s", F.least("long_ratio", "short_ratio").alias("value"))
         else:
-            out = per.select(service, "ts_s", ratio_within(F.col("bad"), F.col("total"), order="ts_s", by=by, window_s=rule.window_s).alias("value"))
+            out = ratio_within(per, bad="bad", total="total", order="ts_s", by=by, window_s=rule.window_s, name="value").select(service, "ts_s", "value")
     else:
-        found = matching(series, rule.metric).withColumn("le", F.col("labels")["le"].try_cast("double"))
-        grown = increase(found, [service, "le"], rule.window_s, name="count")
-        out = histogram_quantile(grown.groupBy(service, "ts_s", "le").agg(F.sum("count").alias("count")), [service, "ts_s"], 0.99).withColumnRenamed("quantile", "value")
+        found = _stepped(matching(series, rule.metric), by).withColumn("le", F.col("labels")["le"].try_cast("double"))
+        per = _summed(found, [service, "le"], {"step": F.col("step")})
+        grown = trailing(per, by=[service, "le"], at="ts_s", window=rule.window_s, inclusive=True, total={"count": "step"})
+        out = histogram_quantile(grown, [service, "ts_s"], 0.99).withColumnRenamed("quantile", "value")
     over = F.col("value") > rule.limit if rule.op == ">" else F.col("value") < rule.limit
-    return persists(out.withColumn("active", F.coalesce(over, F.lit(False))), active="active", order="ts_s", by=by, for_s=rule.for_s)
+    if rule.guard:
+        guarded = asof_join(out, _guard_values(rule.guard, series, service), by=service, us="ts_s", right_tie="guard", values=["guard"], tolerance_us=STALE_S, width_us=86_400)
+        out = guarded.drop("matched_us")
+        over = over & (F.col("guard") > rule.guard.limit)
+    return persists(out.withColumn("active", F.coalesce(over, F.lit(False))), active="active", order="ts_s", by=by, for_s=rule.for_s).select(service, "ts_s", "value", "active", "firing")
 
 
 # -- Canary
@@ -199,15 +241,23 @@ def observation(stable: DataFrame, canary: DataFrame, id: str = "id") -> DataFra
     return both.agg(F.avg((F.col("c") == F.col("s")).cast("double")).alias("agreement")).select(F.lit(own[0]).alias("p99_s"), F.lit(own[1]).alias("error_rate"), F.lit(own[2]).alias("samples"), "agreement")
 
 
-def token_bucket(requests: DataFrame, *, client: str = "client", at_s: str = "at_s", capacity: float = 120.0, refill: float = 20.0) -> DataFrame:
-    """``client, allowed, denied``: a bucket of tokens per client, filled at ``refill`` a second, folded in time order."""
+def token_bucket(requests: DataFrame, *, client: str = "client", at_s: str = "at_s", id: str = "id", capacity: float = 120.0, refill: float = 20.0) -> DataFrame:
+    """``client, allowed, denied``: a bucket of tokens per client, filled at ``refill`` a second; requests in order of time and ``id``.
+
+    A bucket that nobody drew from for capacity / refill seconds is full whatever came before, so a client's requests are
+    cut there and each run of them is folded by itself, one request after another with four numbers as its state.
+    """
+    order = Window.partitionBy(client).orderBy(at_s, id)
+    idle = F.coalesce(F.col(at_s) - F.lag(at_s).over(order) >= capacity / refill, F.lit(True))
+    runs = requests.select(client, F.col(at_s).cast("double").alias(at_s), id).withColumn("__new", idle.cast("int"))
+    runs = runs.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("ok"))
 
-    def step(s: Column, t: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
+        t = x[at_s]
         tokens = F.least(F.lit(float(capacity)), s["tokens"] + F.coalesce(t - s["last"], F.lit(0.0)) * F.lit(float(refill)))
         ok = tokens >= 1
         return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), t.alias("last"), (s["ok"] + ok.cast("bigint")).alias("ok"))
 
-    times = F.array_sort(F.collect_list(F.col(at_s).cast("double")))  # of one client within the span given
-    folded = requests.groupBy(client).agg(F.aggregate(times, start, step).alias("s"), F.count("*").alias("n"))
-    return folded.select(client, F.col("s.ok").alias("allowed"), (F.col("n") - F.col("s.ok")).alias("denied"))
+    folded = runs.groupBy(client, "__run").agg(F.aggregate(F.array_sort(F.collect_list(F.struct(at_s, id))), start, step).alias("s"), F.count("*").alias("n"))
+    return folded.groupBy(client).agg(F.sum("s.ok").alias("allowed"), F.sum(F.col("n") - F.col("s.ok")).alias("denied"))

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.contract import SelectionParams
+from riskloom.functions.ordering import running
+from riskloom.functions.scalars import safe_ratio
 from riskloom.operators.prepare import uniform_sample
+from riskloom.sources.tables import written
 
 
 def v_columns(df: DataFrame) -> list[str]:
@@ -45,11 +48,24 @@ def spearman(df: DataFrame, columns: Sequence[str], id: str, min_periods: int =
 
 
 def label_association(df: DataFrame, columns: Sequence[str], label: str, id: str, min_periods: int = 1000) -> DataFrame:
-    """``column, strength``: absolute rank correlation with the label; 0 where it is undefined."""
+    """``column, strength``: absolute rank correlation with the label; 0 where it is undefined.
+
+    Ranks come from running counts of distinct values over ranges of values, so no task holds a whole column.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.col(label).cast("double").alias("y"), F.explode(pairs).alias("p")).select("y", "p.*").where("x is not null and y is not null")
-    stats = long.select("column", _mean_rank("x", "column").alias("rx"), _mean_rank("y", "column").alias("ry")).groupBy("column").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
-    found = stats.select("column", F.when((F.col("n") >= min_periods) & ~F.isnan("rho"), F.abs("rho")).alias("s"))
+    long = written(long.groupBy("column", "x", "y").agg(F.count("*").alias("w")), "column-values")
+    ranks = long
+    for v, name in (("x", "rx"), ("y", "ry")):
+        counts = long.groupBy("column", v).agg(F.sum("w").alias("n"))
+        upto = running(counts, v, [], {"upto": F.col("n")}, groups=["column"])
+        ranks = ranks.join(upto.select("column", v, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name)), ["column", v])
+    w, x, y = F.col("w"), F.col("rx"), F.col("ry")
+    sums = ranks.groupBy("column").agg(F.sum("w").alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy")))
+    stats = sums.select("column", "n", safe_ratio(n * F.col("sxy") - F.col("sx") * F.col("sy"), spread).alias("rho"))
+    found = stats.select("column", F.when(F.col("n") >= min_periods, F.abs("rho")).alias("s"))
     every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return every.join(found, "column", "left").select("column", F.coalesce("s", F.lit(0.0)).alias("strength"))
 

@@ -14,7 +14,7 @@ from riskloom.operators import encode, prepare, velocity
 #: Features computed at request time: name -> function of a frame that adds the column of that name.
 ON_DEMAND: dict[str, Callable[[DataFrame], DataFrame]] = {
     "amt_log": lambda df: df.withColumn("amt_log", S.amount_log(F.col("TransactionAmt"))),
-    "amt_to_mean_ratio": lambda df: df.withColumn("amt_to_mean_ratio", S.amount_to_mean_ratio(F.col("TransactionAmt"), F.col("card_amt_mean_24h"))),
+    "amt_to_card_mean_24h": lambda df: df.withColumn("amt_to_card_mean_24h", S.amount_to_mean_ratio(F.col("TransactionAmt"), F.col("card_amt_mean_24h"))),
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.contract import SelectionParams
 from riskloom.operators import drift, gate, metrics, selection
+from riskloom.operators.prepare import uniform_sample
 from riskloom.plans.feature_queries import _SPLIT_SQL, _split
 from riskloom.plans.registry import query, r6, rounded
 from riskloom.sources.tables import TRANSACTIONS_SQL, load, transactions, wide_block, wide_block_sql
@@ -62,11 +63,7 @@ def _recall_sql(k: float) -> str:
 
 @query(" UNION ALL ".join(f"SELECT * FROM {_recall_sql(k)}" for k in (0.005, 0.01, 0.05)) + " UNION ALL SELECT 1.5::DOUBLE, NULL")
 def recall_at_k(spark, d):
-    out = None
-    for k in (0.005, 0.01, 0.05, 1.5):
-        one = metrics.recall_at_k(_scored(spark, d), k).select(F.lit(k).alias("k"), r6("recall"))
-        out = one if out is None else out.union(one)
-    return out
+    return metrics.recalls_at_k(_scored(spark, d), (0.005, 0.01, 0.05, 1.5)).select("k", r6("recall"))
 
 
 @query(f"SELECT score, round(cum_p / cum_n, 6) AS precision, round(cum_p / tp, 6) AS recall FROM {_CURVE}")
@@ -124,7 +121,9 @@ def _mean_rank(v: str, by: str) -> str:
 @query(f"""SELECT a, b, round(corr(rx, ry), 6) AS rho FROM (SELECT a, b, {_mean_rank('x', 'a, b')} AS rx, {_mean_rank('y', 'a, b')} AS ry
  FROM (SELECT l.c AS a, r.c AS b, l.x AS x, r.x AS y FROM {_UNPIVOT} l JOIN {_UNPIVOT} r ON l.id = r.id AND l.c < r.c WHERE l.x IS NOT NULL AND r.x IS NOT NULL)) GROUP BY a, b""")
 def spearman_matrix(spark, d):
-    return rounded(selection.spearman(wide_block(spark, d), _V, "id", min_periods=50))
+    """On a seeded sample of 100,000 rows, as the selection takes it: the work grows with rows times pairs of columns."""
+    sample = uniform_sample(wide_block(spark, d), SelectionParams().sample_rows, "id")
+    return rounded(selection.spearman(sample, _V, "id", min_periods=50))
 
 
 @query(f'SELECT c AS "column", round(abs(corr(rx, ry)), 6) AS strength FROM (SELECT c, {_mean_rank("x", "c")} AS rx, {_mean_rank("label", "c")} AS ry FROM {_UNPIVOT} WHERE x IS NOT NULL) GROUP BY c')
@@ -132,7 +131,17 @@ def label_association(spark, d):
     return rounded(selection.label_association(wide_block(spark, d), _V, "label", "id", min_periods=50))
 
 
-@query()
+_RHO = f"""SELECT a, b, corr(rx, ry) AS rho FROM (SELECT a, b, {_mean_rank('x', 'a, b')} AS rx, {_mean_rank('y', 'a, b')} AS ry
+ FROM (SELECT l.c AS a, r.c AS b, l.x AS x, r.x AS y FROM {_UNPIVOT} l JOIN {_UNPIVOT} r ON l.id = r.id AND l.c <> r.c WHERE l.x IS NOT NULL AND r.x IS NOT NULL)) GROUP BY a, b"""
+_STRENGTH = f'SELECT c, abs(corr(rx, ry)) AS strength FROM (SELECT c, {_mean_rank("x", "c")} AS rx, {_mean_rank("label", "c")} AS ry FROM {_UNPIVOT} WHERE x IS NOT NULL) GROUP BY c'
+
+
+@query(f"""WITH RECURSIVE near AS ({_RHO}), strong AS ({_STRENGTH}), claims AS (SELECT a, list(b) AS others FROM near WHERE abs(rho) >= 0.15 GROUP BY a),
+visit AS (SELECT list(c ORDER BY round(strength, 12) DESC, c) AS order_ FROM strong),
+g AS (SELECT order_ AS rest, []::VARCHAR[] AS leaders FROM visit
+ UNION ALL SELECT [x for x in rest[2:] if NOT list_contains(coalesce(others, []), x)], list_append(leaders, rest[1]) FROM g LEFT JOIN claims ON a = rest[1] WHERE len(rest) > 0),
+kept AS (SELECT unnest(leaders[:8]) AS c FROM g WHERE len(rest) = 0)
+SELECT c AS "column" FROM kept""")
 def select_v(spark, d):
     kept = selection.select_block(wide_block(spark, d), "label", "id", SelectionParams(max_correlation=0.15, max_features=8, min_periods=50))
     return spark.createDataFrame([(c,) for c in kept], "column string")
@@ -174,6 +183,13 @@ def ks(spark, d):
     return rounded(drift.distribution_distances(*_halves(spark, d), "amount"))
 
 
+@query(f"""{_HALVES}, g AS (SELECT feature, x, sum((side = 0)::INT) AS b, sum((side = 1)::INT) AS c FROM u WHERE x IS NOT NULL GROUP BY feature, x),
+w AS (SELECT feature, x, lead(x) OVER f AS nx, abs(sum(b) OVER f / sum(b) OVER (PARTITION BY feature) - sum(c) OVER f / sum(c) OVER (PARTITION BY feature)) AS gap FROM g WINDOW f AS (PARTITION BY feature ORDER BY x))
+SELECT feature, round(any_value(psi), 6) AS psi, round(max(gap), 6) AS ks, round(sum(gap * (coalesce(nx, x) - x)), 6) AS wasserstein FROM w JOIN psi USING (feature) GROUP BY feature""")
+def drift_report(spark, d):
+    return rounded(drift.drift_report(*_halves(spark, d), ["amount", "score"]))
+
+
 @query(f"""WITH m AS (SELECT card, sum(label * score) AS a, sum(amount) AS cost FROM (SELECT id, card, label, amount, round(score, 3) AS score FROM {TRANSACTIONS_SQL}) GROUP BY card),
 l AS (SELECT a.card, round(a.a, 6) AS challenger, round(b.a, 6) AS champion, a.cost AS cc, b.cost AS hc FROM m a LEFT JOIN m b ON b.card = a.card + 1)
 SELECT card, CASE WHEN champion IS NULL THEN 'bootstrap' WHEN challenger >= champion AND cc <= hc THEN 'promote' ELSE 'reject' END AS decision FROM l""")

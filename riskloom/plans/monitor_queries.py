@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from riskloom.contract import CanaryParams, CostMatrix, MonitorParams, ReplayParams
@@ -13,8 +10,8 @@ from riskloom.functions.scalars import hash_u32, hash_u32_sql
 from riskloom.operators import drift, prepare, rules
 from riskloom.plans.registry import query, r6, rounded
 from riskloom.session import SETTINGS
-from riskloom.sources.tables import TRANSACTIONS_SQL, load, transactions
-from riskloom.streaming import matching, monitor, replay, scoring
+from riskloom.sources.tables import TRANSACTIONS_SQL, load, new_path, transactions, written
+from riskloom.streaming import matching, monitor, online, replay, scoring
 
 R = 1800.0
 _DELAYS = f"(SELECT id, us, coalesce(least(greatest((us - lag(us) OVER (ORDER BY us, id)) / 1e6::DOUBLE / 2000, 0), 0.1::DOUBLE), 0) AS delay_s FROM {TRANSACTIONS_SQL})"
@@ -32,45 +29,64 @@ def label_schedule(spark, d):
 
 
 def _arrivals(spark, d):
-    """Scores and labels of all events: labels come early, late, twice or never."""
+    """Scores and labels of all events: labels come early, late, twice or never; some ids come back later."""
     t = transactions(spark, d).withColumn("h", hash_u32(3, F.col("id")))
-    at = F.col("us") / F.lit(1e6)
-    score = t.select(F.col("id").cast("string").alias("id"), at.alias("arrival"), at.alias("t"), F.round("score", 3).alias("score"), F.lit(None).cast("int").alias("label"))
+    at, no = F.col("us") / F.lit(1e6), lambda kind: F.lit(None).cast(kind)
+    decided = lambda x: F.when(F.col("h") % 2 == 0, x >= 0.5).otherwise(x >= 0.4)  # noqa: E731  the threshold has changed within the window
+    one = F.round("score", 3)
+    score = t.select(F.col("id").cast("string").alias("id"), at.alias("arrival"), at.alias("t"), one.alias("score"), decided(one).alias("decision"), no("int").alias("label"))
     late = at + F.pmod("h", F.lit(3000)) - 500
-    label = t.where("h % 10 < 7").select(F.col("id").cast("string").alias("id"), late.alias("arrival"), (late - F.when(F.col("h") % 7 == 0, 4000.0).otherwise(0.0)).alias("t"), F.lit(None).cast("double").alias("score"), F.col("label"))
+    label = t.where("h % 10 < 7").select(F.col("id").cast("string").alias("id"), late.alias("arrival"), (late - F.when(F.col("h") % 7 == 0, 4000.0).otherwise(0.0)).alias("t"), no("double").alias("score"), no("boolean").alias("decision"), F.col("label"))
     again = label.where("cast(id as bigint) % 5 = 0").withColumns({"arrival": F.col("arrival") + 100, "t": F.col("t") + 100})
-    return ranked(score.union(label).union(again), "arrival", ["id", "score", "t"], "seq").select("seq", "id", "t", "score", "label")
-
-
-_ARRIVALS = f"""t AS (SELECT *, {hash_u32_sql(3, 'id')} AS h, us / 1e6::DOUBLE AS ev FROM {TRANSACTIONS_SQL}),
-l AS (SELECT id::VARCHAR AS id, ev + h % 3000 - 500 AS arrival, ev + h % 3000 - 500 - CASE WHEN h % 7 = 0 THEN 4000.0::DOUBLE ELSE 0.0::DOUBLE END AS t, NULL::DOUBLE AS score, label FROM t WHERE h % 10 < 7),
-a AS (SELECT id::VARCHAR AS id, ev AS arrival, ev AS t, round(score, 3) AS score, NULL::INT AS label FROM t UNION ALL SELECT * FROM l
- UNION ALL SELECT id, arrival + 100, t + 100, score, label FROM l WHERE id::BIGINT % 5 = 0),
+    back = t.where("id % 11 = 0")
+    back_label = back.select(F.col("id").cast("string").alias("id"), (at + 5000).alias("arrival"), (at + 5000).alias("t"), no("double").alias("score"), no("boolean").alias("decision"), (1 - F.col("label")).alias("label"))
+    half = F.round(F.col("score") / 2, 3)
+    back_score = back.select(F.col("id").cast("string").alias("id"), (at + 5300).alias("arrival"), (at + 5300).alias("t"), half.alias("score"), decided(half).alias("decision"), no("int").alias("label"))
+    every = written(score.union(label).union(again).union(back_label).union(back_score), "arrivals")
+    return written(ranked(every, "arrival", ["id", "score", "t"], "seq").select("seq", "id", "t", "score", "decision", "label"), "arrivals")
+
+
+_DECIDED = "CASE WHEN h % 2 = 0 THEN {0} >= 0.5::DOUBLE ELSE {0} >= 0.4::DOUBLE END"
+_ARRIVALS = f"""RECURSIVE t AS (SELECT *, {hash_u32_sql(3, 'id')} AS h, us / 1e6::DOUBLE AS ev, round(score, 3) AS one, round(score / 2, 3) AS half FROM {TRANSACTIONS_SQL}),
+l AS (SELECT id::VARCHAR AS id, ev + h % 3000 - 500 AS arrival, ev + h % 3000 - 500 - CASE WHEN h % 7 = 0 THEN 4000.0::DOUBLE ELSE 0.0::DOUBLE END AS t, NULL::DOUBLE AS score, NULL::BOOLEAN AS decision, label FROM t WHERE h % 10 < 7),
+a AS (SELECT id::VARCHAR AS id, ev AS arrival, ev AS t, one AS score, {_DECIDED.format('one')} AS decision, NULL::INT AS label FROM t UNION ALL SELECT * FROM l
+ UNION ALL SELECT id, arrival + 100, t + 100, score, decision, label FROM l WHERE id::BIGINT % 5 = 0
+ UNION ALL SELECT id::VARCHAR, ev + 5000, ev + 5000, NULL, NULL, 1 - label FROM t WHERE id % 11 = 0 UNION ALL SELECT id::VARCHAR, ev + 5300, ev + 5300, half, {_DECIDED.format('half')}, NULL FROM t WHERE id % 11 = 0),
 s AS (SELECT *, row_number() OVER (ORDER BY arrival, id, score NULLS FIRST, t) AS seq FROM a),
 h AS (SELECT *, max(t) OVER (ORDER BY seq) AS clock FROM s),
-k AS (SELECT *, last_value(CASE WHEN score IS NOT NULL THEN {{'v': score, 't': t}} END IGNORE NULLS) OVER w AS ls, last_value(CASE WHEN label IS NOT NULL THEN {{'v': label, 't': t}} END IGNORE NULLS) OVER w AS ll
- FROM h WHERE t >= clock - {R} WINDOW w AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT id, seq, CASE WHEN label IS NOT NULL AND ls.t >= clock - {R} THEN ls.v WHEN score IS NOT NULL AND ll.t >= clock - {R} THEN score END AS sc,
- CASE WHEN label IS NOT NULL AND ls.t >= clock - {R} THEN label WHEN score IS NOT NULL AND ll.t >= clock - {R} THEN ll.v END AS la FROM k),
-matches AS (SELECT id, arg_min(sc, seq) AS score, arg_min(la, seq) AS label, min(seq) AS matched_seq FROM m WHERE sc IS NOT NULL GROUP BY id)"""
-
-
-@query(f"WITH {_ARRIVALS} SELECT id, score, label::BIGINT AS label, matched_seq FROM matches")
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM h WHERE t >= clock - {R}),
+f AS (SELECT id, 0::BIGINT AS rn, NULL::DOUBLE AS ps, NULL::BOOLEAN AS pd, NULL::INT AS pl, NULL::DOUBLE AS pt, NULL::BIGINT AS pq, NULL::DOUBLE AS closed, NULL::DOUBLE AS ms, NULL::BOOLEAN AS md, NULL::INT AS ml, NULL::BIGINT AS mq FROM (SELECT DISTINCT id FROM k)
+ UNION ALL SELECT id, rn, CASE WHEN shut THEN ps WHEN NOT hit THEN score END, CASE WHEN shut THEN pd WHEN NOT hit THEN decision END, CASE WHEN shut THEN pl WHEN NOT hit THEN label END, CASE WHEN shut THEN pt WHEN NOT hit THEN t END,
+  CASE WHEN shut THEN pq WHEN NOT hit THEN seq END, CASE WHEN NOT shut AND hit THEN t ELSE closed END, CASE WHEN NOT shut AND hit THEN coalesce(score, ps) END, CASE WHEN NOT shut AND hit THEN CASE WHEN score IS NOT NULL THEN decision ELSE pd END END,
+  CASE WHEN NOT shut AND hit THEN coalesce(label, pl) END, CASE WHEN NOT shut AND hit THEN seq END
+ FROM (SELECT k.*, f.ps, f.pd, f.pl, f.pt, f.pq, f.closed, coalesce(f.closed >= k.clock - {R}, false) AS shut,
+  coalesce(f.pt >= k.clock - {R}, false) AND ((f.ps IS NOT NULL AND k.label IS NOT NULL) OR (f.pl IS NOT NULL AND k.score IS NOT NULL)) AS hit FROM f JOIN k ON k.id = f.id AND k.rn = f.rn + 1)),
+matches AS (SELECT id, ms AS score, md AS decision, ml AS label, mq AS matched_seq FROM f WHERE mq IS NOT NULL),
+open AS (SELECT CASE WHEN ps IS NOT NULL THEN 'pending' ELSE 'early' END AS side, id, pq AS seq FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY rn DESC) = 1) WHERE pt >= (SELECT max(t) FROM s) - {R})"""
+
+
+@query(f"WITH {_ARRIVALS} SELECT id, score, decision, label::BIGINT AS label, matched_seq FROM matches")
 def score_label_join(spark, d):
     return rounded(matching.match_batch(_arrivals(spark, d), R))
 
 
-@query(f"""WITH {_ARRIVALS} SELECT (SELECT count(*) FROM matches) AS matched, (SELECT count(DISTINCT id) FROM s WHERE score IS NOT NULL AND t >= (SELECT max(t) FROM s) - {R} AND id NOT IN (SELECT id FROM matches)) AS pending""")
+@query(f"WITH {_ARRIVALS} SELECT (SELECT count(*) FROM matches) AS matched, (SELECT count(*) FROM open WHERE side = 'pending') AS pending")
 def match_counts(spark, d):
     return rounded(matching.match_counts(_arrivals(spark, d), R))
 
 
+@query(f"WITH {_ARRIVALS.replace(f'- {R}', '- 400000.0')} SELECT side, id, seq FROM open QUALIFY row_number() OVER (PARTITION BY side ORDER BY seq DESC) <= 4")
+def state_cap(spark, d):
+    """What waits after the last arrival, the newest four of each side."""
+    return matching.waiting(_arrivals(spark, d), 400_000.0, max_ids=4)
+
+
 @query(f"""WITH {_ARRIVALS}, n AS (SELECT * FROM matches ORDER BY matched_seq DESC LIMIT 300),
 c AS (SELECT score, count(*) AS c, sum(label) AS p FROM n GROUP BY score), g AS (SELECT p, sum(p) OVER w AS cp, sum(c) OVER w AS cn FROM c WINDOW w AS (ORDER BY score DESC))
 SELECT count(*) AS matched, (SELECT round(sum(p * cp / cn) / sum(p), 6) FROM g) AS auprc,
- round(avg(CASE WHEN label = 1 AND score < 0.5 THEN 100.0::DOUBLE WHEN label = 0 AND score >= 0.5 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS cost, round(avg((score >= 0.5)::INT), 6) AS flagged_rate FROM n""")
+ round(avg(CASE WHEN label = 1 AND NOT decision THEN 100.0::DOUBLE WHEN label = 0 AND decision THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS cost, round(avg(decision::INT), 6) AS flagged_rate FROM n""")
 def rolling_metrics(spark, d):
-    return rounded(matching.rolling_metrics(matching.match_batch(_arrivals(spark, d), R), 0.5, CostMatrix(), window=300))
+    return rounded(matching.rolling_metrics(matching.match_batch(_arrivals(spark, d), R), CostMatrix(), window=300))
 
 
 _CYCLES = f"""(SELECT cycle, CASE WHEN cycle % 11 <> 0 THEN round(avg(amount) / 500, 6) END AS max_psi, round(avg(score), 6) AS auprc, count(*) AS matched FROM
@@ -106,7 +122,7 @@ SELECT card, count(*) AS fires, round(min(t), 3) AS first, round(max(t), 3) AS l
 def cooldown(spark, d):
     e = transactions(spark, d).where("category = 'error'").select("card", (F.col("us") / F.lit(1e6)).alias("t"))
     out = drift.cooldown(e, by="card", at_s="t", seconds=200000)
-    return out.select("card", F.size("fired").cast("bigint").alias("fires"), F.round(F.array_min("fired"), 3).alias("first"), F.round(F.array_max("fired"), 3).alias("last"))
+    return out.groupBy("card").agg(F.count("*").alias("fires"), F.round(F.min("t"), 3).alias("first"), F.round(F.max("t"), 3).alias("last"))
 
 
 @query(f"SELECT id, max(card) OVER (ORDER BY us, id) AS version_max FROM {TRANSACTIONS_SQL}")
@@ -237,10 +253,12 @@ def canary_observation(spark, d):
     return rounded(rules.observation(t.select("id", (F.col("score") > 0.45).alias("decision")), canary))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT card AS client, us / (1e6 * 50000)::DOUBLE AS t, row_number() OVER (PARTITION BY card ORDER BY us, id) AS n FROM {TRANSACTIONS_SQL}),
+b AS (SELECT client, n, t, 4.0::DOUBLE AS tokens, true AS ok FROM r WHERE n = 1
+ UNION ALL SELECT client, n, t, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1 FROM (SELECT r.client, r.n, r.t, least(5.0::DOUBLE, b.tokens + (r.t - b.t) * 0.5::DOUBLE) AS have FROM b JOIN r ON r.client = b.client AND r.n = b.n + 1))
+SELECT client, count(*) FILTER (ok) AS allowed, count(*) FILTER (NOT ok) AS denied FROM b GROUP BY client""")
 def token_bucket(spark, d):
-    """Requests let through per client; a sequential fold, tested on a small case."""
-    r = transactions(spark, d).select(F.col("card").alias("client"), (F.col("us") / F.lit(1e6 * 50_000)).alias("at_s"))
+    r = transactions(spark, d).select(F.col("card").alias("client"), (F.col("us") / F.lit(1e6 * 50_000)).alias("at_s"), "id")
     return rules.token_bucket(r, capacity=5, refill=0.5)
 
 
@@ -248,9 +266,8 @@ def token_bucket(spark, d):
 
 
 def _as_files(df) -> str:
-    """Write rows where a file stream can read them: in the shared folder, or a new local one where none is set."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-")
-    path = f"{base}/riskloom/stream-{uuid.uuid4().hex}"
+    """Write rows where a file stream can read them."""
+    path = new_path(df.sparkSession, "stream")
     df.write.parquet(path)
     return path
 
@@ -279,20 +296,58 @@ def stream_velocity_parity(spark, d):
     return spark.read.parquet(f"{path}-out").select("user_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", r6("total"))
 
 
-@query(f"SELECT id::VARCHAR AS id, round(score, 3) AS score, label::BIGINT AS label FROM {TRANSACTIONS_SQL} WHERE category <> 'view'")
+@query(f"SELECT id::VARCHAR AS id, round(score, 3) AS score, score > 0.5 AS decision, label::BIGINT AS label FROM {TRANSACTIONS_SQL} WHERE category <> 'view'")
 def stream_score_label_join(spark, d):
     t = transactions(spark, d)
-    score = t.select((F.col("id") * 2).alias("seq"), F.col("id").cast("string").alias("id"), F.col("ts").alias("t"), F.round("score", 3).alias("score"), F.lit(None).cast("int").alias("label"))
-    label = t.where("category <> 'view'").select((F.col("id") * 2 + 1).alias("seq"), F.col("id").cast("string").alias("id"), (F.col("ts") + F.expr("interval 60 seconds")).alias("t"), F.lit(None).cast("double").alias("score"), "label")
+    score = t.select((F.col("id") * 2).alias("seq"), F.col("id").cast("string").alias("id"), F.col("ts").alias("t"), F.round("score", 3).alias("score"), (F.col("score") > 0.5).alias("decision"), F.lit(None).cast("int").alias("label"))
+    label = t.where("category <> 'view'").select((F.col("id") * 2 + 1).alias("seq"), F.col("id").cast("string").alias("id"), (F.col("ts") + F.expr("interval 60 seconds")).alias("t"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("decision"), "label")
     path = _as_files(score.union(label))
-    stream = scoring.file_stream(spark, path, "seq bigint, id string, t timestamp, score double, label int")
+    stream = scoring.file_stream(spark, path, "seq bigint, id string, t timestamp, score double, decision boolean, label int")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     out = matching.match_stream(stream, R)
     query_ = out.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}-out/batch={i}")).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
     query_.awaitTermination()
-    return rounded(spark.read.parquet(f"{path}-out").select("id", "score", "label"))
+    return rounded(spark.read.parquet(f"{path}-out").select("id", "score", "decision", "label"))
 
 
 @query("SELECT o_orderkey AS key, count(*) AS copies FROM orders GROUP BY 1 HAVING count(*) > 1")
 def order_key_duplicates(spark, d):
     return prepare.duplicate_keys(load(spark, d, "orders", ["o_orderkey"]).withColumnRenamed("o_orderkey", "key"), "key")
+
+
+@query(f"""SELECT id, count(amount) OVER f AS v_count, round(coalesce(sum(amount) OVER f, 0), 6) AS v_sum, round(coalesce(avg(amount) OVER f, 0), 6) AS v_mean, round(coalesce(max(amount) OVER f, 0), 6) AS v_max
+FROM {TRANSACTIONS_SQL} WINDOW f AS (PARTITION BY card ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)""")
+def stream_velocity(spark, d):
+    """The 24-hour look-back of every event on a stream, in three batches by time; the batch query's rows."""
+    t = transactions(spark, d).select("id", "card", "us", "amount")
+    path = new_path(spark, "stream")
+    cuts = t.agg(F.percentile("us", F.array(F.lit(0.33), F.lit(0.66)))).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = t.where((F.col("us") >= low) if low is not None else F.lit(True)).where((F.col("us") < high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    out = online.velocity_stream(scoring.file_stream(spark, path, "id bigint, card bigint, us bigint, amount double", files_per_batch=1))
+    run = out.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}-out/batch={i}")).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.read.parquet(f"{path}-out").select("id", "v_count", "v_sum", "v_mean", "v_max"))
+
+
+@query(f"""WITH t AS (SELECT *, us / 1e6::DOUBLE AS at, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS cycle FROM {TRANSACTIONS_SQL} WHERE id < 800),
+m AS (SELECT * FROM t WHERE id % 3 <> 0), r AS (SELECT c.cycle, m.* FROM (SELECT DISTINCT cycle FROM t) c JOIN m ON m.cycle <= c.cycle)
+SELECT cycle, count(*) AS matched, round(avg(CASE WHEN label = 1 AND score < 0.5 THEN 100.0::DOUBLE WHEN label = 0 AND score >= 0.5 THEN 5.0::DOUBLE ELSE 0 END), 6) AS cost, round(avg((score >= 0.5)::INT), 6) AS flagged_rate,
+ (SELECT count(*) FROM t WHERE t.cycle = r.cycle AND id % 5 = 0) AS poison FROM r GROUP BY cycle""")
+def monitor_stream(spark, d):
+    """Two cycles of the monitor over scored events, labels and poison: what each cycle saw."""
+    t = transactions(spark, d).where("id < 800")
+    at, i = F.col("us") / F.lit(1e6), F.col("id")
+    scored = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.lit(1).alias("model_version"), F.col("score").alias("fraud_score"), (F.col("score") >= 0.5).alias("decision"), F.create_map(F.lit("amount"), F.col("amount")).alias("features")))
+    label = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.col("label").alias("is_fraud")))
+    rows = t.select((i * 3).alias("seq"), F.lit("scored-features").alias("topic"), scored.alias("value"), at.alias("published_s"), i)
+    rows = rows.union(t.where("id % 3 <> 0").select(i * 3 + 1, F.lit("labels"), label, at, i)).union(t.where("id % 5 = 0").select(i * 3 + 2, F.lit("labels"), F.lit("{"), at, i))
+    path = new_path(spark, "stream")
+    for part in (0, 1):
+        rows.where(i % 2 == part).drop("id").coalesce(1).write.mode("append").parquet(path)
+    params = MonitorParams(retention_s=1e10, min_current=10**6)
+    messages = scoring.file_stream(spark, path, "seq bigint, topic string, value string, published_s double", files_per_batch=1)
+    online.start_monitor(messages, f"{path}-monitor", None, ["amount"], params, once=True).awaitTermination()
+    return rounded(spark.read.parquet(f"{path}-monitor/cycles").select("cycle", "matched", "cost", "flagged_rate", "poison"))

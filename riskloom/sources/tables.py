@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import os
 import re
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,9 @@ from pyspark.sql import types as T
 from riskloom.contract import require_columns
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] = ()) -> DataFrame:
     """A driver table, only the given columns; zone-less timestamps become UTC timestamps (and the session's zone UTC)."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -38,11 +44,46 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return df.select(*columns)
 
 
+def columns_matching(names: Sequence[str], pattern: str = r"V[0-9]+") -> list[str]:
+    return [c for c in names if re.fullmatch(pattern, c)]
+
+
 def matching_columns(spark: SparkSession, path: str, pattern: str = r"V[0-9]+") -> list[str]:
     """Names in a Parquet table's schema that match whole; no data is read."""
     return [c for c in spark.read.parquet(path).schema.fieldNames() if re.fullmatch(pattern, c)]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Unset, a local run gets a new folder; a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="riskloom-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+    return _LOCAL["dir"]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this application's; ``clear_written`` deletes them all."""
+    return f"{shared_folder(spark)}/riskloom/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what reads it twice computes it once, and lost executors cost nothing."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete every table written by ``written``; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/riskloom/tables-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Overwrite; Spark's commit protocol makes the files visible at the end of the job only."""
     df.write.mode("overwrite").parquet(path)

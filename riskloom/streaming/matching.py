@@ -1,8 +1,9 @@
 """Scores joined to late labels, in batch and as a stream, and rolling metrics of the matches.
 
 The clock is the largest event time seen on either side. An arrival older than the clock less the retention is dropped
-(one exactly that old is kept); the other side's last arrival counts while it is not older than that either; an
-id matches once.
+(one exactly that old is kept). Of an id one waiting side is kept, with its last arrival; the other side's arrival makes a
+match, after which the id is closed until the clock has passed the match's event time by more than the retention. Then
+it may match again. What waits longer than the retention is forgotten.
 """
 
 from __future__ import annotations
@@ -10,36 +11,73 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from riskloom.contract import CostMatrix, MonitorParams
 from riskloom.functions.ordering import ranked, running
 from riskloom.operators.metrics import auprc
+from riskloom.sources.tables import written
 
+_MATCH = "struct<score: double, decision: boolean, label: int, seq: bigint, t: double>"
+_STATE = f"struct<score: double, decision: boolean, label: int, at: double, seq: bigint, closed: double, out: array<{_MATCH}>>"
 
-def match_batch(arrivals: DataFrame, retention_s: float) -> DataFrame:
-    """``id, score, label, matched_seq`` of ``arrivals (seq, id, t, score, label)``: one of score and label is null.
 
-    ``seq`` is the order of arrival, without ties. Only the running clock needs the whole table in order.
+def _folded(arrivals: DataFrame, retention_s: float) -> DataFrame:
+    """``id, run, state`` of ``arrivals (seq, id, t, score, decision, label)``: what matched and what still waits.
+
+    Only the running clock needs the whole table in order. An id's arrivals are cut where everything known of it has aged
+    out, and each run of them is folded by itself.
     """
     r = F.lit(float(retention_s))
-    live = running(arrivals, "seq", [], {"clock": F.col("t")}, how="max").where(F.col("t") >= F.col("clock") - r)
-    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c: F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), "t")), ignorenulls=True).over(before)
-    seen = live.withColumns({"ls": last("score"), "ll": last("label")})
-    fresh = lambda c: F.col(f"{c}.t") >= F.col("clock") - r
-    pairs = seen.withColumn("m", F.when(F.col("label").isNotNull() & fresh("ls"), F.struct(F.col("ls.v").alias("score"), "label")).when(F.col("score").isNotNull() & fresh("ll"), F.struct("score", F.col("ll.v").alias("label"))))
-    return pairs.where("m is not null").groupBy("id").agg(F.min_by(F.struct("seq", "m"), "seq").alias("x")).select("id", "x.m.score", "x.m.label", F.col("x.seq").alias("matched_seq"))
+    if "decision" not in arrivals.columns:
+        arrivals = arrivals.withColumn("decision", F.lit(None).cast("boolean"))
+    live = running(arrivals.select("seq", "id", F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"), "decision", F.col("label").cast("int").alias("label")), "seq", [], {"clock": F.col("t")}, how="max").where(F.col("t") >= F.col("clock") - r)
+    order = Window.partitionBy("id").orderBy("seq")
+    newest = F.max("t").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(newest < F.col("clock") - r, F.lit(True))
+    runs = live.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = F.array_sort(F.collect_list(F.struct("seq", "t", "clock", "score", "decision", "label")))
+    none = F.struct(*[F.lit(None).alias(c) for c in ("score", "decision", "label", "at", "seq", "closed")], F.array().alias("out")).cast(_STATE)
+
+    def step(s: Column, x: Column) -> Column:
+        oldest = x["clock"] - r
+        closed = F.coalesce(s["closed"] >= oldest, F.lit(False))
+        waits = F.coalesce(s["at"] >= oldest, F.lit(False))
+        hit = waits & ((s["score"].isNotNull() & x["label"].isNotNull()) | (s["label"].isNotNull() & x["score"].isNotNull()))
+        match = F.struct(F.coalesce(x["score"], s["score"]).alias("score"), F.when(x["score"].isNotNull(), x["decision"]).otherwise(s["decision"]).alias("decision"), F.coalesce(x["label"], s["label"]).alias("label"), x["seq"].alias("seq"), x["t"].alias("t"))
+        matched = F.struct(*[F.lit(None).alias(c) for c in ("score", "decision", "label", "at", "seq")], x["t"].alias("closed"), F.concat(s["out"], F.array(match)).alias("out")).cast(_STATE)
+        waiting = F.struct(x["score"].alias("score"), x["decision"].alias("decision"), x["label"].alias("label"), x["t"].alias("at"), x["seq"].alias("seq"), s["closed"].alias("closed"), s["out"].alias("out")).cast(_STATE)
+        return F.when(closed, s).when(hit, matched).otherwise(waiting)
+
+    return runs.groupBy("id", "run").agg(F.aggregate(rows, none, step).alias("state"))
+
+
+def match_batch(arrivals: DataFrame, retention_s: float) -> DataFrame:
+    """``id, score, decision, label, matched_seq`` of ``arrivals (seq, id, t, score, decision, label)``: one of score and label is null.
+
+    ``seq`` is the order of arrival, without ties; ``decision`` comes with a score and may be missing.
+    """
+    found = _folded(arrivals, retention_s).select("id", F.explode("state.out").alias("m"))
+    return found.select("id", "m.score", "m.decision", "m.label", F.col("m.seq").alias("matched_seq"))
+
+
+def waiting(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParams().max_ids) -> DataFrame:
+    """``side, id, seq`` of what waits after the last arrival; of each side the ``max_ids`` that came last, as the oldest go first."""
+    clock = F.lit(float(arrivals.agg(F.max("t")).first()[0] or 0.0) - retention_s)
+    open_ = _folded(arrivals, retention_s).select("id", "state.*").where(F.col("at") >= clock)
+    side = F.when(F.col("score").isNotNull(), "pending").otherwise("early")
+    found = open_.select(side.alias("side"), "id", "seq")
+    return ranked(found, "seq", [], "nth", groups=["side"], descending=True).where(F.col("nth") <= max_ids).drop("nth")
 
 
 def match_counts(arrivals: DataFrame, retention_s: float) -> DataFrame:
-    """``matched, pending``: pairs found, and scores of the last retention that still wait for a label."""
-    matches = match_batch(arrivals, retention_s)
-    clock = arrivals.agg(F.max("t")).first()[0]
-    waiting = arrivals.where(F.col("score").isNotNull() & (F.col("t") >= F.lit(float(clock or 0) - retention_s))).select("id").distinct().join(matches.select("id"), "id", "left_anti")
-    return waiting.agg(F.count("*").alias("pending")).withColumn("matched", F.lit(matches.count()))
+    """``matched, pending``: pairs found, and scores that still wait for a label."""
+    arrivals = written(arrivals, "arrivals")  # read for the clock and for the matches
+    matched = match_batch(arrivals, retention_s).agg(F.count("*").alias("matched"))
+    pending = waiting(arrivals, retention_s).where("side = 'pending'").agg(F.count("*").alias("pending"))
+    return matched.join(pending)  # two rows of one
 
 
 class Matcher(StatefulProcessor):
@@ -50,35 +88,41 @@ class Matcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("waiting", "score double, label int, t bigint, done boolean")
+        self.state = handle.getValueState("waiting", "score double, decision boolean, label int, at bigint, closed bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.state.get() if self.state.exists() else (None, None, 0, False)
-        score, label, t, done = kept
-        clock = timerValues.getCurrentWatermarkInMs()
+        score, decision, label, at, closed = self.state.get() if self.state.exists() else (None, None, None, None, None)
+        clock, newest = timerValues.getCurrentWatermarkInMs(), max(at or 0, closed or 0)
         out = []
         for batch in rows:
             for row in batch.sort_values("seq").itertuples():
-                at = int(row.t.timestamp() * 1000)
-                clock = max(clock, at)
-                if done or at < clock - self.retention_ms:
+                t = int(row.t.timestamp() * 1000)
+                clock = max(clock, t)
+                oldest = clock - self.retention_ms
+                if t < oldest or (closed is not None and closed >= oldest):
                     continue
-                if t < clock - self.retention_ms:
-                    score = label = None
+                newest = max(newest, t)
+                if at is not None and at < oldest:
+                    score = decision = label = at = None
                 if pd.notna(row.score):
-                    score = float(row.score)
+                    if label is not None:
+                        out.append((key[0], float(row.score), None if pd.isna(row.decision) else bool(row.decision), label))
+                        score = decision = label = at = None
+                        closed = t
+                    else:
+                        score, decision, at = float(row.score), None if pd.isna(row.decision) else bool(row.decision), t
+                elif score is not None:
+                    out.append((key[0], score, decision, int(row.label)))
+                    score = decision = label = at = None
+                    closed = t
                 else:
-                    label = int(row.label)
-                t = at
-                if score is not None and label is not None:
-                    out.append((key[0], score, label))
-                    done = True
-        self.state.update((score, label, t, done))
+                    label, at = int(row.label), t
+        self.state.update((score, decision, label, at, closed))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(t, clock) + self.retention_ms)
+        self.handle.registerTimer(max(newest, clock) + self.retention_ms)
         if out:
-            yield pd.DataFrame(out, columns=["id", "score", "label"]).astype({"score": "float64", "label": "int32"})
+            yield pd.DataFrame(out, columns=["id", "score", "decision", "label"]).astype({"score": "float64", "label": "int32", "decision": "boolean"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -89,25 +133,23 @@ class Matcher(StatefulProcessor):
 
 
 def match_stream(arrivals: DataFrame, retention_s: float) -> DataFrame:
-    """``id, score, label`` of a stream ``arrivals (seq, id, t timestamp, score, label)``. State expires by event time."""
+    """``id, score, decision, label`` of a stream ``arrivals (seq, id, t timestamp, score, decision, label)``. State expires by event time, id by id."""
     marked = arrivals.withWatermark("t", f"{int(retention_s)} seconds")
-    return marked.groupBy("id").transformWithStateInPandas(statefulProcessor=Matcher(retention_s), outputStructType="id string, score double, label int", outputMode="Append", timeMode="EventTime")
+    return marked.groupBy("id").transformWithStateInPandas(statefulProcessor=Matcher(retention_s), outputStructType="id string, score double, decision boolean, label int", outputMode="Append", timeMode="EventTime")
 
 
 def last_matches(matches: DataFrame, window: int) -> DataFrame:
     return matches.orderBy(F.desc("matched_seq")).limit(window)
 
 
-def rolling_metrics(matches: DataFrame, threshold: float, costs: CostMatrix = CostMatrix(), window: int = 5000) -> DataFrame:
-    """``matched, auprc, cost, flagged_rate`` over the last ``window`` matches; nulls if there are none."""
-    last = last_matches(matches, window).persist()  # at most ``window`` rows
-    hit, y = F.col("score") >= threshold, F.col("label") == 1
+def rolling_metrics(matches: DataFrame, costs: CostMatrix = CostMatrix(), window: int = 5000) -> DataFrame:
+    """``matched, auprc, cost, flagged_rate`` over the last ``window`` matches, by the decisions that were served; nulls if there are none."""
+    last = written(last_matches(matches, window), "last-matches")  # at most ``window`` rows
+    hit, y = F.coalesce("decision", F.lit(False)), F.col("label") == 1
     cost = F.when(y & ~hit, F.lit(float(costs.false_negative))).when(~y & hit, F.lit(float(costs.false_positive))).otherwise(0.0)
-    one = last.agg(F.count("*").alias("matched"), F.avg(cost).alias("cost"), F.avg(hit.cast("double")).alias("flagged_rate")).first()
-    ap = auprc(last.select("score", "label")).first()
-    last.unpersist()
-    schema = "matched bigint, auprc double, cost double, flagged_rate double"
-    return matches.sparkSession.createDataFrame([(one["matched"], ap["auprc"] if ap else None, one["cost"], one["flagged_rate"])], schema)
+    one = last.agg(F.count("*").alias("matched"), F.avg(cost).alias("cost"), F.avg(hit.cast("double")).alias("flagged_rate"))
+    ap = auprc(last.select("score", "label")).agg(F.max("auprc").alias("auprc"))
+    return one.join(ap).select("matched", "auprc", "cost", "flagged_rate")  # two rows of one
 
 
 def below_floor(params: MonitorParams = MonitorParams()):

@@ -17,8 +17,8 @@ def _ddl(schema) -> str:
     return f"struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in [*schema.fields])}, _corrupt: string>"
 
 
-def route(messages: DataFrame) -> DataFrame:
-    """``topic, id, score, label, features, status`` of messages ``(topic, value)``.
+def route(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``topic, id, score, decision, label, features, status`` of messages ``(topic, value)``, and their columns to ``keep``.
 
     ``status`` is ``ok``, ``ignored`` (no payload, unknown topic) or ``poison`` (malformed, or outside its bounds).
     """
@@ -30,7 +30,7 @@ def route(messages: DataFrame) -> DataFrame:
     ok_label = F.col("l._corrupt").isNull() & F.col("l.is_fraud").isin(0, 1)
     good = F.coalesce(F.length(id_).between(1, 128) & ((scored & ok_score) | (label & ok_label)), F.lit(False))
     status = F.when(F.col("value").isNull() | (F.col("value") == "") | ~(scored | label), "ignored").when(good, "ok").otherwise("poison")
-    return m.select("topic", id_.alias("id"), F.col("s.fraud_score").alias("score"), F.col("l.is_fraud").alias("label"), F.col("s.features").alias("features"), status.alias("status"))
+    return m.select("topic", *keep, id_.alias("id"), F.col("s.fraud_score").alias("score"), F.col("s.decision").alias("decision"), F.col("l.is_fraud").alias("label"), F.col("s.features").alias("features"), status.alias("status"))
 
 
 def event_clock(published_s: Column, now_s: Column, clock_s: Column, params: MonitorParams = MonitorParams()) -> Column:

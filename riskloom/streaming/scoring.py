@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Sequence
 
@@ -42,34 +43,87 @@ def score_and_route(good_path: str, dead_path: str, score: Callable[[DataFrame],
     return run
 
 
-def start_scoring(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None], *, once: bool = True) -> StreamingQuery:
+def start_scoring(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None], *, once: bool = True, every_s: float = MonitorParams().recompute_s) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 seconds")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_s:g} seconds")).start()
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, *, start: str = "earliest", since_ms: int | None = None) -> DataFrame:
-    """A Kafka source; with ``since_ms`` it starts at that publish time, at the end where nothing is that recent.
+def kafka_options(servers: str, topic: str, *, start: str = "earliest", since_ms: int | None = None) -> dict[str, str]:
+    """Source options: from the earliest or latest offset, or per partition from a publish time on (its end where nothing is that recent).
 
-    Needs Spark's Kafka package on the class path.
+    Offsets are committed by the stream's checkpoint alone, after the batch's writes; a rewound or latest start applies to a new checkpoint only.
     """
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    if since_ms is None:
-        return reader.option("startingOffsets", start).load()
-    return reader.option("startingTimestamp", since_ms).option("startingOffsetsByTimestampStrategy", "latest").load()
+    if start not in ("earliest", "latest"):
+        raise ValueError(f"unknown start {start!r}")
+    where = {"startingOffsets": start} if since_ms is None else {"startingTimestamp": str(since_ms), "startingOffsetsByTimestampStrategy": "latest"}
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "includeHeaders": "true", "failOnDataLoss": "true"} | where
 
 
-def log_inference(batch: DataFrame, path: str, batch_id: int) -> int:
-    """Best effort: scored features with an id go to a table; the number of rows that could not be written is returned."""
-    rows = batch.where("transaction_id is not null")
+def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str | int | None) -> DataFrame:
+    """A Kafka source (see ``kafka_options``). Needs Spark's Kafka package on the class path."""
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, **options)).load()
+
+
+def keyed(rows: DataFrame, key: str, value: Column | None = None, headers: dict[str, Column] | None = None) -> DataFrame:
+    """``key, value, headers`` as a log sink takes them: the value is the row as JSON unless given; rows without a key get none."""
+    body = F.to_json(F.struct("*")) if value is None else value
+    head = F.array(*[F.struct(F.lit(n).alias("key"), v.cast("binary").alias("value")) for n, v in headers.items()]) if headers else F.lit(None).cast("array<struct<key: string, value: binary>>")
+    return rows.select(F.col(key).cast("string").alias("key"), body.cast("string").alias("value"), head.alias("headers"))
+
+
+def dead_letters(decoded: DataFrame, key: str = "key", payload: str = "value") -> DataFrame:
+    """Rejected events as they came, with the reason as a header."""
+    return keyed(decoded.where("reason is not null"), key, F.col(payload), {"reason": F.col("reason")})
+
+
+#: Producer settings: a record is written once and confirmed by all replicas before the batch counts as done.
+CONFIRMED = {"kafka.enable.idempotence": "true", "kafka.acks": "all", "includeHeaders": "true"}
+
+
+def write_log(rows: DataFrame, servers: str, topic: str) -> None:
+    """Send a micro-batch of ``keyed`` rows to a log and wait until it is confirmed: an error fails the batch, which is then replayed."""
+    rows.write.format("kafka").options(**CONFIRMED).option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
+def score_to_log(servers: str, good_topic: str, dead_topic: str, score: Callable[[DataFrame], DataFrame], key: str = "card_id", send: Callable[[DataFrame, str, str], None] = write_log) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function like ``score_and_route`` that writes to a log: predictions under ``key``, dead letters under their own."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        decoded = decode(batch).persist()
+        try:
+            send(dead_letters(decoded), servers, dead_topic)
+            send(keyed(score(decoded.where("reason is null")), key), servers, good_topic)
+        finally:
+            decoded.unpersist()
+
+    return run
+
+
+def log_inference(batch: DataFrame, path: str, batch_id: int) -> bool:
+    """Best effort: scored features with an id go to a table; False where the batch could not be written, which stops nothing."""
     try:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    except Exception:  # logging never stops scoring
-        return rows.count()
-    return 0
+        batch.where("transaction_id is not null").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    except Exception as error:  # logging never stops scoring
+        logging.getLogger(__name__).warning("batch %s is not logged: %s", batch_id, type(error).__name__)
+        return False
+    return True
+
+
+def retry_after_s(header: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number of seconds or an HTTP date (UTC), not below 0; null if it is neither."""
+    date = F.regexp_extract(header, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    at = F.try_to_timestamp(F.nullif(date, F.lit("")), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.coalesce(header.try_cast("double"), F.unix_micros(at) / 1e6 - F.unix_micros(now) / 1e6)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
+
+
+def shed_delay_s(header: Column, now: Column, base: float = 0.5, cap: float = 30.0) -> Column:
+    """The wait after a throttled call: the header's within [base, cap], else the base."""
+    return F.coalesce(F.least(F.greatest(retry_after_s(header, now), F.lit(base)), F.lit(cap)), F.lit(base))
 
 
 def outcome(status: Column) -> Column:
@@ -122,8 +176,8 @@ def alerts(cycles: DataFrame, params: MonitorParams = MonitorParams(), order: st
 
 
 def retrain_times(alert_rows: DataFrame, seconds: float, at_s: str = "at_s") -> DataFrame:
-    """When retraining is dispatched: any kind of alert, at most once in ``seconds``."""
-    return cooldown(alert_rows.withColumn("__all", F.lit("retrain")), by="__all", at_s=at_s, seconds=seconds).select(F.explode("fired").alias("at_s"))
+    """``at_s``: when retraining is dispatched: any kind of alert, at most once in ``seconds``."""
+    return cooldown(alert_rows.withColumn("__all", F.lit("retrain")), by="__all", at_s=at_s, seconds=seconds).select(F.col(at_s).alias("at_s"))
 
 
 class RetrainGate:

@@ -15,8 +15,8 @@ def test_assembled_row(spark):
     snapshot = spark.createDataFrame([("a", 3.0, 30.0, 5.0, 20.0, 60.0)], "card_id string, card_txn_count_24h double, card_amt_sum_24h double, card_amt_mean_24h double, card_amt_max_24h double, seconds_since_prev_txn double")
     got = {x["transaction_id"]: x for x in serving.assemble_features(requests, snapshot, encoder, prior, ["V1", "V2"]).collect()}
     assert list(got["1"].asDict())[1:] == feature_columns(["V1", "V2"])
-    assert (got["1"]["amt_to_mean_ratio"], got["1"]["V1"], got["1"]["V2"], got["1"]["C1"], got["1"]["ProductCD_freq"]) == (2.0, 7.0, None, 2.0, 0.5)
-    assert (got["2"]["card_txn_count_24h"], got["2"]["seconds_since_prev_txn"], got["2"]["amt_to_mean_ratio"], got["2"]["ProductCD_freq"], got["2"]["ProductCD_target"]) == (0, -1, 1, 0, 0.5)
+    assert (got["1"]["amt_to_card_mean_24h"], got["1"]["V1"], got["1"]["V2"], got["1"]["C1"], got["1"]["ProductCD_freq"]) == (2.0, 7.0, None, 2.0, 0.5)
+    assert (got["2"]["card_txn_count_24h"], got["2"]["seconds_since_prev_txn"], got["2"]["amt_to_card_mean_24h"], got["2"]["ProductCD_freq"], got["2"]["ProductCD_target"]) == (0, -1, 1, 0, 0.5)
     assert got["3"]["C1"] is None and got["3"]["M1_freq"] == 1.0
     assert serving.drift_baseline(train, encoder, prior, ["ProductCD"], "id", rows=4).count() == 4
     with pytest.raises(ValueError):

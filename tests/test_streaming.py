@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.contract import CanaryParams, CostMatrix, MonitorParams, ReplayParams
-from riskloom.operators import rules
+from riskloom.operators import drift, rules
 from riskloom.sources import tables
 from riskloom.streaming import matching, replay, scoring
 
@@ -28,53 +28,88 @@ def test_label_schedule(spark):
 
 
 def arrivals(spark, rows):
-    """(side, id, t, value)"""
-    made = [(k, i, float(t), float(v) if side == "s" else None, int(v) if side == "l" else None) for k, (side, i, t, v) in enumerate(rows)]
-    return spark.createDataFrame(made, "seq bigint, id string, t double, score double, label int")
+    """(side, id, t, value); a score of 0.5 or more was flagged."""
+    made = [(k, i, float(t), float(v) if side == "s" else None, v >= 0.5 if side == "s" else None, int(v) if side == "l" else None) for k, (side, i, t, v) in enumerate(rows)]
+    return spark.createDataFrame(made, "seq bigint, id string, t double, score double, decision boolean, label int")
 
 
 def matched(spark, rows, retention=1800.0):
-    return {x["id"]: (x["score"], x["label"]) for x in matching.match_batch(arrivals(spark, rows), retention).collect()}
+    got = matching.match_batch(arrivals(spark, rows), retention).collect()
+    assert all(x["decision"] == (x["score"] >= 0.5) for x in got)
+    return sorted((x["matched_seq"], x["id"], x["score"], x["label"]) for x in got)
 
 
 def simulate(rows, retention):
-    clock, waiting, done = float("-inf"), {}, {}
-    for side, i, t, v in rows:
+    """One arrival after another; what is older than the clock less the retention is forgotten, matches too."""
+    clock, waiting, closed, out = float("-inf"), {}, {}, []
+    for k, (side, i, t, v) in enumerate(rows):
         clock = max(clock, t)
-        if t < clock - retention or i in done:
+        waiting = {x: w for x, w in waiting.items() if w[1] >= clock - retention}
+        closed = {x: at for x, at in closed.items() if at >= clock - retention}
+        if t < clock - retention or i in closed:
             continue
-        other = waiting.get(("l" if side == "s" else "s", i))
-        if other and other[0] >= clock - retention:
-            done[i] = (float(v), other[1]) if side == "s" else (float(other[1]), v)
+        if i in waiting and waiting[i][0] != side:
+            other = waiting.pop(i)[2]
+            out.append((k, i, float(v if side == "s" else other), int(other if side == "s" else v)))
+            closed[i] = t
         else:
-            waiting[side, i] = (t, v)
-    return done
+            waiting[i] = (side, t, v)
+    return sorted(out), sorted(("pending" if w[0] == "s" else "early", i) for i, w in waiting.items())
 
 
 def test_matching(spark):
-    assert matched(spark, [("s", "a", 0, 0.9), ("l", "a", 5, 1), ("l", "b", 5, 0), ("s", "b", 6, 0.1)]) == {"a": (0.9, 1), "b": (0.1, 0)}
-    assert matched(spark, [("s", "a", 0, 0.9), ("l", "a", 5, 1), ("l", "a", 6, 0), ("s", "a", 7, 0.2)]) == {"a": (0.9, 1)}
-    assert matched(spark, [("s", "z", 1000, 0.5), ("s", "a", 0, 0.9), ("l", "a", 0, 1)], 2) == {}
-    assert matched(spark, [("s", "a", 0, 0.9), ("s", "z", 10, 0.5), ("l", "a", 10, 1)], 2) == {}
-    assert matched(spark, [("s", "a", 8, 0.9), ("s", "z", 10, 0.5), ("l", "a", 10, 1)], 2) == {"a": (0.9, 1)}
+    last = lambda rows, *r: [x[1:] for x in matched(spark, rows, *r)]
+    assert last([("s", "a", 0, 0.9), ("l", "a", 5, 1), ("l", "b", 5, 0), ("s", "b", 6, 0.1)]) == [("a", 0.9, 1), ("b", 0.1, 0)]
+    assert last([("s", "a", 0, 0.9), ("l", "a", 5, 1), ("l", "a", 6, 0), ("s", "a", 7, 0.2)]) == [("a", 0.9, 1)]
+    assert last([("s", "z", 1000, 0.5), ("s", "a", 0, 0.9), ("l", "a", 0, 1)], 2) == []
+    assert last([("s", "a", 0, 0.9), ("s", "z", 10, 0.5), ("l", "a", 10, 1)], 2) == []
+    assert last([("s", "a", 8, 0.9), ("s", "z", 10, 0.5), ("l", "a", 10, 1)], 2) == [("a", 0.9, 1)]
+    again = [("s", "a", 0, 0.9), ("l", "a", 1, 1), ("s", "z", 50, 0.5), ("l", "a", 51, 0), ("s", "a", 52, 0.1)]
+    assert last(again, 10) == [("a", 0.9, 1), ("a", 0.1, 0)] and last(again, 100) == [("a", 0.9, 1)]
 
 
 def test_matching_against_simulation(spark):
+    """Random arrivals with few ids that come back again and again; one of them has most rows."""
     import random
 
-    for seed in range(3):
+    for seed in range(4):
         r = random.Random(seed)
-        rows = [(r.choice("sl"), str(r.randrange(60)), r.randrange(400) // 4 + k // 3, r.choice([0, 1])) for k in range(300)]
-        assert matched(spark, rows, 40.0) == {i: (float(s), l) for i, (s, l) in simulate(rows, 40.0).items()}
+        pick = lambda: "hot" if r.random() < 0.6 else str(r.randrange(12))
+        rows = [(r.choice("sl"), pick(), k // 2 - r.randrange(30), r.choice([0, 1])) for k in range(400)]
+        expected, open_ = simulate(rows, 20.0)
+        assert matched(spark, rows, 20.0) == expected and len(expected) > 20
+        left = matching.waiting(arrivals(spark, rows), 20.0).collect()
+        assert sorted((x["side"], x["id"]) for x in left) == open_
+        assert matching.match_counts(arrivals(spark, rows), 20.0).first().asDict() == {"matched": len(expected), "pending": sum(x[0] == "pending" for x in open_)}
+        newest = {max((x["seq"], x["id"]) for x in left if x["side"] == side)[1] for side in {x["side"] for x in left}}
+        assert {x["id"] for x in matching.waiting(arrivals(spark, rows), 20.0, max_ids=1).collect()} == newest
+
+
+def test_stream_matches_like_the_batch(spark, tmp_path):
+    """In order of event time, one file after another: ids come back after the retention."""
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice("sl"), str(r.randrange(8)), k * 3, r.choice([0, 1])) for k in range(120)]
+    made = arrivals(spark, rows).withColumn("t", F.timestamp_seconds(F.col("t") + 1_700_000_000))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(4):
+        made.where(F.col("seq").between(30 * k, 30 * k + 29)).coalesce(1).write.mode("append").parquet(src)
+    stream = scoring.file_stream(spark, src, "seq bigint, id string, t timestamp, score double, decision boolean, label int", files_per_batch=1)
+    q = matching.match_stream(stream, 60.0).writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((x["id"], x["score"], x["decision"], x["label"]) for x in spark.read.parquet(out).collect())
+    assert got == sorted((i, s, s >= 0.5, y) for _, i, s, y in simulate(rows, 60.0)[0])
 
 
 def test_rolling(spark):
-    rows = [(str(i), s, y, i) for i, (s, y) in enumerate([(0.1, 1), (0.9, 0), (0.9, 1)])]
-    m = spark.createDataFrame(rows, "id string, score double, label int, matched_seq bigint")
-    got = matching.rolling_metrics(m, 0.5, CostMatrix(100, 5)).first()
+    rows = [(str(i), s, s >= 0.5, y, i) for i, (s, y) in enumerate([(0.1, 1), (0.9, 0), (0.9, 1)])]
+    m = spark.createDataFrame(rows, "id string, score double, decision boolean, label int, matched_seq bigint")
+    got = matching.rolling_metrics(m, CostMatrix(100, 5)).first()
     assert got["matched"] == 3 and got["cost"] == pytest.approx(35) and got["flagged_rate"] == pytest.approx(2 / 3)
-    assert matching.rolling_metrics(m, 0.5, window=2).first()["matched"] == 2
-    empty = matching.rolling_metrics(m.where("false"), 0.5).first()
+    assert matching.rolling_metrics(m.withColumn("decision", ~F.col("decision")), CostMatrix(100, 5)).first()["cost"] == pytest.approx(100 / 3)
+    assert matching.rolling_metrics(m, window=2).first()["matched"] == 2
+    empty = matching.rolling_metrics(m.where("false")).first()
     assert empty["matched"] == 0 and empty["auprc"] is None
     assert matching.feature_window(m, 2, 5, "matched_seq") is None
 
@@ -177,11 +212,120 @@ def test_canary(spark):
 
 
 def test_token_bucket(spark):
-    df = spark.createDataFrame([("a", 0.0)] * 5 + [("a", 1.0)] * 3 + [("b", 0.0)], "client string, at_s double")
+    df = spark.createDataFrame([(c, t, i) for i, (c, t) in enumerate([("a", 0.0)] * 5 + [("a", 1.0)] * 3 + [("b", 0.0)])], "client string, at_s double, id int")
     got = {x["client"]: (x["allowed"], x["denied"]) for x in rules.token_bucket(df, capacity=3, refill=1).collect()}
     assert got == {"a": (4, 4), "b": (1, 0)}
 
 
+def test_token_bucket_against_a_loop(spark):
+    """Random requests, one client with nine of ten."""
+    import random
+
+    r = random.Random(2)
+    rows = [("hot" if r.random() < 0.9 else r.choice("ab"), r.randrange(2000) / 4, i) for i in range(600)]
+    state, expected = {}, {}
+    for c, t, _ in sorted(rows, key=lambda x: (x[1], x[2])):
+        tokens, last = state.get(c, (3.0, t))
+        tokens = min(3.0, tokens + (t - last) * 0.5)
+        ok = tokens >= 1
+        state[c] = (tokens - ok, t)
+        a, b = expected.get(c, (0, 0))
+        expected[c] = (a + ok, b + (not ok))
+    got = {x["client"]: (x["allowed"], x["denied"]) for x in rules.token_bucket(spark.createDataFrame(rows, "client string, at_s double, id int"), capacity=3, refill=0.5).collect()}
+    assert got == expected
+
+
+def test_cooldown_against_a_loop(spark):
+    """A key with nine of ten rows, null keys, equal times."""
+    import random
+
+    r = random.Random(1)
+    rows = [("hot" if r.random() < 0.9 else r.choice(["a", None]), float(r.randrange(900))) for _ in range(700)] + [("a", None), ("b", 5.0)]
+    expected = set()
+    for k in {k for k, _ in rows}:
+        last = None
+        for t in sorted(t for x, t in rows if x == k and t is not None):
+            if last is None or t - last >= 7:
+                expected.add((k, t))
+                last = t
+    got = [(x["k"], x["at"]) for x in drift.cooldown(spark.createDataFrame(rows, "k string, at double"), by="k", at_s="at", seconds=7.0).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def guarded(spark, name, samples):
+    """How a rule stands at each time, for samples (metric, labels, t, value)."""
+    rule = next(r for r in rules.ALERT_RULES if r.name == name)
+    series = spark.createDataFrame([("s", m, lab, t, float(v)) for m, lab, t, v in samples], "service string, metric string, labels map<string,string>, ts_s bigint, value double")
+    return {x["ts_s"]: (x["value"], x["active"]) for x in rules.evaluate(rule, series).collect()}
+
+
+def test_guards(spark):
+    low = [("auprc", {}, t, 0.1) for t in (0, 60, 120)]
+    assert not guarded(spark, "performance_decay", low)[120][1]  # nothing matched yet
+    got = guarded(spark, "performance_decay", low + [("matched", {}, 0, 200), ("matched", {}, 60, 201)])
+    assert [got[t][1] for t in (0, 60, 120)] == [False, True, True]
+    lag = [("join_clock_lag", {}, t, 700) for t in (0, 60, 120, 600)]
+    idle = [("scored", {}, t, 5) for t in (0, 60, 120)]
+    assert not any(x[1] for x in guarded(spark, "join_clock_stalled", lag + idle).values())
+    got = guarded(spark, "join_clock_stalled", lag + idle[:2] + [("scored", {}, 120, 6)])
+    assert [got[t][1] for t in (0, 60, 120, 600)] == [False, False, True, False]  # stale after five minutes
+    fetches = [("feature_fetch_count", {"endpoint": e}, t, t * 2) for e in "ab" for t in (0, 60, 120)]
+    errors = [("feature_fetch_errors", {}, t, v) for t, v in ((0, 0), (60, 2), (120, 5))]
+    got = guarded(spark, "feature_fetch_errors", fetches + errors)
+    assert got[60] == (pytest.approx(2 / 240), False) and got[120] == (pytest.approx(5 / 480), True)
+    few = [("feature_fetch_count", {}, t, t // 60) for t in (0, 60, 120)]
+    assert not guarded(spark, "feature_fetch_errors", few + errors)[120][1]  # too few fetches a second
+
+
+def test_quantile_of_two_series(spark):
+    """Series of other labels are no resets of each other."""
+    one = [("latency", {"endpoint": e, "le": le}, t, c * t) for e in "ab" for le, c in (("0.01", 1), ("0.1", 2), ("Infinity", 2)) for t in (0, 60, 120)]
+    value, active = guarded(spark, "latency_slo", one)[120]
+    assert value == pytest.approx(0.01 + 0.09 * 0.98) and active
+
+
+def test_log_sinks(spark, tmp_path):
+    assert scoring.kafka_options("b:1", "t") == {"kafka.bootstrap.servers": "b:1", "subscribe": "t", "includeHeaders": "true", "failOnDataLoss": "true", "startingOffsets": "earliest"}
+    assert scoring.kafka_options("b:1", "t", start="latest")["startingOffsets"] == "latest"
+    rewound = scoring.kafka_options("b:1", "t", since_ms=5)
+    assert rewound["startingTimestamp"] == "5" and rewound["startingOffsetsByTimestampStrategy"] == "latest" and "startingOffsets" not in rewound
+    with pytest.raises(ValueError):
+        scoring.kafka_options("b:1", "t", start="middle")
+    assert scoring.CONFIRMED["kafka.enable.idempotence"] == "true" and scoring.CONFIRMED["kafka.acks"] == "all"
+    body = lambda i: json.dumps({"transaction_id": str(i), "card_id": f"c{i}", "amount": float(i)})
+    spark.createDataFrame([("k1", body(1)), ("k2", "{"), (None, "")], "key string, value string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    sent, failures = [], [True]
+
+    def send(rows, servers, topic):
+        if topic == "good" and failures:
+            failures.pop()
+            raise RuntimeError("not confirmed")
+        sent.extend((topic, x["key"], x["value"], [(h["key"], bytes(h["value"])) for h in x["headers"] or []]) for x in rows.collect())
+
+    run = scoring.score_to_log("b:1", "good", "dead", lambda g: g.select("event.card_id", (F.col("event.amount") / 10).alias("score")), send=send)
+    stream = lambda: scoring.file_stream(spark, str(tmp_path / "in"), "key string, value string")
+    with pytest.raises(Exception, match="not confirmed"):
+        scoring.start_scoring(stream(), str(tmp_path / "ck"), run).awaitTermination()
+    assert not any(x[0] == "good" for x in sent)
+    sent.clear()  # what isn't confirmed is sent again, dead letters too
+    scoring.start_scoring(stream(), str(tmp_path / "ck"), run).awaitTermination()
+    assert sorted(sent, key=repr) == sorted([("good", "c1", '{"card_id":"c1","score":0.1}', []), ("dead", "k2", "{", [("reason", b"deserialize_error")]), ("dead", None, "", [("reason", b"empty_payload")])], key=repr)
+
+
+def test_inference_log(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.5), (None, 0.1)], "transaction_id string, score double")
+    assert scoring.log_inference(rows, str(tmp_path / "log"), 0) and spark.read.parquet(str(tmp_path / "log")).count() == 1
+    (tmp_path / "file").write_text("")
+    assert not scoring.log_inference(rows, str(tmp_path / "file"), 1)
+
+
+def test_retry_after(spark):
+    now = F.lit("2024-05-01 12:00:00").cast("timestamp")
+    df = spark.createDataFrame([("5",), ("-3",), ("1e3",), ("Wed, 01 May 2024 12:00:07 GMT",), ("Wed, 01 May 2024 11:00:00 GMT",), ("soon",), (None,)], "h string")
+    assert [x[0] for x in df.select(scoring.retry_after_s(F.col("h"), now)).collect()] == [5, 0, 1000, 7, 0, None, None]
+    assert [x[0] for x in df.select(scoring.shed_delay_s(F.col("h"), now)).collect()] == [5, 0.5, 30, 7, 0.5, 0.5, 0.5]
+
+
 def test_inhibition(spark):
     df = spark.createDataFrame([("x", "fast"), ("x", "slow"), ("y", "slow")], "service string, alertname string")
     assert sorted(tuple(x) for x in rules.inhibit(df, "fast", "slow", ["service"]).select("service", "alertname").collect()) == [("x", "fast"), ("y", "slow")]
