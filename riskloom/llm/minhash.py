@@ -17,6 +17,8 @@ from riskloom.llm.components import connected_components
 BANDS, ROWS = 32, 5
 #: Of the packed bits (one of each minimum) a pair at 0.8 differs in 16 of 160 on average (deviation 3.8).
 MAX_BITS_APART = 36
+#: Groups of more comparisons than this are cut by their rarest shingles first.
+DIRECT_PAIRS = 4_000_000
 SEED = 20240607
 _STEP = 1024
 
@@ -120,7 +122,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, max_bits_apart: int = MAX_BITS_APART) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, max_bits_apart: int = MAX_BITS_APART, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """Groups of near copies among ``docs (doc_id, text, ...)``.
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``. Two documents are linked if
@@ -157,7 +159,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     best = spokes.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a1"), F.min_by("a", F.struct("apart", "a")).alias("a2"))
     linked = _linked(best.select(F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"), "b"), sets, percent)
     labels = _relabel(light.select("node", F.col("node").alias("component")), materialize(linked, "links"))
-    labels = _relabel(labels, materialize(_rest(members, central, labels, sets, percent), "links"))
+    labels = _relabel(labels, materialize(_rest(members, central, labels, sets, percent, direct_pairs), "links"))
 
     classes = nodes.select("d1", "d2", "node").join(labels.where("node <> component"), "node", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
@@ -166,15 +168,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _rest(members: DataFrame, central: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, central: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, direct_pairs: int) -> DataFrame:
     """Links ``(a, b)`` between nodes of different components that share a bucket; none is left out.
 
     A bucket is handled relative to one hub, the most central node of its largest component. Of each node a bitmap
     tells which shingles of the hub it has; ``common`` counts its other shingles that any other node of the hub's
     group has too. Two nodes have at most as many shingles in common as their bitmaps plus the lesser count.
     That bound settles nearly all pairs inside the join, between nodes outside the hub's component and all nodes
-    of the group; only pairs that pass it leave the join, to be checked on the full sets. Groups are split by a
-    salt so that no task holds more than about four million pairs.
+    of the group; only pairs that pass it leave the join, to be checked on the full sets. Groups of more than ``direct_pairs``
+    such comparisons go by shared rare shingles instead (``_by_rare_shingles``), so their work isn't that of all pairs.
     """
     labelled = members.select("key", "node").join(labels, "node")
     per = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -202,18 +204,51 @@ def _rest(members: DataFrame, central: DataFrame, labels: DataFrame, sets: DataF
     twice = extras.groupBy("hub", "x").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     common = extras.join(twice, ["hub", "x"]).groupBy("hub", "node").agg(F.count("*").alias("common"))
     rows = coded.drop("extra", "n_hub").join(common, ["hub", "node"], "left").fillna(0, ["common"])
-    load = rows.groupBy("hub").agg((F.count("*") * F.count_if(F.col("component") != F.col("main")) / 4_000_000).cast("bigint").alias("more"))
-    rows = materialize(rows.join(load, "hub"), "coded")
-    out = rows.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("more") + 1)).alias("l")
-    everyone = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("more")))).alias("r")
+    load = rows.groupBy("hub").agg((F.count("*") * F.count_if(F.col("component") != F.col("main")) / F.lit(max(direct_pairs, 1))).cast("bigint").alias("more"))
+    rows = materialize(rows.join(load.where("more > 0" if direct_pairs else "more >= 0").select("hub", F.lit(True).alias("large")), "hub", "left"), "coded")
+    small = rows.where("large is null")
+    l, r = small.where("component <> main").alias("l"), small.alias("r")
+    once = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
+    pairs = l.join(r, (F.col("l.hub") == F.col("r.hub")) & once & _may_link(percent)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    large = rows.where("large")
+    if not large.isEmpty():
+        pairs = pairs.union(_by_rare_shingles(large, sets, percent, max(direct_pairs, 1)))
+    return _linked(pairs.distinct(), sets, percent).union(inside)
+
+
+def _may_link(percent: int):
+    """Necessary for a link of coded rows ``l`` and ``r`` of one group: the sizes, and the most shingles they can have in common."""
     shared = F.aggregate(F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, x: a + x)
     most = shared + F.least("l.common", "r.common")
-    once = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
-    total = F.col("l.n") + F.col("r.n")
     sized = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
-    near = out.join(everyone, (F.col("l.hub") == F.col("r.hub")) & (F.col("l.salt") == F.col("r.salt")) & once & sized & (most * (100 + percent) >= total * percent))
-    pairs = near.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    return _linked(pairs, sets, percent).union(inside)
+    return sized & (most * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent)
+
+
+def _by_rare_shingles(rows: DataFrame, sets: DataFrame, percent: int, direct_pairs: int) -> DataFrame:
+    """Pairs ``(a, b)`` of coded rows of different components that may be linked, by a prefix filter within each hub's group.
+
+    Shingles are ordered by how many nodes of the group have them, the rarest first. Two sets at the similarity share one of
+    the first n - ceil(n * similarity) + 1 shingles of each, and after the first they share at most the rest of the shorter
+    one. Only shingles of several components join, and of those the nodes outside a shingle's largest component are
+    held against all; groups of a shingle are split by a salt, so that no task holds more than ``direct_pairs`` comparisons.
+    """
+    each = rows.select("hub", "node", "component").join(sets, "node").select("hub", "node", "component", F.explode("shingles").alias("x"))
+    per = each.groupBy("hub", "x").agg(F.count("*").alias("f"), (F.min("component") != F.max("component")).alias("mixed"))
+    ordered = each.join(per, ["hub", "x"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("f", "x", "mixed"))).alias("o"))
+    n = F.size("o")
+    first = n - F.ceil(n * percent / F.lit(100.0)).cast("int") + 1
+    prefix = ordered.select("hub", "node", F.posexplode(F.slice("o", F.lit(1), first)).alias("pos", "t")).where("t.mixed").select("hub", "node", "pos", "t.x")
+    coded = materialize(prefix.join(rows.select("hub", "node", "component", "n", "bits", "common"), ["hub", "node"]), "rare-shingles")
+    sizes = coded.groupBy("hub", "x", "component").agg(F.count("*").alias("k"))
+    groups = sizes.groupBy("hub", "x").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.count("*").alias("parts"))
+    groups = groups.where("parts > 1").select("hub", "x", "main", (F.col("k") * (F.col("k") - F.col("most")) / F.lit(direct_pairs)).cast("bigint").alias("more"))
+    coded = coded.join(groups, ["hub", "x"])
+    l = coded.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("more") + 1)).alias("l")
+    r = coded.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("more")))).alias("r")
+    once = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
+    after = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent
+    near = l.join(r, (F.col("l.hub") == F.col("r.hub")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.salt") == F.col("r.salt")) & once & after & _may_link(percent))
+    return near.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
 
 def _relabel(labels: DataFrame, tried: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import connected_components
-from riskloom.llm.minhash import near_duplicates
+from riskloom.llm.minhash import _by_rare_shingles, near_duplicates
 
 from .helpers import DOCS, docs, prose
 
@@ -39,17 +39,40 @@ def edited(r, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_against_all_pairs(spark, words):
+@pytest.mark.parametrize(("words", "direct"), [(2, 4_000_000), (2, 0), (5, 4_000_000), (5, 0), (2, 200)])
+def test_against_all_pairs(spark, words, direct):
+    """Large groups go by rare shingles, here all of them or some: the same links."""
     r = random.Random(words)
     base = [prose(k, 90) for k in range(4)]
     rows = [(i, edited(r, base[i % 4], r.choice([0, 1, 2, 3, 4, 5, 6, 9, 12]))) for i in range(160)]
     rows += [(500 + i, prose(100 + i, r.randint(1, 60))) for i in range(20)]
     rows += [(600, "One"), (601, "one"), (602, "one two"), (603, " ONE\ttwo\n"), (604, ""), (605, " \n"), (606, None), (607, "Äb c"), (608, "äb c")]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(docs(spark, rows), words=words).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(docs(spark, rows), words=words, direct_pairs=direct).collect()}
     assert got == brute(rows, words)
 
 
+@pytest.mark.parametrize("direct", [4_000_000, 0])
+def test_boilerplate_with_own_parts(spark, direct):
+    """Nine of ten documents share most of their text, and pairs of them a part of their own: many components in one bucket."""
+    shared = prose(1, 80)
+    rows = [(i, f"{shared} {prose(1000 + i // 2, 12 + i % 3)} {prose(5000 + i, i % 4)}") for i in range(180)] + [(500 + i, prose(9000 + i, 40)) for i in range(20)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(docs(spark, rows), words=2, direct_pairs=direct).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_work_of_a_mixed_group(spark):
+    """2,000 documents of one template with own parts of a third: few pairs share a rare shingle, so few are held against each other."""
+    shared = prose(1, 60)
+    rows = [(i, f"{shared} {' '.join(f'own{i // 2}x{k}' for k in range(40 + i % 2))}") for i in range(2000)]
+    coded = spark.createDataFrame([("h", i, i // 2, t) for i, t in rows], "hub string, node bigint, component bigint, text string")
+    coded = coded.select("hub", "node", F.col("node").alias("component"), F.array_distinct(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))).alias("shingles"))
+    sets = coded.select("node", "shingles")
+    bits = coded.select("hub", "node", "component", F.size("shingles").cast("bigint").alias("n"), F.array(F.lit(-1).cast("bigint")).alias("bits"), F.lit(10**6).cast("bigint").alias("common"))
+    pairs = _by_rare_shingles(bits, sets, 80, 4_000_000).distinct()
+    found = {(x["a"], x["b"]) for x in pairs.collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(1000)}  # of two million pairs
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, prose(1, 40)), (3, prose(1, 40)), (3, prose(1, 40)), (None, "alone here now"), (9, None)]
     got = sorted(((repr(x["doc_id"]), x["component_id"], x["kept"]) for x in near_duplicates(docs(spark, rows)).collect()), key=repr)
