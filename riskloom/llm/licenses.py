@@ -28,8 +28,8 @@ def _rule_table(spark: SparkSession, rules: list[tuple[str, list[str]]]) -> Data
     return _fixed_table(spark, [{"rule": F.lit(n), "licence": F.lit(name), "ids": F.array(*map(F.lit, ids))} for n, (name, ids) in enumerate(rules)])
 
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+def _normal(lowered: Column) -> Column:
+    return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
 def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -56,7 +56,10 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
     parts = F.filter(F.split(whole, SENTENCE_END), lambda x: x.rlike(r"\S"))
     each = docs.select(row_key().alias("doc"), F.posexplode_outer(F.concat(parts, F.array(F.lit(None).cast("string")))).alias("pos", "part"))
     tried = F.when(F.contains("part", F.lit("\n")), F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
-    each = each.select("doc", "pos", F.posexplode(tried).alias("line", "part")).select("doc", "pos", "line", F.coalesce(_normal(F.col("part")), F.lit(end)).alias("sentence"))
+    each = each.select("doc", "pos", F.posexplode(tried).alias("line", "part")).select("doc", "pos", "line", F.lower("part").alias("part"))
+    begins = "|".join(sorted({x.split()[0] for x in sentences.values()}))  # a first look, so that few sentences are normalised whole
+    each = each.where(F.col("part").isNull() | F.col("part").rlike(rf"^[^a-z0-9]*+(?:{begins})(?![a-z0-9])"))
+    each = each.select("doc", "pos", "line", F.coalesce(_normal(F.col("part")), F.lit(end)).alias("sentence"))
     fits = F.when(F.col("tail").isNull(), F.col("sentence") == F.col("head")).otherwise(F.startswith("sentence", "head") & F.endswith("sentence", "tail"))
     hits = each.withColumn("key", F.substring_index("sentence", " ", KEY_WORDS)).join(F.broadcast(known), "key").where(fits)
     hits = materialize(hits.select("doc", "pos", "line", "sid", F.col("tail").isNotNull().alias("open")), "licence-sentences")
