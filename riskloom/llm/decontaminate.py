@@ -49,7 +49,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     whole window needs every one of its shingles, so a prefix of one, the rarest, finds all candidates.
     Those within the document's bounds are verified shingle by shingle.
 
-    Null texts, texts without words and an empty benchmark give no hits; empty ``docs`` give no rows. Rows that
+    An item without an id counts as one of the ``n_items`` and has no id in ``items_sha256``. Null texts, texts without words and
+    an empty benchmark give no hits; empty ``docs`` give no rows. Rows that
     repeat an id and text whole give equal rows; a null doc_id is an id like others. Other columns are ignored.
     """
     windows = materialize(_windows(benchmark, window), "windows")

@@ -136,7 +136,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, bands
 
     Null or blank text: an empty set, linked with nothing. Null doc_id: its set is counted and it takes the
     component of an equal set, if any (then it isn't kept), else null (then it is kept). Repeated rows give
-    repeated results. Extra columns are ignored. An empty table gives an empty result.
+    repeated results. An id names one text: of an id that repeats with other texts only one is held against others, so
+    give rows a number of their own where that happens, as the pipeline's stage does. Extra columns are ignored. Texts of any
+    length are read whole. An empty table gives an empty result.
     """
     sig = materialize(signatures(docs, words, bands, rows), "signatures")
     usable = sig.where("n_shingles > 0 and doc_id is not null")
