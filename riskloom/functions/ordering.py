@@ -10,13 +10,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGES = 64
 
 
 def range_bounds(df: DataFrame, key: Column, ranges: int = RANGES) -> list[float]:
-    cuts = df.agg(F.percentile_approx(key.cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    return sorted(set(cuts or []))
+    """Approximate quantiles, in order; a value that many rows share stands there more than once."""
+    return sorted(df.agg(F.percentile_approx(key.cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])
+
+
+def _ranges(df: DataFrame, key: str, tie: Sequence[str], ranges: int, descending: bool) -> Column:
+    """Number of each row's range, in the order of key and ties. Rows that share a frequent key are cut by their first tie, if it is a number."""
+    cuts = range_bounds(df, F.col(key), ranges)
+    bounds = sorted(set(cuts))
+    place = in_range(F.col(key), bounds) * (-1 if descending else 1) * (2 * ranges)
+    shared = {v: cuts.count(v) for v in bounds if cuts.count(v) > 1}
+    if not shared or not tie or not isinstance(df.schema[tie[0]].dataType, T.NumericType):
+        return place
+    same = F.col(key).cast("double")
+    quantiles = [F.percentile_approx(F.when(same == F.lit(float(v)), F.col(tie[0]).cast("double")), [i / n for i in range(1, n)], 10_000).alias(f"q{i}") for i, (v, n) in enumerate(shared.items())]
+    found = df.agg(*quantiles).first()
+    within = F.lit(0)
+    for i, v in enumerate(shared):
+        beyond = F.lit(-1 if descending else ranges)  # the rest of the value's range, above it
+        after = [b for b in bounds if b > v]
+        rest = (same > F.lit(float(v))) & ((same < F.lit(float(after[0]))) if after else F.lit(True))
+        within = F.when(same == F.lit(float(v)), in_range(F.col(tie[0]), sorted(set(found[i] or [])))).when(rest, beyond).otherwise(within)
+    return place + within
 
 
 def in_range(key: Column, bounds: Sequence[float], first: int = 0) -> Column:
@@ -31,9 +52,7 @@ def in_range(key: Column, bounds: Sequence[float], first: int = 0) -> Column:
 def running(df: DataFrame, key: str, tie: Sequence[str], totals: dict[str, Column], *, groups: Sequence[str] = (), descending: bool = False, ranges: int = RANGES, how: str = "sum") -> DataFrame:
     """Adds for each of ``totals`` its sum (or with ``how="max"`` its maximum) over the group's rows up to this one, by ``key`` and ``tie``."""
     fold, join = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest)}[how]
-    sign = -1 if descending else 1
-    bounds = range_bounds(df, F.col(key), ranges)
-    df = df.withColumn("__range", in_range(F.col(key), bounds) * sign)
+    df = df.withColumn("__range", _ranges(df, key, tie, ranges, descending))
     order = [F.col(key).desc() if descending else F.col(key).asc(), *tie]
     by = Window.partitionBy(*groups, "__range")
     rows = df.withColumns({n: fold(v).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for n, v in totals.items()})

@@ -33,7 +33,7 @@ def psi(baseline: DataFrame, current: DataFrame, columns: Sequence[str], bins: i
     edges = baseline_edges(baseline, columns, bins)
 
     def binned(df: DataFrame, side: str) -> DataFrame:
-        joined = _long(df, columns).join(F.broadcast(edges), "feature")  # a row for each feature
+        joined = _long(df, columns).join(edges, "feature")
         at = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
         return joined.select("feature", at.alias("bin"), F.lit(side).alias("side"))
 

@@ -26,7 +26,7 @@ from riskloom.contract import CostMatrix, Params, same_features
 from riskloom.functions.ordering import ranked
 from riskloom.operators import metrics, prepare
 from riskloom.operators.gate import Registry, decide
-from riskloom.sources.tables import content_hashes, read_json, write_json
+from riskloom.sources.tables import content_hashes, read_json, write_json, written
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,8 @@ def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
 
 def split_metrics(bundle: Bundle, df: DataFrame, ks: Sequence[float]) -> DataFrame:
     """``split, auprc`` and recalls of rows that carry ``split``, every split in the same jobs."""
-    scored = bundle.score(df).select("id", "label", "split", F.col("raw_score").alias("score")).persist()
+    scored = bundle.score(df).select("id", "label", "split", F.col("raw_score").alias("score"))
+    scored = written(scored, "split-scores")
     out = metrics.auprc(scored, by=["split"])
     for k in ks:
         n = scored.groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
@@ -210,7 +211,7 @@ def train_and_gate(df: DataFrame, features: Sequence[str], registry: Registry, p
     bundle.calibrator = fit_isotonic(raw_scores(bundle, halves.where("fold = 0").drop("fold")))
     chosen = metrics.select_threshold(bundle.score(halves.where("fold = 1").drop("fold")).select("id", "label", "score"), params.cost, recall_floor=params.recall_floor, alert_budget=params.alert_budget)
     bundle.threshold = chosen["threshold"]
-    test = bundle.score(part["test"]).select("id", "label", "raw_score", "score").persist()
+    test = written(bundle.score(part["test"]).select("id", "label", "raw_score", "score"), "test-scores")
     ap = metrics.auprc(test.select("label", F.col("raw_score").alias("score"))).first()["auprc"]
     cost = metrics.expected_cost(test, bundle.threshold, params.cost).first()["cost_per_row"]
     challenger = (ap if ap is not None else math.nan, cost if cost is not None else math.nan)

@@ -193,12 +193,12 @@ def stratified_sample(df: DataFrame, *, size: int, label: str, id: str, seed: in
         return df
     quota = df.groupBy(label).agg(F.bround(F.count("*") * F.lit(size / n), 0).cast("bigint").alias("__quota"))
     hashed = ranked(df.withColumn("__hash", hash_u32(seed, F.col(id))), "__hash", [id], "__rank", groups=[label])
-    return hashed.join(F.broadcast(quota), label).where("__rank <= __quota").select(*df.columns)  # a row for each label
+    return hashed.join(quota, label).where("__rank <= __quota").select(*df.columns)
 
 
 def uniform_sample(df: DataFrame, n: int, id: str, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, those with the smallest hash: a distributed top-k."""
-    return df.orderBy(hash_u32(seed, F.col(id)), id).limit(n)
+    """``n`` rows without replacement, those with the smallest hash: a distributed top-k, dealt to partitions again by id."""
+    return df.orderBy(hash_u32(seed, F.col(id)), id).limit(n).repartition(F.col(id))
 
 
 def stratified_folds(df: DataFrame, *, k: int, label: str, id: str, seed: int = 42) -> DataFrame:

@@ -12,7 +12,7 @@ from riskloom.functions import scalars as S
 from riskloom.operators import encode, metrics, model, prepare, serving, velocity
 from riskloom.operators.gate import Registry
 from riskloom.plans.registry import big, query, r6, rounded
-from riskloom.sources.tables import TRANSACTIONS_SQL, columns_matching, load, new_path, read_csv, read_json, transactions, wide_block, wide_block_sql, write_json, write_table
+from riskloom.sources.tables import TRANSACTIONS_SQL, columns_matching, driver_folder, load, new_path, read_csv, read_json, transactions, wide_block, wide_block_sql, write_json, write_table
 from riskloom.streaming import matching, monitor, scoring
 
 # -- Sources and sinks
@@ -39,17 +39,11 @@ def table_overwrite(spark, d):
 @query("SELECT i - 1 AS position, 'V' || i AS name FROM generate_series(1, 64) t(i)")
 def frozen_list(spark, d):
     """The names of the wide block, frozen as JSON and read again."""
-    path = f"{os.path.join(_local(spark), 'selected.json')}"
+    path = f"{os.path.join(driver_folder(spark), 'selected.json')}"
     write_json(columns_matching(wide_block(spark, d).columns), path)
     return spark.createDataFrame(list(enumerate(read_json(path))), "position bigint, name string")
 
 
-def _local(spark):
-    path = new_path(spark, "files").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 @query("SELECT event_id::VARCHAR AS key, '{\"transaction_id\":\"' || event_id || '\",\"decision\":' || (value >= 50)::VARCHAR || '}' AS value, CASE WHEN event_id % 5 = 0 THEN 'reason=rejected' ELSE '' END AS headers FROM events")
 def keyed_log_rows(spark, d):
     """Predictions and dead letters as a keyed log takes them."""
@@ -88,7 +82,7 @@ def inference_log(spark, d):
     """Scored rows with an id; a folder that can't be written costs nothing."""
     e = load(spark, d, "events", ["event_id", "value"])
     rows = e.select(F.when(F.col("event_id") % 7 != 0, F.col("event_id").cast("string")).alias("transaction_id"), F.col("value").alias("score"))
-    path, blocked = new_path(spark, "inference"), os.path.join(_local(spark), "file")
+    path, blocked = new_path(spark, "inference"), os.path.join(driver_folder(spark), "file")
     open(blocked, "w").close()
     if scoring.log_inference(rows, blocked, 0) or not scoring.log_inference(rows, path, 0):
         raise RuntimeError("a log that can't be written must be told apart")
@@ -139,7 +133,7 @@ def _provenance(**info):
 
 
 def _champion(spark, tags):
-    r = Registry(_local(spark))
+    r = Registry(driver_folder(spark))
     v = r.add_version("run", tags)
     r.set_alias("champion", v)
     return r
@@ -187,7 +181,7 @@ _DEFAULTS = {
 @query("SELECT name, value::DOUBLE AS value FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _DEFAULTS.items()) + ") t(name, value)")
 def params_defaults(spark, d):
     """The parameters as they come from a file that only names its sections."""
-    path = os.path.join(_local(spark), "params.json")
+    path = os.path.join(driver_folder(spark), "params.json")
     write_json({"split": {}, "monitor": {"psi": 0.2}, "recall_ks": [0.005, 0.01, 0.05]}, path)
     rows = []
     for name, value in asdict(Params.load(path)).items():

@@ -8,7 +8,7 @@ from riskloom.contract import TRANSACTION_EVENT, VELOCITY_FILLS
 from riskloom.functions import scalars as S
 from riskloom.operators import encode, prepare, velocity
 from riskloom.plans.registry import big, query, r6, rounded
-from riskloom.sources.tables import ORDERS_SQL, TRANSACTIONS_SQL, load, matching_columns, order_transactions, transactions, wide_block, wide_block_sql
+from riskloom.sources.tables import ORDERS_SQL, TRANSACTIONS_SQL, load, matching_columns, order_transactions, transactions, wide_block, wide_block_sql, written
 
 YEAR_US = 365 * velocity.DAY_US
 COLUMNS = ["category", "label_text"]
@@ -247,7 +247,7 @@ def encode_transform(spark, d):
 o AS (SELECT k.key, k.fold, count(t.id) FILTER (t.key = k.key) AS n, coalesce(sum(t.label) FILTER (t.key = k.key), 0) AS s, avg(t.label) AS prior FROM k JOIN t ON t.fold <> k.fold GROUP BY k.key, k.fold)
 SELECT id, 'category' AS "column", round(CASE WHEN n > 0 THEN (s + 20 * prior) / (n + 20) ELSE prior END, 6) AS target_oof FROM t JOIN o USING (key, fold)""")
 def oof_target(spark, d):
-    t = prepare.stratified_folds(transactions(spark, d).select("id", "category", "label"), k=5, label="label", id="id").persist()  # used by three aggregations
+    t = written(prepare.stratified_folds(transactions(spark, d).select("id", "category", "label"), k=5, label="label", id="id"), "folds")  # read by three aggregations
     return rounded(encode.oof_targets(t, ["category"], "label", "fold", "id"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from riskloom.contract import Params
@@ -11,7 +9,7 @@ from riskloom.functions.scalars import amount_log
 from riskloom.operators import model, prepare, velocity
 from riskloom.operators.gate import Registry
 from riskloom.plans.registry import query
-from riskloom.sources.tables import transactions
+from riskloom.sources.tables import driver_folder, transactions, written
 
 FEATURES = ["amount", "amt_log", "v_count", "v_sum", "v_mean", "v_max", "gap_s"]
 
@@ -24,7 +22,7 @@ def training_rows(spark, d):
 
 @query()
 def model_backtest(spark, d):
-    rows = training_rows(spark, d).persist()
+    rows = written(training_rows(spark, d), "training-rows")
     small = model.Hyper(rounds=5, depth=3, trees=5)
-    bundle, _ = model.train_and_gate(rows, FEATURES, Registry(tempfile.mkdtemp(prefix="riskloom-")), Params(recall_floor=0.05, alert_budget=0.9), small, families=("gbt", "linear"))
+    bundle, _ = model.train_and_gate(rows, FEATURES, Registry(driver_folder(spark)), Params(recall_floor=0.05, alert_budget=0.9), small, families=("gbt", "linear"))
     return model.backtest(bundle, rows.where("split = 'holdout'").drop("split"))

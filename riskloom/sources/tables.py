@@ -78,6 +78,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def driver_folder(spark: SparkSession) -> str:
+    """A new folder for the driver's own small files: in the shared folder where that is a path, else a temporary one."""
+    path = new_path(spark, "files").removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        return tempfile.mkdtemp(prefix="riskloom-")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete every table written by ``written``; results that still read them are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/riskloom/tables-{spark.sparkContext.applicationId}")

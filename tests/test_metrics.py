@@ -148,3 +148,28 @@ def test_latch_and_cooldown(spark):
     assert got == [False, True, False, False, False, False, True]
     times = spark.createDataFrame([("k", float(t)) for t in (0, 10, 50, 60, 125)], "k string, t double")
     assert sorted(x["t"] for x in drift.cooldown(times, by="k", at_s="t", seconds=60).collect()) == [0, 60, 125]
+
+
+def test_drift_report(spark):
+    a = spark.createDataFrame([(float(i % 10), float(i)) for i in range(200)] + [(None, float("nan"))], "x double, y double")
+    b = spark.createDataFrame([(float(i % 10) + 3, float(i)) for i in range(200)], "x double, y double")
+    got = {r["feature"]: r for r in drift.drift_report(a, b, ["x", "y"]).collect()}
+    one = drift.distribution_distances(a, b, "x").first()
+    assert got["x"]["ks"] == pytest.approx(one["ks"]) and got["x"]["wasserstein"] == pytest.approx(3) and got["x"]["psi"] > 0.2
+    assert got["y"]["ks"] == 0 and got["y"]["wasserstein"] == 0
+
+
+def test_association_against_ranks(spark):
+    """Rank correlation with the label where nine of ten values are one value."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(2)
+    rows = [(i, i % 2, 1.0 if r.random() < 0.9 else r.random(), None if r.random() < 0.3 else r.random() + (i % 2) / 3, 5.0) for i in range(600)]
+    got = {x["column"]: x["strength"] for x in selection.label_association(spark.createDataFrame(rows, "id int, y int, V1 double, V2 double, V3 double"), ["V1", "V2", "V3"], "y", "id", 100).collect()}
+    p = pd.DataFrame(rows, columns=["id", "y", "V1", "V2", "V3"])
+    for c in ("V1", "V2"):
+        q = p[["y", c]].dropna()
+        assert got[c] == pytest.approx(abs(q["y"].rank().corr(q[c].rank())))
+    assert got["V3"] == 0.0

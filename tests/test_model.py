@@ -35,6 +35,14 @@ def test_train_gate_backtest(spark, rows, tmp_path):
     assert one(again) == one(bundle)
     with pytest.raises(ValueError, match="lacks"):
         model.Bundle.load(f"{tmp_path}/1", ["a", "b", "c"])
+    weights = {x["feature"]: x["importance"] for x in model.importances(bundle).collect()}
+    assert set(weights) == {"a", "b"} and weights["a"] > weights["b"] >= 0
+    victim = next(p for p in sorted((tmp_path / "1" / "model").rglob("*.parquet")))
+    good = victim.read_bytes()
+    victim.write_bytes(good + b"x")
+    with pytest.raises(ValueError, match="differ"):
+        model.Bundle.load(f"{tmp_path}/1", ["a", "b"])
+    victim.write_bytes(good)
     reloader = model.Reloader(spark, registry, str(tmp_path))
     assert reloader.current().version == 1
     registry.set_alias("champion", registry.add_version("x", {}))
@@ -51,6 +59,8 @@ def test_pick_and_tune(rows):
     assert value > 0.5 and h.rounds in (20, 40, 80)
     with pytest.raises(RuntimeError):
         model.tune(part["train"], part["val"], ["nope"], "linear", trials=1)
+    ticks = iter([0.0, 1.0, 99.0])
+    assert model.tune(part["train"], part["val"], ["a"], "linear", trials=50, timeout_s=10, clock=lambda: next(ticks))[1] > 0.5  # one trial, then time is up
     with pytest.raises(ValueError):
         model.fit_isotonic(part["val"].where("label = 1").withColumn("score", F.lit(0.5)))
 
