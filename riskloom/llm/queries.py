@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.codes import codes_sql, encode_vectors
 from riskloom.llm.common import table
 from riskloom.llm.decontaminate import CONTAMINATION_SQL, contamination
 from riskloom.llm.extract import extract_main_text
+from riskloom.llm.importance import resample, resampling_sql
 from riskloom.llm.licenses import licenses_sql, scan_licenses
 from riskloom.llm.lines import LINES_SQL, dedup_lines
 from riskloom.llm.media import media_columns
@@ -59,8 +61,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = [op1_extract, op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media]
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OPERATORS = [op1_extract, op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media, op11_codes, op13_resample]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 #: The other operators are tested against brute force, round trips and held-out labels.
-ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op4_licenses": licenses_sql(), "op5_minhash": NEAR_SQL, "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL}
+ORACLE: dict[str, str] = {
+    "op3_warc": WARC_SQL, "op4_licenses": licenses_sql(), "op5_minhash": NEAR_SQL, "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL,
+    "op11_codes": codes_sql(), "op13_resample": resampling_sql(),
+}
