@@ -17,6 +17,7 @@ from riskloom.llm.media import media_columns
 from riskloom.llm.minhash import NEAR_SQL, near_duplicates
 from riskloom.llm.packing import pack
 from riskloom.llm.quality import score_quality
+from riskloom.llm.signature_trees import JACCARD_SQL, jaccard_classes
 from riskloom.llm.urls import judge_urls
 from riskloom.llm.warc import WARC_SQL, archive_pages
 
@@ -65,15 +66,19 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_OPERATORS = [op1_extract, op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media, op11_codes, op13_resample]
+_OPERATORS = [op1_extract, op2_packing, op3_warc, op4_licenses, op5_minhash, op6_urls, op7_lines, op8_quality, op9_decontaminate, op10_media, op11_codes, op12_jaccard, op13_resample]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 #: The other operators are tested against brute force, round trips and held-out labels.
 ORACLE: dict[str, str] = {
     "op3_warc": WARC_SQL, "op4_licenses": licenses_sql(), "op5_minhash": NEAR_SQL, "op7_lines": LINES_SQL, "op9_decontaminate": CONTAMINATION_SQL,
-    "op11_codes": codes_sql(), "op13_resample": resampling_sql(),
+    "op11_codes": codes_sql(), "op12_jaccard": JACCARD_SQL, "op13_resample": resampling_sql(),
 }
