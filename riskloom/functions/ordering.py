@@ -7,6 +7,8 @@ are added. The ranges come from approximate quantiles, so only their bounds reac
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,40 +71,51 @@ def ranked(df: DataFrame, key: str, tie: Sequence[str], name: str = "rank", *, g
     return running(df, key, tie, {name: F.lit(1).cast("bigint")}, groups=groups, descending=descending)
 
 
-def trailing(df: DataFrame, *, by: Sequence[str], at: str, window: int, inclusive: bool, count: dict[str, str] | None = None, total: dict[str, str] | None = None, largest: dict[str, str] | None = None) -> DataFrame:
+def trailing(df: DataFrame, *, by: Sequence[str], at: str, window: int, inclusive: bool, count: dict[str, str] | None = None, total: dict[str, str] | None = None, largest: dict[str, str] | None = None, parts: int = 1) -> DataFrame:
     """Adds counts, sums and maxima (new name -> column) over the group's rows of the last ``window`` units of the whole number ``at``.
 
-    The window is [at - window, at), or (at - window, at] if ``inclusive``; nulls are absent, an empty sum or maximum is null.
-    Time is cut into parts of a window: a row's value is that of the rows before it in its own part, of the whole parts
-    between (a table with a row for each part), and of the end of the part in which its window starts. Each is a running
-    aggregate, so the work grows with the rows, not with rows times rows in a window, and one group is many tasks.
+    The window is [at - window, at), or (at - window, at] if ``inclusive``; nulls are absent, an empty sum or maximum is null,
+    and so are those of a row without a time, which counts for no other.
+    A group is cut into stretches of one window. A row's values are those of the rows before it in its stretch and of the end of the
+    stretch before, from where its window starts. Each row therefore also goes, without its other columns, to the next stretch, at its own time
+    plus the window: there it counts for all rows at or before that place. Both are running aggregates in one partition, one up and
+    one down the order, so rows are shuffled once and the work grows with them, not with rows times rows in a window.
+
+    A window that spans much of the history leaves a frequent key few stretches. Then cut it into ``parts`` as well: stretches are a part of the
+    window, and the whole parts between come from a table with a row for each stretch, at the price of two more, narrow, shuffles.
     """
-    parts = next(n for n in range(16, 0, -1) if window % n == 0)
+    if window % parts:
+        raise ValueError(f"{parts} parts don't divide a window of {window}")
     step = window // parts
     kinds = [(n, c, f) for f, wanted in ((F.count, count), (F.sum, total), (F.max, largest)) for n, c in (wanted or {}).items()]
-    columns, group = df.columns, [*by, "__part"]
     part = F.floor(F.col(at) / F.lit(step)).cast("bigint")
-    cut = df.withColumn("__part", part)
-    earlier = Window.partitionBy(*group).orderBy(at).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    own = cut.withColumns({f"__own_{n}": f(c).over(earlier) for n, c, f in kinds})
-    per = cut.groupBy(*group).agg(*[f(c).alias(f"__mid_{n}") for n, c, f in kinds])
-    between = Window.partitionBy(*by).orderBy("__part").rangeBetween(-(parts - 1), -1) if parts > 1 else None
-    fold = {F.count: F.sum}
-    middle = per.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(group)], *[(fold.get(f, f)(f"__mid_{n}").over(between) if between is not None else F.lit(None).cast(per.schema[f"__mid_{n}"].dataType)).alias(f"__mid_{n}") for n, _, f in kinds])
-    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(group)]
-    joined = own.join(middle, on).drop(*[f"__k{i}" for i in range(len(group))])
-    asked = joined.withColumns({"__part": F.col("__part") - parts, "__from": F.col(at) - (window - 1 if inclusive else window), "__row": F.struct(*columns, *[f"__{w}_{n}" for n, *_ in kinds for w in ("own", "mid")])})
-    asked = asked.select(*by, "__part", "__from", "__row", *[F.lit(None).cast(df.schema[c].dataType).alias(f"__x_{n}") for n, c, *_ in kinds])
-    told = cut.select(*by, "__part", F.col(at).alias("__from"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), *[F.col(c).alias(f"__x_{n}") for n, c, *_ in kinds])
-    later = Window.partitionBy(*group).orderBy(F.col("__from").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    tails = asked.unionByName(told).withColumns({f"__end_{n}": f(f"__x_{n}").over(later) for n, _, f in kinds}).where("__row is not null")
+    timed = lambda c: F.when(F.col(at).isNotNull(), F.col(c))
+
+    both = df.withColumn("__moved", F.explode(F.array(F.lit(False), F.lit(True))))
+    own = ~F.col("__moved")
+    both = both.select(
+        *[F.col(c) if c in by else F.when(own, F.col(c)).alias(c) for c in df.columns], "__moved",
+        (part + F.when(own, 0).otherwise(parts)).alias("__part"), (F.col(at) + F.when(own, 0).otherwise(window - 1 if inclusive else window)).alias("__place"),
+        *[F.when(own, timed(c)).alias(f"__now_{n}") for n, c, _ in kinds], *[F.when(~own, timed(c)).alias(f"__then_{n}") for n, c, _ in kinds],
+    )
+    where = Window.partitionBy(*by, "__part")
+    up = where.orderBy("__place").rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    down = where.orderBy(F.col("__place").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumns({f"__now_{n}": f(f"__now_{n}").over(up) for n, _, f in kinds}).withColumns({f"__then_{n}": f(f"__then_{n}").over(down) for n, _, f in kinds}).where(own)
+    sides = ["now", "then"]
+    if parts > 1:
+        fold = {F.count: F.sum}
+        per = df.withColumn("__part", part).groupBy(*by, "__part").agg(*[f(timed(c)).alias(f"__mid_{n}") for n, c, f in kinds])
+        between = Window.partitionBy(*by).orderBy("__part").rangeBetween(-(parts - 1), -1)
+        middle = per.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, "__part"])], *[fold.get(f, f)(f"__mid_{n}").over(between).alias(f"__mid_{n}") for n, _, f in kinds])
+        rows = rows.join(middle, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, "__part"])])
+        sides.append("mid")
 
     def whole(n: str, f) -> Column:
-        three = [F.col(f"__row.__own_{n}"), F.col(f"__row.__mid_{n}"), F.col(f"__end_{n}")]
+        found = [F.col(f"__{side}_{n}") for side in sides]
         if f is F.max:
-            return F.greatest(*three)
-        zero = [F.coalesce(x, F.lit(0)) for x in three]
-        added = zero[0] + zero[1] + zero[2]
-        return added if f is F.count else F.when(F.coalesce(*three).isNotNull(), added)
+            return F.greatest(*found)
+        added = reduce(add, [F.coalesce(x, F.lit(0)) for x in found])
+        return added if f is F.count else F.when(F.coalesce(*found).isNotNull(), added)
 
-    return tails.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns], *[whole(n, f).alias(n) for n, _, f in kinds])
+    return rows.select(*df.columns, *[whole(n, f).alias(n) for n, _, f in kinds])

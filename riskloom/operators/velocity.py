@@ -18,13 +18,13 @@ def _bucket(us: Column, width: int) -> Column:
     return F.floor(us / F.lit(width)).cast("bigint")
 
 
-def velocity(df: DataFrame, *, card: str = "card", us: str = "us", amount: str = "amount", window_us: int = DAY_US) -> DataFrame:
+def velocity(df: DataFrame, *, card: str = "card", us: str = "us", amount: str = "amount", window_us: int = DAY_US, parts: int = 1) -> DataFrame:
     """Adds count, sum, mean and max of the card's amounts in [t - window, t): ``v_count, v_sum, v_mean, v_max``.
 
     Rows at the same time are excluded, one exactly ``window_us`` older is included. Missing amounts count as
-    absent; empty windows give 0. See ``trailing``: the work is linear, and a card is cut into parts of a window.
+    absent; empty windows give 0. See ``trailing``: the work is linear, a card is cut into stretches of a window, or of one of its ``parts``.
     """
-    out = trailing(df, by=[card], at=us, window=window_us, inclusive=False, count={"v_count": amount}, total={"__sum": amount}, largest={"__max": amount})
+    out = trailing(df, by=[card], at=us, window=window_us, inclusive=False, count={"v_count": amount}, total={"__sum": amount}, largest={"__max": amount}, parts=parts)
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return out.withColumns({"v_sum": zero(F.col("__sum")), "v_mean": zero(F.try_divide(F.col("__sum"), F.col("v_count"))), "v_max": zero(F.col("__max"))}).drop("__sum", "__max")
 

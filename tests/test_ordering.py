@@ -29,24 +29,36 @@ def test_rows_that_share_a_key_are_many_ranges(spark):
     assert got == {t[1]: n + 1 for n, t in enumerate(sorted(rows, key=lambda t: (t[0], t[1])))}
 
 
-@pytest.mark.parametrize(("window", "inclusive"), [(160, False), (160, True), (7, True), (1, False)])
-def test_trailing_against_a_loop(spark, window, inclusive):
-    """Nine of ten rows have one key; times tie, values and keys are missing."""
+@pytest.mark.parametrize(("window", "inclusive", "parts"), [(160, False, 1), (160, True, 1), (160, False, 16), (160, True, 16), (7, True, 1), (7, False, 7), (1, False, 1), (1, True, 1)])
+def test_trailing_against_a_loop(spark, window, inclusive, parts):
+    """Nine of ten rows have one key; times tie, values, keys and times are missing."""
     r = random.Random(window)
-    rows = [("hot" if r.random() < 0.9 else r.choice(["a", None]), r.randrange(600) - 300, None if r.random() < 0.1 else float(r.randrange(50)), i) for i in range(700)]
+    rows = [("hot" if r.random() < 0.9 else r.choice(["a", None]), None if r.random() < 0.05 else r.randrange(600) - 300, None if r.random() < 0.1 else float(r.randrange(50)), i) for i in range(700)]
     df = spark.createDataFrame(rows, "k string, t bigint, x double, id bigint")
-    out = ordering.trailing(df, by=["k"], at="t", window=window, inclusive=inclusive, count={"n": "x"}, total={"s": "x"}, largest={"m": "x"})
+    out = ordering.trailing(df, by=["k"], at="t", window=window, inclusive=inclusive, count={"n": "x"}, total={"s": "x"}, largest={"m": "x"}, parts=parts)
     assert out.columns == [*df.columns, "n", "s", "m"]
     for g in out.collect():
+        if g["t"] is None:
+            assert (g["n"], g["s"], g["m"]) == (0, None, None)
+            continue
         lo, hi = (g["t"] - window + 1, g["t"]) if inclusive else (g["t"] - window, g["t"] - 1)
-        seen = [x for k, t, x, _ in rows if k == g["k"] and lo <= t <= hi and x is not None]
+        seen = [x for k, t, x, _ in rows if k == g["k"] and t is not None and lo <= t <= hi and x is not None]
         assert (g["n"], g["s"], g["m"]) == (len(seen), sum(seen) if seen else None, max(seen, default=None))
 
 
 def test_a_card_is_many_tasks(spark):
     """The rows of one card in a window are cut into sixteen parts."""
     df = spark.range(8000).select(F.lit("c").alias("card"), (F.col("id") * 10).alias("us"), F.lit(1.0).alias("amount"), "id")
-    out = velocity.velocity(df, window_us=16_000)
+    out = velocity.velocity(df, window_us=16_000, parts=16)
     assert out.agg(F.max("v_count"), F.max("v_sum")).first() == (1600, 1600.0)
     parts = df.groupBy(F.floor(F.col("us") / 1000)).count()
     assert parts.agg(F.max("count")).first()[0] == 100
+
+
+def test_trailing_shuffles_once(spark):
+    """One exchange below both running aggregates, whatever the number of values."""
+    df = spark.range(100).select((F.col("id") % 3).alias("card"), F.col("id").alias("us"), F.col("id").cast("double").alias("amount"), F.lit("x").alias("other"))
+    plan = velocity.velocity(df, window_us=10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    with pytest.raises(ValueError, match="divide"):
+        ordering.trailing(df, by=["card"], at="us", window=10, inclusive=True, count={"n": "amount"}, parts=3)
