@@ -6,10 +6,13 @@ are added. The ranges come from approximate quantiles, so only their bounds reac
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from operator import add
+from itertools import pairwise
+from operator import add, and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +74,80 @@ def ranked(df: DataFrame, key: str, tie: Sequence[str], name: str = "rank", *, g
     return running(df, key, tie, {name: F.lit(1).cast("bigint")}, groups=groups, descending=descending)
 
 
+def quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """``by, q``: exact quantiles of the values of each group (array in the order of ``shares``), linear between neighbours; nulls are absent.
+
+    Sketches, merged like partial aggregates, bracket each quantile by two values with a few ten-thousandths of the rows between. One more pass counts
+    the values outside each bracket and those inside by value; only these are put in order, in ranges. So no task gets a group. There
+    should be few groups (columns, classes): a row for each is sent to all tasks. A group without values has none.
+    """
+    near = 2 / 10_000  # twice the rank error of a sketch
+    rows = df.select(by, F.col(value).cast("double").alias("__x")).where("__x is not null")
+    lows, highs = [max(0.0, p - near) for p in shares], [min(1.0, p + near) for p in shares]
+    marks = rows.groupBy(by).agg(F.count("*").alias("__n"), F.percentile_approx("__x", [*lows, *highs], 10_000).alias("__m"))
+    at = lambda p: (F.col("__n") - 1) * F.lit(float(p))  # noqa: E731  the quantile's place, from 0
+    brackets = F.array(*[F.struct(F.lit(k).alias("k"), F.get("__m", F.lit(k)).alias("lo"), F.get("__m", F.lit(k + len(shares))).alias("hi"), at(p).alias("at")) for k, p in enumerate(shares)])
+    marks = marks.select(F.col(by).alias("__g"), brackets.alias("__b"))
+    each = rows.join(F.broadcast(marks), F.col(by).eqNullSafe(F.col("__g"))).select("__g", "__x", F.explode("__b").alias("b"))
+    side = F.when(F.col("__x") < F.col("b.lo"), -1).when(F.col("__x") > F.col("b.hi"), 1).otherwise(0)
+    each = each.groupBy("__g", "b.k", "b.at", side.alias("side"), F.when(side == 0, F.col("__x")).alias("v")).agg(F.count("*").alias("n"), F.min("__x").alias("first"), F.max("__x").alias("last"))
+    # All rows below a bracket stand at the last of them, those above at the first: the next to the bracket may be the quantile's neighbour.
+    points = each.select("__g", "k", "at", F.when(F.col("side") < 0, F.col("last")).otherwise(F.col("first")).alias("__x"), "n")
+    placed = running(points, "__x", [], {"upto": F.col("n")}, groups=["__g", "k"])
+    least = lambda place: F.min(F.when(F.col("upto") > place, F.col("__x")))
+    found = placed.groupBy("__g", "k", "at").agg(least(F.floor("at")).alias("a"), least(F.ceil("at")).alias("b"))
+    q = F.col("a") + F.when(F.col("a") < F.col("b"), (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).otherwise(0.0)
+    per = found.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", q.alias("q")))), lambda x: x["q"]).alias("q"))
+    return per.withColumnRenamed("__g", by)
+
+
+def previous(df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: str, name: str, stretch: int) -> DataFrame:
+    """Adds ``name``: the ``value`` of the group's row before this one, by the whole number ``order[0]`` and then the rest; null for the first.
+
+    A group is cut into stretches of that number. The first row of each takes the last value of the stretch before from a table with one row for each.
+    """
+    cut = df.withColumn("__stretch", F.floor(F.col(order[0]) / F.lit(stretch)).cast("bigint"))
+    within = Window.partitionBy(*by, "__stretch").orderBy(*order)
+    rows = cut.withColumns({"__within": F.lag(F.struct(value)).over(within), "__first": F.row_number().over(within) == 1})
+    last = cut.groupBy(*by, "__stretch").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
+    last = last.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__stretch").alias("__s"), F.lag("__last").over(Window.partitionBy(*by).orderBy("__stretch")).alias("__before"))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.col("__stretch").eqNullSafe(F.col("__s")))
+    joined = rows.join(last, on)
+    return joined.select(*df.columns, F.when(F.col("__first"), F.col(f"__before.{value}")).otherwise(F.col(f"__within.{value}")).alias(name))
+
+
+def ordered_fold(df: DataFrame, *, by: str, order: Sequence[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], None], end: Callable[[object], tuple], schema: str) -> DataFrame:
+    """One row for each value of ``by``: it and what ``end`` makes of its state, after ``step`` has seen the group's rows in ``order``, part by part.
+
+    Rows are shuffled by key and sorted within their partition; a group is never held whole, only its state and the batch at hand. Null keys are a group.
+    """
+
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch[by]
+            cuts = [0, *(np.flatnonzero(~((keys == keys.shift()) | (keys.isna() & keys.shift().isna())).to_numpy()[1:]) + 1).tolist(), len(batch)]
+            out = []
+            for a, b in pairwise(cuts):
+                now = keys.iloc[a]
+                if state is None or not same(now, key):
+                    if state is not None:
+                        out.append((key, *end(state)))
+                    key, state = now, start()
+                step(state, batch.iloc[a:b])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(key, *end(state))], columns=names)
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
 def trailing(df: DataFrame, *, by: Sequence[str], at: str, window: int, inclusive: bool, count: dict[str, str] | None = None, total: dict[str, str] | None = None, largest: dict[str, str] | None = None, parts: int = 1) -> DataFrame:
     """Adds counts, sums and maxima (new name -> column) over the group's rows of the last ``window`` units of the whole number ``at``.
 

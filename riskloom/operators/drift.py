@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordering import ranked, running
+from riskloom.functions.ordering import quantiles, ranked, running
 from riskloom.operators.velocity import asof_join
 from riskloom.sources.tables import written
 
@@ -19,31 +19,42 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def baseline_edges(baseline: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """``feature, edges``: exact baseline quantiles that cut each feature into at most ``bins`` parts, each edge once."""
-    qs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    cuts = _long(baseline, columns).groupBy("feature").agg(F.percentile("x", qs).alias("q"))
-    return cuts.select("feature", F.array_sort(F.array_distinct(F.coalesce("q", F.array().cast("array<double>")))).alias("edges"))
+    """``feature, edges``: exact baseline quantiles that cut each feature into at most ``bins`` parts, each edge once; no edges without values."""
+    cuts = quantiles(_long(baseline, columns), "feature", "x", [i / bins for i in range(1, bins)])
+    named = baseline.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return named.join(F.broadcast(cuts), "feature", "left").select("feature", F.array_sort(F.array_distinct(F.coalesce("q", F.array().cast("array<double>")))).alias("edges"))
 
 
-def psi(baseline: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """``feature, psi``: population stability index over baseline-quantile bins and a bin for missing values.
+def _binned(df: DataFrame, edges: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """``feature, bin`` and the rows in each, under ``name``. Bin i holds values above i edges (-1: missing)."""
+    joined = _long(df, columns).join(F.broadcast(edges.select("feature", "edges")), "feature")  # a row for each column
+    at = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
+    return joined.select("feature", at.alias("bin")).groupBy("feature", "bin").agg(F.count("*").alias(name))
 
-    Bin i holds values above i edges (-1: missing). Shares are floored at 1e-4.
-    """
-    edges = baseline_edges(baseline, columns, bins)
 
-    def binned(df: DataFrame, side: str) -> DataFrame:
-        joined = _long(df, columns).join(edges, "feature")
-        at = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("edges", lambda e: e < F.col("x"))))
-        return joined.select("feature", at.alias("bin"), F.lit(side).alias("side"))
+def baseline_bins(baseline: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """``feature, edges, counts``: what a PSI needs of its baseline, a row for each column; ``counts`` maps bins to rows."""
+    edges = written(baseline_edges(baseline, columns, bins), "baseline-edges")
+    counts = _binned(baseline, edges, columns, "b").groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "b"))).alias("counts"))
+    return written(edges.join(counts, "feature", "left").withColumn("counts", F.coalesce("counts", F.create_map().cast("map<int,bigint>"))), "baseline-bins")
+
 
-    counts = binned(baseline, "b").union(binned(current, "c")).groupBy("feature", "bin").agg(F.count_if(F.col("side") == "b").alias("b"), F.count_if(F.col("side") == "c").alias("c"))
+def psi_against(known: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature, psi`` of ``current`` against ``baseline_bins``: population stability index over the bins, shares floored at 1e-4."""
+    seen = _binned(current, known, columns, "c")
+    expected = known.select("feature", F.explode("counts").alias("bin", "b"))
+    counts = expected.join(seen, ["feature", "bin"], "full").fillna(0, ["b", "c"])
     total = counts.groupBy("feature").agg(F.sum("b").alias("tb"), F.sum("c").alias("tc"))
     share = lambda n, t: F.greatest(F.col(n) / F.col(t), F.lit(FLOOR))
     parts = counts.join(total, "feature").where("tb > 0 and tc > 0").select("feature", share("b", "tb").alias("e"), share("c", "tc").alias("a"))
     return parts.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
 
 
+def psi(baseline: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """``feature, psi``: population stability index over baseline-quantile bins and a bin for missing values."""
+    return psi_against(baseline_bins(baseline, columns, bins), current, columns)
+
+
 def drift_summary(scores: DataFrame, threshold: float = 0.2) -> DataFrame:
     """``drifted`` (features strictly above), ``max_psi``, ``share``; zeros when there are none."""
     over = F.col("psi") > threshold

@@ -6,22 +6,26 @@ counts from 0. Nothing is extrapolated at the ends of a window.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.contract import CanaryParams
-from riskloom.functions.ordering import trailing
+from riskloom.functions.ordering import ordered_fold, previous, quantiles, trailing
 from riskloom.functions.scalars import safe_ratio
 from riskloom.operators.velocity import asof_join
 
 
-def steps(series: DataFrame, by: Sequence[str], ts: str = "ts_s", value: str = "value") -> DataFrame:
-    """Adds ``step``: growth since the previous sample of the series; after a reset the value itself, 0 for the first."""
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
-    return series.withColumn("step", F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value)))
+def steps(series: DataFrame, by: Sequence[str], ts: str = "ts_s", value: str = "value", stretch: int = 86_400) -> DataFrame:
+    """Adds ``step``: growth since the previous sample of the series; after a reset the value itself, 0 for the first.
+
+    A series is cut into stretches of ``stretch`` whole seconds (see ``previous``), so a long one is many tasks.
+    """
+    found = previous(series, by=by, order=[ts], value=value, name="__before", stretch=stretch)
+    before = F.col("__before")
+    return found.withColumn("step", F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))).drop("__before")
 
 
 def increase(series: DataFrame, by: Sequence[str], window_s: int, ts: str = "ts_s", value: str = "value", name: str = "increase") -> DataFrame:
@@ -235,29 +239,42 @@ def run_canary(params: CanaryParams, observe: Callable[[float], str], apply_weig
 
 
 def observation(stable: DataFrame, canary: DataFrame, id: str = "id") -> DataFrame:
-    """``p99_s, error_rate, samples, agreement`` of canary rows ``(id, latency_s, failed, decision)`` against stable ones."""
-    own = canary.agg(F.percentile("latency_s", 0.99).alias("p99_s"), F.avg(F.col("failed").cast("double")).alias("error_rate"), F.count("*").alias("samples")).first()
+    """``p99_s, error_rate, samples, agreement`` of canary rows ``(id, latency_s, failed, decision)`` against stable ones; the quantile is exact."""
+    own = canary.agg(F.avg(F.col("failed").cast("double")).alias("error_rate"), F.count("*").alias("samples")).first()
+    p99 = quantiles(canary.select(F.lit(0).alias("all"), "latency_s"), "all", "latency_s", [0.99]).first()
     both = canary.select(id, F.col("decision").alias("c")).join(stable.select(id, F.col("decision").alias("s")), id)
-    return both.agg(F.avg((F.col("c") == F.col("s")).cast("double")).alias("agreement")).select(F.lit(own[0]).alias("p99_s"), F.lit(own[1]).alias("error_rate"), F.lit(own[2]).alias("samples"), "agreement")
+    agreement = both.agg(F.avg((F.col("c") == F.col("s")).cast("double")).alias("agreement"))
+    return agreement.select(F.lit(p99["q"][0] if p99 else None).cast("double").alias("p99_s"), F.lit(own[0]).alias("error_rate"), F.lit(own[1]).alias("samples"), "agreement")
+
+
+class _Bucket:
+    """Tokens of one client: four numbers, whatever the number of its requests."""
+
+    def __init__(self, capacity: float, refill: float):
+        self.capacity, self.refill, self.tokens, self.last, self.allowed, self.denied = capacity, refill, capacity, None, 0, 0
+
+    def take(self, times: Iterable[float]) -> None:
+        tokens, last, allowed, n = self.tokens, self.last, 0, 0
+        for t in times:
+            if last is not None:
+                tokens = min(self.capacity, tokens + (t - last) * self.refill)
+            last = t
+            n += 1
+            if tokens >= 1:
+                tokens -= 1
+                allowed += 1
+        self.tokens, self.last, self.allowed, self.denied = tokens, last, self.allowed + allowed, self.denied + n - allowed
 
 
 def token_bucket(requests: DataFrame, *, client: str = "client", at_s: str = "at_s", id: str = "id", capacity: float = 120.0, refill: float = 20.0) -> DataFrame:
     """``client, allowed, denied``: a bucket of tokens per client, filled at ``refill`` a second; requests in order of time and ``id``.
 
-    A bucket that nobody drew from for capacity / refill seconds is full whatever came before, so a client's requests are
-    cut there and each run of them is folded by itself, one request after another with four numbers as its state.
+    A client's requests are sorted and folded one after another, so one that is never idle takes no more memory than
+    others. Requests without a time are left out.
     """
-    order = Window.partitionBy(client).orderBy(at_s, id)
-    idle = F.coalesce(F.col(at_s) - F.lag(at_s).over(order) >= capacity / refill, F.lit(True))
-    runs = requests.select(client, F.col(at_s).cast("double").alias(at_s), id).withColumn("__new", idle.cast("int"))
-    runs = runs.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("ok"))
-
-    def step(s: Column, x: Column) -> Column:
-        t = x[at_s]
-        tokens = F.least(F.lit(float(capacity)), s["tokens"] + F.coalesce(t - s["last"], F.lit(0.0)) * F.lit(float(refill)))
-        ok = tokens >= 1
-        return F.struct(F.when(ok, tokens - 1).otherwise(tokens).alias("tokens"), t.alias("last"), (s["ok"] + ok.cast("bigint")).alias("ok"))
-
-    folded = runs.groupBy(client, "__run").agg(F.aggregate(F.array_sort(F.collect_list(F.struct(at_s, id))), start, step).alias("s"), F.count("*").alias("n"))
-    return folded.groupBy(client).agg(F.sum("s.ok").alias("allowed"), F.sum(F.col("n") - F.col("s.ok")).alias("denied"))
+    rows = requests.select(client, F.col(at_s).cast("double").alias(at_s), id).where(F.col(at_s).isNotNull())
+    kind = requests.schema[client].dataType.simpleString()
+    return ordered_fold(
+        rows, by=client, order=[at_s, id], start=lambda: _Bucket(float(capacity), float(refill)), step=lambda bucket, part: bucket.take(part[at_s].tolist()),
+        end=lambda bucket: (bucket.allowed, bucket.denied), schema=f"`{client}` {kind}, allowed bigint, denied bigint",
+    )

@@ -332,22 +332,49 @@ def stream_velocity(spark, d):
     return rounded(spark.read.parquet(f"{path}-out").select("id", "v_count", "v_sum", "v_mean", "v_max"))
 
 
-@query(f"""WITH t AS (SELECT *, us / 1e6::DOUBLE AS at, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS cycle FROM {TRANSACTIONS_SQL} WHERE id < 800),
-m AS (SELECT * FROM t WHERE id % 3 <> 0), r AS (SELECT c.cycle, m.* FROM (SELECT DISTINCT cycle FROM t) c JOIN m ON m.cycle <= c.cycle)
-SELECT cycle, count(*) AS matched, round(avg(CASE WHEN label = 1 AND score < 0.5 THEN 100.0::DOUBLE WHEN label = 0 AND score >= 0.5 THEN 5.0::DOUBLE ELSE 0 END), 6) AS cost, round(avg((score >= 0.5)::INT), 6) AS flagged_rate,
- (SELECT count(*) FROM t WHERE t.cycle = r.cycle AND id % 5 = 0) AS poison FROM r GROUP BY cycle""")
+_LATE = 10_000_000_000  # arrivals of a cycle stand before those of the next
+
+
+@query(f"""WITH n AS (SELECT max(id) + 1 AS n FROM {TRANSACTIONS_SQL}), ks AS (SELECT unnest(range(6)) AS cycle),
+t AS (SELECT id, score, label, amount, id * 6 // n AS c FROM {TRANSACTIONS_SQL}, n),
+m AS (SELECT score, label, score >= 0.5 AS hit, c + (id % 3 = 1)::INT AS k, (c + (id % 3 = 1)::INT) * {_LATE} + id * 4 + 1 AS seq FROM t WHERE id % 3 <> 0),
+w AS (SELECT cycle, m.* FROM ks JOIN m ON k <= cycle QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY seq DESC) <= (SELECT n // 6 FROM n)),
+r AS (SELECT cycle, count(*) AS matched, avg(CASE WHEN label = 1 AND NOT hit THEN 100.0::DOUBLE WHEN label = 0 AND hit THEN 5.0::DOUBLE ELSE 0 END) AS cost, avg(hit::INT) AS flagged_rate FROM w GROUP BY cycle),
+g AS (SELECT cycle, p, sum(n) OVER o AS cum_n, sum(p) OVER o AS cum_p FROM (SELECT cycle, score, count(*) AS n, sum(label) AS p FROM w GROUP BY cycle, score) WINDOW o AS (PARTITION BY cycle ORDER BY score DESC)),
+ap AS (SELECT cycle, sum(p * cum_p / cum_n) / sum(p) AS auprc FROM g GROUP BY cycle),
+f AS (SELECT cycle, CASE WHEN c >= 3 THEN amount * 3 ELSE amount END AS a FROM ks JOIN t ON c <= cycle QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY c * {_LATE} + id * 4 DESC) <= (SELECT n // 6 FROM n)),
+e AS (SELECT list_distinct(quantile_cont(amount, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM t),
+b AS (SELECT CASE WHEN amount IS NULL THEN -1 ELSE len([q FOR q IN edges IF q < amount]) END AS bin, count(*) AS nb FROM t, e GROUP BY 1),
+fc AS (SELECT cycle, CASE WHEN a IS NULL THEN -1 ELSE len([q FOR q IN edges IF q < a]) END AS bin, count(*) AS nc FROM f, e GROUP BY 1, 2),
+s AS (SELECT cycle, greatest(coalesce(nb, 0) / (SELECT sum(nb) FROM b), 0.0001::DOUBLE) AS x, greatest(coalesce(nc, 0) / sum(coalesce(nc, 0)) OVER (PARTITION BY cycle), 0.0001::DOUBLE) AS a
+  FROM (SELECT cycle, bin FROM ks, b UNION SELECT cycle, bin FROM fc) LEFT JOIN b USING (bin) LEFT JOIN fc USING (cycle, bin)),
+p AS (SELECT cycle, sum((a - x) * ln(a / x)) AS max_psi FROM s GROUP BY cycle),
+z AS (SELECT cycle, matched, auprc, cost, flagged_rate, max_psi, max_psi > 0.2 AS drifted, auprc < 0.9 AND matched >= 100 AS weak, (SELECT count(*) FROM t WHERE c = cycle AND id % 5 = 0) AS poison FROM r JOIN ap USING (cycle) JOIN p USING (cycle))
+SELECT cycle, matched, round(auprc, 6) AS auprc, round(cost, 6) AS cost, round(flagged_rate, 6) AS flagged_rate, round(max_psi, 6) AS max_psi, poison,
+ concat_ws(',', CASE WHEN weak AND lag(weak) OVER o AND lag(weak, 2) OVER o AND NOT coalesce(lag(weak, 3) OVER o, false) THEN 'concept_drift' END,
+  CASE WHEN drifted AND lag(drifted) OVER o AND lag(drifted, 2) OVER o AND NOT coalesce(lag(drifted, 3) OVER o, false) THEN 'data_drift' END) AS alerts FROM z WINDOW o AS (ORDER BY cycle)""")
 def monitor_stream(spark, d):
-    """Two cycles of the monitor over scored events, labels and poison: what each cycle saw."""
-    t = transactions(spark, d).where("id < 800")
-    at, i = F.col("us") / F.lit(1e6), F.col("id")
-    scored = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.lit(1).alias("model_version"), F.col("score").alias("fraud_score"), (F.col("score") >= 0.5).alias("decision"), F.create_map(F.lit("amount"), F.col("amount")).alias("features")))
+    """Six cycles of the monitor over all events: scores, labels of which a third come a cycle later, poison, a feature that drifts from the fourth cycle on.
+
+    Spark may add a batch without rows at the end, for timers; its cycle is left out.
+    """
+    t = transactions(spark, d)
+    n = t.agg(F.max("id")).first()[0] + 1
+    i, at, c = F.col("id"), F.col("us") / F.lit(1e6), F.floor(F.col("id") * 6 / n).cast("bigint")
+    amount = F.when(c >= 3, F.col("amount") * 3).otherwise(F.col("amount"))
+    scored = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.lit(1).alias("model_version"), F.col("score").alias("fraud_score"), (F.col("score") >= 0.5).alias("decision"), F.create_map(F.lit("amount"), amount).alias("features")))
     label = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.col("label").alias("is_fraud")))
-    rows = t.select((i * 3).alias("seq"), F.lit("scored-features").alias("topic"), scored.alias("value"), at.alias("published_s"), i)
-    rows = rows.union(t.where("id % 3 <> 0").select(i * 3 + 1, F.lit("labels"), label, at, i)).union(t.where("id % 5 = 0").select(i * 3 + 2, F.lit("labels"), F.lit("{"), at, i))
+    message = lambda cycle, nth, topic, value: F.struct(cycle.alias("cycle"), (cycle * _LATE + i * 4 + nth).alias("seq"), F.lit(topic).alias("topic"), value.alias("value"), at.alias("published_s"))
+    late = c + F.when(i % 3 == 1, 1).otherwise(0)
+    each = F.array(message(c, 0, "scored-features", scored), F.when(i % 3 != 0, message(late, 1, "labels", label)), F.when(i % 5 == 0, message(c, 2, "labels", F.lit("{"))))
+    rows = written(t.select(F.explode(F.array_compact(each)).alias("m")).select("m.*"), "messages")
     path = new_path(spark, "stream")
-    for part in (0, 1):
-        rows.where(i % 2 == part).drop("id").coalesce(1).write.mode("append").parquet(path)
-    params = MonitorParams(retention_s=1e10, min_current=10**6)
+    for cycle in range(6):
+        rows.where(F.col("cycle") == cycle).drop("cycle").coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    params = MonitorParams(retention_s=1e9, window=n // 6, min_current=100, min_matched=100, auprc_floor=0.9, max_ids=10**9)
     messages = scoring.file_stream(spark, path, "seq bigint, topic string, value string, published_s double", files_per_batch=1)
-    online.start_monitor(messages, f"{path}-monitor", None, ["amount"], params, once=True).awaitTermination()
-    return rounded(spark.read.parquet(f"{path}-monitor/cycles").select("cycle", "matched", "cost", "flagged_rate", "poison"))
+    online.start_monitor(messages, f"{path}-monitor", t.select("amount"), ["amount"], params, once=True).awaitTermination()
+    fired = spark.read.parquet(f"{path}-monitor/alerts").groupBy("cycle").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("alerts"))
+    cycles = spark.read.parquet(f"{path}-monitor/cycles").join(fired, "cycle", "left").withColumn("alerts", F.coalesce("alerts", F.lit("")))
+    return rounded(cycles.where("cycle < 6").select("cycle", "matched", "auprc", "cost", "flagged_rate", "max_psi", "poison", "alerts"))

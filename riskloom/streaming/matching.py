@@ -145,6 +145,11 @@ def last_matches(matches: DataFrame, window: int) -> DataFrame:
 def rolling_metrics(matches: DataFrame, costs: CostMatrix = CostMatrix(), window: int = 5000) -> DataFrame:
     """``matched, auprc, cost, flagged_rate`` over the last ``window`` matches, by the decisions that were served; nulls if there are none."""
     last = written(last_matches(matches, window), "last-matches")  # at most ``window`` rows
+    return metrics_of(last, costs)
+
+
+def metrics_of(last: DataFrame, costs: CostMatrix = CostMatrix()) -> DataFrame:
+    """The rolling metrics of a written table of matches."""
     hit, y = F.coalesce("decision", F.lit(False)), F.col("label") == 1
     cost = F.when(y & ~hit, F.lit(float(costs.false_negative))).when(~y & hit, F.lit(float(costs.false_positive))).otherwise(0.0)
     one = last.agg(F.count("*").alias("matched"), F.avg(cost).alias("cost"), F.avg(hit.cast("double")).alias("flagged_rate"))

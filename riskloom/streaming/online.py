@@ -1,12 +1,12 @@
-"""Streams beside scoring: trailing velocity of each event, and the monitor that recomputes its metrics batch by batch."""
+"""Streams beside scoring: trailing velocity of each event, and the monitor whose cycles take up only what is new."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,41 +14,123 @@ from riskloom.contract import CostMatrix, MonitorParams
 from riskloom.operators import drift
 from riskloom.operators.velocity import DAY_US
 from riskloom.sources.tables import written
-from riskloom.streaming import matching, monitor, scoring
+from riskloom.streaming import bounded, matching, monitor, scoring
+
+#: Parts that a window is cut into on a stream.
+PARTS = 16
+
+
+class _Part:
+    """The events of one part of a card's history: how many, their sum and largest, and in how many pieces they are stored."""
+
+    def __init__(self, n: int = 0, total: float = 0.0, most: float = float("-inf"), pieces: int = 0, last: int | None = None):
+        self.n, self.total, self.most, self.pieces, self.last = n, total, most, pieces, last
+        self.new: list[tuple[int, float]] = []
+        self.before: tuple | None = None
+
+    def add(self, us: int, amount: float) -> None:
+        self.n, self.total, self.most = self.n + 1, self.total + amount, max(self.most, amount)
+        self.last = us if self.last is None else max(self.last, us)
+        self.new.append((us, amount))
 
 
 class TrailingVelocity(StatefulProcessor):
-    """Per card the events of the last window; each new event is answered from those before it."""
+    """Per card what the parts of a window add up to, and their events in pieces; each new event is answered from those before it.
+
+    An event needs the sums of the whole parts inside its window, those of its own part and, of the part in which the window starts, the events
+    from there on, which are read once for a batch and summed up from the end once. A part's sums do for its own events as long as
+    they are younger than what it holds. So the work of an event doesn't grow with the events in its window; a batch writes its own events and
+    the sums of at most ``PARTS`` + 1 parts, and rewrites nothing else.
+    """
 
     def __init__(self, window_us: int):
-        self.window_us = window_us
+        self.window_us, self.step = window_us, -(-window_us // PARTS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getListState("recent", "us bigint, amount double")
+        self.sums = handle.getValueState("sums", "part array<bigint>, n array<bigint>, total array<double>, most array<double>, pieces array<bigint>, last array<bigint>")
+        self.pieces = handle.getMapState("pieces", "part bigint, piece bigint", "us array<bigint>, amount array<double>")
+
+    def _events(self, part: int, held: _Part) -> list[tuple[int, float]]:
+        out = list(held.new)
+        for k in range(held.pieces):
+            us, amounts = self.pieces.getValue((part, k))
+            out += zip(us, amounts, strict=True)
+        return sorted(out)
+
+    def _running(self, part: int, held: _Part) -> tuple:
+        """Times in order, and count, sum and largest of the events before and from each place."""
+        if held.before is None:
+            events = self._events(part, held)
+            before, after = [(0, 0.0, float("-inf"))], [(0, 0.0, float("-inf"))]
+            for _, a in events:
+                n, total, most = before[-1]
+                before.append((n + 1, total + a, max(most, a)))
+            for _, a in reversed(events):
+                n, total, most = after[-1]
+                after.append((n + 1, total + a, max(most, a)))
+            held.before = ([us for us, _ in events], before, after[::-1])
+        return held.before
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = [(us, amount) for us, amount in self.state.get()] if self.state.exists() else []
+        stored = zip(*self.sums.get(), strict=True) if self.sums.exists() else ()
+        parts = {p: _Part(n, total, most, pieces, last) for p, n, total, most, pieces, last in stored}
         new = sorted((int(r.us), int(r.id), None if pd.isna(r.amount) else float(r.amount)) for batch in rows for r in batch.itertuples())
-        every = sorted([*known, *[(us, a) for us, _, a in new if a is not None]])
-        times, out = [us for us, _ in every], []
+        ended = {p: (held.last, (held.n, held.total, held.most)) for p, held in parts.items()}
+        for us, _, amount in new:
+            if amount is not None:
+                parts.setdefault(us // self.step, _Part()).add(us, amount)
+        out, own, first, nothing = [], None, None, (0, 0.0, float("-inf"))
         for us, i, _ in new:
-            seen = [a for _, a in every[bisect_left(times, us - self.window_us) : bisect_left(times, us)]]
-            total = float(sum(seen))
-            out.append((i, len(seen), total, total / len(seen) if seen else 0.0, max(seen, default=0.0)))
-        last = max([us for us, *_ in new] + times[-1:])
-        kept = every[bisect_left(times, last - self.window_us) :]
-        if kept:
-            self.state.put(kept)
-        else:
-            self.state.clear()
+            low = us - self.window_us
+            if us // self.step != own:
+                own, done = us // self.step, 0
+                last, upto = ended.get(own, (None, nothing))
+                younger, mine = last is None or last < us, parts.get(own)
+                first = None
+            if low // self.step != first:
+                first = low // self.step
+                middle = [(held.n, held.total, held.most) for p in range(first + 1, own) if (held := parts.get(p))]
+            found = list(middle)
+            if mine and younger:
+                while done < len(mine.new) and mine.new[done][0] < us:
+                    amount = mine.new[done][1]
+                    upto, done = (upto[0] + 1, upto[1] + amount, max(upto[2], amount)), done + 1
+                found.append(upto)
+            elif mine:
+                times, before, _ = self._running(own, mine)
+                found.append(before[bisect_left(times, us)])
+            if first in parts:
+                times, _, after = self._running(first, parts[first])
+                found.append(after[bisect_left(times, low)])
+            n, total = sum(f[0] for f in found), float(sum(f[1] for f in found))
+            out.append((i, n, total, total / n if n else 0.0, max((f[2] for f in found if f[0]), default=0.0)))
+        newest = max([us for us, *_ in new] + [held.last for held in parts.values()])
+        self._keep(parts, (newest - self.window_us) // self.step)
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.window_us) // 1000 + 1)
+        self.handle.registerTimer((newest + self.window_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=["id", "v_count", "v_sum", "v_mean", "v_max"])
 
+    def _keep(self, parts: dict[int, _Part], oldest: int) -> None:
+        """Write what is new of the parts that a later window can reach, and drop the others."""
+        for p in sorted(parts):
+            held = parts[p]
+            if p < oldest:
+                for k in range(held.pieces):
+                    self.pieces.removeKey((p, k))
+                del parts[p]
+            elif held.new:
+                self.pieces.updateValue((p, held.pieces), ([us for us, _ in held.new], [a for _, a in held.new]))
+                held.pieces += 1
+        if parts:
+            self.sums.update(tuple(list(x) for x in zip(*((p, h.n, h.total, h.most, h.pieces, h.last) for p, h in sorted(parts.items())), strict=True)))
+        else:
+            self.sums.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        self.sums.clear()
+        self.pieces.clear()
         return iter(())
 
     def close(self) -> None:
@@ -66,32 +148,77 @@ def velocity_stream(events: DataFrame, window_us: int = DAY_US, delay: str = "1
     return marked.groupBy("card").transformWithStateInPandas(statefulProcessor=TrailingVelocity(window_us), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def monitor_batches(folder: str, baseline: DataFrame | None, features: list[str], params: MonitorParams = MonitorParams(), costs: CostMatrix = CostMatrix()) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for messages ``(topic, value, published_s, seq)``: routes them, then recomputes this cycle's metrics.
+def monitor_events(messages: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``kind, seq, id, t, score, decision, label, payload`` of messages ``(topic, value, published_s, seq)``: scores with their features as JSON, labels and poison."""
+    routed = monitor.route(messages, ["seq", "published_s"]).where("status <> 'ignored'")
+    good = F.col("status") == "ok"
+    kind = F.when(good & F.col("score").isNotNull(), "score").when(good, "label").otherwise(F.col("status"))
+    payload = F.when(kind == "score", F.to_json(F.struct(*[F.try_element_at("features", F.lit(c)).alias(c) for c in features])))
+    return routed.select(kind.alias("kind"), "seq", F.when(good, F.col("id")).alias("id"), F.timestamp_micros((F.col("published_s") * 1_000_000).cast("bigint")).alias("t"), "score", "decision", F.col("label").cast("int").alias("label"), payload.alias("payload"))
+
 
-    Below ``folder`` each batch writes its arrivals, its scored features and one cycle row ``cycle, max_psi, auprc, matched, cost,
-    flagged_rate, poison``; alerts of the latches over all cycles so far are a table that every cycle replaces. A batch
-    that is replayed overwrites its own rows. Every cycle joins all arrivals below the folder: older ones may be moved away once
-    the window of matches no longer reaches them.
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def monitor_batches(folder: str, baseline: DataFrame | None, features: Sequence[str], params: MonitorParams = MonitorParams(), costs: CostMatrix = CostMatrix()) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for the rows of ``match_events``: a cycle of the monitor over what is new and what the last cycle kept.
+
+    Below ``folder`` each cycle writes the last ``window`` matches and the last ``window`` scored features, the streaks of both latches, one row ``cycle, max_psi, auprc, matched,
+    cost, flagged_rate, poison`` and its alerts. It reads the windows and streaks of the cycle before and nothing older, and deletes those of the cycle
+    before that, so its work is that of the batch and two windows, however long the stream runs. A cycle that is replayed reads the
+    same and overwrites its own rows. The baseline is cut into bins once, when the monitor starts.
     """
+    known = drift.baseline_bins(baseline, features) if baseline is not None else None
+    shape = ", ".join(f"`{c}` double" for c in features)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keyed = written(monitor.route(batch, ["seq", "published_s"]), "routed")
-        good = keyed.where("status = 'ok'")
-        good.select("seq", "id", F.col("published_s").alias("t"), "score", "decision", "label").write.mode("overwrite").parquet(f"{folder}/arrivals/batch={batch_id}")
-        good.where("score is not null").select("seq", *[F.try_element_at("features", F.lit(c)).alias(c) for c in features]).write.mode("overwrite").parquet(f"{folder}/features/batch={batch_id}")
-        arrivals = spark.read.parquet(f"{folder}/arrivals").drop("batch")
-        rolling = matching.rolling_metrics(matching.match_batch(arrivals, params.retention_s), costs, params.window)
-        window = matching.feature_window(spark.read.parquet(f"{folder}/features").drop("batch"), params.window, params.min_current)
-        psi = drift.psi(baseline, window, features) if baseline is not None and window is not None else None
-        cycle = monitor.cycle_row(rolling, psi, batch_id, params).join(rolling.select("cost", "flagged_rate")).join(keyed.agg(F.count_if(F.col("status") == "poison").alias("poison")))
-        cycle.write.mode("overwrite").parquet(f"{folder}/cycles/batch={batch_id}")
-        scoring.alerts(spark.read.parquet(f"{folder}/cycles").drop("batch"), params).write.mode("overwrite").parquet(f"{folder}/alerts")
+
+        def carried(name: str, rows: DataFrame, schema: str, order: str | None = None) -> DataFrame:
+            """The cycle's table ``name``: its rows, in a window also those of the cycle before, the last ones of both."""
+            if order:
+                before = spark.read.schema(schema).parquet(f"{folder}/{name}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+                rows = rows.union(before).orderBy(F.desc(order)).limit(params.window)
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+            return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={batch_id}")
+
+        new = written(batch, "monitor-rows")
+        matches = carried("matches", new.where("kind = 'match'").select(F.col("seq").alias("matched_seq"), "score", "decision", "label"), "matched_seq bigint, score double, decision boolean, label int", "matched_seq")
+        scored = new.where("kind = 'scored'").select("seq", F.from_json("payload", shape).alias("f")).select("seq", *[F.col(f"f.`{c}`").alias(c) for c in features])
+        window = carried("features", scored, f"seq bigint, {shape}", "seq")
+        rolling = matching.metrics_of(matches, costs)
+        psi = drift.psi_against(known, window, features) if known is not None and window.count() >= params.min_current else None
+        cycle = monitor.cycle_row(rolling, psi, batch_id, params).join(rolling.select("cost", "flagged_rate")).join(new.agg(F.count_if(F.col("kind") == "poison").alias("poison")))
+        cycle = carried("cycles", cycle, "cycle bigint, max_psi double, auprc double, matched bigint, weak boolean, cost double, flagged_rate double, poison bigint")
+        streaks = spark.read.schema(_STREAKS).parquet(f"{folder}/latches/batch={batch_id - 1}") if batch_id else spark.createDataFrame([(0, 0)], _STREAKS)
+        after = carried("latches", cycle.join(streaks).select(_streak(F.col("max_psi") > params.psi, "drifted"), _streak(F.col("weak"), "decayed")), _STREAKS)  # two rows of one
+        carried("alerts", _alerts(cycle.join(after), params), "cycle bigint, kind string, metric string, value double, threshold double")
+        for name in ("matches", "features", "latches"):
+            _delete(spark, f"{folder}/{name}/batch={batch_id - 2}")
 
     return run
 
 
-def start_monitor(messages: DataFrame, folder: str, baseline: DataFrame | None, features: list[str], params: MonitorParams = MonitorParams(), *, once: bool = False):
+_STREAKS = "drifted bigint, decayed bigint"
+
+
+def _streak(breached, name: str):
+    """Breaches in a row, up to now; a cycle without a value leaves them as they are."""
+    return F.when(breached.isNull(), F.col(name)).when(breached, F.col(name) + 1).otherwise(F.lit(0).cast("bigint")).alias(name)
+
+
+def _alerts(cycle: DataFrame, params: MonitorParams) -> DataFrame:
+    """Alerts of the latches whose streak has just reached the debounce."""
+    fires = lambda name, breached: (F.col(name) == params.debounce) & F.coalesce(breached, F.lit(False))
+    row = lambda kind, metric, value, limit: F.struct("cycle", F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), F.col(value).alias("value"), F.lit(float(limit)).alias("threshold"))
+    drifted = F.when(fires("drifted", F.col("max_psi") > params.psi), row("data_drift", "feature_drift_psi", "max_psi", params.psi))
+    decayed = F.when(fires("decayed", F.col("weak")), row("concept_drift", "rolling_auprc", "auprc", params.auprc_floor))
+    return cycle.select(F.explode(F.array_compact(F.array(drifted, decayed))).alias("a")).select("a.*")
+
+
+def start_monitor(messages: DataFrame, folder: str, baseline: DataFrame | None, features: Sequence[str], params: MonitorParams = MonitorParams(), *, once: bool = False, shards: int = bounded.SHARDS):
     """The monitor as a running stream: a cycle every ``recompute_s`` seconds of processing time, or at once through all there is."""
-    return scoring.start_scoring(messages, f"{folder}/checkpoint", monitor_batches(folder, baseline, features, params), once=once, every_s=params.recompute_s)
+    rows = bounded.match_events(monitor_events(messages, features), params.retention_s, params.max_ids, shards)
+    return scoring.start_scoring(rows, f"{folder}/checkpoint", monitor_batches(folder, baseline, features, params), once=once, every_s=params.recompute_s)

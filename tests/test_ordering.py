@@ -62,3 +62,50 @@ def test_trailing_shuffles_once(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
     with pytest.raises(ValueError, match="divide"):
         ordering.trailing(df, by=["card"], at="us", window=10, inclusive=True, count={"n": "amount"}, parts=3)
+
+
+def test_quantiles_are_exact(spark):
+    """Many ties, few values, one value, none: as numpy has them; brackets of large groups hold the place."""
+    import numpy as np
+
+    r = random.Random(9)
+    groups = {"many": [r.gauss(0, 1) for _ in range(30_000)], "ties": [float(r.randrange(5)) for _ in range(2000)], "skew": [0.0] * 900 + [r.random() for _ in range(100)], "two": [1.0, 4.0], "one": [7.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("many", None), ("none", None), (None, 2.0), (None, 3.0)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    got = {x["g"]: x["q"] for x in ordering.quantiles(df, "g", "x", shares).collect()}
+    assert got.keys() == {*groups, None} and got[None] == pytest.approx(np.quantile([2, 3], shares))
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(np.quantile(xs, shares).tolist(), abs=1e-12)
+    assert "percentile(" not in ordering.quantiles(df, "g", "x", shares)._jdf.queryExecution().toString()
+
+
+def test_previous_over_stretches(spark):
+    r = random.Random(1)
+    times = r.sample(range(-500, 4000), 300)
+    rows = [(r.choice(["a", "b", None]), t, None if r.random() < 0.1 else r.random()) for t in times]
+    got = {x["t"]: x["p"] for x in ordering.previous(spark.createDataFrame(rows, "k string, t bigint, x double"), by=["k"], order=["t"], value="x", name="p", stretch=100).collect()}
+    for k in ("a", "b", None):
+        mine = sorted(((t, x) for g, t, x in rows if g == k), key=lambda v: v[0])
+        assert [got[t] for t, _ in mine] == [None, *[x for _, x in mine[:-1]]]
+
+
+def test_ordered_fold_over_batches(spark):
+    """A key's rows come in order through any number of batches; its state is all that is kept."""
+    class Trace:
+        def __init__(self):
+            self.seen, self.parts = [], 0
+
+    def step(state, part):
+        state.seen += part["t"].tolist()
+        state.parts += 1
+
+    rows = [(k, t) for k, n in (("hot", 5000), ("a", 3), (None, 40), ("b", 1)) for t in random.Random(2).sample(range(n), n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        out = ordering.ordered_fold(spark.createDataFrame(rows, "k string, t bigint"), by="k", order=["t"], start=Trace, step=step, end=lambda s: (len(s.seen), s.seen == sorted(s.seen), s.parts), schema="k string, n bigint, ordered boolean, parts bigint")
+        got = {x["k"]: x for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: x["n"] for k, x in got.items()} == {"hot": 5000, "a": 3, None: 40, "b": 1} and all(x["ordered"] for x in got.values())
+    assert got["hot"]["parts"] >= 5000 // 64

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskloom.contract import CanaryParams, CostMatrix, MonitorParams, ReplayParams
 from riskloom.operators import drift, rules
 from riskloom.sources import tables
-from riskloom.streaming import matching, replay, scoring
+from riskloom.streaming import bounded, matching, online, replay, scoring
 
 
 def seconds(spark, times):
@@ -102,6 +102,111 @@ def test_stream_matches_like_the_batch(spark, tmp_path):
     assert got == sorted((i, s, s >= 0.5, y) for _, i, s, y in simulate(rows, 60.0)[0])
 
 
+def bounded_version(rows, retention_ms, waiting):
+    """One event after another, with a dictionary in order for each side: the front goes when it is too old or there are too many."""
+    clock, held, out = 0, {"s": {}, "l": {}, "c": {}}, []
+    limits = {"s": waiting, "l": waiting, "c": 5 * waiting}
+
+    def put(side, i, entry):
+        held[side].pop(i, None)
+        held[side][i] = entry
+        while len(held[side]) > limits[side]:
+            held[side].pop(next(iter(held[side])))
+
+    for k, (side, i, t, v) in enumerate(rows):
+        clock = max(clock, t)
+        oldest = clock - retention_ms
+        for d in held.values():
+            while d and next(iter(d.values()))[0] < oldest:
+                d.pop(next(iter(d)))
+        there = {x: d.pop(i) if i in d and d[i][0] < oldest else d.get(i) for x, d in held.items()}
+        there = {x: e if e and e[0] >= oldest else None for x, e in there.items()}
+        if t < oldest or there["c"]:
+            continue
+        other = "l" if side == "s" else "s"
+        if there[other]:
+            held[other].pop(i)
+            out.append((k, i, float(v if side == "s" else there[other][1]), int(v if side == "l" else there[other][1])))
+            put("c", i, (t, None))
+        else:
+            put(side, i, (t, v))
+    return out
+
+
+@pytest.mark.parametrize(("shards", "max_ids"), [(1, 6), (1, 10_000), (3, 9)])
+def test_bounded_stream_against_one_event_after_another(spark, tmp_path, shards, max_ids):
+    """More ids wait than the bound; batches cut the order anywhere; each shard is as if alone."""
+    import random
+
+    r = random.Random(max_ids)
+    rows = [(r.choice("ssl"), str(r.randrange(40)), (k * 2 - r.randrange(12)) * 1000 + 1_700_000_000_000, r.choice([0, 1])) for k in range(400)]
+    made = [(k, "score" if s == "s" else "label", i, t, float(v) if s == "s" else None, v >= 0.5 if s == "s" else None, v if s == "l" else None, None) for k, (s, i, t, v) in enumerate(rows)]
+    df = spark.createDataFrame(made, "seq bigint, kind string, id string, ms bigint, score double, decision boolean, label int, payload string").withColumn("t", F.timestamp_millis("ms")).drop("ms")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(4):
+        df.where(F.col("seq").between(100 * k, 100 * k + 99)).coalesce(1).write.mode("append").parquet(src)
+    stream = scoring.file_stream(spark, src, df.schema, files_per_batch=1)
+    found = bounded.match_events(stream, 120.0, max_ids, shards)
+    found.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((x["seq"], x["id"], x["score"], x["label"]) for x in spark.read.parquet(out).where("kind = 'match'").collect())
+    shard = {x["id"]: x["s"] for x in df.select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("s")).distinct().collect()}
+    expected = []
+    for s in range(shards):
+        mine = [(k, *row) for k, row in enumerate(rows) if shard[row[1]] == s]
+        expected += [(mine[k][0], i, score, y) for k, i, score, y in bounded_version([m[1:] for m in mine], 120_000, -(-max_ids // shards))]
+    assert got == sorted(expected) and len(got) > 30
+    if max_ids < 10:
+        assert sorted(expected) != sorted(simulate([(s, i, t / 1000, v) for s, i, t, v in rows], 120.0)[0])  # the bound matters here
+
+
+def test_velocity_parts(spark, tmp_path):
+    """Cards with dense and sparse times, nulls, ties and late events, over batches: the rows of a loop over what has come."""
+    import random
+
+    r = random.Random(4)
+    window, batches = 1000, []
+    for b in range(4):
+        rows = [(b * 1000 + k, r.choice(["hot", "hot", "a", "b"]), b * 900 + r.randrange(950), None if r.random() < 0.1 else float(r.randrange(1, 50))) for k in range(120)]
+        batches.append(rows)
+        spark.createDataFrame(rows, "id bigint, card string, us bigint, amount double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = scoring.file_stream(spark, str(tmp_path / "in"), "id bigint, card string, us bigint, amount double", files_per_batch=1)
+    out = str(tmp_path / "out")
+    online.velocity_stream(stream, window).writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {x["id"]: (x["v_count"], x["v_sum"], x["v_max"]) for x in spark.read.parquet(out).collect()}
+    known = []
+    for rows in batches:
+        known += [x for x in rows if x[3] is not None]
+        for i, card, us, _ in rows:
+            seen = [a for _, c, t, a in known if c == card and us - window <= t < us]
+            newest = max((t for _, c, t, _ in known if c == card), default=0)
+            if us - window >= newest - 2 * window:  # all that it asks for is still kept
+                assert got[i] == (len(seen), sum(seen), max(seen, default=0.0)), i
+    assert len(got) == 480
+
+
+def test_monitor_keeps_no_history(spark, tmp_path):
+    """A cycle reads the windows of the one before; those of older cycles are gone, and a replayed cycle leaves the same rows."""
+    folder, run = str(tmp_path), None
+    baseline = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
+    params = MonitorParams(window=40, min_current=20, min_matched=10, debounce=2, psi=0.2, auprc_floor=0.99)
+    run = online.monitor_batches(folder, baseline, ["x"], params)
+    schema = "kind string, seq bigint, id string, score double, decision boolean, label int, payload string"
+
+    def batch(k):
+        scored = [("scored", 100 * k + i, str(i), 0.5, None, None, json.dumps({"x": float(i if k < 2 else 500 + i)})) for i in range(30)]
+        return spark.createDataFrame(scored + [("match", 100 * k + 50 + i, str(i), i / 30, i > 15, i % 2, None) for i in range(30)] + [("poison", 1, None, None, None, None, None)] * k, schema)
+
+    for k in (0, 1, 2, 3, 3):
+        run(batch(k), k)
+    cycles = {x["cycle"]: x for x in spark.read.parquet(f"{folder}/cycles").collect()}
+    assert [(cycles[k]["matched"], cycles[k]["poison"]) for k in range(4)] == [(30, 0), (40, 1), (40, 2), (40, 3)]
+    assert cycles[0]["max_psi"] < cycles[2]["max_psi"] and cycles[3]["max_psi"] > 0.2
+    fired = sorted((x["cycle"], x["kind"]) for x in spark.read.parquet(f"{folder}/alerts").collect())
+    assert fired == [(1, "concept_drift"), (1 if cycles[0]["max_psi"] > 0.2 and cycles[1]["max_psi"] > 0.2 else 3, "data_drift")]
+    import os
+    assert {name: sorted(x for x in os.listdir(f"{folder}/{name}") if x.startswith("batch")) for name in ("matches", "features", "latches")} == dict.fromkeys(("matches", "features", "latches"), ["batch=2", "batch=3"])
+
+
 def test_rolling(spark):
     rows = [(str(i), s, s >= 0.5, y, i) for i, (s, y) in enumerate([(0.1, 1), (0.9, 0), (0.9, 1)])]
     m = spark.createDataFrame(rows, "id string, score double, decision boolean, label int, matched_seq bigint")
