@@ -52,7 +52,8 @@ def test_candidates_hold_all_links():
     none = np.empty((300, 0), np.uint64)
     unlike = np.arange(300)
     found = set()
-    for i, j in trees.candidates([trees.token_bits(s) for s in sets], np.array([len(s) for s in sets]), unlike, unlike, none, 90):
+    n = np.array([len(s) for s in sets])
+    for i, j in trees.candidates([trees.token_bits(s) for s in sets], n, n, unlike, unlike, none, 90):
         pairs = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
         assert not pairs & found and all(a != b for a, b in pairs)
         found |= pairs
@@ -65,7 +66,7 @@ def test_pairs_meet_once():
     """A pair that shares an earlier token isn't looked at again; one class and one cell aren't either."""
     s = [shingle_hashes(prose(1, 60), 3)] * 4
     bits, n, own = [trees.token_bits(x) for x in s], np.array([len(x) for x in s]), np.arange(4)
-    pairs = lambda label, cell, early: sorted(tuple(sorted(p)) for i, j in trees.candidates(bits, n, label, cell, early, 90) for p in zip(i.tolist(), j.tolist(), strict=True))
+    pairs = lambda label, cell, early: sorted(tuple(sorted(p)) for i, j in trees.candidates(bits, n, n, label, cell, early, 90) for p in zip(i.tolist(), j.tolist(), strict=True))
     none = np.empty((4, 0), np.uint64)
     assert pairs(own, own, none) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
     assert pairs(np.array([0, 0, 1, 1]), own, none) == [(0, 2), (0, 3), (1, 2), (1, 3)]
