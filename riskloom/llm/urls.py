@@ -30,6 +30,10 @@ BLOCK_EXAMPLES = {
     "advertising": "popup ads | banner ads | popup banner | ad server | ads server | ads exchange | ad exchange | ad click tracker | click tracker | pixel tracker | tracker pixel | click ads | popup ad | pixel ads | ad pixel | ads click | banner tracker | ad banner | track clicks | track users | click track pixel",
     "scams": "payday loan | payday cash | quick cash loan | quick payday loan | fast cash | get rich quick | get rich | earn money fast | fast money | quick money | free iphone winner | free prize winner | prize winner claim | claim prize | crypto giveaway | bitcoin giveaway | double bitcoin | double crypto | replica watches | fake watches | replica rolex | fake rolex | replica bags",
     "malware": "cracked software | cracked games | warez keygen | warez download | keygen crack | serial crack | crack keygen serial | torrent warez | torrent crack | phishing login | phishing verify | verify login | malware download | malware dropper | botnet malware | hack keygen | trojan malware | trojan dropper | botnet trojan",
+    "bettors": "win bets | bet win | big win bets | bet odds | crypto casino | bitcoin casino | bitcoin bets | lotto winner | lotto jackpot | online slots | free spins | spins bonus | bookmaker bonus | bookie tips | betting bonus | casino vip | vip slots",
+    "doping": "steroids for sale | buy steroids | cheap steroids | steroids shop | anabolic steroids | steroid shop | pills for sale | buy meds online | no prescription meds | no prescription pills | opioids for sale | buy oxycodone | cheap xanax | buy weed online | weed for sale | fat burner pills | male enhancement pills | potency pills",
+    "leaks": "onlyfans leaks | leaks xxx | leaked nudes | nudes videos | leaked porn | leaked videos xxx | nude leaks | nudes | nude pics | naked girls | naked pics | erotic stories | erotic massage | fetish videos | hentai porn | milf porn | teen porn | gay porn | amateur porn | porn star | sex tapes | sex shop | adult hookup",
+    "frauds": "make money fast | make money online | payday advance | fake passports | fake diploma | buy diploma | fake id | counterfeit money | hack accounts | hacked accounts | password hack | free followers | buy followers | buy likes | buy reviews | fake reviews | ponzi crypto | crypto doubler",
     "plain": "casino blog | betting blog | sex blog | adult blog | spam blog | casino page | porn page | porn category page | betting home page | casino home page | spam feed | pills shop | viagra shop | shop replica | casino mobile | betting mobile | mobile porn | porn index | escorts contact | porn archive | casino forum | casino review",
 }
 ALLOW_EXAMPLES = {
@@ -38,6 +42,10 @@ ALLOW_EXAMPLES = {
     "software": "open source | open source code | source code | python code | python docs | code docs | developer docs | developer guide | python developer | data archive | open data | data science | software docs | software developer | free software | open software | software download | help center | data center | support center | support forum | developer forum | web server docs | web developer | web server setup | click handler docs | track changes guide",
     "home": "recipe kitchen | home kitchen | kitchen garden | home garden | garden guide | travel guide | city travel | family travel | family health | health guide | health center | pet care | child care | health care | craft guide | home craft | family recipe | farm market | farm produce | track and field | cash flow | home loan | loan calculator | bank account | family dating history",
     "culture": "photo album | photo gallery | art gallery | art museum | book club | book review | movie review | movie guide | music album | music review | music video | video lecture | music festival | art festival | film festival | film review | championship win | win championship | poetry book | game design | game review | comic book | photo archive | music archive | film archive",
+    "shops": "best buy | best shop | best books | book store | online store | online shop | shoe store | toy store | gift shop | gift cards | gift ideas | cheap flights | cheap hotels | hotel deals | flight deals | last minute deals | free shipping | free returns | discount code | buy books | buy tickets | cheap books | quick delivery | fast delivery | home delivery",
+    "play": "card games | card game rules | board games | game rules | chess club | chess online | kids games | free games | mobile games | video games | game store | puzzle games | word games | game night | sports club | live sports | live scores | live music | live stream | mobile app | free apps | world cup | club results",
+    "study": "adult literacy | adult learning | adult classes | literacy program | reading list | linked list | linked data | data structures | list of birds | word list | to do list | mailing list | email list | sex education | health education | drug safety | drug research | drug prevention | medical journal | medical news | pharmacy school | hospital pharmacy | vitamin guide | sleep guide | diet plan | healthy diet",
+    "work": "job search | find jobs | job offers | online banking | bank login | account login | user login | web mail | web hosting | web design | credit union | credit report | personal finance | mortgage loan | student loan | car loan | home insurance | crypto news | bitcoin wallet | stock market | traffic report | traffic news | link building guide | live traffic | network security | password manager | virus research | antivirus",
     "plain": "index | index page | home | home page | about | about page | contact | contact page | article | article page | article archive | post | blog post | blog | blog archive | news blog | page | category | category page | category index | feed | blog feed | news feed | mobile | mobile page | shop | shop page | product | product page | product category | company | about company | company news | community | community forum | community blog | account settings | account page | free samples | product samples",
 }
 
@@ -48,6 +56,7 @@ free win buy cheap shop store sale deal offer price money cash bank card loan fa
 car auto game games play player toy kids baby girl boy man men woman women love heart dating date chat cam video photo pics image music great super
 movie film tv radio news daily post times press blog forum wiki guide tips help support info data code soft app apps mobile phone tech digital my your
 health med meds pill drug drugs diet weight loss fit doctor care beauty hair skin food cook kitchen garden travel trip tour hotel flight sport ball team
+list linked links adult literacy steroids nude naked leaks fans only sex porn casino poker buy best for sale flights rules
 bet bets slot fake crack watch hack spam farm link links ads ad track pixel school learn class book art history science green energy solar water earth
 """
 #: Half of a word's share comes from the fixed words, half from the texts.
@@ -56,6 +65,8 @@ FIXED_SHARE = 0.5
 UNKNOWN, UNKNOWN_LETTER = 14.0, 3.3
 #: Words are looked up by so many first letters.
 KEY_LETTERS = 20
+#: Starts of a name whose substrings are made at once.
+_STARTS = 5000
 #: Share of blocked URLs before any word is seen, so that unknown words alone never block; count added to every word.
 PRIOR_BLOCK, SMOOTHING = 0.3, 0.2
 
@@ -154,7 +165,7 @@ def word_shares(texts: DataFrame | None, like: DataFrame) -> DataFrame:
     fixed = like.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(FIXED_WORDS)))).alias("word"))
     if texts is None:
         return fixed.select(F.substring("word", 1, KEY_LETTERS).alias("key"), "word", F.lit(1 / len(FIXED_WORDS)).alias("share"))
-    counted = texts.select(F.explode(text_words(F.col("text"))).alias("word")).where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = texts.select(F.explode(text_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("word").rlike("^[a-z]+$"))
     counted = materialize(counted, "word-counts")
     total = counted.agg(F.sum("n")).first()[0]
     of_fixed, of_texts = (FIXED_SHARE, 1 - FIXED_SHARE) if total else (1.0, 0.0)
@@ -167,20 +178,32 @@ def split_tokens(tokens: DataFrame, shares: DataFrame, classifier: TokenClassifi
     """``(token, words, weight)`` of distinct ``tokens (token)``: the split by spaces and its part of the log odds.
 
     The unigram model has no cap: each name meets the model's words among its own substrings in a join, so no process
-    holds the whole model. Words are met by their first ``KEY_LETTERS`` letters and then compared whole.
+    holds the whole model. Words are met by their first ``KEY_LETTERS`` letters, so a name may get a word that
+    begins like a part of it and goes on otherwise; the search never finds that one. Substrings travel with a hash of their name, never
+    with the name: what a name of n letters sends is n times ``KEY_LETTERS`` short keys.
     """
-    starts = tokens.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
-    ends = F.sequence(F.lit(1), F.least(F.lit(KEY_LETTERS), F.length("token") - F.col("i") + 1))
-    within = starts.select("token", "i", F.explode(ends).alias("k")).select(F.md5("token").alias("name"), F.substring("token", F.col("i"), F.col("k")).alias("key"), F.when(F.col("k") == KEY_LETTERS, F.substring("token", F.col("i"), F.length("token"))).alias("rest"))
-    known = within.join(maybe_broadcast(shares), "key").where("rest is null or startswith(rest, word)")
-    known = known.groupBy("name").agg(F.collect_set(F.struct("word", "share")).alias("known")).select("name", F.col("known.word").alias("known"), F.col("known.share").alias("shares"))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, token in zip(batch["name"], batch["token"], strict=True):
+                for at in range(0, len(token), _STARTS):
+                    found = {token[i : i + k] for i in range(at, min(at + _STARTS, len(token))) for k in range(1, min(KEY_LETTERS, len(token) - i) + 1)}
+                    yield pd.DataFrame({"key": list(found)}).assign(name=name)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [[t] if k is None else Segmenter(dict(zip(k, p, strict=True))).split(t) for t, k, p in zip(batch["token"], batch["known"], batch["shares"], strict=True)]
             yield pd.DataFrame({"token": batch["token"], "words": [" ".join(w) for w in found], "weight": [classifier.weight(w) for w in found]})
 
-    return tokens.withColumn("name", F.md5("token")).join(known, "name", "left").select("token", "known", "shares").mapInPandas(work, "token string, words string, weight double")
+    named = tokens.select("token", F.md5("token").alias("name"))
+    known = named.mapInPandas(keys, "key string, name string").join(maybe_broadcast(shares, _bytes("key", "word")), "key")
+    known = known.groupBy("name").agg(F.collect_set(F.struct("word", "share")).alias("known")).select("name", F.col("known.word").alias("known"), F.col("known.share").alias("shares"))
+    return named.join(known, "name", "left").select("token", "known", "shares").mapInPandas(work, "token string, words string, weight double")
+
+
+def _bytes(*columns: str) -> str:
+    """Weight of a row for ``maybe_broadcast``: 1 for a short key, more for long texts."""
+    return "1 + (" + " + ".join(f"octet_length({c})" for c in columns) + ") div 32"
 
 
 def judge_urls(pages: DataFrame, texts: DataFrame | None = None, *, rules: Sequence[tuple[str, str, str]] = RULES, examples: Sequence[tuple[str, bool]] | None = None) -> DataFrame:
@@ -204,7 +227,7 @@ def judge_urls(pages: DataFrame, texts: DataFrame | None = None, *, rules: Seque
     placed = materialize(urls.select("host", "path", F.posexplode_outer(pieces).alias("pos", "token")), "url-tokens")
     tokens = placed.select("token").where("token is not null").distinct()
     splits = materialize(split_tokens(tokens, materialize(word_shares(texts, pages), "word-shares"), classifier), "url-splits")
-    each = placed.join(maybe_broadcast(splits), "token", "left")
+    each = placed.join(maybe_broadcast(splits, _bytes("token", "words")), "token", "left")
     per_url = each.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "words", "weight"))).alias("placed"))
     score = F.aggregate("placed", F.lit(classifier.prior), lambda a, x: a + F.coalesce(x["weight"], F.lit(0.0)))
     scored = base.join(per_url.select("host", "path", F.concat_ws(" ", F.col("placed.words")).alias("words"), score.alias("score")), ["host", "path"])
