@@ -37,7 +37,7 @@ class Registry:
     """Versions with tags, and aliases, in one JSON file that is replaced whole."""
 
     def __init__(self, path: str):
-        self.path = os.path.join(path, "registry.json")
+        self.root, self.path = path, os.path.join(path, "registry.json")
 
     def _state(self) -> dict:
         return read_json(self.path, {"versions": {}, "aliases": {}})

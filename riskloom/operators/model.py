@@ -9,7 +9,6 @@ from __future__ import annotations
 import itertools
 import math
 import os
-import random
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
@@ -26,6 +25,7 @@ from riskloom.contract import CostMatrix, Params, same_features
 from riskloom.functions.ordering import ranked
 from riskloom.operators import metrics, prepare
 from riskloom.operators.gate import Registry, decide
+from riskloom.operators.search import Choice, Span, maximise
 from riskloom.sources.tables import content_hashes, read_json, write_json, written
 
 
@@ -152,24 +152,21 @@ def raw_scores(bundle: Bundle, df: DataFrame, label: str = "label", id: str = "i
     return bundle.score(df).select(F.col(id).alias("id"), F.col(label).alias("label"), F.col("raw_score").alias("score"))
 
 
+#: What the search may choose.
+SPACE = {
+    "rounds": Choice((20, 40, 80)), "depth": Span(3, 6, whole=True), "rate": Span(0.03, 0.3, log=True), "subsample": Span(0.6, 1.0),
+    "min_rows": Span(5, 50, log=True, whole=True), "ridge": Span(1e-4, 1.0, log=True), "trees": Choice((20, 40, 60)),
+}
+
+
 def tune(train: DataFrame, val: DataFrame, features: Sequence[str], family: str = "gbt", trials: int = 10, seed: int = 42, timeout_s: float = 3600.0, clock: Callable[[], float] = time.monotonic) -> tuple[Hyper, float]:
-    """Seeded random search for the best average precision on val; a trial that fails is passed over, none starts after ``timeout_s``. RuntimeError if all fail."""
-    draw = random.Random(seed)
-    best: tuple[Hyper, float] | None = None
-    end = clock() + timeout_s
-    for _ in range(trials):
-        if clock() > end:
-            break
-        h = replace(Hyper(seed=seed), rounds=draw.choice([20, 40, 80]), depth=draw.choice([3, 4, 5, 6]), rate=draw.choice([0.05, 0.1, 0.2]), subsample=draw.choice([0.6, 0.8, 1.0]), min_rows=draw.choice([5, 20, 50]))
-        try:
-            value = metrics.auprc(raw_scores(fit(train, val, features, family, h), val)).first()["auprc"]
-        except Exception:  # one bad setting must not end the search
-            continue
-        if value is not None and (best is None or value > best[1]):
-            best = (h, value)
-    if best is None:
-        raise RuntimeError("no trial completed")
-    return best
+    """Seeded search (``search.maximise``) for the best average precision on val; a trial that fails is passed over, none starts after ``timeout_s``. RuntimeError if all fail."""
+
+    def value(chosen: dict) -> float | None:
+        return metrics.auprc(raw_scores(fit(train, val, features, family, replace(Hyper(seed=seed), **chosen)), val)).first()["auprc"]
+
+    chosen, best = maximise(value, SPACE, trials=trials, seed=seed, timeout_s=timeout_s, clock=clock)
+    return replace(Hyper(seed=seed), **chosen), best
 
 
 def pick_primary(candidates: dict[str, float | None]) -> str:
@@ -197,11 +194,12 @@ def split_metrics(bundle: Bundle, df: DataFrame, ks: Sequence[float]) -> DataFra
     return out
 
 
-def train_and_gate(df: DataFrame, features: Sequence[str], registry: Registry, params: Params = Params(), h: Hyper = Hyper(), families: Sequence[str] = tuple(FAMILIES)) -> tuple[Bundle, dict]:
+def train_and_gate(df: DataFrame, features: Sequence[str], registry: Registry, params: Params = Params(), h: Hyper = Hyper(), families: Sequence[str] = tuple(FAMILIES), root: str | None = None) -> tuple[Bundle, dict]:
     """The whole run over rows ``(id, label, split, features)``: returns the challenger and what was decided.
 
-    The best family on val is calibrated on one half of val and gets its threshold on the other. The gate compares
-    average precision of raw scores and cost of calibrated scores on test with the champion's; a winner is promoted.
+    The best family on val is calibrated on one half of val and gets its threshold on the other, at the six decimals that tags have. The gate compares
+    average precision of raw scores and cost of calibrated scores on test with the champion's. The challenger is saved below ``root`` (the registry's
+    folder) under its version; a winner then gets its tags and at last the alias, so who follows the alias finds its files and metrics.
     """
     part = {s: df.where(F.col("split") == s).drop("split") for s in prepare.SPLIT_ORDER}
     fitted = {f: fit(part["train"], part["val"], features, f, h) for f in families}
@@ -210,7 +208,7 @@ def train_and_gate(df: DataFrame, features: Sequence[str], registry: Registry, p
     halves = prepare.stratified_folds(part["val"], k=2, label="label", id="id", seed=params.seed)
     bundle.calibrator = fit_isotonic(raw_scores(bundle, halves.where("fold = 0").drop("fold")))
     chosen = metrics.select_threshold(bundle.score(halves.where("fold = 1").drop("fold")).select("id", "label", "score"), params.cost, recall_floor=params.recall_floor, alert_budget=params.alert_budget)
-    bundle.threshold = chosen["threshold"]
+    bundle.threshold = round(chosen["threshold"], 6)
     test = written(bundle.score(part["test"]).select("id", "label", "raw_score", "score"), "test-scores")
     ap = metrics.auprc(test.select("label", F.col("raw_score").alias("score"))).first()["auprc"]
     cost = metrics.expected_cost(test, bundle.threshold, params.cost).first()["cost_per_row"]
@@ -218,6 +216,7 @@ def train_and_gate(df: DataFrame, features: Sequence[str], registry: Registry, p
     verdict = decide(challenger, registry.champion_metrics())
     bundle.version = registry.add_version(bundle.family, {})
     bundle.info = {"val_auprc": aps, "test_auprc": ap, "test_cost": cost, "decision": verdict}
+    bundle.save(f"{root or registry.root}/{bundle.version}")
     if verdict in ("promote", "bootstrap"):
         registry.promote(bundle.version, challenger[0], challenger[1], bundle.threshold)
     return bundle, bundle.info

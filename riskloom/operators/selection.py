@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.contract import SelectionParams
@@ -25,26 +27,77 @@ def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rates.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rate")) for c in columns])).alias("x")).select("x.*")
 
 
-def _mean_rank(v: str, *by: str) -> Column:
-    """The mean of the first and the last position of a value's run of ties; one sort gives both."""
-    part = Window.partitionBy(*by)
-    w = part.orderBy(v)
-    return (F.rank().over(w) + F.round(F.cume_dist().over(w) * F.count("*").over(part))) / 2.0
+#: Cells of a tile of columns: two tiles of eight bytes a cell are what a task holds.
+TILE_CELLS = 4_000_000
 
 
-def spearman(df: DataFrame, columns: Sequence[str], id: str, min_periods: int = 1000) -> DataFrame:
+def mean_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1 of the values of each column; ties share the mean of their places."""
+    out = np.empty(x.shape)
+    for k in range(x.shape[1]):
+        order = np.argsort(x[:, k], kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(x[order, k]) != 0]))
+        ends = np.append(starts[1:], len(order))
+        out[order, k] = np.repeat((starts + 1 + ends) / 2, ends - starts)
+    return out
+
+
+def pair_correlations(left: np.ndarray, right: np.ndarray, min_periods: int) -> np.ndarray:
+    """Rank correlations of each column of ``left`` with each of ``right`` over the rows where both are there (NaN: missing); NaN where undefined.
+
+    Columns that miss the same rows are ranked once for each such group on the other side, and their products are one matrix product.
+    """
+    def patterns(x: np.ndarray) -> list[tuple[np.ndarray, list[int]]]:
+        groups: dict[bytes, list[int]] = {}
+        for k in range(x.shape[1]):
+            groups.setdefault(np.packbits(np.isnan(x[:, k])).tobytes(), []).append(k)
+        return [(~np.isnan(x[:, at[0]]), at) for at in groups.values()]
+
+    out = np.full((left.shape[1], right.shape[1]), np.nan)
+    for here, a in patterns(left):
+        for there, b in patterns(right):
+            both = here & there
+            if both.sum() >= max(min_periods, 1):
+                x, y = (mean_ranks(m[both][:, at]) for m, at in ((left, a), (right, b)))
+                x, y = x - x.mean(axis=0), y - y.mean(axis=0)
+                size = np.sqrt(np.outer((x * x).sum(axis=0), (y * y).sum(axis=0)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out[np.ix_(a, b)] = np.where(size > 0, x.T @ y / size, np.nan)
+    return out
+
+
+def spearman(df: DataFrame, columns: Sequence[str], id: str, min_periods: int = 1000, tile_cells: int = TILE_CELLS) -> DataFrame:
     """``a, b, rho`` for every pair a < b of columns: rank correlation over rows where both are there.
 
-    Ranks are recomputed within each pair's rows, ties share their mean rank. Pairs of fewer than ``min_periods``
-    rows, or with a constant side, have null. Meant for a bounded sample of rows: work grows with rows times pairs.
+    Ranks are recomputed within each pair's rows, ties share their mean rank; NaN is missing. Pairs of fewer than ``min_periods``
+    rows, or with a constant side, have null; pairs that no row has both of have none. Meant for a bounded sample of rows: tasks turn their rows into pieces of columns, and
+    each pair of tiles of columns is one task, which holds these columns whole. A cell is sent once for each tile, not for each column.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])
-    tall = df.select(F.col(id).alias("id"), F.explode(cells).alias("p")).select("id", "p.*").where("x is not null")
-    right = tall.select("id", F.col("c").alias("b"), F.col("x").alias("y"))
-    long = tall.withColumnRenamed("c", "a").join(right, "id").where("a < b")  # pairs of columns within a row
-    ranks = long.select("a", "b", _mean_rank("x", "a", "b").alias("rx"), _mean_rank("y", "a", "b").alias("ry"))
-    stats = ranks.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
-    return stats.select("a", "b", F.when((F.col("n") >= min_periods) & ~F.isnan("rho"), F.col("rho")).alias("rho"))
+    names = sorted(columns)
+    rows = max(df.count(), 1)
+    width = max(1, min(len(names), tile_cells // rows))
+    tiles = -(-len(names) // width)
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                chunk = batch["__row"].iloc[0]  # no two batches have a row in common
+                yield pd.DataFrame({"column": np.arange(len(names)), "chunk": chunk, "cells": [batch[c].to_numpy(np.float64).tobytes() for c in names]})
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["column", "chunk"])
+        cells = {k: np.frombuffer(b"".join(part["cells"]), np.float64) for k, part in group.groupby("column")}
+        one, two = (int(group[c].iloc[0]) for c in ("one", "two"))
+        left, right = ([k for k in cells if k // width == tile] for tile in (one, two))
+        rho = pair_correlations(np.column_stack([cells[k] for k in left]), np.column_stack([cells[k] for k in right]), min_periods)
+        return pd.DataFrame([(names[a], names[b], rho[i, j]) for i, a in enumerate(left) for j, b in enumerate(right) if a < b], columns=["a", "b", "rho"])
+
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in names], F.monotonically_increasing_id().alias("__row"))
+    tile = F.floor(F.col("column") / width).cast("int")
+    cut = wide.mapInPandas(pieces, "column int, chunk bigint, cells binary")
+    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"one": F.least(tile, "other"), "two": F.greatest(tile, "other")})
+    found = pairs.groupBy("one", "two").applyInPandas(work, "a string, b string, rho double")
+    return found.select("a", "b", F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
 
 
 def label_association(df: DataFrame, columns: Sequence[str], label: str, id: str, min_periods: int = 1000) -> DataFrame:

@@ -132,11 +132,12 @@ def label_association(spark, d):
 
 
 _RHO = f"""SELECT a, b, corr(rx, ry) AS rho FROM (SELECT a, b, {_mean_rank('x', 'a, b')} AS rx, {_mean_rank('y', 'a, b')} AS ry
- FROM (SELECT l.c AS a, r.c AS b, l.x AS x, r.x AS y FROM {_UNPIVOT} l JOIN {_UNPIVOT} r ON l.id = r.id AND l.c <> r.c WHERE l.x IS NOT NULL AND r.x IS NOT NULL)) GROUP BY a, b"""
+ FROM (SELECT l.c AS a, r.c AS b, l.x AS x, r.x AS y FROM {_UNPIVOT} l JOIN {_UNPIVOT} r ON l.id = r.id AND l.c < r.c WHERE l.x IS NOT NULL AND r.x IS NOT NULL)) GROUP BY a, b"""
 _STRENGTH = f'SELECT c, abs(corr(rx, ry)) AS strength FROM (SELECT c, {_mean_rank("x", "c")} AS rx, {_mean_rank("label", "c")} AS ry FROM {_UNPIVOT} WHERE x IS NOT NULL) GROUP BY c'
 
 
-@query(f"""WITH RECURSIVE near AS ({_RHO}), strong AS ({_STRENGTH}), claims AS (SELECT a, list(b) AS others FROM near WHERE abs(rho) >= 0.15 GROUP BY a),
+@query(f"""WITH RECURSIVE near AS MATERIALIZED ({_RHO}), strong AS MATERIALIZED ({_STRENGTH}),
+claims AS MATERIALIZED (SELECT a, list(b) AS others FROM (SELECT a, b, rho FROM near UNION ALL SELECT b, a, rho FROM near) WHERE abs(rho) >= 0.15 GROUP BY a),
 visit AS (SELECT list(c ORDER BY round(strength, 12) DESC, c) AS order_ FROM strong),
 g AS (SELECT order_ AS rest, []::VARCHAR[] AS leaders FROM visit
  UNION ALL SELECT [x for x in rest[2:] if NOT list_contains(coalesce(others, []), x)], list_append(leaders, rest[1]) FROM g LEFT JOIN claims ON a = rest[1] WHERE len(rest) > 0),

@@ -173,3 +173,25 @@ def test_association_against_ranks(spark):
         q = p[["y", c]].dropna()
         assert got[c] == pytest.approx(abs(q["y"].rank().corr(q[c].rank())))
     assert got["V3"] == 0.0
+
+
+def test_spearman_of_many_patterns(spark):
+    """Columns that miss rows alike and unlike, ties, a constant, an empty one, NaN: as pandas has it, over tiles of any size."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    n = 500
+    base = r.normal(size=(n, 3))
+    wide = pd.DataFrame({f"V{k}": np.round(base[:, k % 3] + r.normal(size=n) * (k + 1) / 4, 1) for k in range(12)} | {"V12": np.ones(n), "V13": np.full(n, np.nan)})
+    for k in range(12):
+        wide.loc[np.flatnonzero(np.arange(n) % 5 == k % 4), f"V{k}"] = np.nan  # four patterns
+    wide.loc[r.random(n) < 0.95, "V11"] = np.nan
+    rows = [(i, *[None if np.isnan(x) and (i + j) % 2 else float(x) for j, x in enumerate(row)]) for i, row in enumerate(wide.to_numpy())]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in wide.columns)).repartition(5)
+    expected = wide.corr(method="spearman", min_periods=30)
+    for cells in (10**9, 5 * n, n):
+        got = {(x["a"], x["b"]): x["rho"] for x in selection.spearman(df, list(wide.columns), "id", 30, cells).collect()}
+        assert set(got) == {(a, b) for a in wide.columns for b in wide.columns if a < b}
+        for (a, b), rho in got.items():
+            assert (rho is None and np.isnan(expected.loc[a, b])) or rho == pytest.approx(expected.loc[a, b], abs=1e-12), (a, b)

@@ -53,6 +53,32 @@ def test_train_gate_backtest(spark, rows, tmp_path):
         model.check_provenance(bundle, {"decision": "promote"})
 
 
+def test_champion_has_its_files(spark, rows, tmp_path):
+    """Whoever follows the alias finds the files, the tags and the same threshold, from the moment it moves."""
+    seen = []
+
+    class Watched(Registry):
+        def set_alias(self, alias, version):
+            served = model.Bundle.load(f"{tmp_path}/{version}", ["a", "b"])
+            seen.append((served.version, f"{served.threshold:.6f}" == self.tags(version)["threshold"], served.threshold == float(self.tags(version)["threshold"])))
+            super().set_alias(alias, version)
+
+    registry = Watched(str(tmp_path))
+    bundle, _ = model.train_and_gate(rows, ["a", "b"], registry, Params(alert_budget=0.9), model.Hyper(rounds=4), families=("linear",))
+    assert seen == [(1, True, True)]
+    served = model.Reloader(spark, registry, str(tmp_path)).current()
+    some = rows.where("id < 40")
+    assert {x["id"]: x["decision"] for x in served.score(some).collect()} == {x["id"]: x["decision"] for x in bundle.score(some).collect()}
+
+    class Full(Registry):
+        def write_tags(self, version, tags):
+            raise OSError("no space")
+
+    with pytest.raises(OSError):
+        model.train_and_gate(rows, ["a", "b"], Full(str(tmp_path)), Params(alert_budget=0.9), model.Hyper(rounds=4), families=("linear",))
+    assert registry.version_of("champion") == 1
+
+
 def test_pick_and_tune(rows):
     assert model.pick_primary({"a": None, "b": 0.3, "c": 0.3, "d": math.nan}) == "b" and model.pick_primary({"a": math.nan, "b": None}) == "a"
     part = {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "val")}
