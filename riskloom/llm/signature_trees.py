@@ -378,6 +378,8 @@ def _places(docs: DataFrame, nodes: DataFrame, words: int, percent: int, frequen
     often = frequent_shingles(docs, nodes, words, frequent, rare)
     first = _hashed(docs, nodes.select("node", "d1", "d2"), words, lambda s: (len(s), prefix(s, often, percent).view(np.int64)), {"n": "bigint", "tokens": "array<bigint>"})
     each = materialize(first, "prefixes").select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    twice = each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")  # most tokens are one set's own: they go before anything else is known of them
+    each = materialize(each.join(twice, "token"), "shared-tokens")
     # Sets that share a run of tokens meet at the first of them; the same sets are told by their number and sums.
     same = [F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum("n").alias("load")]
     shared = each.groupBy("token").agg(*same, F.sum("pos").alias("at")).where("lo <> hi")
