@@ -42,9 +42,12 @@ _TOKENS = {
     "note": "cookie cookies consent gdpr notice notification alert popup modal overlay toast warning disclaimer privacy message announcement",
     "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner dfp adslot adsense partner outbrain taboola commercial",
     "form": "form search login signup signin subscribe subscription newsletter register input contact feedback",
-    "talk": "comment comments reply replies respond disqus discussion thread commentlist responses reviews reader",
+    "talk": "comment comments reply replies respond disqus thread commentlist reader",
     "share": "share sharing social follow tweet facebook like tags tag author byline meta",
+    "either": "discussion responses response reviews review opinion opinions feedback",  # of readers, or a part of the article
 }
+#: What notices say, with a label or without.
+_CUE = re.compile(r"\b(?:uses? cookies|(?:accept|reject|allow|manage|all) (?:all )?cookies|cookie (?:policy|settings|preferences)|your consent|gdpr|(?:our|see|the) privacy policy|ad ?blocker|leave a (?:comment|reply)|log in to (?:comment|reply))\b|^\d+ (?:comments?|repl(?:y|ies)|responses?)\b|^(?:comments|replies|responses)\W*$", re.I)
 _KIND_OF = {}
 for _kind, (_name, _words) in enumerate(_TOKENS.items()):
     for _w in _words.split():
@@ -62,11 +65,11 @@ class Page:
     ``parent`` of an element is the nearest block element around it; text and links count for that element too.
     """
 
-    __slots__ = ("parent", "group", "depth", "kinds", "chars", "links", "stops", "tags", "order", "blocks")
+    __slots__ = ("parent", "group", "depth", "kinds", "chars", "links", "stops", "cues", "tags", "order", "blocks")
 
     def __init__(self, html: str):
         self.parent, self.group, self.depth, self.kinds = [-1], [16], [0], [(0,) * _KINDS]
-        self.chars, self.links, self.stops, self.tags, self.order = [0], [0], [0], [0], [0]
+        self.chars, self.links, self.stops, self.cues, self.tags, self.order = [0], [0], [0], [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("#root", 0)]
         block, text, link, skip, seen = 0, [], 0, 0, 0
@@ -80,6 +83,8 @@ class Page:
                 if line:
                     self.blocks.append((block, line))
                     self.chars[block] += len(line)
+                    if _CUE.search(line):
+                        self.cues[block] += len(line)
                     self.stops[block] += line.count(". ") + line.count(", ") + line.endswith((".", "!", "?"))
 
         def close(k: int) -> None:
@@ -166,7 +171,7 @@ class Page:
                 self.group.append(_TAG_GROUPS.get(name, 0))
                 self.depth.append(self.depth[block] + 1)
                 self.kinds.append(tuple(kinds))
-                for values in (self.chars, self.links, self.stops, self.tags):
+                for values in (self.chars, self.links, self.stops, self.tags, self.cues):
                     values.append(0)
                 self.order.append(seen)
                 block = len(self.parent) - 1
@@ -181,15 +186,16 @@ class Page:
 
 
 def node_features(page: Page) -> np.ndarray:
-    """Per block element: tag, attribute tokens of itself and those around it, subtree densities, depth, siblings, place."""
+    """Per block element: tag, attribute tokens of itself, those around and those inside it, subtree densities, words of notices, depth, siblings, place."""
     n = len(page.parent)
     parent = np.asarray(page.parent)
     own = np.array([page.chars, page.links, page.stops, page.tags], np.float64).T
-    sub = own.copy()
-    sub = np.hstack([sub, np.ones((n, 1))])
+    sub = np.hstack([own, np.ones((n, 1)), np.asarray(page.cues, np.float64)[:, None]])
+    kinds = np.minimum(np.asarray(page.kinds, np.float64), 2)
+    below = np.zeros_like(kinds)
     for i in range(n - 1, 0, -1):  # children come after their parents
         sub[parent[i]] += sub[i]
-    kinds = np.minimum(np.asarray(page.kinds, np.float64), 2)
+        below[parent[i]] = np.maximum(below[parent[i]], np.maximum(below[i], kinds[i]))
     group = np.asarray(page.group)
     around, group_around = kinds.copy(), np.zeros((n, _GROUPS))
     group_around[np.arange(n), group] = 1
@@ -206,11 +212,24 @@ def node_features(page: Page) -> np.ndarray:
     dense = np.stack([
         np.log1p(chars), np.log1p(own[:, 0]), np.minimum(sub[:, 1] / np.maximum(chars, 1), 2), sub[:, 2] / np.maximum(chars, 1) * 100, sub[:, 3] / np.maximum(chars, 1) * 100,
         np.log1p(sub[:, 4]), chars / sub[:, 4], chars / total, chars / np.maximum(chars[up], 1), np.asarray(page.depth, np.float64),
-        siblings[up], place, np.asarray(page.order) / n, siblings,
+        siblings[up], place, np.asarray(page.order) / n, siblings, sub[:, 5] / np.maximum(chars, 1), np.log1p(_largest_beside(parent, chars)),
     ], axis=1)
     one_hot = np.zeros((n, _GROUPS))
     one_hot[np.arange(n), group] = 1
-    return np.hstack([dense, one_hot, kinds, around, group_around[:, [1, 2, 3, 4, 5, 6, 7, 15]]])
+    return np.hstack([dense, one_hot, kinds, around, below, group_around[:, [1, 2, 3, 4, 5, 6, 7, 15]]])
+
+
+def _largest_beside(parent: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Per element the most text of any other child of its parent."""
+    first, second = np.zeros(len(parent)), np.zeros(len(parent))
+    for i in range(1, len(parent)):
+        p, c = parent[i], chars[i]
+        if c > first[p]:
+            first[p], second[p] = c, first[p]
+        elif c > second[p]:
+            second[p] = c
+    up = np.maximum(parent, 0)
+    return np.where(chars < first[up], first[up], second[up])
 
 
 def decode(parent: list[int], margins: np.ndarray) -> np.ndarray:
@@ -271,22 +290,39 @@ def _boilerplate(r: random.Random) -> str:
         "side": r.choice([f"<h3>{short}</h3>{links}", f"<p>{prose}</p>", prose, f"<h2>{short}</h2><p>{prose}</p>{links}"]), "note": r.choice([f"<p>{prose}</p><button>{short}</button>", prose, f"{prose} <a href='/c'>{short}</a>"]),
         "advert": r.choice([prose, f"<p>{prose}</p>", f'<a href="/x">{prose}</a>', f"<div>{prose}</div><div>{short}</div>", f"{prose}\n{_prose(r, 2, 20)}"]),
         "form": r.choice([f"<p>{short}</p>", f"<label>{short}</label><input name=q><button>{short}</button>", f"<p>{prose}</p><input><select><option>{short}<option>{short}</select>", f"<h3>{short}</h3><p>{prose}</p><input type=submit>", prose]),
-        "talk": f"<h3>{short}</h3>" * (r.random() < 0.7) + "".join(r.choice(["<div class=comment>{}</div>", "<li><p>{}</p></li>", "<p>{}</p>", "<div><b>x</b> <p>{}</p></div>", "<article>{}</article>"]).format(_prose(r, 3, 60)) for _ in range(r.randint(1, 5))),
+        "talk": f"<h3>{r.choice([short, r.choice(_TALKS)])}</h3>" * (r.random() < 0.7) + "".join(r.choice(["<div class=comment>{}</div>", "<li><p>{}</p></li>", "<p>{}</p>", "<div><b>x</b> <p>{}</p></div>", "<article>{}</article>"]).format(_prose(r, 3, 60)) for _ in range(r.randint(1, 5))),
         "share": r.choice([links, links, short, f"<p>{prose}</p>"]),
     }[kind]
     tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "note": r.choice(["dialog", "div"]), "talk": "section"}.get(kind, "div")
     plain = r.random() < 0.4 or tag in ("div", "section", "dialog")
     if plain and kind in ("form", "menu", "side", "foot") and r.random() < 0.5:
         inside = f"<{tag}>{inside}</{tag}>"
+    if kind == "talk" and r.random() < 0.3:  # named like a part of the article, but made of readers' entries
+        kind, inside = "either", f"<h3>{r.choice([short, *_TALKS])}</h3>" + "".join(r.choice(["<div class=comment>{}</div>", '<li class="reply"><p>{}</p></li>', '<div class="reader-entry"><b>x</b> <p>{}</p></div>']).format(_prose(r, 3, 60)) for _ in range(r.randint(1, 6)))
     out = _named(r, r.choice(["div", "div", "section", "ul" if "<li>" in inside[:8] else "div"]) if plain and tag != "dialog" else tag, kind, inside, must=plain)
     return out if r.random() < 0.8 else _named(r, "div", kind, out)
 
 
+_NOTICES = ("We use cookies", "This site uses cookies", "Accept all cookies", "By continuing you accept our privacy policy", "Your consent", "Read our cookie policy and terms of use", "Please turn off your ad blocker")
+_TALKS = ("3 comments", "12 replies", "1 response", "Comments", "Replies", "Leave a comment", "Leave a reply")
+
+
+def _unlabelled(r: random.Random) -> str:
+    """A notice or a menu that only its words or links give away."""
+    said = f"{r.choice(_NOTICES)} {_prose(r, 1, 18).lower()}"
+    links = " ".join(f'<a href="/{k}">{_prose(r, 1, 2)}</a>' for k in range(r.randint(2, 7)))
+    return r.choice(["<p>{}</p>", "<div>{}</div>", "<div><p>{}</p></div>"]).format(r.choice([said, said, f"{said} <a href='/c'>{_prose(r, 1, 2)}</a>", links]))
+
+
 def _passage(r: random.Random) -> str:
+    if r.random() < 0.05:
+        parts = "".join(f"<p>{_linked_prose(r, 5, 80)}</p>" for _ in range(r.randint(1, 4)))
+        return _named(r, r.choice(["section", "section", "div"]), r.choice(["either", "either", "main"]), f"<h2>{_prose(r, 1, 4)}</h2>{parts}", must=True)
     x = r.random()
     if x < 0.66:
         lead = r.choice(["", "", "", "<b>", "<i>", '<a href="/y">x</a> '])
-        return f"<p>{lead}{_linked_prose(r, 1, r.choice([8, 30, 120]))}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"])
+        told = f" {r.choice(_NOTICES).lower()} {_prose(r, 5, 40).lower()}" if r.random() < 0.02 else ""  # articles speak of such things too
+        return f"<p>{lead}{_linked_prose(r, 1, r.choice([8, 30, 120]))}{told}" + r.choice(["</p>", "</p>", "</p>", "", "<br>"])
     if x < 0.76:
         tag = r.choice(["h2", "h3", "h4"])
         return f"<{tag}>{_prose(r, 1, 9)}</{tag}>"
@@ -315,7 +351,12 @@ def _training_page(r: random.Random) -> tuple[Page, np.ndarray]:
     content = inner if tag == "body" else _named(r, tag, "main", inner) if r.random() < 0.7 else f"<{tag}>{inner}</{tag}>"
     if r.random() < 0.4:
         content = r.choice(["<main>{}</main>", '<div id="wrap">{}</div>', '<div class="container"><div class="row">{}</div></div>', "<section>{}</section>"]).format(content)
-    before, after = ([_boilerplate(r) for _ in range(r.randint(0, 3))] for _ in range(2))
+    if r.random() < 0.12:  # a table for a layout: menu cells beside the article's
+        plain = ' '.join(_prose(r, 1, 1).rstrip('.') for _ in range(r.randint(1, 6)))
+        cells = [f"<td>{r.choice([_links(r), plain, plain, _boilerplate(r)])}</td>" for _ in range(r.randint(1, 2))]
+        cells.insert(r.randint(0, len(cells)), f"<td>{content}</td>")
+        content = f"<table{r.choice(['', ' width=100%'])}>{r.choice(['', f'<tr><td colspan=2>{_links(r)}</td></tr>'])}<tr>{''.join(cells)}</tr></table>"
+    before, after = ([_boilerplate(r) if r.random() < 0.85 else _unlabelled(r) for _ in range(r.randint(0, 3))] for _ in range(2))
     page = Page(f"<html><head><title>x</title></head><body>{''.join(before)}{content}{''.join(after)}</body></html>")
     wanted = np.zeros(len(page.parent))
     for node, line in page.blocks:
@@ -336,7 +377,7 @@ def _training_page(r: random.Random) -> tuple[Page, np.ndarray]:
 
 @cache
 def trained_model(pages: int = 1800, seed: int = 5) -> BoostedTrees:
-    """The node classifier, fitted to generated pages; a second or two, always the same."""
+    """The node classifier, fitted on the driver to generated pages, always the same: some fifteen seconds, once for a session."""
     r = random.Random(seed)
     made = [_training_page(r) for _ in range(pages)]
     return BoostedTrees().fit(np.vstack([node_features(p) for p, _ in made]), np.concatenate([y for _, y in made]))
@@ -367,8 +408,8 @@ def extract_main_text(pages: DataFrame, *, model: BoostedTrees | None = None) ->
     inside them (``decode``). Character references are decoded, white space in a block becomes one space, blocks are
     joined by line breaks. Scripts, styles, comments in the markup and controls are never text.
 
-    Null and empty html give an empty text. Broken markup is read as far as it goes. Null ids and urls and repeated
-    rows are kept; other columns are ignored. Nothing is shuffled.
+    Null and empty html give an empty text. Broken markup is read as far as it goes; html of any length is read whole, in time that grows with it. Null ids and urls and repeated
+    rows are kept; other columns are ignored; an empty table gives an empty result. Nothing is shuffled.
     """
     fitted = model or trained_model()
 

@@ -390,3 +390,62 @@ def test_cosine_hash_is_stable_and_tells_apart():
     bits = lambda x: np.unpackbits(np.frombuffer(bytes.fromhex(x), np.uint8))
     assert (bits(media.cosine_hash(a)) != bits(media.cosine_hash(b))).sum() <= 2
     assert (bits(media.cosine_hash(a)) != bits(media.cosine_hash(draw.integers(0, 256, (40, 64), np.uint8)))).sum() > 12
+
+
+def test_pages_by_hand(model):
+    """Pages that share no words with the generator: parts of an article named like readers' talk, talk named like a part, notices without a label, cookies to eat."""
+    paper = """<article><h1>Title of it</h1><section class='intro'><h2>Introduction</h2><p>We study the thing in depth, and it is large.</p></section><section class='discussion'><h2>Discussion</h2>
+    <p>Our results show that the thing is larger than was known before, which matters for all.</p><p>Further work is needed, as ever.</p></section></article>"""
+    talk = """<article><h1>Title of it</h1><p>We study the thing in depth, and it is large.</p><p>More of it, with words.</p></article>
+    <section class='discussion'><h3>3 comments</h3><div class='comment'><p>Nice post!</p></div><div class='comment'><p>I don't agree with that at all.</p></div></section>"""
+    notice = "<p>We use cookies to make this site better.</p><h1>Title of it</h1><p>We study the thing in depth, and it is large.</p><p>More of it, with words, that say a lot about it.</p>"
+    baking = "<article><h1>How to bake</h1><p>Bake the cookies for ten minutes until they are golden, then let them cool.</p><p>They keep for a week.</p></article>"
+    table = "<article><h1>Results</h1><p>The table shows the numbers of each year.</p><table><tr><td>2020</td><td>15 percent</td></tr><tr><td>2021</td><td>17 percent</td></tr></table><p>They grow.</p></article>"
+    text = lambda body: extract.main_text(f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{body}<footer>&copy; 2024</footer></body></html>", model).split("\n")
+    assert text(paper) == ["Title of it", "Introduction", "We study the thing in depth, and it is large.", "Discussion", "Our results show that the thing is larger than was known before, which matters for all.", "Further work is needed, as ever."]
+    assert text(talk) == ["Title of it", "We study the thing in depth, and it is large.", "More of it, with words."]
+    assert text(notice) == ["Title of it", "We study the thing in depth, and it is large.", "More of it, with words, that say a lot about it."]
+    assert text(baking) == ["How to bake", "Bake the cookies for ten minutes until they are golden, then let them cool.", "They keep for a week."]
+    assert text(table) == ["Results", "The table shows the numbers of each year.", "2020", "15 percent", "2021", "17 percent", "They grow."]
+
+
+@pytest.mark.parametrize(("prior", "negative"), [(0.3, False), (0.95, True)])
+def test_risk_and_gradient_against_finite_differences(monkeypatch, prior, negative):
+    """One step moves every weight against the slope of what the risk's definition says is followed; both branches."""
+    monkeypatch.setattr(quality, "_STEPS", 1)
+    monkeypatch.setattr(quality, "_BATCH", 64)
+    draw = np.random.default_rng(2)
+    p, u = draw.normal(0.8, 1, (300, 28)), draw.normal(-1.5 if negative else 0, 1, (300, 28))
+    scorer = quality.Scorer(np.zeros(28), np.ones(28))
+    if negative:  # positives that are told well, and would cost much as negatives
+        scorer.w[4] = draw.normal(0.4, 0.2, 28)
+    before = [w.copy() for w in scorer.w]
+    rows = np.random.default_rng(11)
+    zp, zu = (z[rows.integers(0, 300, 64)] for z in (p, u))
+
+    def margins(w, z):
+        return np.tanh(z @ w[0] + w[1]) @ w[2] + w[3] + z @ w[4]
+
+    def parts(w):
+        gp, gu = margins(w, zp), margins(w, zu)
+        return prior * np.log1p(np.exp(-gp)).mean(), np.log1p(np.exp(gu)).mean() - prior * np.log1p(np.exp(gp)).mean()
+
+    def followed(w):
+        plus, minus = parts(w)
+        return (plus + minus if minus >= 0 else -minus) + sum(quality._DECAY * (x**2).sum() / 2 for i, x in enumerate(w) if i != 3)
+
+    assert (parts(before)[1] < 0) == negative
+    scorer.fit(p, u, prior)
+    checked = 0
+    for i, w in enumerate(before):
+        for at in np.ndindex(w.shape):
+            slopes = []
+            for e in (1e-5, -1e-5):
+                moved = [x.copy() for x in before]
+                moved[i][at] += e
+                slopes.append(followed(moved))
+            slope = (slopes[0] - slopes[1]) / 2e-5
+            if abs(slope) > 1e-6:
+                assert np.sign(before[i][at] - scorer.w[i][at]) == np.sign(slope), (i, at)
+                checked += 1
+    assert checked > 300
