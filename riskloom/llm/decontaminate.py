@@ -10,6 +10,8 @@ from riskloom.llm.common import ascii_lower, materialize, maybe_broadcast, row_k
 #: Everything that isn't an ASCII letter, an ASCII digit or beyond ASCII parts words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
+#: Bits of the map that tells which shingles a large benchmark can have: 64 in a row, so a million rows at most.
+MAP_BITS = 1 << 26
 
 
 def words(col):
@@ -36,7 +38,23 @@ def _tokens(windows: DataFrame) -> DataFrame:
     return each.where(F.col("j") + F.col("width") <= F.col("length")).select("window", "length", "width", "j", token.alias("token"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def _known_only(rows: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
+    """The ``rows (token, ...)`` whose token is in ``vocabulary (token)``, a written table.
+
+    A small vocabulary goes to every task. Of a larger one a bit map goes there first, whose size is bounded, so that few rows of others reach the shuffled join.
+    """
+    known = maybe_broadcast(vocabulary, limit=limit)
+    if known is not vocabulary:
+        return rows.join(known, "token")
+    bit = F.pmod(F.xxhash64("token"), F.lit(MAP_BITS))
+    row, place = F.shiftright(bit, 6), bit.bitwiseAND(63).cast("int")
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
+    bits = vocabulary.groupBy(row.alias("row")).agg(F.bit_or(one(place)).alias("bits"))
+    some = rows.withColumn("row", row).join(F.broadcast(bits), "row").where(F.col("bits").bitwiseAND(one(place)) != 0)
+    return some.drop("row", "bits").join(vocabulary, "token")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, limit: int | None = None) -> DataFrame:
     """Where windows of benchmark items occur in documents, word for word.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -47,11 +65,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     One pass over the texts keeps the positions of three-word shingles that the benchmark has at all; the same
     pass counts words. Shingles are then ordered by how often the whole corpus has them: containment of a
     whole window needs every one of its shingles, so a prefix of one, the rarest, finds all candidates.
-    Those within the document's bounds are verified shingle by shingle.
+    Those within the document's bounds are verified shingle by shingle. What of the benchmark is within ``limit`` (``BROADCAST_ROWS``) goes to every
+    task; beyond that a bit map of its shingles does (``_known_only``), and the joins are shuffled.
 
     An item without an id counts as one of the ``n_items`` and has no id in ``items_sha256``. Null texts, texts without words and
     an empty benchmark give no hits; empty ``docs`` give no rows. Rows that
-    repeat an id and text whole give equal rows; a null doc_id is an id like others. Other columns are ignored.
+    repeat an id and text whole give equal rows; a null doc_id is an id like others. Texts of any length are read whole. Other columns are ignored.
     """
     windows = materialize(_windows(benchmark, window), "windows")
     tokens = materialize(_tokens(windows), "window-tokens")
@@ -67,21 +86,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         if width == max(widths):
             vocabulary = vocabulary.union(docs.sparkSession.sql("select 0L")).distinct()
         token = F.when(F.col("first").isNull(), F.lit(0)).otherwise(_shingle("w", "pos", "first", width))
-        found.append(text.select("doc", "pos", "first", F.size("w").alias("n_words"), token.alias("token")).join(maybe_broadcast(vocabulary), "token").select("doc", "pos", "n_words", F.col("first").isNull().alias("end"), "token", F.lit(width).alias("width")))
+        rows = text.select("doc", "pos", "first", F.size("w").alias("n_words"), token.alias("token"))
+        found.append(_known_only(rows, materialize(vocabulary, "vocabulary"), limit).select("doc", "pos", "n_words", F.col("first").isNull().alias("end"), "token", F.lit(width).alias("width")))
     hits = materialize(_all(found), "hits")
     at = hits.where("not end").select("doc", "pos", "n_words", "token", "width")
 
-    rarity = at.groupBy("token", "width").agg(F.count("*").alias("n"))
-    ranked = tokens.join(maybe_broadcast(rarity), ["token", "width"])
+    heavy = "1 + octet_length(window) div 32"
+    rarity = materialize(at.groupBy("token", "width").agg(F.count("*").alias("n")), "rarity")
+    ranked = tokens.join(maybe_broadcast(rarity, limit=limit), ["token", "width"])
     prefix = ranked.groupBy("window", "length", "width").agg(F.min_by(F.struct("token", "j"), F.struct("n", "j")).alias("p")).select("window", "length", "width", "p.*")
-    candidates = at.join(maybe_broadcast(prefix), ["token", "width"]).select("doc", (F.col("pos") - F.col("j")).alias("start"), "window", "length", "n_words")
+    prefix = materialize(prefix, "prefixes")
+    candidates = at.join(maybe_broadcast(prefix, heavy, limit), ["token", "width"]).select("doc", (F.col("pos") - F.col("j")).alias("start"), "window", "length", "n_words")
     candidates = candidates.where("start >= 0 and start + length <= n_words").select("doc", "start", "window").distinct()
-    needed = candidates.join(maybe_broadcast(tokens), "window").select("doc", "start", "window", "length", "width", (F.col("start") + F.col("j")).alias("pos"), "token")
+    needed = candidates.join(maybe_broadcast(tokens, heavy, limit), "window").select("doc", "start", "window", "length", "width", (F.col("start") + F.col("j")).alias("pos"), "token")
     there = needed.join(at.select("doc", "pos", "token", "width"), ["doc", "pos", "token", "width"], "left_semi")
     occurs = materialize(there.groupBy("doc", "start", "window", "length", "width").agg(F.count("*").alias("n")).where("n = length - width + 1"), "occurrences")
 
     covered = occurs.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    pairs = occurs.select("doc", "window").distinct().join(maybe_broadcast(windows.select("window", "item_id").distinct()), "window").select("doc", "item_id").distinct()
+    holders = materialize(windows.select("window", "item_id").distinct(), "window-items")
+    pairs = occurs.select("doc", "window").distinct().join(maybe_broadcast(holders, heavy, limit), "window").select("doc", "item_id").distinct()
     items = pairs.groupBy("doc").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
     per_doc = covered.join(items, "doc", "left")
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from riskloom.llm.decontaminate import CONTAMINATION_SQL, contamination
+from riskloom.llm.decontaminate import CONTAMINATION_SQL, _known_only, contamination
 from riskloom.llm.lines import LINES_SQL, dedup_lines
 
 from .helpers import DOCS, docs, prose
@@ -36,9 +36,11 @@ CONTAMINATED = [
 ]
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("limit", [None, 0, 5])
+def test_contamination(spark, limit):
+    """With a benchmark within the bound of what is sent out, far beyond it, and beyond it in part."""
     items = spark.createDataFrame(BENCH, "item_id bigint, text string")
-    out = contamination(docs(spark, CONTAMINATED), items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    out = contamination(docs(spark, CONTAMINATED), items, limit=limit).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     no_python(out)
     expected = sql_rows(CONTAMINATION_SQL, documents=CONTAMINATED, benchmark=BENCH)
     key = lambda x: x["doc_id"]
@@ -46,6 +48,17 @@ def test_contamination(spark):
     assert sum(x["contaminated"] for x in expected) >= 6
 
 
+def test_bit_map_holds_every_known_token(spark):
+    """Beyond the bound the map is one row for 64 bits; known tokens pass it, nearly all others stop there."""
+    tokens = spark.range(0, 3000, 3).selectExpr("xxhash64(id) AS token")
+    rows = spark.range(3000).selectExpr("xxhash64(id) AS token", "id")
+    out = _known_only(rows, tokens, limit=10)
+    assert sorted(x["id"] for x in out.collect()) == list(range(0, 3000, 3))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and plan.count("Join") == 2
+    assert sorted(x["id"] for x in _known_only(rows, tokens).collect()) == list(range(0, 3000, 3))
+
+
 @pytest.mark.parametrize("bench", [[], [(1, None)], [(7, "zz yy xx")]])
 def test_contamination_of_nothing(spark, bench):
     items = spark.createDataFrame(bench, "item_id bigint, text string")
