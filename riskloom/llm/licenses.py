@@ -57,8 +57,8 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
     each = docs.select(row_key().alias("doc"), F.posexplode_outer(F.concat(parts, F.array(F.lit(None).cast("string")))).alias("pos", "part"))
     tried = F.when(F.contains("part", F.lit("\n")), F.concat(F.array("part"), F.split("part", "\n"))).otherwise(F.array("part"))
     each = each.select("doc", "pos", F.posexplode(tried).alias("line", "part")).select("doc", "pos", "line", F.lower("part").alias("part"))
-    begins = "|".join(sorted({x.split()[0] for x in sentences.values()}))  # a first look, so that few sentences are normalised whole
-    each = each.where(F.col("part").isNull() | F.col("part").rlike(rf"^[^a-z0-9]*+(?:{begins})(?![a-z0-9])"))
+    begins = sorted({x.split()[0] for x in sentences.values()})  # a first look, so that few sentences are normalised whole
+    each = each.where(F.col("part").isNull() | F.regexp_extract("part", "^[^a-z0-9]*+([a-z0-9]++)", 1).isin(begins))
     each = each.select("doc", "pos", "line", F.coalesce(_normal(F.col("part")), F.lit(end)).alias("sentence"))
     fits = F.when(F.col("tail").isNull(), F.col("sentence") == F.col("head")).otherwise(F.startswith("sentence", "head") & F.endswith("sentence", "tail"))
     hits = each.withColumn("key", F.substring_index("sentence", " ", KEY_WORDS)).join(F.broadcast(known), "key").where(fits)
@@ -78,8 +78,8 @@ def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rul
     outer = longest.withColumn("reached", reached).where("reached is null or end > reached")
     licenses = outer.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licenses"), F.count("*").alias("n_matches"))
 
-    per_doc = found.select("doc", F.size("seq").cast("bigint").alias("n_known")).join(licenses, "doc", "left")
-    out = hits.where("sid is null").select("doc", F.col("pos").cast("bigint").alias("n_sentences")).join(maybe_broadcast(per_doc), "doc", "left")
+    per_doc = materialize(found.select("doc", F.size("seq").cast("bigint").alias("n_known")).join(licenses, "doc", "left"), "licences")
+    out = hits.where("sid is null").select("doc", F.col("pos").cast("bigint").alias("n_sentences")).join(maybe_broadcast(per_doc, "1 + octet_length(coalesce(licenses, '')) div 32"), "doc", "left")
     zero = F.lit(0).cast("bigint")
     return out.select("doc.doc_id", "n_sentences", F.coalesce("n_known", zero).alias("n_known"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_matches", zero).alias("n_matches"))
 
