@@ -189,9 +189,35 @@ def params_defaults(spark, d):
     return spark.createDataFrame(rows, "name string, value double")
 
 
-@query("SELECT (row_number() OVER (ORDER BY c, k) - 1)::BIGINT AS position, n || '_' || kind AS name FROM (VALUES (0, 'ProductCD'), (1, 'card4')) a(c, n), (VALUES (0, 'freq'), (1, 'target')) b(k, kind)")
+@query(f"""SELECT category, count(*) AS n, round(avg(CASE WHEN label = 1 AND score < 0.5 THEN 100.0::DOUBLE WHEN label = 0 AND score >= 0.5 THEN 7.0::DOUBLE ELSE 0 END), 6) AS cost_per_row, count(*) >= 200 AS enough
+FROM {TRANSACTIONS_SQL} GROUP BY category""")
+def params_costs(spark, d):
+    """Costs of decisions by category, priced by parameters from a file: what it names is taken from there, the rest are defaults."""
+    path = os.path.join(driver_folder(spark), "params.json")
+    write_json({"cost": {"false_positive": 7}, "monitor": {"psi": 0.3}}, path)
+    params = Params.load(path)
+    hit, y = F.col("score") >= 0.5, F.col("label") == 1
+    cost = F.when(y & ~hit, F.lit(float(params.cost.false_negative))).when(~y & hit, F.lit(float(params.cost.false_positive))).otherwise(0.0)
+    per = transactions(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.avg(cost).alias("cost_per_row"))
+    return rounded(per.withColumn("enough", F.col("n") >= params.monitor.min_matched))
+
+
+_ENCODED_SQL = f"(SELECT category, substr(category, 1, 1) AS initial, label FROM {TRANSACTIONS_SQL})"
+
+
+@query(f"""WITH t AS {_ENCODED_SQL}, a AS (SELECT count(*)::DOUBLE AS n, avg(label) AS prior FROM t),
+c AS (SELECT count(*) AS k, (sum(label) + 20 * any_value(prior)) / (count(*) + 20) AS y, any_value(a.n) AS n FROM t, a GROUP BY category),
+i AS (SELECT count(*) AS k, (sum(label) + 20 * any_value(prior)) / (count(*) + 20) AS y, any_value(a.n) AS n FROM t, a GROUP BY initial)
+SELECT 0::BIGINT AS position, 'category_freq' AS name, round(sum(k * k / n) / any_value(n), 4) AS mean FROM c UNION ALL SELECT 1, 'category_target', round(sum(k * y) / any_value(n), 4) FROM c
+UNION ALL SELECT 2, 'initial_freq', round(sum(k * k / n) / any_value(n), 4) FROM i UNION ALL SELECT 3, 'initial_target', round(sum(k * y) / any_value(n), 4) FROM i""")
 def encoded_names(spark, d):
-    return spark.createDataFrame(list(enumerate(encoded_feature_names(["ProductCD", "card4"]))), "position bigint, name string")
+    """The encoded columns of a table in the order of the contract's names, with the mean of each."""
+    columns = ["category", "initial"]
+    t = transactions(spark, d).select("id", "category", F.substring("category", 1, 1).alias("initial"), "label")
+    encoder, prior = encode.fit_encoder(t, columns, "label")
+    names = encoded_feature_names(columns)
+    means = encode.transform_encoder(t, encoder, prior, columns, "id").select(*names).agg(*[F.round(F.avg(c), 4).alias(c) for c in names])
+    return means.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("mean")) for c in names])).alias("position", "x")).select(F.col("position").cast("bigint").alias("position"), "x.name", "x.mean")
 
 
 _WIDTHS = " UNION ALL ".join(
