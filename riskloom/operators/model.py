@@ -1,7 +1,7 @@
 """Candidate models on MLlib: assemble, fit, tune, pick, calibrate, choose a threshold, gate, save and score.
 
-Missing values: feature frames keep nulls; for the models only, each null becomes a value below the column's minimum and
-gets a column that marks it.
+Missing values: feature frames keep nulls. Leafwise trees learn a side for them at each split; for MLlib's models only, each null becomes a value
+below the column's minimum and gets a column that marks it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from riskloom.contract import CostMatrix, Params, same_features
 from riskloom.functions.ordering import ranked
 from riskloom.operators import metrics, prepare
+from riskloom.operators.boosting import Growth, LeafwiseModel, fit_leafwise
 from riskloom.operators.gate import Registry, decide
 from riskloom.operators.search import Choice, Span, maximise
 from riskloom.sources.tables import content_hashes, read_json, write_json, written
@@ -55,8 +56,8 @@ def _linear(h: Hyper) -> LogisticRegression:
     return LogisticRegression(regParam=h.ridge, maxIter=h.rounds * 2, weightCol="weight")
 
 
-#: Candidate families in order of preference: of equal ones the first is taken.
-FAMILIES: dict[str, Callable[[Hyper], object]] = {"gbt": _gbt, "forest": _forest, "linear": _linear}
+#: Candidate families in order of preference: of equal ones the first is taken. ``leafwise`` has no estimator of MLlib: see ``boosting``.
+FAMILIES: dict[str, Callable[[Hyper], object] | None] = {"gbt": _gbt, "leafwise": None, "forest": _forest, "linear": _linear}
 
 
 @dataclass
@@ -74,7 +75,8 @@ class Bundle:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``raw_score``, and ``score`` and ``decision`` once calibrated."""
-        out = self.model.transform(with_fills(df, self.features, self.fills)).withColumn("raw_score", vector_to_array("probability")[1])
+        read = df if self.family == "leafwise" else with_fills(df, self.features, self.fills)
+        out = self.model.transform(read).withColumn("raw_score", vector_to_array("probability")[1])
         out = out.drop("rawPrediction", "probability", "prediction", *[f"{c}__filled" for c in self.features], *[f"{c}__missing" for c in self.features], "features")
         if self.calibrator is None:
             return out
@@ -100,7 +102,7 @@ class Bundle:
         if contract is not None:
             same_features(m["features"], contract)
         calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if m["calibrated"] else None
-        return cls(m["family"], m["features"], m["fills"], PipelineModel.load(f"{path}/model"), calibrator, m["threshold"], m["version"], m["info"])
+        return cls(m["family"], m["features"], m["fills"], (LeafwiseModel if m["family"] == "leafwise" else PipelineModel).load(f"{path}/model"), calibrator, m["threshold"], m["version"], m["info"])
 
 
 def _digests(path: str, calibrated: bool) -> dict[str, str]:
@@ -113,7 +115,9 @@ def _digests(path: str, calibrated: bool) -> dict[str, str]:
 
 
 def importances(bundle: Bundle) -> DataFrame:
-    """``feature, importance`` of a model: impurity gains of trees, magnitudes of coefficients; a feature and its mark of being missing count together."""
+    """``feature, importance`` of a model: impurity gains of trees (splits of leafwise ones), magnitudes of coefficients; a feature and its mark of being missing count together."""
+    if bundle.family == "leafwise":
+        return SparkSession.getActiveSession().createDataFrame([(c, float(g)) for c, g in zip(bundle.features, bundle.model.gains, strict=True)], "feature string, importance double")
     stages = bundle.model.stages
     last = stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else [abs(x) for x in last.coefficients.toArray()]
@@ -139,6 +143,10 @@ def with_fills(df: DataFrame, features: Sequence[str], fills: dict[str, float])
 
 def fit(train: DataFrame, val: DataFrame, features: Sequence[str], family: str, h: Hyper = Hyper(), *, label: str = "label") -> Bundle:
     """One family on train, boosting stopped early by val; positives weigh as much in all as negatives."""
+    if family == "leafwise":
+        weight = metrics.class_weight(train.select(F.col(label).alias("label"))).first()[0]
+        growth = Growth(rounds=h.rounds, depth=h.depth, rate=h.rate, min_rows=h.min_rows, bins=h.bins)
+        return Bundle(family, list(features), {}, fit_leafwise(train, val, features, growth, label=label, weight=weight))
     fills = sentinels(train, features)
     weight = metrics.class_weight(train.select(F.col(label).alias("label"))).first()[0]
     both = train.withColumn("validating", F.lit(False)).unionByName(val.withColumn("validating", F.lit(True))) if family == "gbt" else train
