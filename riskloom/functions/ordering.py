@@ -6,7 +6,7 @@ are added. The ranges come from approximate quantiles, so only their bounds reac
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import pairwise
 from operator import add, and_
@@ -116,38 +116,43 @@ def previous(df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: s
     return joined.select(*df.columns, F.when(F.col("__first"), F.col(f"__before.{value}")).otherwise(F.col(f"__within.{value}")).alias(name))
 
 
-def ordered_fold(df: DataFrame, *, by: str, order: Sequence[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], None], end: Callable[[object], tuple], schema: str) -> DataFrame:
-    """One row for each value of ``by``: it and what ``end`` makes of its state, after ``step`` has seen the group's rows in ``order``, part by part.
+def ordered_fold(df: DataFrame, *, by: str, order: Sequence[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], Iterable[tuple] | None], end: Callable[[object], tuple | None], schema: str) -> DataFrame:
+    """Rows of the key and what ``step`` and ``end`` give: ``step`` sees each group's rows in ``order``, part by part, with the group's state, ``end`` the last state.
 
     Rows are shuffled by key and sorted within their partition; a group is never held whole, only its state and the batch at hand. Null keys are a group.
     """
-
-    names = T.StructType.fromDDL(schema).names
+    fields = T.StructType.fromDDL(schema)
+    kinds = {f.name: _NULLABLE[f.dataType.simpleString()] for f in fields if f.dataType.simpleString() in _NULLABLE and f.name != by}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        key, state, out = None, None, []
         same = lambda a, b: a == b or (pd.isna(a) and pd.isna(b))
+        frame = lambda rows: pd.DataFrame(rows, columns=fields.names).astype(kinds)
         for batch in batches:
             if not len(batch):
                 continue
             keys = batch[by]
             cuts = [0, *(np.flatnonzero(~((keys == keys.shift()) | (keys.isna() & keys.shift().isna())).to_numpy()[1:]) + 1).tolist(), len(batch)]
-            out = []
             for a, b in pairwise(cuts):
                 now = keys.iloc[a]
                 if state is None or not same(now, key):
-                    if state is not None:
-                        out.append((key, *end(state)))
+                    if state is not None and (last := end(state)) is not None:
+                        out.append((key, *last))
                     key, state = now, start()
-                step(state, batch.iloc[a:b])
+                out += [(key, *row) for row in step(state, batch.iloc[a:b]) or ()]
             if out:
-                yield pd.DataFrame(out, columns=names)
-        if state is not None:
-            yield pd.DataFrame([(key, *end(state))], columns=names)
+                yield frame(out)
+                out = []
+        if state is not None and (last := end(state)) is not None:
+            yield frame([(key, *last)])
 
     return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
 
 
+#: Pandas types that hold missing values, by Spark's.
+_NULLABLE = {"double": "Float64", "bigint": "Int64", "int": "Int32", "boolean": "boolean"}
+
+
 def trailing(df: DataFrame, *, by: Sequence[str], at: str, window: int, inclusive: bool, count: dict[str, str] | None = None, total: dict[str, str] | None = None, largest: dict[str, str] | None = None, parts: int = 1) -> DataFrame:
     """Adds counts, sums and maxima (new name -> column) over the group's rows of the last ``window`` units of the whole number ``at``.
 

@@ -11,47 +11,61 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from riskloom.contract import CostMatrix, MonitorParams
-from riskloom.functions.ordering import ranked, running
+from riskloom.functions.ordering import ordered_fold, ranked, running
 from riskloom.operators.metrics import auprc
 from riskloom.sources.tables import written
 
-_MATCH = "struct<score: double, decision: boolean, label: int, seq: bigint, t: double>"
-_STATE = f"struct<score: double, decision: boolean, label: int, at: double, seq: bigint, closed: double, out: array<{_MATCH}>>"
+
+class _Id:
+    """What is known of one id: the side that waits, since when, and when it was last closed."""
+
+    __slots__ = ("score", "decision", "label", "at", "seq", "closed")
+
+    def __init__(self):
+        self.score = self.decision = self.label = self.at = self.seq = self.closed = None
+
+
+def _step(known: _Id, part: pd.DataFrame, retention_s: float) -> list[tuple]:
+    """Matches of an id's next arrivals: ``kind, score, decision, label, seq, t``."""
+    out = []
+    for seq, t, clock, score, decision, label in zip(*(part[c].tolist() for c in ("seq", "t", "clock", "score", "decision", "label")), strict=True):
+        oldest = clock - retention_s
+        if known.closed is not None and known.closed >= oldest:
+            continue
+        scored, labelled = not pd.isna(score), not pd.isna(label)
+        waits = known.at is not None and known.at >= oldest
+        if waits and scored and known.label is not None:
+            out.append(("match", score, None if pd.isna(decision) else decision, known.label, seq, t))
+        elif waits and labelled and known.score is not None:
+            out.append(("match", known.score, known.decision, label, seq, t))
+        else:
+            known.score, known.label = score if scored else None, label if labelled else None
+            known.decision, known.at, known.seq = None if pd.isna(decision) else decision, t, seq
+            continue
+        known.score = known.decision = known.label = known.at = known.seq = None
+        known.closed = t
+    return out
 
 
 def _folded(arrivals: DataFrame, retention_s: float) -> DataFrame:
-    """``id, run, state`` of ``arrivals (seq, id, t, score, decision, label)``: what matched and what still waits.
+    """``id, kind, score, decision, label, seq, t`` of ``arrivals (seq, id, t, score, decision, label)``: each ``match``, and what is ``waiting`` at the end.
 
-    Only the running clock needs the whole table in order. An id's arrivals are cut where everything known of it has aged
-    out, and each run of them is folded by itself.
+    Only the running clock needs the whole table in order. An id's arrivals are then folded in order with one small state, however many they are.
     """
-    r = F.lit(float(retention_s))
+    r = float(retention_s)
     if "decision" not in arrivals.columns:
         arrivals = arrivals.withColumn("decision", F.lit(None).cast("boolean"))
-    live = running(arrivals.select("seq", "id", F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"), "decision", F.col("label").cast("int").alias("label")), "seq", [], {"clock": F.col("t")}, how="max").where(F.col("t") >= F.col("clock") - r)
-    order = Window.partitionBy("id").orderBy("seq")
-    newest = F.max("t").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(newest < F.col("clock") - r, F.lit(True))
-    runs = live.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.array_sort(F.collect_list(F.struct("seq", "t", "clock", "score", "decision", "label")))
-    none = F.struct(*[F.lit(None).alias(c) for c in ("score", "decision", "label", "at", "seq", "closed")], F.array().alias("out")).cast(_STATE)
-
-    def step(s: Column, x: Column) -> Column:
-        oldest = x["clock"] - r
-        closed = F.coalesce(s["closed"] >= oldest, F.lit(False))
-        waits = F.coalesce(s["at"] >= oldest, F.lit(False))
-        hit = waits & ((s["score"].isNotNull() & x["label"].isNotNull()) | (s["label"].isNotNull() & x["score"].isNotNull()))
-        match = F.struct(F.coalesce(x["score"], s["score"]).alias("score"), F.when(x["score"].isNotNull(), x["decision"]).otherwise(s["decision"]).alias("decision"), F.coalesce(x["label"], s["label"]).alias("label"), x["seq"].alias("seq"), x["t"].alias("t"))
-        matched = F.struct(*[F.lit(None).alias(c) for c in ("score", "decision", "label", "at", "seq")], x["t"].alias("closed"), F.concat(s["out"], F.array(match)).alias("out")).cast(_STATE)
-        waiting = F.struct(x["score"].alias("score"), x["decision"].alias("decision"), x["label"].alias("label"), x["t"].alias("at"), x["seq"].alias("seq"), s["closed"].alias("closed"), s["out"].alias("out")).cast(_STATE)
-        return F.when(closed, s).when(hit, matched).otherwise(waiting)
-
-    return runs.groupBy("id", "run").agg(F.aggregate(rows, none, step).alias("state"))
+    live = running(arrivals.select("seq", "id", F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"), "decision", F.col("label").cast("int").alias("label")), "seq", [], {"clock": F.col("t")}, how="max").where(F.col("t") >= F.col("clock") - F.lit(r))
+    kind = arrivals.schema["id"].dataType.simpleString()
+    return ordered_fold(
+        live, by="id", order=["seq"], start=_Id, step=lambda known, part: _step(known, part, r), end=lambda k: None if k.at is None else ("waiting", k.score, k.decision, k.label, k.seq, k.at),
+        schema=f"id {kind}, kind string, score double, decision boolean, label int, seq bigint, t double",
+    )
 
 
 def match_batch(arrivals: DataFrame, retention_s: float) -> DataFrame:
@@ -59,16 +73,14 @@ def match_batch(arrivals: DataFrame, retention_s: float) -> DataFrame:
 
     ``seq`` is the order of arrival, without ties; ``decision`` comes with a score and may be missing.
     """
-    found = _folded(arrivals, retention_s).select("id", F.explode("state.out").alias("m"))
-    return found.select("id", "m.score", "m.decision", "m.label", F.col("m.seq").alias("matched_seq"))
+    return _folded(arrivals, retention_s).where("kind = 'match'").select("id", "score", "decision", "label", F.col("seq").alias("matched_seq"))
 
 
 def waiting(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParams().max_ids) -> DataFrame:
     """``side, id, seq`` of what waits after the last arrival; of each side the ``max_ids`` that came last, as the oldest go first."""
     clock = F.lit(float(arrivals.agg(F.max("t")).first()[0] or 0.0) - retention_s)
-    open_ = _folded(arrivals, retention_s).select("id", "state.*").where(F.col("at") >= clock)
     side = F.when(F.col("score").isNotNull(), "pending").otherwise("early")
-    found = open_.select(side.alias("side"), "id", "seq")
+    found = _folded(arrivals, retention_s).where("kind = 'waiting'").where(F.col("t") >= clock).select(side.alias("side"), "id", "seq")
     return ranked(found, "seq", [], "nth", groups=["side"], descending=True).where(F.col("nth") <= max_ids).drop("nth")
 
 
