@@ -60,7 +60,7 @@ def oof_targets(df: DataFrame, columns: Sequence[str], label: str, fold: str, id
     folds = df.groupBy(fold).agg(F.count("*").alias("fn"), F.sum(F.col(label).cast("double")).alias("fs"))
     an, sa = folds.agg(F.sum("fn"), F.sum("fs")).first()
     priors = folds.select(F.col(fold), ((F.lit(float(sa or 0)) - F.col("fs")) / (F.lit(float(an or 0)) - F.col("fn"))).alias("prior"))
-    rest = per.alias("p").join(every.alias("e"), F.expr("p.column = e.column and p.key <=> e.key")).join(priors, fold)
+    rest = per.alias("p").join(every.alias("e"), F.expr("p.column = e.column and p.key <=> e.key")).join(F.broadcast(priors), fold)  # a row for each fold
     on, os = F.col("tn") - F.col("n"), F.col("ts") - F.col("s")
     rest = rest.select(F.col("p.column").alias("column"), F.col("p.key").alias("key"), F.col(fold), F.when(on > 0, (os + m * F.col("prior")) / (on + m)).otherwise(F.col("prior")).alias("target_oof"))
     joined = long.alias("v").join(rest.alias("r"), F.expr(f"v.column = r.column and v.key <=> r.key and v.`{fold}` = r.`{fold}`"))
