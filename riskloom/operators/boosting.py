@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import random
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.scalars import hash_u32
 from riskloom.sources.tables import written
 
 #: Trees after which the margins of all rows are written, so that later passes don't score them again.
@@ -24,7 +26,13 @@ PATIENCE = 50
 
 @dataclass(frozen=True)
 class Growth:
-    """How trees grow: at most ``leaves`` leaves (2^depth - 1 unless given, at least 2) and ``depth`` levels."""
+    """How trees grow: at most ``leaves`` leaves (2^depth - 1 unless given, at least 2) and ``depth`` levels.
+
+    A side of a split has at least ``min_rows`` rows and ``min_curvature`` curvature, and the split a gain above ``min_gain``. Gradients
+    shrink by ``lasso`` and curvatures grow by ``ridge`` before they are held against each other. Each tree reads the ``subsample`` share of
+    rows and the ``columns`` share of features (rounded, at least one) that hang on ``seed`` and its number alone. ``watch`` says what ends
+    boosting: ``loss`` or ``auprc`` on validation rows.
+    """
 
     rounds: int = 40
     depth: int = 5
@@ -35,6 +43,44 @@ class Growth:
     min_gain: float = 0.0
     bins: int = 64
     patience: int = PATIENCE
+    lasso: float = 0.0
+    min_curvature: float = 0.0
+    subsample: float = 1.0
+    columns: float = 1.0
+    seed: int = 42
+    watch: str = "loss"
+
+    def __post_init__(self) -> None:
+        if not (0 < self.subsample <= 1 and 0 < self.columns <= 1):
+            raise ValueError("subsample and columns must lie in (0, 1]")
+        if self.watch not in ("loss", "auprc"):
+            raise ValueError("watch must be loss or auprc")
+
+    def pull(self, g: np.ndarray) -> np.ndarray:
+        """Gradients, nearer to zero by ``lasso``."""
+        return np.sign(g) * np.maximum(np.abs(g) - self.lasso, 0.0)
+
+    def worth(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """What a leaf of these sums takes off the loss, twice; 0 for an empty one."""
+        below = h + self.ridge
+        return np.divide(self.pull(g) ** 2, below, out=np.zeros(np.broadcast(g, below).shape), where=below > 0)
+
+    def step(self, g: float, h: float) -> float:
+        """The value of a leaf."""
+        return float(-self.rate * self.pull(g) / (h + self.ridge)) if h + self.ridge > 0 else 0.0
+
+    def features_of(self, tree: int, n: int) -> list[int]:
+        """The features that a tree reads, of n, in order."""
+        return sorted(random.Random(f"{self.seed}:{tree}").sample(range(n), max(1, round(n * self.columns))))
+
+    def rows_of(self, tree: int, keys: np.ndarray) -> np.ndarray:
+        """Whether a tree reads each row, by the row's key: shares of a bit mixer's range."""
+        if self.subsample == 1:
+            return np.ones(len(keys), bool)
+        x = keys.astype(np.int64).view(np.uint64) + np.uint64((self.seed * 2**32 + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))) >> np.uint64(11) < np.uint64(int(self.subsample * 2**53))
 
     @property
     def most_leaves(self) -> int:
@@ -81,20 +127,25 @@ def to_bins(values: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
     return out
 
 
+def _total(histogram: np.ndarray) -> np.ndarray:
+    """A node's sums, from a feature that its tree reads: the others have no rows."""
+    sums = histogram.sum(axis=1)
+    return sums[sums[:, 2].argmax()]
+
+
 def best_split(histogram: np.ndarray, growth: Growth) -> tuple[float, int, int, bool] | None:
     """``gain, feature, upto, missing_left`` of a node, from its sums (feature, bin, gradient | curvature | rows), the missing in the last bin; None if there is none.
 
     Of equal gains the first feature counts, then the lower bin, then missing to the left.
     """
-    total = histogram[0].sum(axis=0)
-    value = lambda g, h: g * g / (h + growth.ridge)
+    total = _total(histogram)
     upto = histogram[:, :-1].cumsum(axis=1)[:, :-1]
     best = None
     for missing_left in (True, False):
         left = upto + (histogram[:, -1:] if missing_left else 0)
         right = total - left
-        fits = (left[..., 2] >= max(growth.min_rows, 1)) & (right[..., 2] >= max(growth.min_rows, 1))
-        gain = np.where(fits, value(left[..., 0], left[..., 1]) + value(right[..., 0], right[..., 1]) - value(total[0], total[1]), -np.inf)
+        fits = np.logical_and.reduce([(side[..., 2] >= max(growth.min_rows, 1)) & (side[..., 1] >= growth.min_curvature) for side in (left, right)])
+        gain = np.where(fits, growth.worth(left[..., 0], left[..., 1]) + growth.worth(right[..., 0], right[..., 1]) - growth.worth(total[0], total[1]), -np.inf)
         k = int(gain.argmax())
         f, b = divmod(k, gain.shape[1])
         found = (float(gain[f, b]), -f, -b, missing_left)
@@ -114,7 +165,7 @@ def grow(histograms: Callable[[Tree, list[int]], dict[int, np.ndarray]], growth:
     level, sums = [0], {}
     for depth in range(growth.depth + 1):
         got = histograms(full, level)
-        sums |= {n: got[n][0].sum(axis=0) for n in level}
+        sums |= {n: _total(got[n]) for n in level}
         if depth == growth.depth:
             break
         below = []
@@ -142,7 +193,7 @@ def grow(histograms: Callable[[Tree, list[int]], dict[int, np.ndarray]], growth:
         if n not in kept:
             full.feature[n] = -1
         g, h = sums[n][:2] if n in sums else (0.0, 0.0)
-        full.value[n] = float(-growth.rate * g / (h + growth.ridge))
+        full.value[n] = growth.step(g, h)
     return full
 
 
@@ -186,30 +237,58 @@ class LeafwiseModel:
         return cls(m["features"], m["edges"], m["start"], [Tree(**t) for t in m["trees"]], m["gains"])
 
 
-def fit_leafwise(train: DataFrame, val: DataFrame, features: Sequence[str], growth: Growth = Growth(), *, label: str = "label", weight: float = 1.0) -> LeafwiseModel:
+def margin_class(margin: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of margins: 2,048 classes for each power of two from 2^-10 to 2^5, below one class and above one, on either side of zero."""
+    size = np.abs(margin)
+    exponent = np.floor(np.log2(np.clip(size, 2.0**-10, 2.0**5 - 1e-9)))
+    steps = (exponent + 10) * 2048 + np.floor((np.clip(size, 2.0**-10, 2.0**5 - 1e-9) / 2.0**exponent - 1) * 2048) + 1
+    return (np.sign(margin) * np.where(size < 2.0**-10, 0, steps)).astype(np.int64)
+
+
+def average_precision(classes: pd.DataFrame) -> float:
+    """From ``bin, g, h``: positives and rows of each class of scores; NaN unless both labels are there."""
+    down = classes.sort_values("bin", ascending=False)
+    p, n = down["g"].to_numpy(), down["h"].to_numpy()
+    if not 0 < p.sum() < n.sum():
+        return math.nan
+    return float((p * p.cumsum() / n.cumsum()).sum() / p.sum())
+
+
+def _add(seen: dict[int, np.ndarray], at: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+    """Adds the sums of g and h to those of each number."""
+    known, place = np.unique(at, return_inverse=True)
+    for k, x, y in zip(known.tolist(), np.bincount(place, g, len(known)), np.bincount(place, h, len(known)), strict=True):
+        seen[k] = seen.get(k, 0.0) + np.array([x, y])
+
+
+def fit_leafwise(train: DataFrame, val: DataFrame, features: Sequence[str], growth: Growth = Growth(), *, label: str = "label", weight: float = 1.0, id: str | None = None) -> LeafwiseModel:
     """Boosted trees for a 0/1 label on train, by the logistic loss; positives count ``weight`` times. Nulls and NaN are missing.
 
     Rows are binned once. For each level of a tree one pass sums gradients, curvatures and rows by node, feature and bin in each task, and the
-    sums meet in a grouped shuffle of bounded size; only sums reach the driver. The first pass of a tree also gives the loss on val up to
-    then; after ``patience`` rounds without a better one boosting ends, and the trees up to the best round stay.
+    sums meet in a grouped shuffle of bounded size; only sums reach the driver. The first pass of a tree also gives the loss or the average
+    precision (of margins in classes of ``margin_class``) on val up to then; after ``patience`` rounds without a better one boosting ends, and
+    the trees up to the best round stay. Sampled rows follow a hash of ``id``; without one, of label and features, so equal rows go together.
     """
     features = list(features)
     edges = bin_edges(train, features, growth.bins)
     n_features, cells = len(features), growth.bins + 1
-    both = train.select(F.col(label).cast("double").alias("y"), *features, F.lit(False).alias("__val")).union(val.select(F.col(label).cast("double").alias("y"), *features, F.lit(True).alias("__val")))
+    numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    y = F.col(label).cast("double")
+    key = hash_u32(growth.seed, F.col(id)).cast("bigint") if id else F.xxhash64(y, *[F.col(c).cast("double") for c in features])
+    part = lambda df, is_val: df.select(y.alias("y"), F.lit(is_val).alias("val"), F.coalesce(key, F.lit(0)).alias("key"), *numbers)
+    rows = part(train, False).union(part(val, True))
 
     def bins_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = to_bins(b[[f"x{i}" for i in range(n_features)]].to_numpy(np.float64), edges)
-            yield pd.DataFrame({"y": b["y"], "val": b["val"], "bins": [x.tobytes() for x in rows], "margin": 0.0})
+            yield pd.DataFrame({"y": b["y"], "val": b["val"], "key": b["key"], "bins": [x.tobytes() for x in rows], "margin": 0.0})
 
-    rows = both.select("y", F.col("__val").alias("val"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
-    schema = "y double, val boolean, bins binary, margin double"
+    schema = "y double, val boolean, key bigint, bins binary, margin double"
     table = written(rows.mapInPandas(bins_of, schema), "binned-rows")
     y1, n = table.where("not val").agg(F.sum("y"), F.count("*")).first()
     pos, neg = weight * (y1 or 0.0), (n or 0) - (y1 or 0.0)
     model = LeafwiseModel(features, edges, math.log(pos / neg) if pos > 0 and neg > 0 else 0.0, [], [0.0] * n_features)
-    saved, losses = 0, []
+    saved, watched = 0, []
 
     def matrix(b: pd.DataFrame) -> np.ndarray:
         return np.frombuffer(b"".join(b["bins"]), np.uint8).reshape(len(b), n_features)
@@ -217,9 +296,11 @@ def fit_leafwise(train: DataFrame, val: DataFrame, features: Sequence[str], grow
     def histograms(tree: Tree, nodes: list[int]) -> dict[int, np.ndarray]:
         place = {node: k for k, node in enumerate(nodes)}
         so_far = LeafwiseModel(features, edges, model.start, model.trees[saved:])
+        number, read = len(model.trees), growth.features_of(len(model.trees), n_features)
+        first = nodes == [0]
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, loss = np.zeros((len(nodes), n_features, cells, 3)), np.zeros(2)
+            sums, seen = np.zeros((len(nodes), n_features, cells, 3)), {}
             where = np.full(len(tree.feature), -1)
             where[list(place)] = list(place.values())
             for b in batches:
@@ -228,29 +309,34 @@ def fit_leafwise(train: DataFrame, val: DataFrame, features: Sequence[str], grow
                 binned, y, val = matrix(b), b["y"].to_numpy(), b["val"].to_numpy(bool)
                 margin = so_far.start + b["margin"].to_numpy() + so_far.margins(binned)
                 p, w = 1 / (1 + np.exp(-margin)), np.where(y == 1, weight, 1.0)
-                loss += [float((w * (np.logaddexp(0, margin) - y * margin))[val].sum()), float(w[val].sum())]
+                if first and growth.watch == "loss":
+                    _add(seen, np.zeros(val.sum(), np.int64), (w * (np.logaddexp(0, margin) - y * margin))[val], w[val])
+                elif first:
+                    _add(seen, margin_class(margin[val]), y[val], np.ones(val.sum()))
                 node = where[tree.nodes(binned)]
-                mine = np.flatnonzero((node >= 0) & ~val)
+                mine = np.flatnonzero((node >= 0) & ~val & growth.rows_of(number, b["key"].to_numpy()))
                 x = np.minimum(binned[mine], cells - 1).astype(np.int64)
                 for k, values in enumerate((w * (p - y), w * p * (1 - p), np.ones(len(y)))):
-                    for f in range(n_features):
+                    for f in read:
                         sums[:, f, :, k] += np.bincount(node[mine] * cells + x[:, f], values[mine], len(nodes) * cells).reshape(len(nodes), cells)
             at = np.nonzero(sums[..., 2])
-            yield pd.DataFrame({"node": [*at[0].tolist(), -1], "feature": [*at[1].tolist(), 0], "bin": [*at[2].tolist(), 0], "g": [*sums[(*at, 0)], loss[0]], "h": [*sums[(*at, 1)], loss[1]], "n": [*sums[(*at, 2)], 0.0]})
+            yield pd.DataFrame({"node": at[0], "feature": at[1], "bin": at[2], "g": sums[(*at, 0)], "h": sums[(*at, 1)], "n": sums[(*at, 2)]})
+            if seen:
+                yield pd.DataFrame({"node": -1, "feature": 0, "bin": list(seen), "g": [v[0] for v in seen.values()], "h": [v[1] for v in seen.values()], "n": 0.0})
 
         got = table.mapInPandas(work, "node int, feature int, bin int, g double, h double, n double").groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toPandas()
         out = np.zeros((len(nodes), n_features, cells, 3))
         told = got[got["node"] >= 0]
         out[told["node"], told["feature"], told["bin"]] = told[["g", "h", "n"]].to_numpy()
-        if nodes == [0]:
-            loss = got[got["node"] < 0].iloc[0]
-            losses.append(loss["g"] / loss["h"] if loss["h"] else math.nan)
+        if first:
+            told = got[got["node"] < 0]
+            watched.append(-average_precision(told) if growth.watch == "auprc" else told["g"].sum() / told["h"].sum() if len(told) else math.nan)
         return {node: out[k] for node, k in place.items()}
 
     for round_ in range(growth.rounds):
         tree = grow(histograms, growth)
-        best = int(np.nanargmin(losses)) if not np.isnan(losses).all() else round_
-        if round_ - best >= growth.patience or tree.feature[0] < 0:
+        best = int(np.nanargmin(watched)) if not np.isnan(watched).all() else round_
+        if round_ - best >= growth.patience or (tree.feature[0] < 0 and growth.subsample == growth.columns == 1):
             break
         model.trees.append(tree)
         if len(model.trees) - saved >= SAVE_EVERY and round_ + 1 < growth.rounds:
@@ -262,9 +348,9 @@ def fit_leafwise(train: DataFrame, val: DataFrame, features: Sequence[str], grow
 
             table, saved = written(table.mapInPandas(moved, schema), "binned-rows"), len(model.trees)
     else:
-        histograms(Tree([-1], [0], [True], [-1], [-1], [0.0]), [0])  # the loss after the last tree
-    if losses and not np.isnan(losses).all():
-        del model.trees[int(np.nanargmin(losses)) :]
+        histograms(Tree([-1], [0], [True], [-1], [-1], [0.0]), [0])  # what val says after the last tree
+    if watched and not np.isnan(watched).all():
+        del model.trees[int(np.nanargmin(watched)) :]
     for tree in model.trees:
         for f in tree.feature:
             if f >= 0:

@@ -32,6 +32,8 @@ from riskloom.sources.tables import content_hashes, read_json, write_json, writt
 
 @dataclass(frozen=True)
 class Hyper:
+    """Settings of all families: ``ridge`` is the linear model's; ``columns`` to ``min_curvature`` are those of ``boosting.Growth`` (``shrink``: its ridge)."""
+
     rounds: int = 40
     depth: int = 5
     rate: float = 0.1
@@ -40,6 +42,11 @@ class Hyper:
     bins: int = 64
     ridge: float = 0.01
     trees: int = 60
+    columns: float = 1.0
+    shrink: float = 1.0
+    lasso: float = 0.0
+    min_gain: float = 0.0
+    min_curvature: float = 0.0
     tolerance: float = 0.001
     seed: int = 42
 
@@ -80,9 +87,7 @@ class Bundle:
         out = out.drop("rawPrediction", "probability", "prediction", *[f"{c}__filled" for c in self.features], *[f"{c}__missing" for c in self.features], "features")
         if self.calibrator is None:
             return out
-        calibrated = self.calibrator.transform(out)
-        one = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
-        return calibrated.withColumn("score", one).withColumn("decision", F.col("score") >= self.threshold).drop("prediction")
+        return calibrated(out, self.calibrator).withColumn("decision", F.col("score") >= self.threshold)
 
     def save(self, path: str) -> None:
         """Models by MLlib's writer; the manifest last, so a bundle without one is incomplete."""
@@ -145,8 +150,12 @@ def fit(train: DataFrame, val: DataFrame, features: Sequence[str], family: str,
     """One family on train, boosting stopped early by val; positives weigh as much in all as negatives."""
     if family == "leafwise":
         weight = metrics.class_weight(train.select(F.col(label).alias("label"))).first()[0]
-        growth = Growth(rounds=h.rounds, depth=h.depth, rate=h.rate, min_rows=h.min_rows, bins=h.bins)
-        return Bundle(family, list(features), {}, fit_leafwise(train, val, features, growth, label=label, weight=weight))
+        growth = Growth(
+            rounds=h.rounds, depth=h.depth, rate=h.rate, ridge=h.shrink, min_rows=h.min_rows, min_gain=h.min_gain, bins=h.bins, lasso=h.lasso,
+            min_curvature=h.min_curvature, subsample=h.subsample, columns=h.columns, seed=h.seed, watch="auprc",
+        )
+        id = "id" if "id" in train.columns and "id" in val.columns else None
+        return Bundle(family, list(features), {}, fit_leafwise(train, val, features, growth, label=label, weight=weight, id=id))
     fills = sentinels(train, features)
     weight = metrics.class_weight(train.select(F.col(label).alias("label"))).first()[0]
     both = train.withColumn("validating", F.lit(False)).unionByName(val.withColumn("validating", F.lit(True))) if family == "gbt" else train
@@ -160,10 +169,16 @@ def raw_scores(bundle: Bundle, df: DataFrame, label: str = "label", id: str = "i
     return bundle.score(df).select(F.col(id).alias("id"), F.col(label).alias("label"), F.col("raw_score").alias("score"))
 
 
-#: What the search may choose.
-SPACE = {
-    "rounds": Choice((20, 40, 80)), "depth": Span(3, 6, whole=True), "rate": Span(0.03, 0.3, log=True), "subsample": Span(0.6, 1.0),
-    "min_rows": Span(5, 50, log=True, whole=True), "ridge": Span(1e-4, 1.0, log=True), "trees": Choice((20, 40, 60)),
+_DEPTH, _RATE, _MIN_ROWS, _SHARE, _PENALTY = Span(3, 10, whole=True), Span(0.01, 0.3, log=True), Span(5, 50, log=True, whole=True), Span(0.5, 1.0), Span(1e-3, 10.0, log=True)
+#: What the search may choose, by family: only settings that it reads.
+SPACES = {
+    "gbt": {"rounds": Choice((20, 40, 80)), "depth": _DEPTH, "rate": _RATE, "subsample": _SHARE, "min_rows": _MIN_ROWS},
+    "leafwise": {
+        "rounds": Span(40, 400, log=True, whole=True), "depth": _DEPTH, "rate": _RATE, "min_curvature": Span(0.5, 10.0, log=True), "subsample": _SHARE, "columns": _SHARE,
+        "lasso": _PENALTY, "shrink": _PENALTY, "min_gain": Span(0.0, 5.0),
+    },
+    "forest": {"trees": Choice((20, 40, 60)), "depth": Span(3, 6, whole=True), "subsample": _SHARE, "min_rows": _MIN_ROWS},
+    "linear": {"rounds": Choice((20, 40, 80)), "ridge": Span(1e-4, 1.0, log=True)},
 }
 
 
@@ -173,7 +188,7 @@ def tune(train: DataFrame, val: DataFrame, features: Sequence[str], family: str
     def value(chosen: dict) -> float | None:
         return metrics.auprc(raw_scores(fit(train, val, features, family, replace(Hyper(seed=seed), **chosen)), val)).first()["auprc"]
 
-    chosen, best = maximise(value, SPACE, trials=trials, seed=seed, timeout_s=timeout_s, clock=clock)
+    chosen, best = maximise(value, SPACES[family], trials=trials, seed=seed, timeout_s=timeout_s, clock=clock)
     return replace(Hyper(seed=seed), **chosen), best
 
 
@@ -190,6 +205,28 @@ def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(scored.select(F.col("score").alias("raw_score"), F.col("label").cast("double").alias("label")))
 
 
+def calibrated(df: DataFrame, calibrator: IsotonicRegressionModel) -> DataFrame:
+    """Adds ``score`` for ``raw_score``, within 0 and 1: between two known scores on the line, beyond them the outermost value."""
+    out = calibrator.transform(df)
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))).drop("prediction")
+
+
+def calibrate(scored: DataFrame, params: Params = Params()) -> tuple[IsotonicRegressionModel, float]:
+    """Calibrator and threshold from validation rows ``(id, label, raw_score)``: one half of them, dealt by label, makes the calibrator,
+    the other chooses the threshold on calibrated scores, at the six decimals that tags have."""
+    halves = written(prepare.stratified_folds(scored, k=2, label="label", id="id", seed=params.seed), "halves")
+    calibrator = fit_isotonic(halves.where("fold = 0").select("label", F.col("raw_score").alias("score")))
+    chosen = metrics.select_threshold(calibrated(halves.where("fold = 1"), calibrator).select("id", "label", "score"), params.cost, recall_floor=params.recall_floor, alert_budget=params.alert_budget)
+    return calibrator, round(chosen["threshold"], 6)
+
+
+def gate_inputs(test: DataFrame, threshold: float, costs: CostMatrix = CostMatrix()) -> tuple[float, float]:
+    """Average precision of raw scores and cost for each row of calibrated ones, over ``(label, raw_score, score)``; NaN where undefined."""
+    ap = metrics.auprc(test.select("label", F.col("raw_score").alias("score"))).first()["auprc"]
+    cost = metrics.expected_cost(test, threshold, costs).first()["cost_per_row"]
+    return ap if ap is not None else math.nan, cost if cost is not None else math.nan
+
+
 def split_metrics(bundle: Bundle, df: DataFrame, ks: Sequence[float]) -> DataFrame:
     """``split, auprc`` and recalls of rows that carry ``split``, every split in the same jobs."""
     scored = bundle.score(df).select("id", "label", "split", F.col("raw_score").alias("score"))
@@ -213,17 +250,12 @@ def train_and_gate(df: DataFrame, features: Sequence[str], registry: Registry, p
     fitted = {f: fit(part["train"], part["val"], features, f, h) for f in families}
     aps = {f: metrics.auprc(raw_scores(b, part["val"])).first()["auprc"] for f, b in fitted.items()}
     bundle = fitted[pick_primary(aps)]
-    halves = prepare.stratified_folds(part["val"], k=2, label="label", id="id", seed=params.seed)
-    bundle.calibrator = fit_isotonic(raw_scores(bundle, halves.where("fold = 0").drop("fold")))
-    chosen = metrics.select_threshold(bundle.score(halves.where("fold = 1").drop("fold")).select("id", "label", "score"), params.cost, recall_floor=params.recall_floor, alert_budget=params.alert_budget)
-    bundle.threshold = round(chosen["threshold"], 6)
+    bundle.calibrator, bundle.threshold = calibrate(bundle.score(part["val"]).select("id", "label", "raw_score"), params)
     test = written(bundle.score(part["test"]).select("id", "label", "raw_score", "score"), "test-scores")
-    ap = metrics.auprc(test.select("label", F.col("raw_score").alias("score"))).first()["auprc"]
-    cost = metrics.expected_cost(test, bundle.threshold, params.cost).first()["cost_per_row"]
-    challenger = (ap if ap is not None else math.nan, cost if cost is not None else math.nan)
+    challenger = gate_inputs(test, bundle.threshold, params.cost)
     verdict = decide(challenger, registry.champion_metrics())
     bundle.version = registry.add_version(bundle.family, {})
-    bundle.info = {"val_auprc": aps, "test_auprc": ap, "test_cost": cost, "decision": verdict}
+    bundle.info = {"val_auprc": aps, "test_auprc": challenger[0], "test_cost": challenger[1], "decision": verdict}
     bundle.save(f"{root or registry.root}/{bundle.version}")
     if verdict in ("promote", "bootstrap"):
         registry.promote(bundle.version, challenger[0], challenger[1], bundle.threshold)
