@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from riskloom.contract import CanaryParams, CostMatrix, MonitorParams, ReplayParams
@@ -28,6 +30,17 @@ def label_schedule(spark, d):
     return out.select("id", F.round("label_offset_s", 4).alias("label_offset_s"))
 
 
+@query(f"""WITH o AS (SELECT id, sum(delay_s) OVER (ORDER BY us, id) AS offset_s FROM {_DELAYS}) SELECT id, ceil(offset_s / (SELECT ceil(max(offset_s) * 1000 / 8) / 1000 FROM o))::BIGINT AS tick FROM o""")
+def paced_replay(spark, d):
+    """The tick, of eight over the whole replay, in which each event is published."""
+    schedule = replay.by_offset(replay.emission_offsets(transactions(spark, d).select("id", "card", "us"), max_wait_s=0.1))
+    tick_s = math.ceil(schedule.agg(F.max("offset_s")).first()[0] * 1000 / 8) / 1000
+    path = new_path(spark, "replay")
+    run = replay.Replay(schedule, path)
+    run.finish(run.start(replay.step_clock(spark, tick_s), f"{path}-checkpoint"))
+    return spark.read.schema("id bigint, batch bigint").parquet(f"{path}/events").select("id", F.col("batch").alias("tick"))
+
+
 def _arrivals(spark, d):
     """Scores and labels of all events: labels come early, late, twice or never; some ids come back later."""
     t = transactions(spark, d).withColumn("h", hash_u32(3, F.col("id")))

@@ -89,8 +89,13 @@ def driver_folder(spark: SparkSession) -> str:
 
 def clear_written(spark: SparkSession) -> None:
     """Delete every table written by ``written``; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/riskloom/tables-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, f"{shared_folder(spark)}/riskloom/tables-{spark.sparkContext.applicationId}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, with all in it, wherever it lies; nothing if there is none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def write_table(df: DataFrame, path: str) -> None:

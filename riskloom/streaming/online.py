@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from riskloom.contract import CostMatrix, MonitorParams
 from riskloom.operators import drift
 from riskloom.operators.velocity import DAY_US
-from riskloom.sources.tables import written
+from riskloom.sources.tables import delete_path, written
 from riskloom.streaming import bounded, matching, monitor, scoring
 
 #: Parts that a window is cut into on a stream.
@@ -157,11 +157,6 @@ def monitor_events(messages: DataFrame, features: Sequence[str]) -> DataFrame:
     return routed.select(kind.alias("kind"), "seq", F.when(good, F.col("id")).alias("id"), F.timestamp_micros((F.col("published_s") * 1_000_000).cast("bigint")).alias("t"), "score", "decision", F.col("label").cast("int").alias("label"), payload.alias("payload"))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def monitor_batches(folder: str, baseline: DataFrame | None, features: Sequence[str], params: MonitorParams = MonitorParams(), costs: CostMatrix = CostMatrix()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for the rows of ``match_events``: a cycle of the monitor over what is new and what the last cycle kept.
 
@@ -196,7 +191,7 @@ def monitor_batches(folder: str, baseline: DataFrame | None, features: Sequence[
         after = carried("latches", cycle.join(streaks).select(_streak(F.col("max_psi") > params.psi, "drifted"), _streak(F.col("weak"), "decayed")), _STREAKS)  # two rows of one
         carried("alerts", _alerts(cycle.join(after), params), "cycle bigint, kind string, metric string, value double, threshold double")
         for name in ("matches", "features", "latches"):
-            _delete(spark, f"{folder}/{name}/batch={batch_id - 2}")
+            delete_path(spark, f"{folder}/{name}/batch={batch_id - 2}")
 
     return run
 

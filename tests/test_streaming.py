@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,55 @@ def seconds(spark, times):
     return spark.createDataFrame([(i, int(t * 1_000_000)) for i, t in enumerate(times)], "id int, us bigint")
 
 
+def _schedule(spark, offsets):
+    return spark.createDataFrame([(i, i % 3, 1000 * i, x) for i, x in enumerate(offsets)], "id bigint, card bigint, us bigint, offset_s double")
+
+
+def test_paced_replay(spark, tmp_path):
+    """Events come out in the tick that reaches their offset, one without an offset never; a stopped replay goes on and repeats none."""
+    offsets = [0.0, 0.5, 1.0, 1.01, 4.0, 4.0, None, 7.5]
+    run, clock = replay.Replay(replay.by_offset(_schedule(spark, offsets)), f"{tmp_path}/out"), replay.step_clock(spark, 1.0)
+    assert run.delivered() == (0, float("-inf"))
+    first = run.finish(run.start(clock, f"{tmp_path}/checkpoint"), stop=lambda: run.delivered()[1] >= 1.0)
+    assert 3 <= first <= 7
+    again = replay.Replay(run.schedule, run.path)
+    assert again.finish(again.start(clock, f"{tmp_path}/checkpoint")) == 7
+    out = spark.read.schema("id bigint, offset_s double, batch bigint").parquet(f"{run.path}/events").collect()
+    assert sorted(r["id"] for r in out) == [0, 1, 2, 3, 4, 5, 7] and all(r["batch"] >= r["offset_s"] for r in out)
+    late = max(r["batch"] - r["offset_s"] for r in out if r["offset_s"] <= 1)
+    assert late < 1 and len(list((tmp_path / "out" / "progress").glob("batch=*"))) <= 2
+    assert run.finish(again.start(clock, f"{tmp_path}/checkpoint")) == 7  # nothing is left
+
+
+def test_tick_that_is_run_again(spark, tmp_path):
+    """A tick overwrites its own folder, by what was out before it."""
+    run = replay.Replay(_schedule(spark, [0.0, 0.5, 1.5, 2.0]), f"{tmp_path}/out")
+    at = lambda s: spark.createDataFrame([(int(s * 1e6),)], "us bigint").select(F.timestamp_micros("us").alias("timestamp"))
+    for batch_id, s in ((0, 10), (1, 11), (1, 11.6), (2, 11.2), (4, 99)):
+        run._run(at(s), batch_id)
+    run._run(at(99).limit(0), 5)
+    out = spark.read.schema("id bigint, batch bigint").parquet(f"{run.path}/events").collect()
+    assert sorted((r["batch"], r["id"]) for r in out) == [(0, 0), (1, 1), (1, 2), (4, 3)] and run.delivered() == (4, 89.0)
+
+
+def test_paced_replay_keeps_cards_in_order(spark, tmp_path):
+    run = replay.Replay(_schedule(spark, [0.0] * 60), f"{tmp_path}/out")
+    assert run.finish(run.start(replay.step_clock(spark, 1.0), f"{tmp_path}/checkpoint")) == 60
+    files = spark.read.parquet(f"{run.path}/events/batch=0").select("card", "us", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    for card in range(3):
+        mine = [r for r in files if r["card"] == card]
+        assert len({r["file"] for r in mine}) == 1 and [r["us"] for r in mine] == sorted(r["us"] for r in mine) and len(mine) == 20
+
+
+def test_replay_by_the_wall_clock(spark, tmp_path):
+    """Half a second of offsets takes at least as long; nothing to replay is 0."""
+    run, began = replay.Replay(_schedule(spark, [0.0, 0.2, 0.5]), f"{tmp_path}/out"), time.monotonic()
+    assert run.finish(run.start(replay.wall_clock(spark), f"{tmp_path}/checkpoint", tick_s=0.2)) == 3
+    assert time.monotonic() - began >= 0.5 and spark.read.parquet(f"{run.path}/events").count() == 3
+    none = replay.Replay(run.schedule.limit(0), f"{tmp_path}/none")
+    assert none.finish(none.start(replay.step_clock(spark, 1.0), f"{tmp_path}/c2")) == 0
+
+
 def test_replay(spark):
     wait = lambda t, **o: [x["delay_s"] for x in replay.replay_delays(seconds(spark, t), **o).orderBy("id").collect()]
     assert wait([100, 110, 140], warp=10, max_wait_s=None) == [0, 1, 3]
