@@ -199,10 +199,14 @@ def pick_primary(candidates: dict[str, float | None]) -> str:
 
 
 def fit_isotonic(scored: DataFrame) -> IsotonicRegressionModel:
-    """Calibrator of ``(label, score)``; ValueError unless both classes are there."""
+    """Calibrator of ``(label, score)``; ValueError unless both classes are there.
+
+    Rows of one score are one weighted row before anything is sorted, so a score that many rows share is no task of its own.
+    """
     if not metrics.both_classes(scored).first()[0]:
         raise ValueError("calibration needs both classes")
-    return IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(scored.select(F.col("score").alias("raw_score"), F.col("label").cast("double").alias("label")))
+    per = scored.groupBy(F.col("score").alias("raw_score")).agg(F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight").fit(per)
 
 
 def calibrated(df: DataFrame, calibrator: IsotonicRegressionModel) -> DataFrame:

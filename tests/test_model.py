@@ -92,6 +92,41 @@ def test_pick_and_tune(rows):
         model.fit_isotonic(part["val"].where("label = 1").withColumn("score", F.lit(0.5)))
 
 
+def test_isotonic_of_shared_scores(spark):
+    """A score that a third of the rows share: the calibrator is that of the single rows, by plain pooling."""
+    r = random.Random(5)
+    made = [(int(r.random() < x), x) for x in (0.5 if r.random() < 0.4 else round(r.random(), 2) for _ in range(700))]
+    fitted = model.fit_isotonic(spark.createDataFrame(made, "label int, score double").repartition(5))
+    pools = []
+    for x in sorted({x for _, x in made}):
+        ys = [y for y, v in made if v == x]
+        pools.append([[x], sum(ys), len(ys)])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            xs, s, n = pools.pop()
+            pools[-1] = [pools[-1][0] + xs, pools[-1][1] + s, pools[-1][2] + n]
+    expected = {x: s / n for xs, s, n in pools for x in xs}
+    rows = spark.createDataFrame([(x,) for x in [*expected, -1.0, 2.0]], "raw_score double")
+    got = {x["raw_score"]: x["score"] for x in model.calibrated(rows, fitted).collect()}
+    assert {x: got[x] for x in expected} == pytest.approx(expected) and got[-1.0] == pytest.approx(pools[0][1] / pools[0][2]) and got[2.0] == pytest.approx(pools[-1][1] / pools[-1][2])
+
+
+def test_calibrate_uses_disjoint_halves(spark):
+    """The threshold comes from rows that the calibrator has not seen, at six decimals; limits that nothing meets raise."""
+    df = spark.createDataFrame([(i, int(i * 7 % 20 < i % 10), (i % 10) / 10) for i in range(400)], "id int, label int, raw_score double")
+    calibrator, threshold = model.calibrate(df, Params(recall_floor=0.2, alert_budget=0.5))
+    halves = prepare.stratified_folds(df, k=2, label="label", id="id", seed=42)
+    own = model.fit_isotonic(halves.where("fold = 0").select("label", F.col("raw_score").alias("score")))
+    assert list(calibrator.predictions) == list(own.predictions) and threshold == round(threshold, 6)
+    seen = {round(x["score"], 6) for x in model.calibrated(halves.where("fold = 1"), own).collect()}
+    assert threshold in seen
+    test = model.calibrated(df, calibrator)
+    ap, cost = model.gate_inputs(test, threshold)
+    assert 0 < ap < 1 and cost > 0
+    assert all(map(math.isnan, model.gate_inputs(test.limit(0), threshold)))
+    with pytest.raises(ValueError, match="no threshold"):
+        model.calibrate(df, Params(recall_floor=1.0, alert_budget=0.01))
+
+
 def test_retry():
     now = [0.0]
     calls = []
