@@ -85,7 +85,9 @@ class Replay:
     def _notes(self) -> list[Row]:
         try:
             return self.spark.read.schema(_PROGRESS).parquet(f"{self.path}/progress").orderBy("batch").collect()
-        except AnalysisException:  # no tick yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # no tick yet
+                raise
             return []
 
     def _run(self, batch: DataFrame, batch_id: int) -> None:

@@ -1,10 +1,12 @@
 """The search of settings: against random draws on a known surface, budgets, failures, densities."""
 
+import dataclasses
 import math
 import random
 
 import pytest
 
+from riskloom.operators import boosting, model
 from riskloom.operators.search import Choice, Span, maximise, suggest
 
 SPACE = {"x": Span(-5, 5), "rate": Span(1e-4, 1, log=True), "depth": Span(1, 12, whole=True), "kind": Choice(("a", "b", "c"))}
@@ -66,3 +68,14 @@ def test_good_trials_draw_near():
     r = random.Random(1)
     drawn = [suggest({"x": SPACE["x"]}, tried, r)["x"] for _ in range(50)]
     assert sum(abs(x - 2) < 1.5 for x in drawn) > 35
+
+
+def test_spaces_of_the_families():
+    """Every family has a space, of settings that there are; what is drawn from it makes a setting and, for leaf-wise trees, a way to grow."""
+    known = {f.name for f in dataclasses.fields(model.Hyper)}
+    assert set(model.SPACES) == set(model.FAMILIES)
+    for space in model.SPACES.values():
+        assert set(space) <= known
+        for seed in range(20):
+            h = model.Hyper(**suggest(space, [], random.Random(seed)))
+            assert boosting.Growth(depth=h.depth, subsample=h.subsample, columns=h.columns, lasso=h.lasso, ridge=h.shrink, min_gain=h.min_gain).most_leaves >= 2
