@@ -194,8 +194,9 @@ class Params:
     @classmethod
     def load(cls, path: str) -> Params:
         """From a JSON file, or a YAML file where a YAML library is installed."""
-        with open(path) as f:
-            text = f.read()
+        from riskloom.sources.tables import read_text
+
+        text = read_text(path)
         if path.endswith((".yaml", ".yml")):
             import yaml
 

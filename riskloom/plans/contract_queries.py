@@ -83,7 +83,7 @@ def inference_log(spark, d):
     e = load(spark, d, "events", ["event_id", "value"])
     rows = e.select(F.when(F.col("event_id") % 7 != 0, F.col("event_id").cast("string")).alias("transaction_id"), F.col("value").alias("score"))
     path, blocked = new_path(spark, "inference"), os.path.join(driver_folder(spark), "file")
-    open(blocked, "w").close()
+    write_json({}, blocked)
     if scoring.log_inference(rows, blocked, 0) or not scoring.log_inference(rows, path, 0):
         raise RuntimeError("a log that can't be written must be told apart")
     return spark.read.parquet(path).select("transaction_id", r6("score"))

@@ -79,11 +79,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def driver_folder(spark: SparkSession) -> str:
-    """A new folder for the driver's own small files: in the shared folder where that is a path, else a temporary one."""
+    """A new folder of the shared one for small files that the driver writes; a URL where that is one."""
     path = new_path(spark, "files").removeprefix("file://").removeprefix("file:")
-    if "://" in path:
-        return tempfile.mkdtemp(prefix="riskloom-")
-    os.makedirs(path, exist_ok=True)
+    if "://" not in path:
+        os.makedirs(path, exist_ok=True)
     return path
 
 
@@ -103,22 +102,55 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _file_system(path: str) -> tuple:
+    """The JVM, the file system's context and the path of a URL."""
+    spark = SparkSession.getActiveSession()
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark._jvm, spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(found.toUri(), spark._jsc.hadoopConfiguration()), found
+
+
 def write_json(value: object, path: str) -> None:
-    """Write small driver-side state: to a neighbour file first, then renamed over the target."""
+    """Write small state of the driver's: to a neighbour file first, then renamed over the target. URLs go through Spark's file systems."""
+    text = json.dumps(value, sort_keys=True, indent=1)
+    if "://" in path:
+        jvm, files, target = _file_system(path)
+        temporary, kinds = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp"), jvm.org.apache.hadoop.fs
+        files.mkdir(target.getParent(), kinds.permission.FsPermission.getDirDefault(), True)
+        fs = temporary.getFileSystem(SparkSession.getActiveSession()._jsc.hadoopConfiguration())
+        out = fs.create(temporary, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        over = SparkSession.getActiveSession().sparkContext._gateway.new_array(getattr(kinds, "Options$Rename"), 1)
+        over[0] = getattr(kinds, "Options$Rename").OVERWRITE
+        files.rename(temporary, target, over)
+        return
     folder = os.path.dirname(path) or "."
     os.makedirs(folder, exist_ok=True)
     fd, temporary = tempfile.mkstemp(dir=folder, suffix=".tmp")
     with os.fdopen(fd, "w") as f:
-        json.dump(value, f, sort_keys=True, indent=1)
+        f.write(text)
     os.replace(temporary, path)
 
 
+def read_text(path: str) -> str:
+    """A small file of the driver's; URLs go through Spark's file systems."""
+    if "://" in path:
+        return "\n".join(r["value"] for r in SparkSession.getActiveSession().read.text(path, wholetext=True).collect())
+    with open(path) as f:
+        return f.read()
+
+
 def read_json(path: str, default: object = None) -> object:
     """What ``write_json`` wrote; ``default`` where there is no such file and a default is given."""
-    if default is not None and not os.path.exists(path):
-        return default
-    with open(path) as f:
-        return json.load(f)
+    if default is not None:
+        if "://" in path:
+            _, files, target = _file_system(path)
+            there = files.util().exists(target)
+        else:
+            there = os.path.exists(path)
+        if not there:
+            return default
+    return json.loads(read_text(path))
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -79,6 +79,15 @@ def test_champion_has_its_files(spark, rows, tmp_path):
     assert registry.version_of("champion") == 1
 
 
+def test_registry_and_bundle_below_a_url(spark, rows, tmp_path):
+    """Versions, aliases and models of a shared folder that is a URL are read and written there."""
+    root = f"file://{tmp_path}/shared"
+    bundle, info = model.train_and_gate(rows, ["a"], Registry(root), Params(alert_budget=0.9), model.Hyper(rounds=2), families=("linear",))
+    assert info["decision"] == "bootstrap" and (tmp_path / "shared" / "registry.json").exists()
+    served = model.Reloader(spark, Registry(root), root, ["a"]).current()
+    assert served.version == 1 and served.threshold == bundle.threshold and Registry(root).champion_metrics() == pytest.approx((info["test_auprc"], info["test_cost"]), abs=1e-6)
+
+
 def test_pick_and_tune(rows):
     assert model.pick_primary({"a": None, "b": 0.3, "c": 0.3, "d": math.nan}) == "b" and model.pick_primary({"a": math.nan, "b": None}) == "a"
     part = {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "val")}

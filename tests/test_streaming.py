@@ -490,6 +490,12 @@ def test_files(spark, tmp_path):
     p = str(tmp_path / "x.json")
     tables.write_json({"a": [1]}, p)
     assert tables.read_json(p) == {"a": [1]} and tables.read_json(str(tmp_path / "no"), {}) == {}
+    url = f"file://{tmp_path}/deep/er/y.json"
+    assert tables.read_json(url, {"none": 0}) == {"none": 0}
+    for value in ({"a": "ü\n"}, [1, 2]):  # the second takes the first's place
+        tables.write_json(value, url)
+        assert tables.read_json(url, {}) == value
+    assert [f.name for f in (tmp_path / "deep" / "er").iterdir() if not f.name.endswith(".crc")] == ["y.json"]
     (tmp_path / "c.csv").write_text("a,b\n1,x\n2,y\n")
     assert [x["b"] for x in tables.read_csv(spark, str(tmp_path / "c.csv"), "a int, b string", ["b"]).collect()] == ["x", "y"]
     tables.write_table(spark.range(3).select(F.col("id").alias("V1"), F.lit(1).alias("Vx")), str(tmp_path / "t"))
