@@ -92,50 +92,63 @@ def match_counts(arrivals: DataFrame, retention_s: float) -> DataFrame:
     return matched.join(pending)  # two rows of one
 
 
+#: Groups of ids that share one state on a stream; a batch reads and writes only the groups of its ids.
+BUCKETS = 4096
+_ENTRY = ("score", "decision", "label", "at", "closed")
+
+
 class Matcher(StatefulProcessor):
-    """The same join per id on a stream; the clock is the watermark of both sides and the times in the batch."""
+    """The same join on a stream, for a bucket of ids; an id's clock is the watermark of both sides and its own times in the batch.
+
+    A bucket's entries are one value: read once for a batch and written once, so the exchanges with the state store don't grow with ids.
+    """
 
     def __init__(self, retention_s: float):
         self.retention_ms = int(retention_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("waiting", "score double, decision boolean, label int, at bigint, closed bigint")
+        self.state = handle.getValueState("entries", "id array<string>, score array<double>, decision array<boolean>, label array<int>, at array<bigint>, closed array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        score, decision, label, at, closed = self.state.get() if self.state.exists() else (None, None, None, None, None)
-        clock, newest = timerValues.getCurrentWatermarkInMs(), max(at or 0, closed or 0)
-        out = []
-        for batch in rows:
-            for row in batch.sort_values("seq").itertuples():
-                t = int(row.t.timestamp() * 1000)
-                clock = max(clock, t)
-                oldest = clock - self.retention_ms
-                if t < oldest or (closed is not None and closed >= oldest):
-                    continue
-                newest = max(newest, t)
-                if at is not None and at < oldest:
-                    score = decision = label = at = None
-                if pd.notna(row.score):
-                    if label is not None:
-                        out.append((key[0], float(row.score), None if pd.isna(row.decision) else bool(row.decision), label))
-                        score = decision = label = at = None
-                        closed = t
-                    else:
-                        score, decision, at = float(row.score), None if pd.isna(row.decision) else bool(row.decision), t
-                elif score is not None:
-                    out.append((key[0], score, decision, int(row.label)))
-                    score = decision = label = at = None
-                    closed = t
-                else:
-                    label, at = int(row.label), t
-        self.state.update((score, decision, label, at, closed))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(newest, clock) + self.retention_ms)
+        watermark, out, clocks = timerValues.getCurrentWatermarkInMs(), [], {}
+        known = {i: entry for i, *entry in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        part = pd.concat(list(rows)).sort_values("seq")
+        times = part["t"].astype("datetime64[ms]").astype("int64").tolist()
+        for id_, t, one, decided, y in zip(part["id"].tolist(), times, *(part[c].tolist() for c in ("score", "decision", "label")), strict=True):
+            clock = clocks[id_] = max(clocks.get(id_, watermark), t)
+            oldest = clock - self.retention_ms
+            score, decision, label, at, closed = known.get(id_, (None,) * 5)
+            if t < oldest or (closed is not None and closed >= oldest):
+                continue
+            if at is not None and at < oldest:
+                score = decision = label = None
+            scored = one is not None and one == one
+            decided = bool(decided) if scored and decided is not None and decided == decided else None
+            if scored and label is not None:
+                out.append((id_, one, decided, label))
+            elif not scored and score is not None:
+                out.append((id_, score, decision, int(y)))
+            else:
+                known[id_] = (one, decided, None, t, closed) if scored else (None, None, int(y), t, closed)
+                continue
+            known[id_] = (None, None, None, None, t)
+        self._keep(known, watermark - self.retention_ms)
         if out:
             yield pd.DataFrame(out, columns=["id", "score", "decision", "label"]).astype({"score": "float64", "label": "int32", "decision": "boolean"})
 
+    def _keep(self, known: dict, oldest: int) -> None:
+        """Write the entries that can still matter, and a timer for when the last of them is gone."""
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        newest = {i: max(x for x in entry[3:] if x is not None) for i, entry in known.items()}
+        kept = [i for i, at in newest.items() if at >= oldest]
+        if kept:
+            self.state.update((kept, *([known[i][k] for i in kept] for k in range(len(_ENTRY)))))
+            self.handle.registerTimer(max(newest[i] for i in kept) + self.retention_ms + 1)
+        else:
+            self.state.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         return iter(())
@@ -145,9 +158,9 @@ class Matcher(StatefulProcessor):
 
 
 def match_stream(arrivals: DataFrame, retention_s: float) -> DataFrame:
-    """``id, score, decision, label`` of a stream ``arrivals (seq, id, t timestamp, score, decision, label)``. State expires by event time, id by id."""
-    marked = arrivals.withWatermark("t", f"{int(retention_s)} seconds")
-    return marked.groupBy("id").transformWithStateInPandas(statefulProcessor=Matcher(retention_s), outputStructType="id string, score double, decision boolean, label int", outputMode="Append", timeMode="EventTime")
+    """``id, score, decision, label`` of a stream ``arrivals (seq, id, t timestamp, score, decision, label)``. State expires by event time."""
+    marked = arrivals.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).withWatermark("t", f"{int(retention_s)} seconds")
+    return marked.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Matcher(retention_s), outputStructType="id string, score double, decision boolean, label int", outputMode="Append", timeMode="EventTime")
 
 
 def last_matches(matches: DataFrame, window: int) -> DataFrame:

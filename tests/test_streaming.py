@@ -152,6 +152,42 @@ def test_stream_matches_like_the_batch(spark, tmp_path):
     assert got == sorted((i, s, s >= 0.5, y) for _, i, s, y in simulate(rows, 60.0)[0])
 
 
+def test_stream_matcher_takes_many_ids_at_once():
+    """A bucket of 3,000 ids costs as many exchanges with the state store as one of a single id; a waiting side goes on to the next batch."""
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, [], 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+                if name == "registerTimer":
+                    self.timers.append(args[0])
+                return {"getValueState": self, "exists": self.value is not None, "get": self.value, "listTimers": list(self.timers), "getCurrentWatermarkInMs": 0}.get(name)
+
+            return call
+
+    store, matcher = Store(), matching.Matcher(60.0)
+    matcher.init(store)
+
+    def batch(first, ids, **side):
+        rows = {"seq": range(first, first + ids), "id": list(map(str, range(ids))), "t": pd.to_datetime([1000] * ids, unit="s"), "score": None, "decision": None, "label": None}
+        return iter([pd.DataFrame(rows | side)])
+
+    def run(rows):
+        before = store.calls
+        return sum(len(x) for x in matcher.handleInputRows((0,), rows, store)), store.calls - before
+
+    assert run(batch(0, 3000, score=0.7, decision=True))[0] == 0
+    matches, calls = run(batch(3000, 3000, label=1))
+    assert matches == 3000 and calls <= 8
+    assert run(batch(6000, 3000, label=0))[0] == run(batch(9000, 3000, score=0.1))[0] == 0  # all are closed
+
+
 def bounded_version(rows, retention_ms, waiting):
     """One event after another, with a dictionary in order for each side: the front goes when it is too old or there are too many."""
     clock, held, out = 0, {"s": {}, "l": {}, "c": {}}, []
