@@ -70,8 +70,8 @@ def spearman(df: DataFrame, columns: Sequence[str], id: str, min_periods: int =
     """``a, b, rho`` for every pair a < b of columns: rank correlation over rows where both are there.
 
     Ranks are recomputed within each pair's rows, ties share their mean rank; NaN is missing. Pairs of fewer than ``min_periods``
-    rows, or with a constant side, have null; pairs that no row has both of have none. Meant for a bounded sample of rows: tasks turn their rows into pieces of columns, and
-    each pair of tiles of columns is one task, which holds these columns whole. A cell is sent once for each tile, not for each column.
+    rows, or with a constant side, have null; pairs that no row has both of have none. Tasks turn their rows into pieces of columns, and
+    each pair of tiles of columns is one task, which holds these columns whole: with more rows a tile has fewer columns, at last one. A cell is sent once for each tile, not for each column.
     """
     names = sorted(columns)
     rows = max(df.count(), 1)
@@ -134,10 +134,10 @@ def decorrelate(strength: dict[str, float], rho: dict[tuple[str, str], float | N
     return leaders
 
 
-def select_block(df: DataFrame, label: str, id: str, params: SelectionParams = SelectionParams(), seed: int = 42) -> list[str]:
+def select_block(df: DataFrame, label: str, id: str, params: SelectionParams = SelectionParams(), seed: int = 42, *, whole: bool = False) -> list[str]:
     """The kept columns of the V block, by name: dense enough, spread apart, the strongest ``max_features``.
 
-    Correlations are taken on at most ``sample_rows`` rows; only the matrix of a few hundred columns reaches the driver.
+    Correlations are taken on at most ``sample_rows`` rows, or with ``whole`` on all; only the matrix of a few hundred columns reaches the driver.
     """
     columns = v_columns(df)
     if not columns:
@@ -145,9 +145,9 @@ def select_block(df: DataFrame, label: str, id: str, params: SelectionParams = S
     dense = [r["column"] for r in missing_rates(df, columns).where(F.col("rate") <= params.max_missing).collect()]
     if not dense:
         return []
-    sample = uniform_sample(df.select(id, label, *dense), params.sample_rows, id, seed).persist()
+    rows = df.select(id, label, *dense)
+    sample = written(rows if whole else uniform_sample(rows, params.sample_rows, id, seed), "selection")
     strength = {r["column"]: r["strength"] for r in label_association(sample, dense, label, id, params.min_periods).collect()}
     rho = {(r["a"], r["b"]): r["rho"] for r in spearman(sample, dense, id, params.min_periods).collect()}
-    sample.unpersist()
     leaders = decorrelate(strength, rho, params.max_correlation)
     return sorted(sorted(leaders, key=lambda c: (-strength[c], c))[: params.max_features])

@@ -112,6 +112,15 @@ def test_selection(spark):
     assert selection.decorrelate({"a": 0.5, "b": 0.5, "c": 0.1}, {("a", "b"): -0.9, ("a", "c"): 0.2, ("b", "c"): 0.95}, 0.9) == ["a", "c"]
 
 
+def test_selection_on_all_rows(spark):
+    """With ``whole``, more rows than the sample's count too: V2 follows the label in rows that a sample of 60 leaves out."""
+    df = spark.range(600).select("id", (F.pmod(F.hash("id"), F.lit(2))).alias("y"), (F.hash(F.col("id") + 7) % 100 / 100.0).alias("V1"))
+    df = df.withColumn("V2", F.col("y") + (F.hash(F.col("id") + 9) % 100 / 50.0)).withColumn("V3", F.col("V2") * 2)
+    few = SelectionParams(max_missing=0.5, max_correlation=0.9, min_periods=100, sample_rows=60, max_features=1)
+    assert selection.select_block(df, "y", "id", few) == ["V1"]  # too few rows for any correlation
+    assert selection.select_block(df, "y", "id", few, whole=True) == ["V2"]
+
+
 def test_spearman_pairwise(spark):
     rows = [(i, float((i * 7) % 23) if i % 5 else None, float((i * i) % 19) if i % 7 else None) for i in range(120)]
     got = selection.spearman(spark.createDataFrame(rows, "id int, V1 double, V2 double"), ["V1", "V2"], "id", min_periods=10).first()["rho"]
