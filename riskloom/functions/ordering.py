@@ -149,6 +149,35 @@ def ordered_fold(df: DataFrame, *, by: str, order: Sequence[str], start: Callabl
     return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
 
 
+def ordered_fold_rows(df: DataFrame, *, by: str, order: Sequence[str], values: Sequence[str], start: Callable[[], object], step: Callable[[object, tuple], tuple | None], end: Callable[[object], tuple | None], schema: str) -> DataFrame:
+    """``ordered_fold`` for many small groups: ``step`` sees one row's ``values`` (None: missing) and gives a row or None.
+
+    A batch's columns become lists once, so a group costs no slice of a frame. At most one group's state is held.
+    """
+    fields = T.StructType.fromDDL(schema)
+    kinds = {f.name: _NULLABLE[f.dataType.simpleString()] for f in fields if f.dataType.simpleString() in _NULLABLE and f.name != by}
+    listed = lambda column: column.astype(object).where(column.notna(), None).tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        frame = lambda rows: pd.DataFrame(rows, columns=fields.names).astype(kinds)
+        for batch in batches:
+            out = []
+            for now, row in zip(listed(batch[by]), zip(*(listed(batch[c]) for c in values), strict=True), strict=True):
+                if state is None or now != key:
+                    if state is not None and (last := end(state)) is not None:
+                        out.append((key, *last))
+                    key, state = now, start()
+                if (found := step(state, row)) is not None:
+                    out.append((key, *found))
+            if out:
+                yield frame(out)
+        if state is not None and (last := end(state)) is not None:
+            yield frame([(key, *last)])
+
+    return df.select(by, *values).repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
 #: Pandas types that hold missing values, by Spark's.
 _NULLABLE = {"double": "Float64", "bigint": "Int64", "int": "Int32", "boolean": "boolean"}
 

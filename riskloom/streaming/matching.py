@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from riskloom.contract import CostMatrix, MonitorParams
-from riskloom.functions.ordering import ordered_fold, ranked, running
+from riskloom.functions.ordering import ordered_fold_rows, ranked, running
 from riskloom.operators.metrics import auprc
 from riskloom.sources.tables import written
 
@@ -30,26 +30,25 @@ class _Id:
         self.score = self.decision = self.label = self.at = self.seq = self.closed = None
 
 
-def _step(known: _Id, part: pd.DataFrame, retention_s: float) -> list[tuple]:
-    """Matches of an id's next arrivals: ``kind, score, decision, label, seq, t``."""
-    out = []
-    for seq, t, clock, score, decision, label in zip(*(part[c].tolist() for c in ("seq", "t", "clock", "score", "decision", "label")), strict=True):
-        oldest = clock - retention_s
-        if known.closed is not None and known.closed >= oldest:
-            continue
-        scored, labelled = not pd.isna(score), not pd.isna(label)
-        waits = known.at is not None and known.at >= oldest
-        if waits and scored and known.label is not None:
-            out.append(("match", score, None if pd.isna(decision) else decision, known.label, seq, t))
-        elif waits and labelled and known.score is not None:
-            out.append(("match", known.score, known.decision, label, seq, t))
-        else:
-            known.score, known.label = score if scored else None, label if labelled else None
-            known.decision, known.at, known.seq = None if pd.isna(decision) else decision, t, seq
-            continue
-        known.score = known.decision = known.label = known.at = known.seq = None
-        known.closed = t
-    return out
+def _step(known: _Id, seq, t: float, clock: float, score: float | None, decision: bool | None, label: int | None, retention_s: float) -> tuple | None:
+    """An id's next arrival; the match that it makes: ``kind, score, decision, label, seq, t``."""
+    oldest = clock - retention_s
+    if known.closed is not None and known.closed >= oldest:
+        return None
+    waits = known.at is not None and known.at >= oldest
+    if waits and score is not None and known.label is not None:
+        found = ("match", score, decision, known.label, seq, t)
+    elif waits and label is not None and known.score is not None:
+        found = ("match", known.score, known.decision, label, seq, t)
+    else:
+        known.score, known.label, known.decision, known.at, known.seq = score, label, decision, t, seq
+        return None
+    known.score = known.decision = known.label = known.at = known.seq = None
+    known.closed = t
+    return found
+
+
+_ARRIVAL = ("seq", "t", "clock", "score", "decision", "label")
 
 
 def _folded(arrivals: DataFrame, retention_s: float) -> DataFrame:
@@ -62,8 +61,8 @@ def _folded(arrivals: DataFrame, retention_s: float) -> DataFrame:
         arrivals = arrivals.withColumn("decision", F.lit(None).cast("boolean"))
     live = running(arrivals.select("seq", "id", F.col("t").cast("double").alias("t"), F.col("score").cast("double").alias("score"), "decision", F.col("label").cast("int").alias("label")), "seq", [], {"clock": F.col("t")}, how="max").where(F.col("t") >= F.col("clock") - F.lit(r))
     kind = arrivals.schema["id"].dataType.simpleString()
-    return ordered_fold(
-        live, by="id", order=["seq"], start=_Id, step=lambda known, part: _step(known, part, r), end=lambda k: None if k.at is None else ("waiting", k.score, k.decision, k.label, k.seq, k.at),
+    return ordered_fold_rows(
+        live, by="id", order=["seq"], values=_ARRIVAL, start=_Id, step=lambda known, row: _step(known, *row, r), end=lambda k: None if k.at is None else ("waiting", k.score, k.decision, k.label, k.seq, k.at),
         schema=f"id {kind}, kind string, score double, decision boolean, label int, seq bigint, t double",
     )
 
@@ -76,20 +75,30 @@ def match_batch(arrivals: DataFrame, retention_s: float) -> DataFrame:
     return _folded(arrivals, retention_s).where("kind = 'match'").select("id", "score", "decision", "label", F.col("seq").alias("matched_seq"))
 
 
-def waiting(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParams().max_ids) -> DataFrame:
-    """``side, id, seq`` of what waits after the last arrival; of each side the ``max_ids`` that came last, as the oldest go first."""
+def _waiting(folded: DataFrame, arrivals: DataFrame, retention_s: float) -> DataFrame:
     clock = F.lit(float(arrivals.agg(F.max("t")).first()[0] or 0.0) - retention_s)
     side = F.when(F.col("score").isNotNull(), "pending").otherwise("early")
-    found = _folded(arrivals, retention_s).where("kind = 'waiting'").where(F.col("t") >= clock).select(side.alias("side"), "id", "seq")
+    return folded.where("kind = 'waiting'").where(F.col("t") >= clock).select(side.alias("side"), "id", "seq")
+
+
+def _newest(found: DataFrame, max_ids: int) -> DataFrame:
+    """Of each side the ``max_ids`` rows that came last."""
     return ranked(found, "seq", [], "nth", groups=["side"], descending=True).where(F.col("nth") <= max_ids).drop("nth")
 
 
-def match_counts(arrivals: DataFrame, retention_s: float) -> DataFrame:
-    """``matched, pending``: pairs found, and scores that still wait for a label."""
+def waiting(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParams().max_ids) -> DataFrame:
+    """``side, id, seq`` of what waits after the last arrival; of each side the ``max_ids`` that came last, as the oldest go first."""
+    found = written(_waiting(_folded(arrivals, retention_s), arrivals, retention_s), "waiting")  # read for the ranges of its order and for the ranks
+    return _newest(found, max_ids)
+
+
+def match_counts(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParams().max_ids) -> DataFrame:
+    """``matched, pending``: pairs found, and scores that still wait for a label; one fold gives both."""
     arrivals = written(arrivals, "arrivals")  # read for the clock and for the matches
-    matched = match_batch(arrivals, retention_s).agg(F.count("*").alias("matched"))
-    pending = waiting(arrivals, retention_s).where("side = 'pending'").agg(F.count("*").alias("pending"))
-    return matched.join(pending)  # two rows of one
+    folded = written(_folded(arrivals, retention_s).select("kind", "id", "score", "seq", "t"), "folded")
+    counts = _waiting(folded, arrivals, retention_s).groupBy("side").agg(F.least(F.count("*"), F.lit(max_ids)).alias("n"))  # as many as ``waiting`` leaves
+    pending = counts.agg(F.coalesce(F.sum(F.when(F.col("side") == "pending", F.col("n"))), F.lit(0)).cast("bigint").alias("pending"))
+    return folded.where("kind = 'match'").agg(F.count("*").alias("matched")).join(pending)  # two rows of one
 
 
 #: Groups of ids that share one state on a stream; a batch reads and writes only the groups of its ids.

@@ -135,6 +135,23 @@ def test_matching_against_simulation(spark):
         assert {x["id"] for x in matching.waiting(arrivals(spark, rows), 20.0, max_ids=1).collect()} == newest
 
 
+def test_counts_fold_once(spark, monkeypatch):
+    """The counts and what waits take one fold of the arrivals each, and ``max_ids`` bounds the count as it bounds what waits."""
+    rows = [("s", str(k), k, 0.5) for k in range(9)] + [("l", "0", 9, 1)]
+    folds = spark.sparkContext.accumulator(0)
+    plain = matching._step
+
+    def counted(known, *row):
+        folds.add(1)
+        return plain(known, *row)
+
+    monkeypatch.setattr(matching, "_step", counted)
+    assert matching.match_counts(arrivals(spark, rows), 100.0).first().asDict() == {"matched": 1, "pending": 8} and folds.value == 10
+    assert len(matching.waiting(arrivals(spark, rows), 100.0, max_ids=3).collect()) == 3 and folds.value == 20
+    assert matching.match_counts(arrivals(spark, rows), 100.0, max_ids=3).first()["pending"] == 3
+    assert matching.match_counts(arrivals(spark, rows[:0]), 100.0).first().asDict() == {"matched": 0, "pending": 0}
+
+
 def test_stream_matches_like_the_batch(spark, tmp_path):
     """In order of event time, one file after another: ids come back after the retention."""
     import random
