@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ SHARDS = 64
 #: Closed ids are kept this much longer than waiting ones, as they guard against counting a match twice.
 CLOSED_PER_WAITING = 5
 _SIDES = ("score", "label", "closed")
+#: Parts of a shard's entries, and places of a queue, that are stored as one value each.
+BUCKETS, BLOCK = 64, 1024
 _OUT = "kind string, seq bigint, id string, score double, decision boolean, label int, payload string"
 
 
@@ -25,6 +28,8 @@ class ShardMatcher(StatefulProcessor):
     new place and leaves the old one stale. Of each side at most ``limits`` entries stay; then the one that came first goes. An event
     touches its own entry and the heads of queues, so its work doesn't grow with what waits. Entries older than the clock
     less the retention are as good as gone wherever they stand, and are dropped once at the head.
+
+    Entries are stored by buckets of ids, queues by blocks of places: a batch reads and writes each that it touches once, however many events touch it.
     """
 
     def __init__(self, retention_s: float, limits: dict[str, int]):
@@ -32,8 +37,8 @@ class ShardMatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "id string", "side string, score double, decision boolean, label int, at bigint, place bigint")
-        self.order = handle.getMapState("order", "side string, place bigint", "id string")
+        self.entries = handle.getMapState("entries", "bucket int", "id array<string>, side array<string>, score array<double>, decision array<boolean>, label array<int>, at array<bigint>, place array<bigint>")
+        self.order = handle.getMapState("order", "side string, block bigint", "id array<string>")
         self.ends = handle.getValueState("ends", ", ".join(f"head_{s} bigint, tail_{s} bigint, size_{s} bigint" for s in _SIDES) + ", newest bigint")
 
     # What a batch touches is read once and written once.
@@ -41,34 +46,58 @@ class ShardMatcher(StatefulProcessor):
     def _open(self) -> None:
         values = self.ends.get() if self.ends.exists() else (0,) * 10
         self.head, self.tail, self.size = ({s: values[3 * k + i] for k, s in enumerate(_SIDES)} for i in range(3))
-        self.newest, self.known, self.changed = values[9], {}, set()
+        self.newest, self.buckets, self.changed, self.blocks, self.appended, self.stored, self.ended = values[9], {}, set(), {}, set(), set(), set()
+
+    def _bucket(self, id_: str) -> dict[str, tuple]:
+        b = zlib.crc32((id_ or "").encode()) % BUCKETS
+        if b not in self.buckets:
+            there = self.entries.containsKey((b,))
+            self.buckets[b] = {i: tuple(entry) for i, *entry in zip(*self.entries.getValue((b,)), strict=True)} if there else {}
+            if there:
+                self.stored.add(b)
+        return self.buckets[b]
 
     def _get(self, id_: str) -> tuple | None:
-        if id_ not in self.known:
-            self.known[id_] = tuple(self.entries.getValue((id_,))) if self.entries.containsKey((id_,)) else None
-        return self.known[id_]
+        return self._bucket(id_).get(id_)
+
+    def _set(self, id_: str, entry: tuple | None) -> None:
+        held = self._bucket(id_)
+        if entry is None:
+            held.pop(id_, None)
+        else:
+            held[id_] = entry
+        self.changed.add(zlib.crc32((id_ or "").encode()) % BUCKETS)
+
+    def _places(self, side: str, place: int) -> list[str]:
+        """The ids of the block that a place is in, in order."""
+        at = (side, place // BLOCK)
+        if at not in self.blocks:
+            there = self.order.containsKey(at)
+            self.blocks[at] = list(self.order.getValue(at)[0]) if there else []
+            if there:
+                self.stored.add(at)
+        return self.blocks[at]
 
     def _remove(self, id_: str) -> None:
         entry = self._get(id_)
         if entry is not None:
             self.size[entry[0]] -= 1
-            self.known[id_] = None
-            self.changed.add(id_)
+            self._set(id_, None)
 
     def _put(self, id_: str, side: str, score: float | None, decision: bool | None, label: int | None, at: int) -> None:
         self._remove(id_)
         place = self.tail[side]
-        self.order.updateValue((side, place), (id_,))
+        self._places(side, place).append(id_)
+        self.appended.add((side, place // BLOCK))
         self.tail[side] += 1
         self.size[side] += 1
-        self.known[id_] = (side, score, decision, label, at, place)
-        self.changed.add(id_)
+        self._set(id_, (side, score, decision, label, at, place))
         while self.size[side] > self.limits[side]:
             self._pop(side)
 
     def _first(self, side: str) -> tuple | None:
         """The entry at the head of a side's queue, None if its place is stale."""
-        id_ = self.order.getValue((side, self.head[side]))[0]
+        id_ = self._places(side, self.head[side])[self.head[side] % BLOCK]
         entry = self._get(id_)
         return (id_, entry) if entry is not None and entry[0] == side and entry[5] == self.head[side] else None
 
@@ -76,18 +105,23 @@ class ShardMatcher(StatefulProcessor):
         first = self._first(side)
         if first:
             self._remove(first[0])
-        self.order.removeKey((side, self.head[side]))
         self.head[side] += 1
+        if self.head[side] % BLOCK == 0:
+            self.ended.add((side, self.head[side] // BLOCK - 1))
 
     def _close(self, oldest: int) -> None:
         for side in _SIDES:
             while self.head[side] < self.tail[side] and ((first := self._first(side)) is None or first[1][4] < oldest):
                 self._pop(side)
-        for id_ in self.changed:
-            if self.known[id_] is not None:
-                self.entries.updateValue((id_,), self.known[id_])
-            elif self.entries.containsKey((id_,)):
-                self.entries.removeKey((id_,))
+        for b in self.changed:
+            if held := self.buckets[b]:
+                self.entries.updateValue((b,), (list(held), *(list(x) for x in zip(*held.values(), strict=True))))
+            elif b in self.stored:
+                self.entries.removeKey((b,))
+        for at in self.appended - self.ended:
+            self.order.updateValue(at, (self.blocks[at],))
+        for at in self.ended & self.stored:
+            self.order.removeKey(at)
         self.ends.update((*(x[s] for s in _SIDES for x in (self.head, self.tail, self.size)), self.newest))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:

@@ -556,3 +556,35 @@ def test_files(spark, tmp_path):
     assert tables.content_hashes(spark, str(tmp_path / "c.csv")).first()["sha256"] == tables.bytes_hash(b"a,b\n1,x\n2,y\n")
     with pytest.raises(KeyError):
         tables.read_columns(spark, str(tmp_path / "t"), ["nope"])
+
+
+def test_shard_exchanges_do_not_grow_with_events():
+    """3,000 ids of a shard cost a few hundred exchanges with the state store, not several for each id; their labels then match."""
+    import pandas as pd
+
+    calls = []
+
+    class Store(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: calls.append(0) or self.__setitem__("v", v)
+        containsKey = lambda self, k: calls.append(0) or k in self
+        getValue = lambda self, k: calls.append(0) or self[k]
+        updateValue = lambda self, k, v: calls.append(0) or self.__setitem__(k, v)
+        removeKey = lambda self, k: calls.append(0) or self.__delitem__(k)
+        getMapState = getValueState = lambda self, *_: Store()
+        listTimers = lambda self: []
+        registerTimer = lambda self, _: None
+        getCurrentWatermarkInMs = lambda self: 0
+
+    matcher, times = bounded.ShardMatcher(60.0, {"score": 10_000, "label": 10_000, "closed": 50_000}), Store()
+    matcher.init(times)
+
+    def run(kind, first, **values):
+        rows = {"kind": kind, "seq": range(first, first + 3000), "id": list(map(str, range(3000))), "t": pd.to_datetime([1000] * 3000, unit="s"), "score": None, "decision": None, "label": None, "payload": None}
+        before = len(calls)
+        return sum(len(x) for x in matcher.handleInputRows((0,), iter([pd.DataFrame(rows | values)]), times)), len(calls) - before
+
+    assert run("score", 0, score=0.5, decision=True)[0] == 0
+    matches, exchanges = run("label", 3000, label=1)
+    assert matches == 3000 and exchanges < 500
