@@ -18,12 +18,16 @@ from riskloom.functions.scalars import safe_ratio
 from riskloom.operators.velocity import asof_join
 
 
-def steps(series: DataFrame, by: Sequence[str], ts: str = "ts_s", value: str = "value", stretch: int = 86_400) -> DataFrame:
+def steps(series: DataFrame, by: Sequence[str], ts: str = "ts_s", value: str = "value", stretch: int | None = 86_400) -> DataFrame:
     """Adds ``step``: growth since the previous sample of the series; after a reset the value itself, 0 for the first.
 
-    A series is cut into stretches of ``stretch`` whole seconds (see ``previous``), so a long one is many tasks.
+    A series is cut into stretches of ``stretch`` whole seconds (see ``previous``), so a long one is many tasks. None leaves it
+    whole: no join, and no exchange where the rows are laid out by the first of ``by``.
     """
-    found = previous(series, by=by, order=[ts], value=value, name="__before", stretch=stretch)
+    if stretch is None:
+        found = series.withColumn("__before", F.lag(value).over(Window.partitionBy(*by).orderBy(ts)))
+    else:
+        found = previous(series, by=by, order=[ts], value=value, name="__before", stretch=stretch)
     before = F.col("__before")
     return found.withColumn("step", F.when(before.isNull(), 0.0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))).drop("__before")
 
@@ -156,7 +160,7 @@ STALE_S = 300
 def _stepped(series: DataFrame, by: Sequence[str]) -> DataFrame:
     """``step`` of each whole series (all its labels): only then may series be added."""
     key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels"))))
-    return steps(series.withColumn("__series", key), [*by, "metric", "__series"])
+    return steps(series.withColumn("__series", key), [*by, "metric", "__series"], stretch=None)  # ``persists`` takes a service whole anyway
 
 
 def _summed(stepped: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -176,7 +180,8 @@ def _guard_values(guard: Guard, series: DataFrame, service: str) -> DataFrame:
 def evaluate(rule: Rule, series: DataFrame, service: str = "service") -> DataFrame:
     """``service, ts_s, value, active, firing`` at each sample of the rule's metric (and of the total's).
 
-    Series of a service are told apart by all their labels until their growth is known; then they are added.
+    Series of a service are told apart by all their labels until their growth is known; then they are added. Every step keeps a
+    service's rows together: of series laid out by service (``repartition``) only a guard's join shuffles any.
     """
     by = [service]
     bad = F.lit(True)

@@ -10,6 +10,7 @@ from riskloom.plans.registry import query
 from riskloom.sources.tables import TRANSACTIONS_SQL, transactions, written
 
 _BOUNDS = (0.5, 1.0, 2.0, float("inf"))
+_ROWS = 150_000
 
 
 def _label(rule: rules.Rule) -> dict[str, str]:
@@ -27,26 +28,43 @@ def _counter(per, *by):
     return per.withColumn("value", F.sum("n").over(Window.partitionBy("service", "endpoint", *by).orderBy("ts_s")))
 
 
-def _series(rule: rules.Rule, t):
+def _under(rule: rules.Rule) -> str:
+    return f"under_{rule.name}"
+
+
+def _per_second(t):
+    """A row for each (service, endpoint, second): all that the series of any rule are made of."""
+    others = [r for r in rules.ALERT_RULES if r.kind == "quantile"]
+    under = [F.array(*[F.count_if(F.col("amount") / 50 * r.limit <= F.lit(b * r.limit)) for b in _BOUNDS]).alias(_under(r)) for r in others]
+    return t.groupBy("service", "endpoint", "ts_s").agg(
+        F.count("*").alias("n"), F.count_if(F.col("category") == "error").alias("errors"), F.count_if(F.col("category").isNull()).alias("unknown"),
+        F.count_if(F.col("category") == "purchase").alias("purchases"), F.count_if(F.col("category") != "view").alias("seen"),
+        F.max("amount").alias("amount"), F.max(F.when(F.col("category") != "view", F.col("amount"))).alias("seen_amount"), *under,
+    )
+
+
+def _series(rule: rules.Rule, per):
     """Counters grow by what happened; gauges and latencies lie around the rule's limit."""
     at = ["service", "endpoint", "ts_s"]
-    counted = lambda rows, *by: _counter(rows.groupBy(*at, *by).agg(F.count("*").alias("n")), *by)
+    counted = lambda n: _counter(per.where(F.col(n) > 0).select(*at, F.col(n).alias("n")))
     if rule.name == "feature_fetch_errors":
-        return _samples(counted(t.where("category = 'error'")), rule.metric, {}, F.col("value")).union(_samples(counted(t), rule.of, {}, F.col("value") * 20))
+        return _samples(counted("errors"), rule.metric, {}, F.col("value")).union(_samples(counted("n"), rule.of, {}, F.col("value") * 20))
     if rule.kind == "gauge":
-        out = _samples(t.groupBy(*at).agg((F.max("amount") / 50 * rule.limit).alias("value")), rule.metric, {}, F.col("value"))
+        out = _samples(per, rule.metric, {}, F.col("amount") / 50 * rule.limit)
         if rule.name == "performance_decay":
-            out = out.union(_samples(t.where("category <> 'view'").groupBy(*at).agg((F.max("amount") * 4).alias("value")), "matched", {}, F.col("value")))
+            out = out.union(_samples(per.where("seen > 0"), "matched", {}, F.col("seen_amount") * 4))
         if rule.name == "join_clock_stalled":
-            out = out.union(_samples(counted(t.where("category = 'purchase'")), "scored", {}, F.col("value")))
+            out = out.union(_samples(counted("purchases"), "scored", {}, F.col("value")))
         return out
     if rule.kind == "increase":
-        return _samples(counted(t), rule.metric, _label(rule), F.col("value") * max(1.0, rule.limit // 3))
+        return _samples(counted("n"), rule.metric, _label(rule), F.col("value") * max(1.0, rule.limit // 3))
     if rule.kind in ("ratio", "burn"):
         (name, bad), = _label(rule).items()
-        return _samples(counted(t.withColumn("bad", F.col("category") == "error"), "bad"), rule.metric, {name: F.when(F.col("bad"), bad).otherwise("200")}, F.col("value"))
-    per = t.withColumn("le", F.explode(F.array(*[F.lit(b * rule.limit) for b in _BOUNDS]))).groupBy(*at, "le").agg(F.count_if(F.col("amount") / 50 * rule.limit <= F.col("le")).alias("n"))
-    return _samples(_counter(per, "le"), rule.metric, {"le": F.col("le").cast("string")}, F.col("value"))
+        kinds = {bad: F.col("errors"), "200": F.col("n") - F.col("errors") - F.col("unknown"), "unknown": F.col("unknown")}
+        each = per.select(*at, F.explode(F.array(*[F.struct(F.lit(k).alias("status"), n.alias("n")) for k, n in kinds.items()])).alias("k")).select(*at, "k.*").where("n > 0")
+        return _samples(_counter(each, "status"), rule.metric, {name: F.col("status")}, F.col("value"))
+    each = F.array(*[F.struct(F.lit(b * rule.limit).alias("le"), F.col(_under(rule))[i].alias("n")) for i, b in enumerate(_BOUNDS)])
+    return _samples(_counter(per.select(*at, F.explode(each).alias("k")).select(*at, "k.*"), "le"), rule.metric, {"le": F.col("le").cast("string")}, F.col("value"))
 
 
 _T = f"(SELECT card::VARCHAR AS service, (id % 2)::VARCHAR AS endpoint, us // 200000000 AS ts_s, amount, category FROM {TRANSACTIONS_SQL})"
@@ -141,13 +159,18 @@ def _rule_sql(name: str) -> str:
     return f"SELECT '{name}' AS rule, service, count(*) FILTER (active) AS active, count(*) FILTER (firing) AS firing FROM ({firing}) GROUP BY service"
 
 
+def _by_service(per):
+    """Laid out by service once, in tasks of some ``_ROWS`` rows: no rule shuffles its rows again, and none's sorts outgrow a task."""
+    return per.repartition(max(per.sparkSession.sparkContext.defaultParallelism, per.count() // _ROWS), "service")
+
+
 @query(" UNION ALL ".join(map(_rule_sql, _RULES_SQL)))
 def alert_rules(spark, d):
     """How often each of the 25 rules is active and firing, by service."""
     t = transactions(spark, d).select(F.col("card").cast("string").alias("service"), (F.col("id") % 2).cast("string").alias("endpoint"), F.expr("us div 200000000").alias("ts_s"), "amount", "category")
-    t, out = written(t, "rule-events"), None
+    per, out = _by_service(written(_per_second(t), "rule-seconds")), None
     for rule in rules.ALERT_RULES:
-        found = rules.evaluate(rule, _series(rule, t))
+        found = rules.evaluate(rule, _series(rule, per))
         one = found.groupBy("service").agg(F.count_if(F.col("active")).alias("active"), F.count_if(F.col("firing")).alias("firing")).select(F.lit(rule.name).alias("rule"), "service", "active", "firing")
         out = one if out is None else out.union(one)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.contract import CanaryParams, CostMatrix, MonitorParams, ReplayParams
 from riskloom.operators import drift, rules
+from riskloom.plans import rule_queries
 from riskloom.sources import tables
 from riskloom.streaming import bounded, matching, online, replay, scoring
 
@@ -400,6 +401,24 @@ def test_every_rule_evaluates(spark):
     assert got[0] == (False, False) and got[60] == (True, False) and got[120] == (True, True)
 
 
+def test_series_laid_out_by_service_are_not_shuffled_again(spark):
+    """Whatever its kind, a rule without a guard adds no exchange to that of the layout."""
+    rows = spark.range(100).selectExpr("cast(id % 3 as string) service", "id ts_s", "map('le', cast(id as string), 'reason', 'transient') labels", "cast(id as double) value").repartition(4, "service")
+    for name in ("fast_budget_burn", "auth_rejections", "latency_slo", "feature_drift", "reload_stalled"):
+        rule = next(r for r in rules.ALERT_RULES if r.name == name)
+        plan = rules.evaluate(rule, rows.withColumn("metric", F.lit(rule.metric))).groupBy("service").agg(F.count_if("firing"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") > 0, name
+
+
+def test_rule_series_of_unknown_categories(spark):
+    """Events without a category are a series of their own: part of the total, never bad."""
+    rule = next(r for r in rules.ALERT_RULES if r.name == "auth_rejections")
+    rows = [("s", "0", t, 1.0, c) for t, cs in enumerate((("error", None, "click"), (None, "click"), ("error",))) for c in cs]
+    t = spark.createDataFrame(rows, "service string, endpoint string, ts_s bigint, amount double, category string")
+    got = {x["ts_s"]: x["value"] for x in rules.evaluate(rule, rule_queries._series(rule, rule_queries._per_second(t))).collect()}
+    assert got == {0: None, 1: 0.0, 2: pytest.approx(1 / 3)}
+
+
 def test_rule_limits_follow_params():
     by = {r.name: r for r in rules.ALERT_RULES}
     assert by["feature_drift"].limit == MonitorParams().psi and by["performance_decay"].limit == MonitorParams().auprc_floor
