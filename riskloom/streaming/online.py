@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,31 +16,18 @@ from riskloom.operators.velocity import DAY_US
 from riskloom.sources.tables import delete_path, written
 from riskloom.streaming import bounded, matching, monitor, scoring
 
-#: Parts that a window is cut into on a stream.
-PARTS = 16
-
-
-class _Part:
-    """The events of one part of a card's history: how many, their sum and largest, and in how many pieces they are stored."""
-
-    def __init__(self, n: int = 0, total: float = 0.0, most: float = float("-inf"), pieces: int = 0, last: int | None = None):
-        self.n, self.total, self.most, self.pieces, self.last = n, total, most, pieces, last
-        self.new: list[tuple[int, float]] = []
-        self.before: tuple | None = None
-
-    def add(self, us: int, amount: float) -> None:
-        self.n, self.total, self.most = self.n + 1, self.total + amount, max(self.most, amount)
-        self.last = us if self.last is None else max(self.last, us)
-        self.new.append((us, amount))
+#: Parts that a window is cut into on a stream, and groups of cards that share one state.
+PARTS, BUCKETS = 16, 256
+_FOLDS = {"n": "sum", "total": "sum", "most": "max", "last": "max"}
 
 
 class TrailingVelocity(StatefulProcessor):
-    """Per card what the parts of a window add up to, and their events in pieces; each new event is answered from those before it.
+    """Per bucket of cards what the parts of a window add up to for each card, and their events in pieces; each new event is answered from those before it.
 
     An event needs the sums of the whole parts inside its window, those of its own part and, of the part in which the window starts, the events
     from there on, which are read once for a batch and summed up from the end once. A part's sums do for its own events as long as
     they are younger than what it holds. So the work of an event doesn't grow with the events in its window; a batch writes its own events and
-    the sums of at most ``PARTS`` + 1 parts, and rewrites nothing else.
+    the sums of the parts that they fall in. All cards of a bucket are answered at once, in columns, and share the exchanges with the state store.
     """
 
     def __init__(self, window_us: int):
@@ -48,104 +35,146 @@ class TrailingVelocity(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "part array<bigint>, n array<bigint>, total array<double>, most array<double>, pieces array<bigint>, last array<bigint>")
-        self.pieces = handle.getMapState("pieces", "part bigint, piece bigint", "us array<bigint>, amount array<double>")
-
-    def _events(self, part: int, held: _Part) -> list[tuple[int, float]]:
-        out = list(held.new)
-        for k in range(held.pieces):
-            us, amounts = self.pieces.getValue((part, k))
-            out += zip(us, amounts, strict=True)
-        return sorted(out)
-
-    def _running(self, part: int, held: _Part) -> tuple:
-        """Times in order, and count, sum and largest of the events before and from each place."""
-        if held.before is None:
-            events = self._events(part, held)
-            before, after = [(0, 0.0, float("-inf"))], [(0, 0.0, float("-inf"))]
-            for _, a in events:
-                n, total, most = before[-1]
-                before.append((n + 1, total + a, max(most, a)))
-            for _, a in reversed(events):
-                n, total, most = after[-1]
-                after.append((n + 1, total + a, max(most, a)))
-            held.before = ([us for us, _ in events], before, after[::-1])
-        return held.before
+        self.sums = handle.getMapState("sums", "part bigint", "card array<string>, n array<bigint>, total array<double>, most array<double>, last array<bigint>, pieces bigint")
+        self.pieces = handle.getMapState("pieces", "part bigint, piece bigint", "card array<string>, us array<bigint>, amount array<double>")
+
+    def _stored(self, watermark_ms: int) -> dict[int, tuple]:
+        """Sums by part; parts that no event at or after the watermark can reach are deleted."""
+        found = {key[0]: value for key, value in list(self.sums.iterator())}
+        for p in [p for p in found if self._ends_ms(p) <= watermark_ms]:
+            for k in range(found[p][5]):
+                self.pieces.removeKey((p, k))
+            self.sums.removeKey((p,))
+            del found[p]
+        return found
+
+    def _ends_ms(self, part: int) -> int:
+        return ((part + 1) * self.step + self.window_us) // 1000 + 1
+
+    def _events(self, parts: list[int], stored: dict[int, tuple]) -> pd.DataFrame:
+        pieces = {(p, k): self.pieces.getValue((p, k)) for p in parts for k in range(stored[p][5])}
+        return _columns(["card", "us", "amount"], [(p, *value) for (p, _), value in pieces.items()])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = zip(*self.sums.get(), strict=True) if self.sums.exists() else ()
-        parts = {p: _Part(n, total, most, pieces, last) for p, n, total, most, pieces, last in stored}
-        new = sorted((int(r.us), int(r.id), None if pd.isna(r.amount) else float(r.amount)) for batch in rows for r in batch.itertuples())
-        ended = {p: (held.last, (held.n, held.total, held.most)) for p, held in parts.items()}
-        for us, _, amount in new:
-            if amount is not None:
-                parts.setdefault(us // self.step, _Part()).add(us, amount)
-        out, own, first, nothing = [], None, None, (0, 0.0, float("-inf"))
-        for us, i, _ in new:
-            low = us - self.window_us
-            if us // self.step != own:
-                own, done = us // self.step, 0
-                last, upto = ended.get(own, (None, nothing))
-                younger, mine = last is None or last < us, parts.get(own)
-                first = None
-            if low // self.step != first:
-                first = low // self.step
-                middle = [(held.n, held.total, held.most) for p in range(first + 1, own) if (held := parts.get(p))]
-            found = list(middle)
-            if mine and younger:
-                while done < len(mine.new) and mine.new[done][0] < us:
-                    amount = mine.new[done][1]
-                    upto, done = (upto[0] + 1, upto[1] + amount, max(upto[2], amount)), done + 1
-                found.append(upto)
-            elif mine:
-                times, before, _ = self._running(own, mine)
-                found.append(before[bisect_left(times, us)])
-            if first in parts:
-                times, _, after = self._running(first, parts[first])
-                found.append(after[bisect_left(times, low)])
-            n, total = sum(f[0] for f in found), float(sum(f[1] for f in found))
-            out.append((i, n, total, total / n if n else 0.0, max((f[2] for f in found if f[0]), default=0.0)))
-        newest = max([us for us, *_ in new] + [held.last for held in parts.values()])
-        self._keep(parts, (newest - self.window_us) // self.step)
-        for timer in self.handle.listTimers():
+        new = pd.concat(list(rows), ignore_index=True)
+        stored = self._stored(timerValues.getCurrentWatermarkInMs())
+        code, cards = pd.factorize(new["card"])
+        us, amount = new["us"].to_numpy("int64"), new["amount"].to_numpy("float64")
+        own, low = us // self.step, us - self.window_us
+        first = low // self.step
+        there = ~np.isnan(amount)
+        fresh = pd.DataFrame({"card": code, "part": own, "us": us, "amount": amount})[there]
+        added = fresh.groupby(["card", "part"], as_index=False).agg(n=("us", "size"), total=("amount", "sum"), most=("amount", "max"), last=("us", "max"))
+        held = _columns(["card", *_FOLDS], [(p, *v[:5]) for p, v in stored.items()])
+        held["card"] = cards.get_indexer(held["card"])
+        held = held[held["card"] >= 0].astype(dict.fromkeys(("card", "part", "n", "last"), "int64") | dict.fromkeys(("total", "most"), "float64"))
+
+        marks = np.unique(np.concatenate([held["part"].to_numpy("int64"), own]))
+        place = lambda card, part: np.asarray(card) * (len(marks) + 1) + np.searchsorted(marks, part)
+        n, total, most = np.zeros(len(us), "int64"), np.zeros(len(us)), np.full(len(us), -np.inf)
+
+        def take(ok: np.ndarray, counts: np.ndarray, totals: np.ndarray, largest: np.ndarray, at: np.ndarray) -> None:
+            n[ok] += counts[at[ok]]
+            total[ok] += totals[at[ok]]
+            most[ok] = np.maximum(most[ok], largest[at[ok]])
+
+        every = pd.concat([held, added]).groupby(["card", "part"], as_index=False).agg(_FOLDS)  # in order of both
+        places, sums = place(every["card"], every["part"]), [every[c].to_numpy() for c in ("n", "total", "most")]
+        at, end = np.searchsorted(places, place(code, first + 1)), np.searchsorted(places, place(code, own))
+        while (ok := at < end).any():
+            take(ok, *sums, at)
+            at = at + 1
+
+        held = held.sort_values(["card", "part"])
+        places, last = place(held["card"], held["part"]), held["last"].to_numpy()
+        at_own, has_own = _find(places, place(code, own))
+        has_first = _find(places, place(code, first))[1] & np.isin(first, marks)
+        late = has_own & (last[at_own] >= us if len(last) else False)
+        read = np.unique(np.concatenate([first[has_first], own[late]])).tolist()
+        take(has_own & ~np.isin(own, read), *[held[c].to_numpy() for c in ("n", "total", "most")], at_own)
+
+        before = self._events(read, stored)
+        before["card"] = cards.get_indexer(before["card"])
+        events = pd.concat([before[before["card"] >= 0], fresh]).astype({"card": "int64", "part": "int64", "us": "int64", "amount": "float64"})
+        events = events.sort_values(["card", "us"], ignore_index=True)
+        times = np.unique(events["us"].to_numpy())
+        moment = lambda card, t: np.asarray(card) * (len(times) + 1) + np.searchsorted(times, t)
+        moments, ecard, epart = moment(events["card"], events["us"]), events["card"].to_numpy(), events["part"].to_numpy()
+        for at, part, by in ((np.searchsorted(moments, moment(code, us)) - 1, own, events), (np.searchsorted(moments, moment(code, low)), first, events[::-1])):
+            groups = by.groupby(["card", "part"], sort=False)
+            running = [(groups.cumcount() + 1), groups["amount"].cumsum(), groups["amount"].cummax()]  # from the part's start, or from its end
+            ok = (at >= 0) & (at < len(events))
+            ok[ok] = (ecard[at[ok]] == code[ok]) & (epart[at[ok]] == part[ok])
+            take(ok, *[x.sort_index().to_numpy() for x in running], at)
+
+        newest = np.full(len(cards), np.iinfo("int64").min)
+        np.maximum.at(newest, code, us)
+        np.maximum.at(newest, held["card"].to_numpy(), last)
+        oldest = (newest - self.window_us) // self.step
+        self._keep(stored, fresh[fresh["part"] >= oldest[fresh["card"]]], added[added["part"] >= oldest[added["card"]]], cards)
+        self._wake(stored)
+        some = n > 0
+        yield pd.DataFrame({"id": new["id"], "v_count": n, "v_sum": total, "v_mean": np.divide(total, n, out=np.zeros(len(n)), where=some), "v_max": np.where(some, most, 0.0)})
+
+    def _keep(self, stored: dict[int, tuple], fresh: pd.DataFrame, added: pd.DataFrame, cards: pd.Index) -> None:
+        """Write what is new of the parts that a later window can reach."""
+        sums = _by_part(added, cards, list(_FOLDS))
+        for p, events in _by_part(fresh, cards, ["us", "amount"]).items():
+            held = stored.get(p, ([], [], [], [], [], 0))
+            self.pieces.updateValue((p, held[5]), tuple(events))
+            known = dict(zip(held[0], zip(*held[1:5], strict=True), strict=True))
+            for card, n, total, most, last in zip(*sums[p], strict=True):
+                n0, total0, most0, last0 = known.get(card, (0, 0.0, most, last))
+                known[card] = n0 + n, total0 + total, max(most0, most), max(last0, last)
+            stored[p] = (list(known), *map(list, zip(*known.values(), strict=True)), held[5] + 1)
+            self.sums.updateValue((p,), stored[p])
+
+    def _wake(self, stored: dict[int, tuple]) -> None:
+        """One timer, for the part that ends first."""
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((newest + self.window_us) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["id", "v_count", "v_sum", "v_mean", "v_max"])
-
-    def _keep(self, parts: dict[int, _Part], oldest: int) -> None:
-        """Write what is new of the parts that a later window can reach, and drop the others."""
-        for p in sorted(parts):
-            held = parts[p]
-            if p < oldest:
-                for k in range(held.pieces):
-                    self.pieces.removeKey((p, k))
-                del parts[p]
-            elif held.new:
-                self.pieces.updateValue((p, held.pieces), ([us for us, _ in held.new], [a for _, a in held.new]))
-                held.pieces += 1
-        if parts:
-            self.sums.update(tuple(list(x) for x in zip(*((p, h.n, h.total, h.most, h.pieces, h.last) for p, h in sorted(parts.items())), strict=True)))
-        else:
-            self.sums.clear()
+        if stored:
+            self.handle.registerTimer(min(map(self._ends_ms, stored)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.sums.clear()
-        self.pieces.clear()
+        if left := self._stored(timerValues.getCurrentWatermarkInMs()):
+            self.handle.registerTimer(min(map(self._ends_ms, left)))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def velocity_stream(events: DataFrame, window_us: int = DAY_US, delay: str = "1 hour") -> DataFrame:
+def _columns(names: list[str], rows: list[tuple]) -> pd.DataFrame:
+    """Stored lists of several parts (the part, then a list for each name) as columns, with the part of each entry."""
+    out = {c: [x for row in rows for x in row[i]] for i, c in enumerate(names, 1)}
+    return pd.DataFrame(out | {"part": np.repeat([row[0] for row in rows], [len(row[1]) for row in rows]) if rows else []})
+
+
+def _by_part(rows: pd.DataFrame, cards: pd.Index, names: list[str]) -> dict[int, list[list]]:
+    """Lists of the cards and the named columns, for each part."""
+    rows = rows.sort_values("part", kind="stable")
+    parts, starts = np.unique(rows["part"].to_numpy(), return_index=True)
+    lists = [cards[rows["card"]].tolist(), *(rows[c].tolist() for c in names)]
+    return {int(p): [x[a:b] for x in lists] for p, a, b in zip(parts, starts, [*starts[1:], len(rows)], strict=True)}
+
+
+def _find(places: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands in sorted ``places``, and whether it does."""
+    at = np.minimum(np.searchsorted(places, wanted), max(len(places) - 1, 0))
+    return at, (places[at] == wanted) if len(places) else np.zeros(len(wanted), bool)
+
+
+def velocity_stream(events: DataFrame, window_us: int = DAY_US, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """``id, v_count, v_sum, v_mean, v_max`` of a stream ``events (id, card, us, amount)``: the batch operator's look-back [t - window, t) for each event.
 
     Exact where no event of a card comes in a later batch than a younger one of it; a late one is answered from what is kept.
-    A card's events of one window are its state, which expires by event time.
+    The events of one window are the state, which expires by event time. Cards are spread over ``buckets``, fixed for a checkpoint.
     """
-    marked = events.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+    card = F.coalesce(F.concat(F.lit("="), F.col("card").cast("string")), F.lit(""))  # a missing card is one, too
+    marked = events.select("id", card.alias("card"), "us", "amount", F.pmod(F.xxhash64("card"), F.lit(buckets)).alias("bucket"), F.timestamp_micros("us").alias("at")).withWatermark("at", delay)
     schema = "id bigint, v_count bigint, v_sum double, v_mean double, v_max double"
-    return marked.groupBy("card").transformWithStateInPandas(statefulProcessor=TrailingVelocity(window_us), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return marked.groupBy("bucket").transformWithStateInPandas(statefulProcessor=TrailingVelocity(window_us), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def monitor_events(messages: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -288,6 +288,24 @@ def test_velocity_parts(spark, tmp_path):
     assert len(got) == 480
 
 
+def test_cards_of_a_bucket_share_their_state(spark, tmp_path):
+    """Many cards, a missing one among them, in few buckets: the state has entries for parts of buckets, not for cards, and the rows are those of a loop."""
+    window, batches = 1000, [[(b * 1000 + k, k % 100 or None, 1 + b * 500 + k // 100 * 60 + k % 7, float(k % 13)) for k in range(600)] for b in range(2)]
+    for rows in batches:
+        spark.createDataFrame(rows, "id bigint, card bigint, us bigint, amount double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = scoring.file_stream(spark, str(tmp_path / "in"), "id bigint, card bigint, us bigint, amount double", files_per_batch=1)
+    out, every = str(tmp_path / "out"), [x for rows in batches for x in rows]
+    run = online.velocity_stream(stream, window, buckets=2).writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    entries = max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"])
+    assert 0 < entries < 100 * 2
+    got = {x["id"]: (x["v_count"], x["v_sum"], x["v_max"]) for x in spark.read.parquet(out).collect()}
+    assert len(got) == 1200
+    for i, card, us, _ in every:
+        seen = [a for _, c, t, a in every if c == card and us - window <= t < us]
+        assert got[i] == (len(seen), sum(seen), max(seen, default=0.0)), i
+
+
 def test_monitor_keeps_no_history(spark, tmp_path):
     """A cycle reads the windows of the one before; those of older cycles are gone, and a replayed cycle leaves the same rows."""
     folder, run = str(tmp_path), None
