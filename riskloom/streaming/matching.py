@@ -92,12 +92,13 @@ def waiting(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParam
     return _newest(found, max_ids)
 
 
-def match_counts(arrivals: DataFrame, retention_s: float, max_ids: int = MonitorParams().max_ids) -> DataFrame:
-    """``matched, pending``: pairs found, and scores that still wait for a label; one fold gives both."""
+def match_counts(arrivals: DataFrame, retention_s: float, max_ids: int | None = None) -> DataFrame:
+    """``matched, pending``: pairs found, and all scores that still wait for a label; one fold gives both. Only where ``max_ids`` is given it bounds ``pending``."""
     arrivals = written(arrivals, "arrivals")  # read for the clock and for the matches
     folded = written(_folded(arrivals, retention_s).select("kind", "id", "score", "seq", "t"), "folded")
-    counts = _waiting(folded, arrivals, retention_s).groupBy("side").agg(F.least(F.count("*"), F.lit(max_ids)).alias("n"))  # as many as ``waiting`` leaves
-    pending = counts.agg(F.coalesce(F.sum(F.when(F.col("side") == "pending", F.col("n"))), F.lit(0)).cast("bigint").alias("pending"))
+    pending = _waiting(folded, arrivals, retention_s).where("side = 'pending'").agg(F.count("*").alias("pending"))
+    if max_ids is not None:
+        pending = pending.select(F.least("pending", F.lit(max_ids).cast("bigint")).alias("pending"))  # as many as ``waiting`` leaves
     return folded.where("kind = 'match'").agg(F.count("*").alias("matched")).join(pending)  # two rows of one
 
 

@@ -153,6 +153,14 @@ def test_counts_fold_once(spark, monkeypatch):
     assert matching.match_counts(arrivals(spark, rows[:0]), 100.0).first().asDict() == {"matched": 0, "pending": 0}
 
 
+def test_counts_all_that_wait(spark):
+    """More scores wait than the monitor's bound on ids: each of them counts; of eight labels three make matches and five wait."""
+    n = MonitorParams().max_ids + 7
+    side = lambda ids, seq, score, label: ids.select(seq.alias("seq"), F.col("id").cast("string").alias("id"), F.lit(1.0).alias("t"), F.lit(score).cast("double").alias("score"), F.lit(label).cast("int").alias("label"))
+    rows = side(spark.range(n + 3), F.col("id"), 0.5, None).union(side(spark.range(n, n + 8), F.col("id") + n, None, 1))
+    assert matching.match_counts(rows, 100.0).first().asDict() == {"matched": 3, "pending": n}
+
+
 def test_stream_matches_like_the_batch(spark, tmp_path):
     """In order of event time, one file after another: ids come back after the retention."""
     import random
